@@ -23,6 +23,8 @@ WORDS, PERCENT = 5, 80
 #: The commonness of shingles is counted in 2^SKETCH_BITS counters: a fixed size, for the order only, never for a result.
 SKETCH_BITS = 20
 _PART = 1 << 16
+#: The most bits of the bitmap that marks documents to be read again, as a power of two: 8 MB.
+MARK_BITS = 26
 
 
 def _profiles(docs: DataFrame, words: int) -> DataFrame:
@@ -75,35 +77,28 @@ def _commonness(parts: DataFrame) -> bytes:
     return np.log2(whole + 1).astype(np.uint8).tobytes()
 
 
-def _prefixes(docs: DataFrame, words: int, percent: int, common) -> DataFrame:
-    """Of each row with shingles: doc_id and the columns in which a partner must meet it, rarest first (hash and place in the order)."""
+def _entries(docs: DataFrame, words: int, percent: int, common) -> DataFrame:
+    """The columns in which a row's partners must meet it: gram, id, place (n * 2^32 + position in the order, rarest first)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = np.frombuffer(common.value, np.uint8)
         mask = np.uint64(len(level) - 1)
         for b in batches:
-            at, lists = [], []
+            at, lists, sizes = [], [], []
             for i, own in shingle_sets(b.column(1), words):
                 if len(own):
                     keep = len(own) - -(-percent * len(own) // 100) + 1
                     order = np.argsort(level[(own & mask).astype(np.int64)], kind="stable")[:keep]
                     at.append(i)
                     lists.append(own[order].view(np.int64))
+                    sizes.append(len(own))
             if at:
-                offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(lists)))], names=["doc_id", "grams"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, grams array<long>")
-
-
-def _sets(docs: DataFrame, words: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists = [own.view(np.int64) for _, own in shingle_sets(b.column(1), words)]
-            offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64)))], names=["id", "grams"])
+                count = np.array([len(x) for x in lists])
+                ends = np.cumsum(count)
+                place = np.arange(ends[-1]) - np.repeat(ends - count, count) + (np.repeat(np.array(sizes, np.int64), count) << 32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists)), b.column(0).take(pa.array(np.repeat(at, count))), pa.array(place)], names=["gram", "id", "place"])
 
-    return docs.mapInArrow(run, "id long, grams array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null").mapInArrow(run, "gram long, id long, place long")
 
 
 def _reaches(na, nb, ia, ib, percent: int):
@@ -111,27 +106,37 @@ def _reaches(na, nb, ia, ib, percent: int):
     return (1 + np.minimum(na - ia - 1, nb - ib - 1)) * (100 + percent) >= percent * (na + nb)
 
 
-def _star_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """Of the sorted columns: each document with the first document of its column (the hub), where their sizes and places let them link; and how many columns they share."""
+def _shared(dealt: DataFrame, percent: int) -> DataFrame:
+    """The entries of columns with at least two rows, from sorted columns, each with the first of its column (the hub) and whether sizes and places let the two link. One entry waits for the next."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub = None  # gram, id, n, pos of the column that goes on from the batch before
+        hub = (0, 0, 0)  # gram, id and place of the column that goes on from the batch before
+        wait, before = None, None
         for b in batches:
-            gram, doc, n, pos = (np.asarray(b.column(i)) for i in range(4))
-            if not len(gram):
+            if not len(b):
                 continue
-            first = np.concatenate(([hub is None or gram[0] != hub[0]], gram[1:] != gram[:-1]))
-            at = np.maximum.accumulate(np.where(first, np.arange(len(gram)), -1))
-            own = at >= 0
-            pick = lambda x, k: np.where(own, x[np.maximum(at, 0)], hub[k] if hub else 0)
-            h, hn, hp = pick(doc, 1), pick(n, 2), pick(pos, 3)
-            keep = (h != doc) & _reaches(hn, n, hp, pos, percent)
+            if wait is not None:
+                b = pa.Table.from_batches([wait, b]).combine_chunks().to_batches()[0]
+            gram, doc, place = (np.asarray(b.column(i)) for i in range(3))
+            same = gram[1:] == gram[:-1]
+            goes_on = before is not None and gram[0] == before
+            at = np.maximum.accumulate(np.where(np.concatenate(([not goes_on], ~same)), np.arange(len(gram)), -1))
+            h, hp = (np.where(at >= 0, x[np.maximum(at, 0)], old) for x, old in ((doc, hub[1]), (place, hub[2])))
+            keep = np.concatenate(([goes_on], same)) | np.concatenate((same, [False]))
             last = len(gram) - 1
-            hub = (gram[last], h[last], hn[last], hp[last])
+            keep[last] = False
+            if last:
+                before = gram[last - 1]
+                hub = (before, h[last - 1], hp[last - 1])
+            wait = b.slice(last)
             if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(doc[keep])], names=["hub", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (gram, doc, place, h, _reaches(hp >> 32, place >> 32, hp & 0xFFFFFFFF, place & 0xFFFFFFFF, percent) & (h != doc))], names=["gram", "id", "place", "hub", "near"])
+        if wait is not None and before is not None and wait.column(0)[0].as_py() == before:
+            p = wait.column(2)[0].as_py()
+            near = bool(_reaches(hub[2] >> 32, p >> 32, hub[2] & 0xFFFFFFFF, p & 0xFFFFFFFF, percent)) and hub[1] != wait.column(1)[0].as_py()
+            yield pa.RecordBatch.from_arrays([*wait.columns, pa.array([hub[1]], pa.int64()), pa.array([near])], names=["gram", "id", "place", "hub", "near"])
 
-    return entries.select("gram", "id", "n", "pos").mapInArrow(run, "hub long, id long")
+    return dealt.select("gram", "id", "place").mapInArrow(run, "gram long, id long, place long, hub long, near boolean")
 
 
 def _cross_pairs(entries: DataFrame, percent: int) -> DataFrame:
@@ -158,7 +163,8 @@ def _cross_pairs(entries: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["hub", "id"])
 
         for b in batches:
-            cols = [np.asarray(b.column(i)) for i in range(5)]
+            place = np.asarray(b.column(2))
+            cols = [np.asarray(b.column(0)), np.asarray(b.column(1)), place >> 32, place & 0xFFFFFFFF, np.asarray(b.column(3))]
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
             gram = cols[0]
@@ -172,14 +178,37 @@ def _cross_pairs(entries: DataFrame, percent: int) -> DataFrame:
         if held is not None and len(held[0]) and (held[4] != held[4][0]).any():
             yield from done(held[1:])
 
-    return entries.select("gram", "id", "n", "pos", "comp").mapInArrow(run, "hub long, id long")
+    return entries.select("gram", "id", "place", "comp").mapInArrow(run, "hub long, id long")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs that link, by the overlap of their whole sets: 100 * intersection >= percent * union."""
-    a, b = sets.select(F.col("id").alias("hub"), F.col("grams").alias("g1")), sets.select("id", F.col("grams").alias("g2"))
-    shared = F.size(F.array_intersect("g1", "g2"))
-    return pairs.join(b, "id").join(a, "hub").filter(shared * (100 + percent) >= percent * (F.size("g1") + F.size("g2"))).select("hub", "id")
+def _sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """The sets of the rows named by ids (id, distinct). Texts stay where they are: a bitmap of the ids, of 32 bits for each up to MARK_BITS in all, is sent to the scan, which lets few others through; a join drops those."""
+    count = ids.count()
+    bits = 1 << min(MARK_BITS, max(15, int(np.ceil(np.log2(32 * count + 1)))))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array((mixed(np.asarray(b.column(0)).view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64) + 1)], names=["bit"])  # Spark's bitmaps count bits from 1
+
+    marks = ids.select("id").mapInArrow(place, "bit long").groupBy(F.bitmap_bucket_number("bit").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("m"))
+    bitmap = np.zeros(max(1, bits >> 15) << 12, np.uint8)
+    for r in marks.collect():  # bits / 2^15 rows of 4 KB at most
+        at = (r["k"] - 1) << 12
+        bitmap[at : at + len(r["m"])] = np.frombuffer(r["m"], np.uint8)
+    marked = docs.sparkSession.sparkContext.broadcast(bitmap.tobytes())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = np.frombuffer(marked.value, np.uint8)
+        for b in batches:
+            bit = (mixed(np.asarray(b.column(0)).view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
+            b = b.filter(pa.array((bitmap[bit // 8] >> (bit % 8).astype(np.uint8)) & 1 == 1))
+            if len(b):
+                lists = [own.view(np.int64) for _, own in shingle_sets(b.column(1), words)]
+                offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(lists)))], names=["id", "grams"])
+
+    found = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("id is not null").mapInArrow(run, "id long, grams array<long>")
+    return found.join(ids.select("id"), "id", "left_semi")
 
 
 def near_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -195,60 +224,39 @@ def near_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     profiles = written(_profiles(docs, words), "profiles")
     common = spark.sparkContext.broadcast(_commonness(profiles.filter("part is not null").select("part", "counts")))
     rows = profiles.filter("part is null").select("doc_id", "n", "h1", "h2")
-    named = rows.filter("n > 0 and doc_id is not null")
-    classes = named.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("class_id"))
-    members = written(rows.join(classes, ["h1", "h2", "n"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"), F.col("class_id").isNotNull().alias("full")), "members")
-    heads = members.filter("full and doc_id = class_id").select("doc_id", "n").distinct()
-
-    # The columns: an entry for each class and each shingle of its prefix, dealt by shingle; the likeliest centre of a group comes first.
-    entries = (
-        _prefixes(docs, words, percent, common).join(heads, "doc_id")
-        .select(F.col("doc_id").alias("id"), "n", F.posexplode("grams").alias("pos", "gram"))
-    )
-    dealt = entries.repartition("gram").sortWithinPartitions("gram", "pos", "n", "id")
-    shared = written(_shared(dealt), "columns")
-    sets_of = shared.select("id").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(sets_of, "id", "left_semi")
-    sets = written(_sets(texts.select("id", "text"), words), "sets")
+    classes = rows.filter("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("class_id"))
+    members = written(rows.join(classes, ["h1", "h2", "n"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id")), "members")
+    class_of = members.filter("n > 0 and doc_id is not null").select(F.col("doc_id").alias("id"), "class_id").distinct()
+
+    # The columns: an entry for each row and each shingle of its prefix, dealt by shingle; the likeliest centre of a group comes first.
+    shared = written(_shared(_entries(docs, words, percent, common).repartition("gram").sortWithinPartitions("gram", F.expr("place & 4294967295"), "place", "id"), percent), "columns")
+
+    def of_classes(pairs: DataFrame) -> DataFrame:
+        a, b = class_of.select(F.col("id").alias("hub"), F.col("class_id").alias("h")), class_of.select("id", F.col("class_id").alias("i"))
+        return pairs.join(a, "hub").join(b, "id").filter("h <> i").select(F.least("h", "i").alias("hub"), F.greatest("h", "i").alias("id"), "c")
 
     # First each document with the hub that it shares most columns with; what that joins need not be compared again.
-    sorted_columns = shared.repartition("gram").sortWithinPartitions("gram", "pos", "n", "id")
-    overlaps = _star_pairs(sorted_columns, percent).groupBy("hub", "id").agg(F.count(F.lit(1)).alias("c"))
-    best = overlaps.groupBy("id").agg(F.max_by("hub", F.struct("c", -F.col("hub"))).alias("hub")).select("hub", "id")
-    links = written(_linked(best, sets, percent), "links")
-    comp = written(components(links.select(F.col("hub").alias("a"), F.col("id").alias("b"))), "comp")
+    overlaps = of_classes(shared.filter("near").groupBy("hub", "id").agg(F.count(F.lit(1)).alias("c")))
+    best = written(overlaps.groupBy("id").agg(F.max_by("hub", F.struct("c", -F.col("hub"))).alias("hub")).select("hub", "id"), "best")
+    links = _verified(docs, best, words, percent, "links")
+    comp = components(links.select(F.col("hub").alias("a"), F.col("id").alias("b")))
     # Then every pair across components.
-    known = shared.join(comp.select("id", F.col("root")), "id", "left").withColumn("comp", F.coalesce("root", "id"))
-    cross = _cross_pairs(known.repartition("gram").sortWithinPartitions("gram"), percent).distinct().join(best.select(F.least("hub", "id").alias("hub"), F.greatest("hub", "id").alias("id")), ["hub", "id"], "left_anti")
-    more = written(_linked(cross, sets, percent), "cross")
+    root = written(class_of.join(comp.select(F.col("id").alias("class_id"), "root"), "class_id", "left").select("id", F.coalesce("root", "class_id").alias("comp")), "comp")
+    known = shared.select("gram", "id", "place").join(root, "id")
+    cross = of_classes(_cross_pairs(known.repartition("gram").sortWithinPartitions("gram"), percent).groupBy("hub", "id").agg(F.count(F.lit(1)).alias("c"))).select("hub", "id").distinct()
+    more = _verified(docs, written(cross.join(best, ["hub", "id"], "left_anti"), "cross"), words, percent, "cross_links")
     roots = components(links.union(more).select(F.col("hub").alias("a"), F.col("id").alias("b")))
     found = members.join(roots.select(F.col("id").alias("class_id"), "root"), "class_id", "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "class_id").alias("component_id"), "class_id")
 
 
-def _shared(dealt: DataFrame) -> DataFrame:
-    """The entries of columns with at least two documents, from sorted columns; one entry waits for the next."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wait, before = None, None
-        for b in batches:
-            if not len(b):
-                continue
-            if wait is not None:
-                b = pa.Table.from_batches([wait, b]).combine_chunks().to_batches()[0]
-            gram = np.asarray(b.column(0))
-            same = gram[1:] == gram[:-1]
-            keep = np.concatenate(([before is not None and gram[0] == before], same)) | np.concatenate((same, [False]))
-            last = len(gram) - 1
-            before = gram[last - 1] if last else before
-            wait = b.slice(last)
-            keep[last] = False
-            if keep.any():
-                yield b.filter(pa.array(keep))
-        if wait is not None and before is not None and wait.column(0)[0].as_py() == before:
-            yield wait
-
-    return dealt.select("gram", "id", "n", "pos").mapInArrow(run, "gram long, id long, n long, pos int")
+def _verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int, name: str) -> DataFrame:
+    """The pairs that link, by the overlap of their whole sets: 100 * intersection >= percent * union."""
+    ids = pairs.select(F.explode(F.array("hub", "id")).alias("id")).distinct()
+    sets = written(_sets_of(docs, ids, words), "sets")
+    a, b = sets.select(F.col("id").alias("hub"), F.col("grams").alias("g1")), sets.select("id", F.col("grams").alias("g2"))
+    shared = F.size(F.array_intersect("g1", "g2"))
+    return written(pairs.join(b, "id").join(a, "hub").filter(shared * (100 + percent) >= percent * (F.size("g1") + F.size("g2"))).select("hub", "id").distinct(), name)
 
 
 def deduplicated(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
