@@ -15,7 +15,7 @@ from .tokens import encoder
 
 WINDOW = 1024
 #: Ids that are packed together, about: what a task holds at a time. The last window of each such shard may be padded.
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 2_000_000
 #: Lengths of which combinations of three are built: so many of the commonest.
 COMMON = 48
 

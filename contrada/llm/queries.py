@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, neighbours, ngram_join, packing, quality, token_counts, url_filter
+from . import exact_dedup, mixing, neighbours, ngram_join, packing, quality, secrets, token_counts, url_filter
 from .common import table
 
 #: The vocabulary file that token operators read; its path is a parameter of theirs.
@@ -70,6 +70,16 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its secrets' spans."""
+    found = secrets.scanned(table(spark, sf_dir, "documents"))
+    text = lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])
+    joined = lambda spans: F.array_join(F.transform(spans, text), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda x: x["kind"] != "crf")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the words that the mix takes of it."""
     return mixing.mixed_documents(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -100,7 +110,7 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN r ON r.x = d.doc_id GRO
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_url_filter, op3_quality_classifier, op4_packing, op6_ngram_jaccard_join, op7_source_mixing, op8_nearest_neighbours, op10_token_counts)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_url_filter, op3_quality_classifier, op4_packing, op5_secret_scan, op6_ngram_jaccard_join, op7_source_mixing, op8_nearest_neighbours, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -24,7 +24,7 @@ SHORT, LONG = "stmd", ("re", "ve", "ll")
 
 _BLANK, _WHITE, _LETTER, _NUMBER, _SIGN, _ODD = range(6)
 #: Distinct pre-tokens that a worker remembers before it starts anew.
-_REMEMBERED = 400_000
+_REMEMBERED = 250_000
 
 
 @lru_cache(1)
@@ -58,7 +58,6 @@ class Encoder:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -66,13 +65,21 @@ class Encoder:
         special = {x["content"] for x in spec["added_tokens"]}
         ranks = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
         self.plain = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.path = path
         self.lengths = np.zeros(max(ranks.values()) + 2, np.int64)
         for t, i in ranks.items():
             self.lengths[i] = len(t)
         self._forget()
 
+    def _whole(self, text: str) -> list[int]:
+        """The ids of a text by the tokenizer itself."""
+        if not hasattr(self, "tokenizer"):
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.path)
+            self.tokenizer.encode_special_tokens = True
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def _forget(self) -> None:
         """No pre-token is known: hashes in order, where their ids begin in flat and how many they are."""
         self.keys, self.begin, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -153,7 +160,7 @@ class Encoder:
             parts, at = [], 0
             counts = np.diff(row_first)
             for r in odd.tolist():
-                own = np.array(self.whole.encode(raw[offsets[r] : offsets[r + 1]].decode("utf-8"), add_special_tokens=False).ids, np.uint32)
+                own = np.array(self._whole(raw[offsets[r] : offsets[r + 1]].decode("utf-8")), np.uint32)
                 parts += [ids[at : row_first[r]], own]
                 at, counts[r] = row_first[r + 1], len(own)
             ids = np.concatenate([*parts, ids[at:]])
