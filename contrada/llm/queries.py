@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, neighbours, ngram_join, packing, quality, secrets, token_counts, url_filter
+from . import exact_dedup, mixing, neighbours, ngram_join, packing, quality, secrets, suffix_dedup, token_counts, url_filter
 from .common import table
 
 #: The vocabulary file that token operators read; its path is a parameter of theirs.
@@ -90,6 +90,11 @@ def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of strings of 200 bytes that start elsewhere too."""
+    return suffix_dedup.without_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of every document with the tokens that count for it."""
     return token_counts.line_counts(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -110,7 +115,7 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN r ON r.x = d.doc_id GRO
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_url_filter, op3_quality_classifier, op4_packing, op5_secret_scan, op6_ngram_jaccard_join, op7_source_mixing, op8_nearest_neighbours, op10_token_counts)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_url_filter, op3_quality_classifier, op4_packing, op5_secret_scan, op6_ngram_jaccard_join, op7_source_mixing, op8_nearest_neighbours, op9_suffix_dedup, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
