@@ -31,4 +31,8 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Risks with citation and evidence level of each zone's selected points."""
+    return _queries["j6_j7_f4_grounded"](spark, sf_dir)
+
+
+from . import evaluation_queries, poi_queries  # noqa: E402, F401  they register themselves
