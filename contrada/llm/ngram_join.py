@@ -237,19 +237,28 @@ def near_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
     # First each document with the hub that it shares most columns with; what that joins need not be compared again.
     overlaps = of_classes(shared.filter("near").groupBy("hub", "id").agg(F.count(F.lit(1)).alias("c")))
-    best = written(overlaps.groupBy("id").agg(F.max_by("hub", F.struct("c", -F.col("hub"))).alias("hub")).select("hub", "id"), "best")
+    rows_of = written(shared.groupBy("id").agg(F.collect_set("gram").alias("grams"), F.max(F.expr("place >> 32")).alias("n")), "rows")
+    best = written(_possible(overlaps.groupBy("id").agg(F.max_by("hub", F.struct("c", -F.col("hub"))).alias("hub")).select("hub", "id"), rows_of, percent), "best")
     links = _verified(docs, best, words, percent, "links")
     comp = components(links.select(F.col("hub").alias("a"), F.col("id").alias("b")))
     # Then every pair across components.
     root = written(class_of.join(comp.select(F.col("id").alias("class_id"), "root"), "class_id", "left").select("id", F.coalesce("root", "class_id").alias("comp")), "comp")
     known = shared.select("gram", "id", "place").join(root, "id")
     cross = of_classes(_cross_pairs(known.repartition("gram").sortWithinPartitions("gram"), percent).groupBy("hub", "id").agg(F.count(F.lit(1)).alias("c"))).select("hub", "id").distinct()
-    more = _verified(docs, written(cross.join(best, ["hub", "id"], "left_anti"), "cross"), words, percent, "cross_links")
+    more = _verified(docs, written(_possible(cross.join(best, ["hub", "id"], "left_anti"), rows_of, percent), "cross"), words, percent, "cross_links")
     roots = components(links.union(more).select(F.col("hub").alias("a"), F.col("id").alias("b")))
     found = members.join(roots.select(F.col("id").alias("class_id"), "root"), "class_id", "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "class_id").alias("component_id"), "class_id")
 
 
+def _possible(pairs: DataFrame, rows_of: DataFrame, percent: int) -> DataFrame:
+    """The pairs that share enough columns. Of two rows the one whose prefix ends first in the common order has no shared column outside the product but in its remainder, so an overlap is at most the shared columns and the longer remainder."""
+    a, b = rows_of.select(F.col("id").alias("hub"), F.col("grams").alias("g1"), F.col("n").alias("n1")), rows_of.select("id", F.col("grams").alias("g2"), F.col("n").alias("n2"))
+    remainder = lambda n: F.floor((percent * F.col(n) + 99) / 100) - 1
+    most = F.size(F.array_intersect("g1", "g2")) + F.greatest(remainder("n1"), remainder("n2"))
+    return pairs.join(b, "id").join(a, "hub").filter(most * (100 + percent) >= percent * (F.col("n1") + F.col("n2"))).select("hub", "id")
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int, name: str) -> DataFrame:
     """The pairs that link, by the overlap of their whole sets: 100 * intersection >= percent * union."""
     ids = pairs.select(F.explode(F.array("hub", "id")).alias("id")).distinct()
