@@ -96,13 +96,14 @@ class Discriminant:
         pooled = (cov * counts[:, None, None]).sum(0) / max(counts.sum(), 1)
         total = sums.sum(0) / max(counts.sum(), 1)
         spread = squares.sum(0) / max(counts.sum(), 1) - np.outer(total, total)
-        self.scale = np.sqrt(np.maximum(np.diag(spread), 1e-6))
+        self.scale = np.sqrt(np.maximum(np.diag(spread), 1e-4))
         self.mean, self.factor, self.log_det = mean / self.scale, [], []
         for k in range(2):
             c = cov[k] if self.known[k] else pooled
             c = ((1 - TO_POOLED) * c + TO_POOLED * pooled) / np.outer(self.scale, self.scale)
             c = (1 - TO_DIAGONAL) * c + TO_DIAGONAL * np.diag(np.diag(c)) + FLOOR * np.eye(d)
-            low = np.linalg.cholesky(c)
+            values, vectors = np.linalg.eigh(c)  # sums are rounded: nearly constant statistics may come out below zero
+            low = np.linalg.cholesky((vectors * np.maximum(values, FLOOR)) @ vectors.T)
             self.factor.append(np.linalg.inv(low))
             self.log_det.append(2 * np.log(np.diag(low)).sum())
         self.prior = float(np.log((counts[1] + 1) / (counts[0] + 1)))
