@@ -135,7 +135,8 @@ def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, most: float = MOS
     pieces = known.filter("size > 0").select("src", "start", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))).alias("block"), "size")
     words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest("start", F.col("block") * block)
     uses = slots(spark, sizes, wanted, block, shard_slots, seed).groupBy("src", "block").agg(F.count(F.lit(1)).alias("uses"))
-    taken = pieces.join(uses, ["src", "block"]).groupBy("src", "start").agg(F.sum(words * F.col("uses")).alias("taken"))
+    # The planner would judge the size of uses by the few draws that it comes from, and broadcast it.
+    taken = pieces.join(uses.hint("merge"), ["src", "block"]).groupBy("src", "start").agg(F.sum(words * F.col("uses")).alias("taken"))
     out = known.join(taken, ["src", "start"], "left")
     return out.select("doc_id", "size", "source", "source_size", "target", F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("taken"))
 
