@@ -16,6 +16,8 @@ from .tokens import encoder
 WINDOW = 1024
 #: Ids that are packed together, about: what a task holds at a time. The last window of each such shard may be padded.
 SHARD_TOKENS = 2_000_000
+#: Tasks up to which their sequence numbers are broadcast: 16 bytes each.
+BROADCAST_TASKS = 500_000
 #: Lengths of which combinations of three are built: so many of the commonest.
 COMMON = 48
 
@@ -158,4 +160,5 @@ def packed(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int =
     pieces = written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema), "pieces")
     made = pieces.groupBy("part").agg(F.max("local").alias("last"))
     bases = made.select("part", (F.coalesce(F.sum(F.col("last") + 1).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("base"))
-    return pieces.join(bases, "part").select("doc_id", "start", "length", "ids", "doc_tokens", (F.col("base") + F.col("local")).alias("sequence_id"), "offset")
+    small = made.count() <= BROADCAST_TASKS  # one row for each task; else the pieces are shuffled by task
+    return pieces.join(F.broadcast(bases) if small else bases, "part").select("doc_id", "start", "length", "ids", "doc_tokens", (F.col("base") + F.col("local")).alias("sequence_id"), "offset")
