@@ -279,11 +279,12 @@ def _arrays(dealt: DataFrame, length: int, width: int) -> DataFrame:
         for b in batches:
             for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if core and core[0][0] != r[0] or hot is not None and hot != r[0]:
-                    if len(core) > 1:
+                    if hot is not None:
+                        if core:
+                            yield counted(core)
+                    elif len(core) > 1:
                         shard += core
                         symbols += sum(len(x[1]) + len(x[2]) + 2 for x in core)
-                    elif hot is not None and core:
-                        yield counted(core)
                     core, hot = [], None
                     if symbols >= SHARD_SYMBOLS:
                         yield from found(shard)

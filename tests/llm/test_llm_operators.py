@@ -123,6 +123,17 @@ def test_repeats(docs, empty, monkeypatch):
     assert suffix_dedup.without_repeats(empty).count() == 0
 
 
+def test_the_tail_of_a_hot_core(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT_ROWS", 4)
+    sides = [(b"abc", b"def"), (b"ghi", b"jkl"), (b"mno", b"pqr"), (b"stu", b"vwx"), (b"abc", b"def"), (b"yza", b"bcd")]  # four rows are counted, two are left when the next core begins
+    rows = [(1, *x, i, 0) for i, x in enumerate(sides)] + [(2, b"abc", b"def", 10 + i, 0) for i in range(2)]
+    cores = spark.createDataFrame(rows, "key long, left binary, right binary, id long, start long").coalesce(1)
+    got = suffix_dedup._arrays(cores, 8, 4).collect()
+    names = Counter(r.window for r in got if r.window is not None)
+    assert sorted((r.id, r.start) for r in got if r.window is not None and names[r.window] > 1) == [(i, k) for i in (0, 4) for k in range(4)]
+    assert {(r.id, r.start, r.end) for r in got if r.window is None} == {(10, 0, 11), (11, 0, 11)}
+
+
 def test_mixing(docs, empty):
     got = mixing.mixed_documents(docs, block=8, shard_slots=16).collect()
     assert len(got) == docs.count()
