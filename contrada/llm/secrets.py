@@ -59,9 +59,10 @@ def candidates(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
             while p >= 0:
                 at.append(p)
                 p = raw.find(clue, p + 1)
-    on = np.concatenate(([False], _HEXADECIMAL[data], [False]))
-    change = np.flatnonzero(on[1:] != on[:-1])
-    start, end = change[::2], change[1::2]
+    # Runs of hexadecimal signs end with their document.
+    on, edge = np.concatenate(([False], _HEXADECIMAL[data], [False])), np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    start, end = np.flatnonzero(on[1:-1] & (~on[:-2] | edge[:-1])), np.flatnonzero(on[1:-1] & (~on[2:] | edge[1:])) + 1
     at = np.concatenate((np.array(at, np.int64), start[end - start >= _LEAST["hex"]]))
     return np.unique(np.searchsorted(offsets, at, "right") - 1)
 

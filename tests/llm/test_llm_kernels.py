@@ -169,3 +169,12 @@ def test_statistics_and_discriminant():
     one = quality.Discriminant(np.array([0, 400]), stats[1] * [[0], [1]], stats[2] * [[[0]], [[1]]])
     assert len(set(one.scores(a).tolist())) == 1
     assert np.isfinite(quality.Discriminant(np.zeros(2), np.zeros((2, d)), np.zeros((2, d, d))).scores(a)).all()
+
+
+@pytest.mark.parametrize("between", [[], [""], [None, ""]])
+@pytest.mark.parametrize("before", ["made", "in 2024", "f" * 30, "then"])
+def test_a_digest_at_a_document_edge(before, between):
+    texts = ["", before, *between, "0123456789abcdef" * 2 + " x", "ab12" * 6, "c" * 12, "d" * 12, "end"]
+    _, _, data, offsets = next(bytetext.chunks(pa.array(texts)))
+    want = [i for i, t in enumerate(texts) if secrets.base_spans(t or "")]
+    assert secrets.candidates(data, offsets).tolist() == want
