@@ -2,7 +2,8 @@
 
 A text is cut into pre-tokens (words, numbers, signs and white space) by character class, each distinct pre-token of a piece of text is
 encoded once, and ids are laid out by numpy. A text with characters whose class libraries may read differently goes whole to the
-tokenizer of the same file. Ids equal those of `tokenizers` with add_special_tokens=False; special tokens' strings are ordinary text.
+tokenizer of the same file, and so does one that holds the string of an added token, which is one id. Ids equal those of `tokenizers`
+with add_special_tokens=False. An Encoder with added=False reads added tokens' strings as ordinary text (encode_special_tokens).
 """
 
 from __future__ import annotations
@@ -56,7 +57,7 @@ def _byte_letters() -> dict[str, int]:
 class Encoder:
     """Of a tokenizer file, kept by each worker."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
@@ -65,9 +66,11 @@ class Encoder:
         special = {x["content"] for x in spec["added_tokens"]}
         ranks = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
         self.plain = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.path = path
-        self.lengths = np.zeros(max(ranks.values()) + 2, np.int64)
-        for t, i in ranks.items():
+        self.path, self.ordinary = path, not added
+        self.added = [x["content"].encode() for x in spec["added_tokens"]] if added else []
+        known = [*ranks.items(), *((x["content"].encode(), x["id"]) for x in spec["added_tokens"])]
+        self.lengths = np.zeros(max(i for _, i in known) + 2, np.int64)
+        for t, i in known:
             self.lengths[i] = len(t)
         self._forget()
 
@@ -77,9 +80,19 @@ class Encoder:
             from tokenizers import Tokenizer
 
             self.tokenizer = Tokenizer.from_file(self.path)
-            self.tokenizer.encode_special_tokens = True
+            self.tokenizer.encode_special_tokens = self.ordinary
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _added_at(self, raw: bytes) -> np.ndarray:
+        """Where the strings of added tokens are."""
+        at = []
+        for token in self.added:
+            p = raw.find(token)
+            while p >= 0:
+                at.append(p)
+                p = raw.find(token, p + 1)
+        return np.array(at, np.int64)
+
     def _forget(self) -> None:
         """No pre-token is known: hashes in order, where their ids begin in flat and how many they are."""
         self.keys, self.begin, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -155,7 +168,7 @@ class Encoder:
         total = np.concatenate(([0], np.cumsum(per)))
         ids = self.flat[np.repeat(self.begin[at] - total[:-1], per) + np.arange(total[-1])]
         row_first = total[np.searchsorted(cut, first)]
-        odd = np.unique(np.searchsorted(first, np.flatnonzero(kind == _ODD), "right") - 1)
+        odd = np.unique(np.append(np.searchsorted(first, np.flatnonzero(kind == _ODD), "right") - 1, np.searchsorted(offsets, self._added_at(raw), "right") - 1))
         if len(odd):
             parts, at = [], 0
             counts = np.diff(row_first)
@@ -170,4 +183,4 @@ class Encoder:
 
 @lru_cache(4)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return Encoder(path, added=True)

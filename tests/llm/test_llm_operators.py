@@ -181,6 +181,26 @@ def test_packing_and_counts(docs, empty):
     assert token_counts.line_counts(empty, path).count() == 0
 
 
+def test_added_tokens_are_one_id(spark):
+    path = queries.tokenizer_path()
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(path)
+    texts = ["a <|endoftext|>b\nc", "<|endoftext|><|endoftext|>", "plain text <|endoftext", "|>", "é\n<|endoftext|>\n's  x<|endoftext|>", "日本 <|endoftext|>\n"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    ids = [[*whole.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    assert [50256 in x for x in ids] == [True, True, False, False, True, True]
+    pieces = packing.packed(rows, path).collect()
+    assert Counter(p.doc_id for p in pieces) == Counter(range(len(texts)))
+    assert all(bytes(p.ids) == np.array(ids[p.doc_id], "<u4").tobytes() and p.doc_tokens == len(ids[p.doc_id]) for p in pieces)
+    counts = {(r.doc_id, r.section): r.n_tokens for r in token_counts.line_counts(rows, path).collect()}
+    for i, t in enumerate(texts):
+        spans = whole.encode(t, add_special_tokens=False).offsets  # code points
+        lines = t.splitlines(keepends=True)
+        edges = np.cumsum([0] + [len(x) for x in lines])
+        assert [counts[i, k] for k in range(len(lines))] == [sum(edges[k] <= a < edges[k + 1] for a, _ in spans) for k in range(len(lines))]
+
+
 def test_crc_of_the_query():
     assert zlib.crc32(np.array([1], "<u4").tobytes()) == 0x99F8B879
 
