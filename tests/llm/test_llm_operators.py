@@ -259,6 +259,22 @@ def test_neighbours(spark):
     assert hit >= 38 and neighbours.nearest(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_neighbours_at_one_distance(spark):
+    # 24 distinct vectors at distance 1 from the query: the smallest vec_ids are due, wherever they are in the shard; and many blocks of queries.
+    axes = [[float(s * (i == j)) for j in range(12)] for i in range(12) for s in (1, -1)]
+    near = [(100 - i, [5.0 + x for x in v]) for i, v in enumerate(axes)]
+    rows = [*near, *((1000 + i, [5.0] * 12) for i in range(40))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    hits = neighbours.nearest(df.filter("vec_id < 1001"), F.col("vec_id") >= 1000, k=5)
+    for r in hits.collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    assert {q: sorted(x) for q, x in got.items()} == {1000: [(i + 1, 77 + i, 1.0) for i in range(5)]}
+    order = lambda d: sorted(map(tuple, d.collect()))
+    many = neighbours.nearest(df, F.col("vec_id") >= 0, shard_vectors=10, query_block=7)
+    assert order(many) == order(neighbours.nearest(df, F.col("vec_id") >= 0, shard_vectors=10, query_block=10_000)) and many.count() == 640
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
