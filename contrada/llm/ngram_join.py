@@ -25,6 +25,8 @@ SKETCH_BITS = 20
 _PART = 1 << 16
 #: The most bits of the bitmap that marks documents to be read again, as a power of two: 8 MB.
 MARK_BITS = 26
+#: Entries of a column that meet as one block, about; a task compares two blocks.
+BLOCK = 2048
 
 
 def _profiles(docs: DataFrame, words: int) -> DataFrame:
@@ -77,13 +79,37 @@ def _commonness(parts: DataFrame) -> bytes:
     return np.log2(whole + 1).astype(np.uint8).tobytes()
 
 
-def _entries(docs: DataFrame, words: int, percent: int, common) -> DataFrame:
-    """The columns in which a row's partners must meet it: gram, id, place (n * 2^32 + position in the order, rarest first)."""
+def _marks(ids: DataFrame):
+    """A bitmap of the ids (id, distinct), sent to the workers: 32 bits for each id up to MARK_BITS in all. It lets few others through; their part grows where MARK_BITS is the limit."""
+    bits = 1 << min(MARK_BITS, max(15, int(np.ceil(np.log2(32 * ids.count() + 1)))))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array((mixed(np.asarray(b.column(0)).view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64) + 1)], names=["bit"])  # Spark's bitmaps count bits from 1
+
+    marks = ids.select("id").mapInArrow(place, "bit long").groupBy(F.bitmap_bucket_number("bit").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("m"))
+    bitmap = np.zeros(max(1, bits >> 15) << 12, np.uint8)
+    for r in marks.collect():  # bits / 2^15 rows of 4 KB at most
+        at = (r["k"] - 1) << 12
+        bitmap[at : at + len(r["m"])] = np.frombuffer(r["m"], np.uint8)
+    return ids.sparkSession.sparkContext.broadcast(bitmap.tobytes()), bits
+
+
+def _marked(b: pa.RecordBatch, raw: bytes, bits: int) -> pa.RecordBatch:
+    """The rows whose first column a bitmap of _marks lets through."""
+    bit = (mixed(np.asarray(b.column(0)).view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
+    return b.filter(pa.array((np.frombuffer(raw, np.uint8)[bit // 8] >> (bit % 8).astype(np.uint8)) & 1 == 1))
+
+
+def _entries(docs: DataFrame, ids: DataFrame, words: int, percent: int, common) -> DataFrame:
+    """The columns in which partners of the rows named by ids (id, distinct) must meet them: gram, id, place (n * 2^32 + position in the order, rarest first). Rows that the bitmap lets through besides have entries too."""
+    marks, bits = _marks(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = np.frombuffer(common.value, np.uint8)
         mask = np.uint64(len(level) - 1)
         for b in batches:
+            b = _marked(b, marks.value, bits)
             at, lists, sizes = [], [], []
             for i, own in shingle_sets(b.column(1), words):
                 if len(own):
@@ -139,18 +165,28 @@ def _shared(dealt: DataFrame, percent: int) -> DataFrame:
     return dealt.select("gram", "id", "place").mapInArrow(run, "gram long, id long, place long, hub long, near boolean")
 
 
-def _cross_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """Of the sorted columns: all pairs from different components whose sizes and places let them link. The product of a column's blocks is taken within its task and thinned there."""
-    block = 2048
+def _blocks(entries: DataFrame, block: int) -> DataFrame:
+    """The entries (gram, id, place, comp) dealt by gram, i and j: of a column of more than about `block` entries, block i (own: the entry's) meets block j, and one of a single component goes. The long columns, at most a block'th of the entries, are broadcast."""
+    sizes = entries.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), (F.min("comp") != F.max("comp")).alias("several")).filter(F.col("n") > block)
+    long_ = sizes.select("gram", F.when(F.col("several"), F.ceil(F.col("n") / block)).otherwise(0).cast("int").alias("blocks"))
+    of = entries.join(F.broadcast(long_), "gram", "left").filter("blocks is null or blocks > 0").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    of = of.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return of.select("gram", "id", "place", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
+
 
-    def pairs(doc, n, pos, comp):
+def _cross_pairs(entries: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """Of the columns' entries (gram, id, place, comp): all pairs from different components whose sizes and places let them link. The product of two blocks of a column is taken within a task and thinned there, so a task holds two blocks."""
+
+    def pairs(doc, n, pos, comp, i_, j_, own):
         order = np.argsort(n, kind="stable")
-        doc, n, pos, comp = doc[order], n[order], pos[order], comp[order]
+        doc, n, pos, comp, own = doc[order], n[order], pos[order], comp[order], own[order]
         for i in range(0, len(doc), block):
             top = int(np.searchsorted(n, n[min(i + block, len(doc)) - 1] * 100 // percent + 1, "right"))
             for j in range(i, top, block):
                 a, c = slice(i, i + block), slice(j, j + block)
                 ok = (comp[a, None] != comp[None, c]) & (doc[a, None] != doc[None, c]) & _reaches(n[a, None], n[None, c], pos[a, None], pos[None, c], percent)
+                if i_[0] != j_[0]:
+                    ok &= own[a, None] != own[None, c]
                 x, y = np.nonzero(np.triu(ok, 1) if i == j else ok)
                 if len(x):
                     yield np.minimum(doc[i + x], doc[j + y]), np.maximum(doc[i + x], doc[j + y])
@@ -164,13 +200,12 @@ def _cross_pairs(entries: DataFrame, percent: int) -> DataFrame:
 
         for b in batches:
             place = np.asarray(b.column(2))
-            cols = [np.asarray(b.column(0)), np.asarray(b.column(1)), place >> 32, place & 0xFFFFFFFF, np.asarray(b.column(3))]
+            cols = [np.asarray(b.column(0)), np.asarray(b.column(1)), place >> 32, place & 0xFFFFFFFF, *(np.asarray(b.column(k)) for k in (3, 4, 5, 6))]
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            gram = cols[0]
-            if not len(gram):
+            if not len(cols[0]):
                 continue
-            cuts = np.concatenate(([0], np.flatnonzero(gram[1:] != gram[:-1]) + 1))
+            cuts = np.concatenate(([0], np.flatnonzero(np.any([cols[k][1:] != cols[k][:-1] for k in (0, 5, 6)], 0)) + 1))
             for s, e in zip(cuts[:-1], cuts[1:], strict=True):
                 if (cols[4][s:e] != cols[4][s]).any():
                     yield from done([c[s:e] for c in cols[1:]])
@@ -178,30 +213,17 @@ def _cross_pairs(entries: DataFrame, percent: int) -> DataFrame:
         if held is not None and len(held[0]) and (held[4] != held[4][0]).any():
             yield from done(held[1:])
 
-    return entries.select("gram", "id", "place", "comp").mapInArrow(run, "hub long, id long")
+    dealt = _blocks(entries, block).repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j")
+    return dealt.mapInArrow(run, "hub long, id long")
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """The sets of the rows named by ids (id, distinct). Texts stay where they are: a bitmap of the ids, of 32 bits for each up to MARK_BITS in all, is sent to the scan, which lets few others through; a join drops those."""
-    count = ids.count()
-    bits = 1 << min(MARK_BITS, max(15, int(np.ceil(np.log2(32 * count + 1)))))
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array((mixed(np.asarray(b.column(0)).view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64) + 1)], names=["bit"])  # Spark's bitmaps count bits from 1
-
-    marks = ids.select("id").mapInArrow(place, "bit long").groupBy(F.bitmap_bucket_number("bit").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("m"))
-    bitmap = np.zeros(max(1, bits >> 15) << 12, np.uint8)
-    for r in marks.collect():  # bits / 2^15 rows of 4 KB at most
-        at = (r["k"] - 1) << 12
-        bitmap[at : at + len(r["m"])] = np.frombuffer(r["m"], np.uint8)
-    marked = docs.sparkSession.sparkContext.broadcast(bitmap.tobytes())
+    """The sets of the rows named by ids (id, distinct). Texts stay where they are: a bitmap of the ids is sent to the scan, which lets few others through; a join drops those."""
+    marks, bits = _marks(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = np.frombuffer(marked.value, np.uint8)
         for b in batches:
-            bit = (mixed(np.asarray(b.column(0)).view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
-            b = b.filter(pa.array((bitmap[bit // 8] >> (bit % 8).astype(np.uint8)) & 1 == 1))
+            b = _marked(b, marks.value, bits)
             if len(b):
                 lists = [own.view(np.int64) for _, own in shingle_sets(b.column(1), words)]
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
@@ -228,8 +250,9 @@ def near_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     members = written(rows.join(classes, ["h1", "h2", "n"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id")), "members")
     class_of = members.filter("n > 0 and doc_id is not null").select(F.col("doc_id").alias("id"), "class_id").distinct()
 
-    # The columns: an entry for each row and each shingle of its prefix, dealt by shingle; the likeliest centre of a group comes first.
-    shared = written(_shared(_entries(docs, words, percent, common).repartition("gram").sortWithinPartitions("gram", F.expr("place & 4294967295"), "place", "id"), percent), "columns")
+    # The columns: an entry for each class and each shingle of its prefix, dealt by shingle; the likeliest centre of a group comes first.
+    first = class_of.filter("id = class_id").select("id")
+    shared = written(_shared(_entries(docs, first, words, percent, common).repartition("gram").sortWithinPartitions("gram", F.expr("place & 4294967295"), "place", "id"), percent), "columns")
 
     def of_classes(pairs: DataFrame) -> DataFrame:
         a, b = class_of.select(F.col("id").alias("hub"), F.col("class_id").alias("h")), class_of.select("id", F.col("class_id").alias("i"))
@@ -241,10 +264,10 @@ def near_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     best = written(_possible(overlaps.groupBy("id").agg(F.max_by("hub", F.struct("c", -F.col("hub"))).alias("hub")).select("hub", "id"), rows_of, percent), "best")
     links = _verified(docs, best, words, percent, "links")
     comp = components(links.select(F.col("hub").alias("a"), F.col("id").alias("b")))
-    # Then every pair across components.
-    root = written(class_of.join(comp.select(F.col("id").alias("class_id"), "root"), "class_id", "left").select("id", F.coalesce("root", "class_id").alias("comp")), "comp")
-    known = shared.select("gram", "id", "place").join(root, "id")
-    cross = of_classes(_cross_pairs(known.repartition("gram").sortWithinPartitions("gram"), percent).groupBy("hub", "id").agg(F.count(F.lit(1)).alias("c"))).select("hub", "id").distinct()
+    # Then every pair of classes across components; copies that the bitmap let through end here.
+    root = written(first.join(comp.select("id", "root"), "id", "left").select("id", F.coalesce("root", "id").alias("comp")), "comp")
+    known = written(shared.select("gram", "id", "place").join(root, "id").repartition("gram").dropDuplicates(["gram", "id"]), "known")
+    cross = of_classes(_cross_pairs(known, percent).groupBy("hub", "id").agg(F.count(F.lit(1)).alias("c"))).select("hub", "id").distinct()
     more = _verified(docs, written(_possible(cross.join(best, ["hub", "id"], "left_anti"), rows_of, percent), "cross"), words, percent, "cross_links")
     roots = components(links.union(more).select(F.col("hub").alias("a"), F.col("id").alias("b")))
     found = members.join(roots.select(F.col("id").alias("class_id"), "root"), "class_id", "left")

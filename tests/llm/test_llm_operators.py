@@ -101,6 +101,32 @@ def test_near(docs, empty):
     assert ngram_join.near_components(empty).count() == 0 and ngram_join.deduplicated(empty).count() == 0
 
 
+def test_copies_have_no_entries_and_long_columns_are_dealt(spark, monkeypatch):
+    texts = [prose(40, 1)] * 30 + [prose(40, 2)] * 20 + [prose(40, 3)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    seen = []
+    cross = ngram_join._cross_pairs
+    monkeypatch.setattr(ngram_join, "_cross_pairs", lambda entries, percent: seen.append(entries) or cross(entries, percent))
+    columns = []
+    shared = ngram_join._shared
+    monkeypatch.setattr(ngram_join, "_shared", lambda dealt, percent: columns.append(dealt) or shared(dealt, percent))
+    got = {r.doc_id: r.component_id for r in ngram_join.near_components(rows).collect()}
+    assert got == {i: 0 if i < 30 else 30 if i < 50 else 50 for i in range(51)}
+    assert {r.id for r in columns[0].select("id").distinct().collect()} == {0, 30, 50} and seen[0].count() == 0
+
+    r = np.random.default_rng(6)
+    entries = [(g, i, (int(r.integers(90, 130)) << 32) + int(r.integers(0, 40)), int(r.integers(0, 5)) if g < 3 else 7) for g, size in ((1, 90), (2, 6), (3, 60)) for i in r.permutation(200)[:size].tolist()]
+    df = spark.createDataFrame(entries, "gram long, id long, place long, comp long")
+    want = Counter()
+    for k, (g, a, p, c) in enumerate(entries):
+        for h, b, q, d in entries[:k]:
+            if g == h and c != d and ngram_join._reaches(p >> 32, q >> 32, p & 0xFFFFFFFF, q & 0xFFFFFFFF, 80):
+                want[min(a, b), max(a, b)] += 1
+    assert want and Counter(map(tuple, cross(df, 80, 16).collect())) == want
+    held = ngram_join._blocks(df, 16).groupBy("gram", "i", "j").count().collect()
+    assert max(x["count"] for x in held) < 60 and len({(x.i, x.j) for x in held if x.gram == 1}) == 21 and not any(x.gram == 3 for x in held)
+
+
 def test_repeats(docs, empty, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT_ROWS", 4)
     rows = [r for r in docs.collect() if r.doc_id is not None]
