@@ -43,6 +43,17 @@ def valid_box(b) -> Column:
     return (b["max_lat"] > b["min_lat"]) & (b["max_lon"] > b["min_lon"])
 
 
+def polygons_of(geojson) -> Column:
+    """Polygons (rings of points lon, lat) of a GeoJSON geometry's text, a Polygon or a MultiPolygon; null for other types, and where any point has fewer than two coordinates or one that is no number."""
+    kind, written = F.get_json_object(geojson, "$.type"), F.get_json_object(geojson, "$.coordinates")
+    raw = F.from_json(F.when(kind == "Polygon", F.concat(F.lit("["), written, F.lit("]"))).when(kind == "MultiPolygon", written), "array<array<array<array<string>>>>")
+    point = lambda p: F.struct(F.get(p, 0).try_cast("double").alias("lon"), F.get(p, 1).try_cast("double").alias("lat"))
+    shapes = F.transform(raw, lambda polygon: F.transform(polygon, lambda ring: F.transform(ring, point)))
+    bad = lambda p: p["lon"].isNull() | p["lat"].isNull()
+    broken = F.exists(shapes, lambda polygon: polygon.isNull() | F.exists(polygon, lambda ring: ring.isNull() | F.exists(ring, bad)))
+    return F.when(F.coalesce(~broken, F.lit(False)), shapes)
+
+
 def in_polygons(polygons, lat, lon) -> Column:
     """Whether a point is in any of the polygons (rings of points lon, lat; the first ring is the outer one, the others are holes), by the even-odd rule: sides are half open."""
 

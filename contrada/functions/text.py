@@ -11,6 +11,8 @@ _ENDS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 #: Marks of the blocks of a narrative.
 TOKENS = {"ontologia": "[ONTOLOGIA]", "contesto": "[CONTESTO]", "speculativo": "[SPECULATIVO]"}
 ARROW = " → "
+#: Misspelt identifiers of the ontology and their labels.
+TYPOS = {"Brank_branch": "Branch robbery", "Buiding_damage": "Building damage"}
 
 
 def stripped(x) -> Column:
@@ -38,6 +40,14 @@ def display(identifier) -> Column:
     return F.concat(F.upper(F.substring(x, 1, 1)), x.substr(F.lit(2), F.length(x)))
 
 
+def english(identifier) -> Column:
+    """The English label of an identifier: known misspellings are set right, the rest is as display() has it; an identifier of blanks only stays."""
+    shown = F.coalesce(F.nullif(display(identifier), F.lit("")), identifier)
+    for wrong, right in TYPOS.items():
+        shown = F.when(identifier == wrong, right).otherwise(shown)
+    return shown
+
+
 def citation(cls, prop, filler) -> Column:
     return F.concat_ws(ARROW, cls, prop, filler)
 

@@ -11,6 +11,8 @@ from ..functions import geo
 from ..functions.mapping import GENERIC
 
 VERBATIM, DERIVED, BOUNDARY, SWITCH_MS = 0.50, 0.70, 0.90, 5000
+#: Vertices of all boundaries up to which they are sent to every worker: some 32 MB.
+SENT_VERTICES = 2_000_000
 
 
 def inside(points: DataFrame, boundaries: DataFrame) -> DataFrame:
@@ -18,34 +20,39 @@ def inside(points: DataFrame, boundaries: DataFrame) -> DataFrame:
     return points.join(boundaries, "citta", "left").withColumn("inside", F.coalesce(geo.in_polygons(F.col("polygons"), F.col("lat"), F.col("lon")), F.lit(False))).drop("polygons")
 
 
-def inside_vectorised(points: DataFrame, boundaries: DataFrame) -> DataFrame:
-    """inside() for boundaries of many vertices: the same rule over batches of points in numpy."""
+def inside_vectorised(points: DataFrame, boundaries: DataFrame, most: int = SENT_VERTICES) -> DataFrame:
+    """inside() for boundaries of many vertices: the same rule over batches of points in numpy. Boundaries go to each worker once; where they have over `most` vertices in all, inside() takes their place."""
+    ring = lambda polygon: F.aggregate(polygon, F.lit(0), lambda n, r: n + F.size(r))
+    vertices = boundaries.agg(F.sum(F.aggregate("polygons", F.lit(0), lambda n, polygon: n + ring(polygon)))).first()[0] or 0
+    if vertices > most:
+        return inside(points, boundaries)
+    corners = lambda r: (np.array([p["lon"] for p in r], float), np.array([p["lat"] for p in r], float))
+    shapes = {b["citta"]: [[corners(r) for r in polygon] for polygon in b["polygons"] or () if polygon] for b in boundaries.select("citta", "polygons").collect()}
+    sent = points.sparkSession.sparkContext.broadcast(shapes)
+
+    def holds(ring, x, y):
+        px, py = ring
+        qx, qy = np.roll(px, 1), np.roll(py, 1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cross = (qx - px) * (y[:, None] - py) / (qy - py) + px
+        return (((py > y[:, None]) != (qy > y[:, None])) & (x[:, None] < cross)).sum(1) % 2 == 1
+
     @F.pandas_udf("boolean")
-    def within(lat: pd.Series, lon: pd.Series, city: pd.Series, rings: pd.Series) -> pd.Series:
+    def within(lat: pd.Series, lon: pd.Series, city: pd.Series) -> pd.Series:
         out = np.zeros(len(lat), bool)
         for c in city.dropna().unique():
-            own = np.flatnonzero((city == c).to_numpy())
-            y, x = lat.to_numpy()[own], lon.to_numpy()[own]
-            shape = rings.iloc[own[0]]
-            for polygon in shape if shape is not None else ():
-                hits = []
-                for ring in polygon:
-                    px, py = np.array([p["lon"] for p in ring], float), np.array([p["lat"] for p in ring], float)
-                    qx, qy = np.roll(px, 1), np.roll(py, 1)
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        cross = (qx - px) * (y[:, None] - py) / (qy - py) + px
-                    hits.append((((py > y[:, None]) != (qy > y[:, None])) & (x[:, None] < cross)).sum(1) % 2 == 1)
-                if hits:
-                    out[own] |= hits[0] & ~np.any(hits[1:], axis=0) if len(hits) > 1 else hits[0]
+            for own in np.array_split(rows := np.flatnonzero((city == c).to_numpy()), max(1, len(rows) // 256)):
+                y, x = lat.to_numpy(float)[own], lon.to_numpy(float)[own]
+                for outer, *holes in sent.value.get(c, ()):
+                    out[own] |= holds(outer, x, y) & ~np.any([holds(h, x, y) for h in holes], axis=0)
         return pd.Series(out)
 
-    joined = points.join(boundaries, "citta", "left")
-    return joined.withColumn("inside", within("lat", "lon", "citta", "polygons")).drop("polygons")
+    return points.withColumn("inside", within("lat", "lon", "citta"))
 
 
 def city_records(points: DataFrame, declared: DataFrame, captures: DataFrame) -> DataFrame:
     """One row for each captured city (captures: citta, switch_ms, bbox): shares of points of declared classes, of mapped ones and within the boundary (inside), and the pass marks; without points the shares are 0."""
-    known = points.join(F.broadcast(declared.select("terminus_class").withColumn("__d", F.lit(True))), "terminus_class", "left")
+    known = points.join(declared.select("terminus_class").withColumn("__d", F.lit(True)), "terminus_class", "left")
     share = lambda flag: F.avg(flag.cast("double"))
     verbatim = F.coalesce("__d", F.lit(False)) & (F.col("terminus_class") != GENERIC)
     shares = known.groupBy("citta").agg(F.count(F.lit(1)).alias("n_pois"), share(verbatim).alias("verbatim"), share(F.col("terminus_class") != GENERIC).alias("derived"), share(F.col("inside")).alias("boundary"))

@@ -45,7 +45,7 @@ def anchor_sets(points: DataFrame, hazards: DataFrame) -> DataFrame:
 
 def priced(runs: DataFrame, prices: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Runs (model_id, tokens_input, tokens_output) with cost_usd, by prices (price_in, price_out) of a million tokens; no model costs nothing. And the runs whose model has no price."""
-    joined = runs.join(F.broadcast(prices), "model_id", "left")
+    joined = runs.join(prices, "model_id", "left")
     cost = F.when(F.coalesce("model_id", F.lit("")) == "", 0.0).otherwise((F.col("tokens_input") * F.col("price_in") + F.col("tokens_output") * F.col("price_out")) / 1e6)
     unknown = (F.coalesce("model_id", F.lit("")) != "") & F.col("price_in").isNull()
     return joined.filter(~unknown).withColumn("cost_usd", cost).drop("price_in", "price_out"), joined.filter(unknown).drop("price_in", "price_out")
@@ -91,10 +91,13 @@ def unpaired(a: DataFrame, b: DataFrame) -> DataFrame:
     return za.join(zb, ZONE, "left_anti").withColumn("side", F.lit("a")).union(zb.join(za, ZONE, "left_anti").withColumn("side", F.lit("b")))
 
 
+def _side(arm: DataFrame, s: str) -> DataFrame:
+    return arm.select(*ZONE, *[F.col(c).alias(f"{c}_{s}") for c in arm.columns if c not in ZONE])
+
+
 def paired(a: DataFrame, b: DataFrame) -> DataFrame:
     """Zones of both arms: every column of a and b but the zone with _a and _b, same_input, compared (no arm's run is excluded), vacuous (arms that are silent though compared)."""
-    side = lambda df, s: df.select(*ZONE, *[F.col(c).alias(f"{c}_{s}") for c in df.columns if c not in ZONE])
-    both = side(a, "a").join(side(b, "b"), ZONE)
+    both = _side(a, "a").join(_side(b, "b"), ZONE)
     out = both.withColumn("same_input", F.col("snapshot_id_a").eqNullSafe(F.col("snapshot_id_b"))).withColumn("compared", ~excluded(F.col("status_a")) & ~excluded(F.col("status_b")))
     silent = [F.when(F.col("compared") & ~text.filled(F.col(f"narrativa_{s}")), s) for s in "ab"]
     out = out.withColumn("vacuous", F.array_compact(F.array(*silent)))
@@ -103,6 +106,11 @@ def paired(a: DataFrame, b: DataFrame) -> DataFrame:
     return out
 
 
+def failed_zones(pairs: DataFrame) -> DataFrame:
+    """Pairs that are not compared, with both statuses."""
+    return pairs.filter("not compared").select(*ZONE, "status_a", "status_b")
+
+
 def comparison(pairs: DataFrame) -> DataFrame:
     """The compared zones' metrics and deltas, and their means in a row MEDIA."""
     rows = pairs.filter("compared")
@@ -135,6 +143,21 @@ def verdict(means: DataFrame, label_a: str = "a", label_b: str = "b", keys: tupl
     return means.select(*keys, F.when(~hold, who).alias("winner"), F.when(~hold, deciding).alias("deciding_axis"), F.slice(steps, F.lit(1), at).alias("chain"), (~hold).alias("applicable"))
 
 
+def arms_verdict(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = (), label_a: str = "a", label_b: str = "b") -> DataFrame:
+    """The verdict on two arms of records (a zone's columns among keys give one for each of them): their means over the compared zones decide.
+
+    It is withheld where an arm of a compared zone is silent, or where no record of a whole arm, excluded and unpaired ones too, has a
+    narrative; an arm without records is not silent.
+    """
+    both = _side(a, "a").join(_side(b, "b"), ZONE, "full_outer")
+    compared = F.coalesce(~excluded(F.col("status_a")) & ~excluded(F.col("status_b")), F.lit(False))
+    told = {s: text.filled(F.col(f"narrativa_{s}")) for s in "ab"}
+    mute = [(F.count(f"status_{s}") > 0) & ~F.bool_or(told[s]) for s in "ab"]
+    mean = [F.coalesce(F.avg(F.when(compared, F.col(f"{m}_{s}"))), F.lit(0.0)).alias(f"{m}_{s}") for m in METRICS for s in "ab"]
+    means = both.groupBy(*keys).agg(*mean, (F.coalesce(F.bool_or(compared & ~(told["a"] & told["b"])), F.lit(False)) | mute[0] | mute[1]).alias("withheld"))
+    return verdict(means, label_a, label_b, keys)
+
+
 def agreement(rows: DataFrame) -> DataFrame:
     """Of rows (proxy, gold; null: not annotated): n, n_total, Pearson's r (null for fewer than two or constant ones), mean absolute error, means."""
     p, g = F.when(F.col("gold").isNotNull(), F.col("proxy")), F.when(F.col("proxy").isNotNull(), F.col("gold"))

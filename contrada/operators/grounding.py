@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -88,10 +88,8 @@ def by_tag(risks: DataFrame) -> DataFrame:
 
 
 def tabs(grouped: DataFrame, prose: DataFrame) -> DataFrame:
-    """Tags of each zone that have prose (citta, zona, tag, text) or a hazard."""
-    joined = grouped.join(prose, ["citta", "zona", "tag"], "full_outer")
-    return joined.filter((F.coalesce(F.col("text"), F.lit("")) != "") | (F.coalesce(F.size("hazards"), F.lit(0)) > 0)).select("citta", "zona", "tag", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("hazards", F.array().cast("array<string>")).alias("hazards"))
-
-
-def any_risk(risks) -> Column:
-    return F.size(risks) > 0
+    """Tabs of each zone, tab_rank in their order: of the three known tags those that have prose (citta, zona, tag, text) beyond white space, stripped here, or a hazard (by_tag)."""
+    order = F.array(*map(F.lit, (ONTOLOGY, CONTEXT, SPECULATIVE)))
+    joined = grouped.select("citta", "zona", "tag", "hazards").join(prose.select("citta", "zona", "tag", text.stripped(F.col("text")).alias("text")), ["citta", "zona", "tag"], "full_outer")
+    out = joined.select("citta", "zona", "tag", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("hazards", F.array().cast("array<string>")).alias("hazards"), F.array_position(order, F.col("tag")).cast("int").alias("tab_rank"))
+    return out.filter((F.col("tab_rank") > 0) & ((F.col("text") != "") | (F.size("hazards") > 0)))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.stored import stored
 
 # The predicates read, and the properties of a profile by rank.
 SUBCLASS, TYPE, ON, SOME = "rdfs:subClassOf", "rdf:type", "owl:onProperty", "owl:someValuesFrom"
@@ -32,23 +31,24 @@ def restrictions(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.filter("__iri").drop("__iri"), rows.filter("not __iri").drop("__iri")
 
 
-def ancestors(triples: DataFrame, rounds_between_checkpoints: int = 4) -> DataFrame:
-    """(terminus_class, ancestor): subClassOf, reflexive and transitive, over IRIs; cycles end. The frontier of new pairs is joined until none is new."""
-    spark = triples.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="contrada-"))
-    edges = triples.filter((F.col("p") == SUBCLASS) & (F.col("s_kind") == "iri") & (F.col("o_kind") == "iri")).select(text.local_name(F.col("s")).alias("from"), text.local_name(F.col("o")).alias("to")).distinct().checkpoint()
-    classes = triples.filter((F.col("p") == TYPE) & (F.col("o") == CLASS) & (F.col("s_kind") == "iri")).select(text.local_name(F.col("s")).alias("c"))
-    seen = classes.union(edges.select("from")).union(edges.select("to")).distinct().select(F.col("c").alias("terminus_class"), F.col("c").alias("ancestor")).checkpoint()
-    frontier, rounds = seen, 0
-    while True:
+def ancestors(triples: DataFrame, classes: DataFrame | None = None) -> DataFrame:
+    """(terminus_class, ancestor): subClassOf, reflexive and transitive, over IRIs; cycles end. Of all classes, or of those named (terminus_class) only.
+
+    The frontier of new pairs meets the edges until none is new. Edges and each frontier are written once, so no round computes an earlier one again.
+    """
+    edges = stored(triples.filter((F.col("p") == SUBCLASS) & (F.col("s_kind") == "iri") & (F.col("o_kind") == "iri")).select(text.local_name(F.col("s")).alias("from"), text.local_name(F.col("o")).alias("to")).distinct(), "edges")
+    if classes is None:
+        named = triples.filter((F.col("p") == TYPE) & (F.col("o") == CLASS) & (F.col("s_kind") == "iri")).select(text.local_name(F.col("s")).alias("c"))
+        seeds = named.union(edges.select("from")).union(edges.select("to"))
+    else:
+        seeds = classes.select("terminus_class")
+    frontier = stored(seeds.toDF("c").distinct().select(F.col("c").alias("terminus_class"), F.col("c").alias("ancestor")), "closure")
+    seen = frontier
+    while not frontier.isEmpty():
         step = frontier.join(edges, frontier["ancestor"] == edges["from"]).select("terminus_class", F.col("to").alias("ancestor")).distinct()
-        frontier = step.join(seen, ["terminus_class", "ancestor"], "left_anti").checkpoint()
-        if frontier.isEmpty():
-            return seen
-        seen, rounds = seen.union(frontier), rounds + 1
-        if rounds % rounds_between_checkpoints == 0:
-            seen = seen.checkpoint()
+        frontier = stored(step.join(seen, ["terminus_class", "ancestor"], "left_anti"), "closure")
+        seen = seen.union(frontier)
+    return seen
 
 
 def inherited(closure: DataFrame, own: DataFrame) -> DataFrame:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
-from ..operators import context, coverage, evaluation
+from ..operators import context, coverage, evaluation, grounding, ontology
 from ..operators.requests import rejected
 from ..sources import records
 from . import views
-from .poi_queries import US, points
+from .poi_queries import ALL, EL, ENGLISH, LABEL, US, ZO, boxes, points, risks, stored_risks, tagged_hazards
 from .registry import query
 from .views import for_duckdb
 
@@ -70,6 +70,15 @@ def j11_a17_a20_a21_pairs(spark, sf_dir):
     return pairs(spark, sf_dir).select("citta", "zona", "same_input", "compared", (F.size("vacuous") > 0).alias("vacuous"), *bround({f"delta_{m}": d for m, d in _R.items()}))
 
 
+@query(f"WITH {RU}, o AS (SELECT experiment, citta, zona, arg_min(status, (run_id, status)) AS status FROM ru GROUP BY ALL) SELECT citta, zona, a.status AS status_a, b.status AS status_b FROM o a JOIN o b USING (citta, zona) WHERE a.experiment = 'O' AND b.experiment = 'F' AND (a.status <> 'ok' OR b.status <> 'ok')")
+def a20_failed_zones(spark, sf_dir):
+    """Zones whose first run of either arm is excluded, with both statuses."""
+    rows = runs(spark, sf_dir)
+    cols = [c for c in rows.columns if c not in ("experiment", "citta", "zona")]
+    first = rows.groupBy("experiment", "citta", "zona").agg(F.min_by(F.struct(*cols), F.struct("run_id", "status")).alias("r")).select("experiment", "citta", "zona", "r.*")
+    return evaluation.failed_zones(evaluation.paired(first.filter("experiment = 'O'"), first.filter("experiment = 'F'")))
+
+
 _COLS = [(f"{m}_{s}", _R[m]) for m in _M for s in "ab"] + [(f"delta_{m}", _R[m]) for m in _M]
 
 
@@ -90,14 +99,19 @@ def a21_a22_arms(spark, sf_dir):
 _OUT = {m: f"CASE WHEN round_even({m}_a, {d}) = round_even({m}_b, {d}) THEN 'tie' WHEN round_even({m}_a, {d}) {op} round_even({m}_b, {d}) THEN 'a' ELSE 'b' END" for m, d, op in (("hallucination", 3, "<"), ("grounding", 3, ">"), ("latency_ms", 0, "<"), ("cost_usd", 6, "<"))}
 
 
-@query(f"WITH {PA}, z AS (SELECT citta, zona, " + ", ".join(f"{x} AS o{i}" for i, x in enumerate(_OUT.values())) + """, compared AND silent AS hold FROM pa WHERE compared)
-SELECT citta, zona, CASE WHEN NOT hold THEN CASE WHEN o0 <> 'tie' THEN o0 WHEN o1 <> 'tie' THEN o1 WHEN o2 <> 'tie' THEN o2 WHEN o3 <> 'tie' THEN o3 END END AS winner,
+_MEAN = ", ".join(f"coalesce(avg(a.{m}) FILTER (WHERE {{ok}}), 0) AS {m}_a, coalesce(avg(b.{m}) FILTER (WHERE {{ok}}), 0) AS {m}_b" for m in _M).format(ok="coalesce(a.status = 'ok' AND b.status = 'ok', false)")
+
+
+@query(f"WITH {FO}, a AS (SELECT * FROM fo WHERE experiment = 'O'), b AS (SELECT * FROM fo WHERE experiment = 'F'), m AS (SELECT coalesce(citta, 'tutte') AS citta, {_MEAN}, coalesce(bool_or(a.status = 'ok' AND b.status = 'ok' AND (a.narrativa = '' OR b.narrativa = '')), false) OR (count(a.status) > 0 AND max(a.narrativa) = '') OR (count(b.status) > 0 AND max(b.narrativa) = '') AS hold FROM a FULL JOIN b USING (citta, zona) GROUP BY GROUPING SETS ((citta), ())), z AS (SELECT citta, hold, " + ", ".join(f"{x} AS o{i}" for i, x in enumerate(_OUT.values())) + """ FROM m)
+SELECT citta, CASE WHEN NOT hold THEN CASE WHEN o0 <> 'tie' THEN o0 WHEN o1 <> 'tie' THEN o1 WHEN o2 <> 'tie' THEN o2 WHEN o3 <> 'tie' THEN o3 END END AS winner,
 CASE WHEN NOT hold THEN CASE WHEN o0 <> 'tie' THEN 'hallucination' WHEN o1 <> 'tie' THEN 'grounding' WHEN o2 <> 'tie' THEN 'latency_ms' WHEN o3 <> 'tie' THEN 'cost_usd' END END AS deciding_axis,
 'hallucination:' || o0 || CASE WHEN o0 = 'tie' THEN ',grounding:' || o1 || CASE WHEN o1 = 'tie' THEN ',latency_ms:' || o2 || CASE WHEN o2 = 'tie' THEN ',cost_usd:' || o3 ELSE '' END ELSE '' END ELSE '' END AS chain, NOT hold AS applicable FROM z""")
 def a23_a24_verdicts(spark, sf_dir):
-    """Lexicographic winner of each compared zone, withheld where an arm is silent."""
-    p = pairs(spark, sf_dir).filter("compared").withColumn("withheld", F.size("vacuous") > 0)
-    return evaluation.verdict(p, keys=("citta", "zona")).select("citta", "zona", "winner", "deciding_axis", F.array_join("chain", ",").alias("chain"), "applicable")
+    """The verdict on the arms' means, over all zones and over each city's; withheld where a compared zone or a whole arm is silent."""
+    f = evaluation.folded(runs(spark, sf_dir))
+    a, b = f.filter("experiment = 'O'"), f.filter("experiment = 'F'")
+    every = evaluation.arms_verdict(a, b).withColumn("citta", F.lit("tutte"))
+    return evaluation.arms_verdict(a, b, ("citta",)).unionByName(every).select("citta", "winner", "deciding_axis", F.array_join("chain", ",").alias("chain"), "applicable")
 
 
 @query(f"WITH g AS ({for_duckdb(views.GOLD)}) SELECT count(gold) AS n, count(*) AS n_total, round_even(covar_pop(proxy, gold) / nullif(stddev_pop(proxy) FILTER (WHERE gold IS NOT NULL) * stddev_pop(gold), 0), 6) AS pearson, round_even(avg(abs(proxy - gold)), 6) AS mae, round_even(avg(proxy) FILTER (WHERE gold IS NOT NULL), 6) AS mean_proxy, round_even(avg(gold), 6) AS mean_gold FROM g")
@@ -126,44 +140,91 @@ def j14_f14_costs(spark, sf_dir):
 NA = f"na AS ({for_duckdb(views.NARRATIVE)})"
 _TOKENS = (("ontologia", "[ONTOLOGIA]"), ("contesto", "[CONTESTO]"), ("speculativo", "[SPECULATIVO]"))
 _STRIP = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
-BL = NA + ", tk AS (SELECT zona, t.name, t.k, t.mark, instr(narrativa, t.mark) AS mk, narrativa FROM na, (VALUES ('ontologia', 1, '[ONTOLOGIA]'), ('contesto', 2, '[CONTESTO]'), ('speculativo', 3, '[SPECULATIVO]')) AS t(name, k, mark) WHERE instr(narrativa, t.mark) > 0), ls AS (SELECT *, length(regexp_extract(substr(narrativa, 1, mk - 1), '^(?s:.*)\\n')) AS line, CASE WHEN instr(substr(narrativa, mk), chr(10)) = 0 THEN length(narrativa) ELSE mk - 1 + instr(substr(narrativa, mk), chr(10)) END AS body FROM tk), bl AS (SELECT zona, name, line, body, " + _STRIP.format(x="substr(narrativa, body + 1, greatest(coalesce(lead(line) OVER (PARTITION BY zona ORDER BY line, k), length(narrativa)) - body, 0))") + " AS content FROM ls)"
+BL = NA + ", tk AS (SELECT conv_id, t.name, t.k, t.mark, instr(narrativa, t.mark) AS mk, narrativa FROM na, (VALUES ('ontologia', 1, '[ONTOLOGIA]'), ('contesto', 2, '[CONTESTO]'), ('speculativo', 3, '[SPECULATIVO]')) AS t(name, k, mark) WHERE instr(narrativa, t.mark) > 0), ls AS (SELECT *, length(regexp_extract(substr(narrativa, 1, mk - 1), '^(?s:.*)\\n')) AS line, CASE WHEN instr(substr(narrativa, mk), chr(10)) = 0 THEN length(narrativa) ELSE mk - 1 + instr(substr(narrativa, mk), chr(10)) END AS body FROM tk), bl AS (SELECT conv_id, name, line, body, " + _STRIP.format(x="substr(narrativa, body + 1, greatest(coalesce(lead(line) OVER (PARTITION BY conv_id ORDER BY line, k), length(narrativa)) - body, 0))") + " AS content FROM ls)"
+
+
+def narratives(spark, sf_dir):
+    return views.view(spark, sf_dir, views.NARRATIVE)
 
 
-@query(f"WITH {BL} SELECT n.zona, {_STRIP.format(x='substr(n.narrativa, 1, coalesce((SELECT min(line) FROM bl b WHERE b.zona = n.zona), length(n.narrativa)))')} AS overview, " + ", ".join(f"coalesce((SELECT content FROM bl b WHERE b.zona = n.zona AND b.name = '{k}'), '') AS {k}" for k, _ in _TOKENS) + " FROM na n")
+@query(f"WITH {BL} SELECT n.conv_id, {_STRIP.format(x='substr(n.narrativa, 1, coalesce((SELECT min(line) FROM bl b WHERE b.conv_id = n.conv_id), length(n.narrativa)))')} AS overview, " + ", ".join(f"coalesce((SELECT content FROM bl b WHERE b.conv_id = n.conv_id AND b.name = '{k}'), '') AS {k}" for k, _ in _TOKENS) + " FROM na n")
 def f8_source_blocks(spark, sf_dir):
     """F8: a narrative's overview and blocks."""
-    n = views.view(spark, sf_dir, views.NARRATIVE)
-    return n.select("zona", text.blocks(F.col("narrativa")).alias("b")).select("zona", "b.*")
+    return narratives(spark, sf_dir).select("conv_id", text.blocks(F.col("narrativa")).alias("b")).select("conv_id", "b.*")
+
+
+def anchors(spark, sf_dir):
+    """Of each zone: names of the selected points, and their hazards with both labels."""
+    r = stored_risks(spark, sf_dir)
+    hazards = r.select("citta", "zona", F.explode("risks.hazard").alias("hazard")).distinct()
+    both = ontology.labelled(hazards, "hazard", views.vocabulary(spark)).withColumn("label_en", text.english(F.col("hazard")))
+    return evaluation.anchor_sets(r, both)
+
+
+AN = f"ha AS (SELECT DISTINCT g.citta, g.zona, ci.filler AS hazard FROM gr g JOIN ci ON ci.cls = g.cls AND axis = 'hazards'), an AS (SELECT citta, zona, list(DISTINCT a) AS an FROM (SELECT citta, zona, lower(name) AS a FROM gr UNION ALL SELECT citta, zona, unnest([lower(hazard), lower({LABEL.format(x='hazard')}), lower({ENGLISH.format(x='hazard')})]) FROM ha) WHERE regexp_matches(a, '[^\\s]') GROUP BY citta, zona)"
+
+
+@query(ALL + f", {AN} SELECT citta, zona, array_to_string(list_sort(an), '|') AS anchors FROM an")
+def u5_anchor_sets(spark, sf_dir):
+    """The anchor set of each zone."""
+    return anchors(spark, sf_dir).select("citta", "zona", F.array_join("anchors", "|").alias("anchors"))
 
 
-@query(f"WITH {BL}, w AS (SELECT zona, list_distinct(list_filter(list_transform(string_split(narrativa, ' ')[1:12], lambda x: lower(x)), lambda x: length(x) > 3)) || CASE WHEN CAST(zona AS INT) % 2 = 0 THEN ['   '] ELSE [] END AS anchors, narrativa FROM na), s AS (SELECT w.zona, narrativa, list_filter(anchors, lambda a: regexp_matches(a, '[^\\s]')) AS an, list_filter(list_transform(regexp_split_to_array(coalesce((SELECT content FROM bl b WHERE b.zona = w.zona AND b.name = 'ontologia'), ''), '[.\\n]'), lambda x: lower({_STRIP.format(x='x')})), lambda x: x <> '') AS se FROM w) SELECT zona, round_even(CASE WHEN NOT regexp_matches(narrativa, '[^\\s]') OR len(an) = 0 THEN 1.0 WHEN len(se) = 0 THEN 0.0 ELSE len(list_filter(se, lambda x: len(list_filter(an, lambda a: contains(x, a))) > 0)) / len(se) END, 6) AS grounding FROM s")
+@query(ALL + f", {AN}, {BL}, s AS (SELECT n.conv_id, n.narrativa, coalesce(an.an, []) AS an, list_filter(list_transform(regexp_split_to_array(coalesce((SELECT content FROM bl b WHERE b.conv_id = n.conv_id AND b.name = 'ontologia'), ''), '[.\\n]'), lambda x: lower({_STRIP.format(x='x')})), lambda x: x <> '') AS se FROM na n LEFT JOIN an USING (citta, zona)), h AS (SELECT *, NOT regexp_matches(narrativa, '[^\\s]') OR len(an) = 0 AS vacuous, len(list_filter(se, lambda x: len(list_filter(an, lambda a: contains(x, a))) > 0)) AS hits FROM s) SELECT conv_id, round_even(CASE WHEN vacuous THEN 1.0 WHEN len(se) = 0 THEN 0.0 ELSE hits / len(se) END, 6) AS grounding, round_even(CASE WHEN vacuous THEN 0.0 WHEN len(se) = 0 THEN 1.0 ELSE (len(se) - hits) / len(se) END, 6) AS hallucination FROM h")
 def f7_u5_a29_graded(spark, sf_dir):
-    """Share of ontology sentences that name an anchor."""
-    n = views.view(spark, sf_dir, views.NARRATIVE)
-    words = F.filter(F.transform(F.slice(F.split("narrativa", " "), 1, 12), F.lower), lambda x: F.length(x) > 3)
-    blank = F.when(F.col("zona").cast("int") % 2 == 0, F.array(F.lit("   "))).otherwise(F.array().cast("array<string>"))
-    anchors = n.select("citta", "zona", F.concat(words, blank).alias("anchors"))
-    return evaluation.graded(n, anchors).select("zona", F.bround("grounding", 6).alias("grounding"))
+    """Shares of ontology sentences that name an anchor of their zone, and that do not."""
+    return evaluation.graded(narratives(spark, sf_dir), anchors(spark, sf_dir)).select("conv_id", F.bround("grounding", 6).alias("grounding"), F.bround("hallucination", 6).alias("hallucination"))
 
 
-@query(f"WITH {RU} SELECT run_id, CASE WHEN status = 'error' THEN 'error' WHEN status = 'fallback' THEN 'fallback' ELSE 'ok' END AS status, CASE WHEN status = 'error' THEN 0 ELSE round_even(grounding, 6) END AS grounding, CASE WHEN status = 'error' THEN 0 ELSE latency_ms END AS latency_ms FROM ru")
+_PROSE = "CASE WHEN conv_id % 2 = 0 THEN '  ' ELSE ' ' || content || chr(10) END"
+
+
+@query(ALL + f", t AS (SELECT s.citta, s.zona, CASE WHEN s.position % 4 = 0 THEN 'ALTRO' WHEN s.position % 3 = 0 THEN 'SPECULATIVO' WHEN s.position % 3 = 1 THEN 'CONTESTO' ELSE 'ONTOLOGIA' END AS tag, s.position * 100 + row_number() OVER (PARTITION BY s.citta, s.zona, s.position ORDER BY ci.filler) AS p, ci.filler AS hazard FROM gr s JOIN ci ON ci.cls = s.cls AND axis = 'hazards'), g AS (SELECT citta, zona, tag, string_agg(hazard, ',' ORDER BY p) AS hazards FROM t GROUP BY citta, zona, tag), {BL}, pr3 AS (SELECT n.citta, n.zona, upper(b.name) AS tag, arg_min({_PROSE}, conv_id) AS prose FROM bl b JOIN na n USING (conv_id) GROUP BY ALL) SELECT citta, zona, tag, coalesce({_STRIP.format(x='prose')}, '') AS text, coalesce(hazards, '') AS hazards, CASE tag WHEN 'ONTOLOGIA' THEN 1 WHEN 'CONTESTO' THEN 2 ELSE 3 END AS tab_rank FROM g FULL JOIN pr3 USING (citta, zona, tag) WHERE tag <> 'ALTRO' AND (regexp_matches(coalesce(prose, ''), '[^\\s]') OR hazards IS NOT NULL)")
+def a9_source_tabs(spark, sf_dir):
+    """Tabs of the three tags that have prose, in the blocks of the zone's first narrative with such a block, or hazards; prose of white space is none, other tags have no tab."""
+    b = narratives(spark, sf_dir).select("citta", "zona", "conv_id", "narrativa", text.blocks(F.col("narrativa")).alias("b"))
+    has = lambda mark: F.instr("narrativa", mark) > 0
+    rows = b.select("citta", "zona", "conv_id", F.explode(F.array_compact(F.array(*[F.when(has(mark), F.struct(F.lit(k.upper()).alias("tag"), F.col(f"b.{k}").alias("content"))) for k, mark in _TOKENS]))).alias("x"))
+    prose = rows.select("citta", "zona", "x.tag", "conv_id", F.when(F.col("conv_id") % 2 == 0, "  ").otherwise(F.concat(F.lit(" "), "x.content", F.lit("\n"))).alias("text"))
+    first = prose.groupBy("citta", "zona", "tag").agg(F.min_by("text", "conv_id").alias("text"))
+    return grounding.tabs(tagged_hazards(spark, sf_dir), first).select("citta", "zona", "tag", "text", F.array_join("hazards", ",").alias("hazards"), "tab_rank")
+
+
+@query(f"WITH {RU} SELECT run_id, CASE WHEN status = 'error' THEN 'error' WHEN status = 'fallback' THEN 'fallback' ELSE 'ok' END AS status, CASE WHEN status = 'error' THEN 0 ELSE round_even(grounding, 6) END AS grounding, CASE WHEN status = 'error' THEN 0 ELSE round_even(hallucination, 6) END AS hallucination, CASE WHEN status = 'error' THEN 0 ELSE latency_ms END AS latency_ms, CASE WHEN status = 'error' THEN 0 ELSE round_even(cost_usd, 9) END AS cost_usd FROM ru")
 def a30_run_metrics(spark, sf_dir):
     """Metrics as recorded; a run in error has zeros."""
     r = evaluation.run_metrics(runs(spark, sf_dir).withColumn("fallback", F.col("status") == "fallback"))
-    return r.select("run_id", "status", F.bround("grounding", 6).alias("grounding"), "latency_ms")
+    return r.select("run_id", "status", *bround({"grounding": 6, "hallucination": 6}), "latency_ms", *bround({"cost_usd": 9}))
+
+
+_SLUG = "regexp_replace(regexp_replace(lower({x}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
+_FLAT = "regexp_replace(regexp_replace(regexp_replace({x}, '\\s+', ' ', 'g'), '^ | $', '', 'g'), '-{{2,}}', '- -', 'g')"
 
 
-@query(f"WITH {RU} SELECT DISTINCT experiment, zona, lower(experiment) || '__asia__' || regexp_replace(lower(zona), '[^a-z0-9]+', '-', 'g') || '__rep07' AS run_id, sha256(zona || chr(30) || 'a - - b') AS prompt_hash, lower(trim(zona)) AS zone_key, 'POI - - x' AS flat FROM ru")
-def f9_f11_f13_f16_keys(spark, sf_dir):
-    """Slugs, prompt hash, zone key, flattened line."""
-    r = runs(spark, sf_dir).select("experiment", "zona").distinct()
-    return r.select("experiment", "zona", text.run_id(F.col("experiment"), F.lit("Asia"), F.col("zona"), F.lit(7)).alias("run_id"), context.prompt_hash(F.col("zona"), F.lit(" a ---\tb ")).alias("prompt_hash"), text.key(F.concat(F.lit("\t"), "zona", F.lit(" "))).alias("zone_key"), text.flattened(F.lit(" POI \n ---- x")).alias("flat"))
+@query(f"WITH {RU}, d AS (SELECT DISTINCT experiment, citta, zona, model_id, ' ' || replace(model_id, '-', ' ---' || chr(9)) AS question, chr(9) || zona || ' ' AS typed FROM ru) SELECT experiment, citta, zona, model_id, {_SLUG.format(x='experiment')} || '__' || {_SLUG.format(x='citta')} || '__' || {_SLUG.format(x='zona')} || '__rep0' || CAST(length(zona) % 10 AS VARCHAR) AS run_id, CASE WHEN regexp_matches(question, '[^\\s]') THEN sha256(zona || chr(30) || {_FLAT.format(x='question')}) ELSE zona END AS prompt_hash, lower({_STRIP.format(x='typed')}) AS zone_key FROM d")
+def f11_f13_f16_keys(spark, sf_dir):
+    """Run ids of slugs, prompt hash with and without a question, zone key."""
+    r = runs(spark, sf_dir).select("experiment", "citta", "zona", "model_id").distinct()
+    question = F.concat(F.lit(" "), F.replace(F.col("model_id"), F.lit("-"), F.lit(" ---\t")))
+    return r.select("experiment", "citta", "zona", "model_id", text.run_id(F.col("experiment"), F.col("citta"), F.col("zona"), F.length("zona") % 10).alias("run_id"), context.prompt_hash(F.col("zona"), question).alias("prompt_hash"), text.key(F.concat(F.lit("\t"), "zona", F.lit(" "))).alias("zone_key"))
 
 
-@query(f"WITH {RU} SELECT citta, zona, CASE WHEN citta IS NULL OR length(zona) > 8 THEN 'zona troppo lunga' END AS reason FROM (SELECT DISTINCT citta, zona FROM ru)")
+@query(f"WITH {EL} SELECT DISTINCT poi_name, {_FLAT.format(x='poi_name')} AS flat, CAST(ceil(length(poi_name) / 3.0) AS BIGINT) AS tokens FROM el WHERE poi_name IS NOT NULL UNION ALL SELECT text, {_FLAT.format(x='text')}, CAST(ceil(length(text) / 3.0) AS BIGINT) FROM conversations")
+def f9_f10_flattened(spark, sf_dir):
+    """names and turns on one line without runs of hyphens, and their estimate in tokens."""
+    names = views.view(spark, sf_dir, views.ELEMENT).select("poi_name").filter("poi_name is not null").distinct()
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("text").alias("poi_name"))
+    return names.union(turns).select("poi_name", text.flattened(F.col("poi_name")).alias("flat"), text.tokens(F.col("poi_name")).alias("tokens"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 OR c_name IS NULL THEN 'citta vuota' WHEN c_custkey % 7 = 0 THEN 'zona vuota' WHEN length(c_name) * (c_custkey % 13) > 100 THEN 'citta troppo lunga' WHEN length(c_name) * (c_custkey % 17) > 200 THEN 'zona troppo lunga' WHEN c_custkey % 600 > 500 THEN 'domanda troppo lunga' END AS reason FROM customer")
 def f17_validated(spark, sf_dir):
-    """inputs and why they are rejected."""
-    return runs(spark, sf_dir).select("citta", "zona").distinct().select("citta", "zona", rejected(F.col("citta"), F.col("zona"), F.lit(None).cast("string"), zone_limit=8).alias("reason"))
+    """inputs and the first reason why they are rejected."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", F.col("c_custkey").cast("int").alias("k"))
+    citta = F.when(F.col("k") % 11 == 0, " \t").otherwise(F.repeat("c_name", F.col("k") % 13))
+    zona = F.when(F.col("k") % 7 == 0, "").otherwise(F.repeat("c_name", F.col("k") % 17))
+    citta, zona = (F.when((F.col("k") % m == 0) & (F.col("k") % d != 0), F.col("c_name")).otherwise(x) for x, m, d in ((citta, 13, 11), (zona, 17, 7)))
+    return c.select("c_custkey", rejected(citta, zona, F.repeat(F.lit("x"), F.col("k") % 600)).alias("reason"))
 
 
 CX = f"cx AS ({for_duckdb(views.CONTEXT)}), rq AS ({for_duckdb(views.REQUEST)})"
@@ -186,6 +247,25 @@ def _sql_ring(ring):
 _IN = "CASE citta " + " ".join(f"WHEN '{c}' THEN " + " OR ".join("(" + _sql_ring(rings[0]) + "".join(f" AND NOT {_sql_ring(h)}" for h in rings[1:]) + ")" for rings in polygons) for c, polygons in views.POLYGONS.items()) + " ELSE false END"
 
 
+@query(f"WITH {ZO}, b AS (SELECT n.n_nationkey % 5 AS k, zb.* FROM zb JOIN nation n ON n.n_name = zb.zona), g AS (SELECT citta, zona, k IN (0, 1, 4) AS accepted, CASE k WHEN 0 THEN 1 WHEN 4 THEN 1 WHEN 1 THEN 2 END AS n_polygons, CASE k WHEN 0 THEN 4 WHEN 4 THEN 4 WHEN 1 THEN 8 END AS n_points, CASE WHEN k IN (0, 1, 4) THEN round_even(x0, 6) END AS min_lon, CASE WHEN k IN (0, 4) THEN round_even(y1, 6) WHEN k = 1 THEN round_even(y1 + 1, 6) END AS max_lat FROM b) SELECT * FROM g")
+def f5_geojson_polygons(spark, sf_dir):
+    """polygons of GeoJSON texts; other types, and points that are none, are rejected."""
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_name").alias("zona"), (F.col("n_nationkey") % 5).cast("int").alias("k"))
+    b = boxes(spark, sf_dir).join(nation, "zona").select("citta", "zona", "k", "bbox.*")
+
+    def ring(up):
+        corner = lambda x, y: F.format_string("[%.9f, %.9f]", F.col(x), F.col(y) + up)
+        return F.concat(F.lit("[["), F.concat_ws(", ", corner("min_lon", "min_lat"), corner("max_lon", "min_lat"), corner("max_lon", "max_lat"), corner("min_lon", "max_lat")), F.lit("]]"))
+
+    shape = lambda kind, coordinates: F.concat(F.lit(f'{{"type": "{kind}", "coordinates": '), coordinates, F.lit("}"))
+    two = shape("MultiPolygon", F.concat(F.lit("["), ring(0), F.lit(", "), ring(1), F.lit("]")))
+    k = F.col("k")
+    geometry = F.when(k == 1, two).when(k == 2, shape("Point", F.lit("[12.0, 41.0]"))).when(k == 3, shape("Polygon", F.regexp_replace(ring(0), "41", "x"))).otherwise(shape("Polygon", ring(0)))
+    read = b.select("citta", "zona", geo.polygons_of(geometry).alias("p"))
+    corners = F.flatten(F.flatten("p"))
+    return read.select("citta", "zona", F.col("p").isNotNull().alias("accepted"), F.when(F.col("p").isNotNull(), F.size("p")).alias("n_polygons"), F.when(F.col("p").isNotNull(), F.size(corners)).alias("n_points"), F.bround(F.array_min(F.transform(corners, lambda c: c["lon"])), 6).alias("min_lon"), F.bround(F.array_max(F.transform(corners, lambda c: c["lat"])), 6).alias("max_lat"))
+
+
 @query(f"WITH {US} SELECT citta, zona, type, id, {_IN} AS inside FROM po")
 def j13_f6_in_boundary(spark, sf_dir):
     """Points within their city's boundary."""

@@ -8,6 +8,7 @@ from ..functions import geo, text
 from ..functions.mapping import GENERIC, mapping
 from ..operators import context, grounding, ontology, poi
 from ..sources import payload
+from ..sources.stored import stored
 from . import views
 from .registry import query
 from .views import for_duckdb
@@ -51,13 +52,24 @@ def selection(spark, sf_dir):
     return poi.selected(points(spark, sf_dir), boxes(spark, sf_dir).select("citta", "zona", lat.alias("lat0"), lon.alias("lon0")))
 
 
-def fillers(spark, sf_dir):
+def fillers(spark, sf_dir, classes=None):
     t = views.triples(spark, sf_dir)
-    return ontology.inherited(ontology.ancestors(t), ontology.restrictions(t)[0])
+    return ontology.inherited(ontology.ancestors(t, classes), ontology.restrictions(t)[0])
+
+
+def profiled(spark, sf_dir):
+    """Selected points, and the fillers of their classes only."""
+    chosen = stored(selection(spark, sf_dir), "selection")
+    return chosen, fillers(spark, sf_dir, chosen.select("terminus_class").distinct())
 
 
 def risks(spark, sf_dir):
-    return grounding.nested(selection(spark, sf_dir), fillers(spark, sf_dir))
+    return grounding.nested(*profiled(spark, sf_dir))
+
+
+def stored_risks(spark, sf_dir):
+    """For queries that use them more than once."""
+    return stored(risks(spark, sf_dir), "risks")
 
 
 def labels_of(rows, column, spark):
@@ -67,15 +79,29 @@ def labels_of(rows, column, spark):
     return rows.withColumn("labels", F.transform(column, lambda h: F.coalesce(lookup[h], text.display(h))))
 
 
-_LABEL = "CASE {x} " + " ".join(f"WHEN '{i}' THEN '{it or en}'" for i, en, it, _ in views.LABELS if it or en) + " ELSE upper(substr(trim(replace({x}, '_', ' ')), 1, 1)) || substr(trim(replace({x}, '_', ' ')), 2) END"
+LABEL = "CASE {x} " + " ".join(f"WHEN '{i}' THEN '{it or en}'" for i, en, it, _ in views.LABELS if it or en) + " ELSE upper(substr(trim(replace({x}, '_', ' ')), 1, 1)) || substr(trim(replace({x}, '_', ' ')), 2) END"
+
+
+ENGLISH = "CASE {x} WHEN 'Brank_branch' THEN 'Branch robbery' WHEN 'Buiding_damage' THEN 'Building damage' ELSE upper(substr(trim(replace({x}, '_', ' ')), 1, 1)) || substr(trim(replace({x}, '_', ' ')), 2) END"
 
 
 @query(f"WITH {EL} SELECT citta, zona, type, id, emit_pos, coalesce(lat, mid_lat) AS lat, coalesce(lon, mid_lon) AS lon, coalesce(poi_name, '') AS name FROM el WHERE tagged AND coalesce(lat, mid_lat) IS NOT NULL")
 def s1_p1_p2_payload_elements(spark, sf_dir):
-    """Payload texts to usable elements; an element that is no object, or a payload without elements, is put aside."""
-    e = views.elements(spark, sf_dir)
-    texts = e.groupBy("citta", "zona", F.pmod("id", F.lit(16)).alias("part")).agg(F.to_json(F.struct(F.collect_list(F.struct("type", "id", "lat", "lon", "center", "tags", "emit_pos")).alias("elements"))).alias("payload"))
-    return poi.usable(payload.elements(texts, "payload", ["citta", "zona"])).select("citta", "zona", "type", "id", "emit_pos", "lat", "lon", "name")
+    """Payload texts to usable elements; an element that is no object is skipped."""
+    return poi.usable(payload.elements(payloads(views.elements(spark, sf_dir)), "payload", ["citta", "zona"])).select("citta", "zona", "type", "id", "emit_pos", "lat", "lon", "name")
+
+
+def payloads(elements):
+    """Texts of a zone's elements of a thousand ids each, so that none grows with the table."""
+    return elements.groupBy("citta", "zona", F.expr("id div 1000").alias("part")).agg(F.to_json(F.struct(F.collect_list(F.struct("type", "id", "lat", "lon", "center", "tags", "emit_pos")).alias("elements"))).alias("payload"))
+
+
+@query(f"WITH {EL} SELECT DISTINCT citta, zona, id // 1000 AS part FROM el WHERE (id // 1000) % 3 <> 0")
+def s1_rejected_payloads(spark, sf_dir):
+    """Payload texts without a list of elements are put aside."""
+    part = F.col("part")
+    spoilt = F.when(part % 3 == 1, F.concat(F.lit('{"elementi": '), F.get_json_object("payload", "$.elements"), F.lit("}"))).when(part % 3 == 2, F.substring("payload", 2, 40)).otherwise(F.col("payload"))
+    return payload.rejects(payloads(views.elements(spark, sf_dir)).withColumn("payload", spoilt), "payload").select("citta", "zona", "part")
 
 
 @query(f"WITH {US} SELECT citta, zona, type, id, osm_tags, cls AS terminus_class FROM po")
@@ -84,11 +110,17 @@ def p3_p4_w1_classified(spark, sf_dir):
     return points(spark, sf_dir).select("citta", "zona", "type", "id", "osm_tags", "terminus_class")
 
 
-@query(f"WITH {EL}, used AS (SELECT DISTINCT f1 || '=' || v1 AS selector FROM el) SELECT sha256(string_agg(selector, chr(10) ORDER BY selector)) AS selectors_hash, count(*) AS n_selectors FROM used")
+_PRINT = "sha256(string_agg(selector, chr(10) ORDER BY selector)) AS selectors_hash, count(*) AS n_selectors"
+
+
+@query(f"WITH {EL}, b AS (SELECT selector FROM sel WHERE family_rank < 99), u AS (SELECT DISTINCT selector FROM (SELECT f1 || '=' || v1 AS selector FROM el UNION ALL SELECT f2 || '=' || v2 FROM el) JOIN b USING (selector)) SELECT 'binding' AS of, {_PRINT} FROM b UNION ALL SELECT 'used' AS of, {_PRINT} FROM u")
 def p5_selector_fingerprint(spark, sf_dir):
-    """P5: hash of the selectors that the elements use."""
-    e = views.view(spark, sf_dir, views.ELEMENT)
-    return poi.fingerprint_of_selectors(e.select(F.concat_ws("=", "f1", "v1").alias("selector")))
+    """P5: hash of the binding's selectors, and of those of them that elements carry in any of their tags."""
+    tags = views.elements(spark, sf_dir).filter("tags is not null").select(F.explode("tags").alias("k", "v")).union(views.view(spark, sf_dir, views.ELEMENT).filter("not tagged").select(F.explode(F.map_from_arrays(F.array("f1", F.coalesce("f2", F.lit("-"))), F.array("v1", F.coalesce("v2", F.lit("-")))))))
+    binding = mapping(spark).select("selector")
+    used = tags.select(F.concat_ws("=", "k", "v").alias("selector")).distinct().join(binding, "selector", "left_semi")
+    one = lambda rows, name: poi.fingerprint_of_selectors(rows).select(F.lit(name).alias("of"), "selectors_hash", "n_selectors")
+    return one(binding, "binding").union(one(used, "used"))
 
 
 @query(f"WITH {US} SELECT CASE WHEN regexp_matches(name, '[^\\s]') THEN 'verificato' ELSE 'da_confermare' END AS level, cls AS terminus_class, count(*) AS n FROM po WHERE cls = 'Bank' GROUP BY ALL")
@@ -97,12 +129,13 @@ def p6_p8_levels_of_class(spark, sf_dir):
     return poi.of_class(points(spark, sf_dir), " Bank ").groupBy(poi.evidence(F.col("name")).alias("level"), "terminus_class").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {ZO} SELECT citta, zona, round_even(y0, 6) AS min_lat, round_even(x0, 6) AS min_lon, round_even(y1, 6) AS max_lat, round_even(x1, 6) AS max_lon, round_even((y0 + y1) / 2, 6) AS lat, round_even((x0 + x1) / 2, 6) AS lon, true AS valid FROM zb")
+@query(f"WITH {ZO} SELECT citta, zona, round_even(y0, 6) AS min_lat, round_even(x0, 6) AS min_lon, round_even(y1, 6) AS max_lat, round_even(x1, 6) AS max_lon, round_even((y0 + y1) / 2, 6) AS lat, round_even((x0 + x1) / 2, 6) AS lon, true AS valid, x1 > 12.0049 AS flat_valid FROM zb")
 def p10_p13_boxes(spark, sf_dir):
-    """Parsed, widened boxes, their middles and validity; a box that is no box is dropped."""
+    """Parsed, widened boxes, their middles and validity, also of boxes of which some have no height; a box that is no box is dropped."""
     b = F.col("bbox")
+    flat = geo.box(b["min_lat"], b["min_lon"], F.when(b["max_lon"] > 12.0049, b["max_lat"]).otherwise(b["min_lat"]), b["max_lon"])
     lat, lon = geo.center(b)
-    return boxes(spark, sf_dir).select("citta", "zona", *[F.bround(b[c], 6).alias(c) for c in ("min_lat", "min_lon", "max_lat", "max_lon")], F.bround(lat, 6).alias("lat"), F.bround(lon, 6).alias("lon"), geo.valid_box(b).alias("valid"))
+    return boxes(spark, sf_dir).select("citta", "zona", *[F.bround(b[c], 6).alias(c) for c in ("min_lat", "min_lon", "max_lat", "max_lon")], F.bround(lat, 6).alias("lat"), F.bround(lon, 6).alias("lon"), geo.valid_box(b).alias("valid"), geo.valid_box(flat).alias("flat_valid"))
 
 
 @query(f"WITH {US}, {ZO} SELECT z.citta, z.zona, p.type, p.id FROM po p JOIN zb z ON p.lat BETWEEN z.y0 AND z.y1 AND p.lon BETWEEN z.x0 AND z.x1")
@@ -168,10 +201,18 @@ def p17_u4_declared(spark, sf_dir):
 @query(ALL + "SELECT s.citta, s.zona, s.type, s.id, ci.axis, ci.filler, ci.source, s.conf AS confidence FROM gr s LEFT JOIN ci ON ci.cls = s.cls")
 def j6_j7_f4_grounded(spark, sf_dir):
     """Points with their class's fillers, each with its citation."""
-    g = grounding.grounded(selection(spark, sf_dir), fillers(spark, sf_dir))
+    g = grounding.grounded(*profiled(spark, sf_dir))
     return g.select("citta", "zona", "type", "id", "axis", "filler", "source", "confidence")
 
 
+@query(ALL + ", t AS (SELECT DISTINCT cls FROM gr), x AS (SELECT t.cls, h.filler FROM t, (VALUES ('Vandalism'), ('Type_hazard_0'), ('Bank_robbery')) AS h(filler)) SELECT x.cls AS terminus_class, x.filler, coalesce(ci.source, x.cls || ' → havingHazard → ' || x.filler) AS source FROM x LEFT JOIN ci ON ci.cls = x.cls AND ci.filler = x.filler AND ci.axis = 'hazards'")
+def j7_cited_risks(spark, sf_dir):
+    """Risks named for a class with the path of its profile, else one made of the axis' first property."""
+    chosen, own = profiled(spark, sf_dir)
+    named_risks = chosen.select("terminus_class").distinct().withColumn("filler", F.explode(F.array(*map(F.lit, ("Vandalism", "Type_hazard_0", "Bank_robbery")))))
+    return grounding.cited_risks(named_risks, grounding.citations(own), "hazards", "havingHazard").select("terminus_class", "filler", "source")
+
+
 @query(ALL + "SELECT citta, zona, type, id, n_risks, CASE WHEN n_risks > 0 THEN conf END AS confidence, coalesce((SELECT string_agg(filler || '|' || source, ',' ORDER BY filler) FROM ci WHERE ci.cls = gr.cls AND axis = 'hazards'), '') AS risks, coalesce((SELECT string_agg(filler, ',' ORDER BY filler) FROM ci WHERE ci.cls = gr.cls AND axis = 'vulnerabilities'), '') AS vulnerabilities, (SELECT arg_min(source, filler) FROM ci WHERE ci.cls = gr.cls AND axis = 'hazards') AS sparql_path FROM gr")
 def a7_p7_nested(spark, sf_dir):
     """Risks nested by point, its path and level."""
@@ -194,7 +235,7 @@ def a2_a3_a4_confidence(spark, sf_dir):
 @query(ALL + "SELECT citta, zona, count(*) AS shown, any_value(total) - count(*) AS hidden FROM (SELECT *, count(*) OVER (PARTITION BY citta, zona) AS total FROM gr) WHERE n_risks > 0 AND conf = 'verificato' GROUP BY citta, zona")
 def p9_confidence_filter(spark, sf_dir):
     """Points of one level, and how many are hidden."""
-    r = risks(spark, sf_dir)
+    r = stored_risks(spark, sf_dir)
     n = r.groupBy("citta", "zona").agg(F.count(F.lit(1)).alias("n"))
     return grounding.with_confidence(r, "verificato").groupBy("citta", "zona").agg(F.count(F.lit(1)).alias("shown")).join(n, ["citta", "zona"]).select("citta", "zona", "shown", (F.col("n") - F.col("shown")).alias("hidden"))
 
@@ -202,19 +243,21 @@ def p9_confidence_filter(spark, sf_dir):
 @query(ALL + "SELECT s.citta, s.zona, s.type, s.id, s.name, ci.filler AS hazard, 'tc:' || s.cls AS category, s.conf AS confidence FROM gr s JOIN ci ON ci.cls = s.cls AND axis = 'hazards'")
 def p18_j9_base_table(spark, sf_dir):
     """One row for each point and hazard, joined back by id."""
-    r = risks(spark, sf_dir)
+    r = stored_risks(spark, sf_dir)
     return grounding.risks_of_points(grounding.base_table(r).drop("name"), r).select("citta", "zona", "type", "id", "name", "hazard", "category", "confidence")
 
 
-@query(ALL + ", t AS (SELECT s.citta, s.zona, CASE WHEN s.position % 4 = 0 THEN 'ALTRO' WHEN s.position % 3 = 0 THEN 'SPECULATIVO' WHEN s.position % 3 = 1 THEN 'CONTESTO' ELSE 'ONTOLOGIA' END AS tag, s.position * 100 + row_number() OVER (PARTITION BY s.citta, s.zona, s.position ORDER BY ci.filler) AS p, ci.filler AS hazard FROM gr s JOIN ci ON ci.cls = s.cls AND axis = 'hazards') SELECT citta, zona, tag, string_agg(hazard, ',' ORDER BY p) AS hazards, CASE tag WHEN 'ONTOLOGIA' THEN 1 WHEN 'CONTESTO' THEN 2 WHEN 'SPECULATIVO' THEN 3 ELSE 4 END AS tag_rank, tag <> 'ALTRO' OR true AS shown FROM t GROUP BY citta, zona, tag")
-def a8_a9_by_tag(spark, sf_dir):
-    """Hazards by source tag, a missing tag is speculative; tags with hazards or prose are shown."""
+@query(ALL + ", t AS (SELECT s.citta, s.zona, CASE WHEN s.position % 4 = 0 THEN 'ALTRO' WHEN s.position % 3 = 0 THEN 'SPECULATIVO' WHEN s.position % 3 = 1 THEN 'CONTESTO' ELSE 'ONTOLOGIA' END AS tag, s.position * 100 + row_number() OVER (PARTITION BY s.citta, s.zona, s.position ORDER BY ci.filler) AS p, ci.filler AS hazard FROM gr s JOIN ci ON ci.cls = s.cls AND axis = 'hazards') SELECT citta, zona, tag, string_agg(hazard, ',' ORDER BY p) AS hazards, CASE tag WHEN 'ONTOLOGIA' THEN 1 WHEN 'CONTESTO' THEN 2 WHEN 'SPECULATIVO' THEN 3 ELSE 4 END AS tag_rank FROM t GROUP BY citta, zona, tag")
+def a8_by_tag(spark, sf_dir):
+    """Hazards by source tag, a missing tag is speculative."""
+    return tagged_hazards(spark, sf_dir).select("citta", "zona", "tag", F.array_join("hazards", ",").alias("hazards"), "tag_rank")
+
+
+def tagged_hazards(spark, sf_dir):
     r = risks(spark, sf_dir).select("citta", "zona", "position", F.posexplode("risks").alias("k", "r"))
     p = F.col("position")
     tag = F.when(p % 4 == 0, "ALTRO").when(p % 3 == 0, F.when(p % 2 == 0, "").otherwise(None)).when(p % 3 == 1, "CONTESTO").otherwise("ONTOLOGIA")
-    g = grounding.by_tag(r.select("citta", "zona", tag.alias("tag"), (p * 100 + F.col("k") + 1).alias("position"), F.col("r.hazard").alias("hazard")))
-    tabs = grounding.tabs(g, g.select("citta", "zona", "tag").withColumn("text", F.lit("")))
-    return tabs.join(g.select("citta", "zona", "tag", "tag_rank"), ["citta", "zona", "tag"]).select("citta", "zona", "tag", F.array_join("hazards", ",").alias("hazards"), "tag_rank", F.lit(True).alias("shown"))
+    return grounding.by_tag(r.select("citta", "zona", tag.alias("tag"), (p * 100 + F.col("k") + 1).alias("position"), F.col("r.hazard").alias("hazard")))
 
 
 @query(ALL + "SELECT citta, zona, round_even(min(lat), 6) AS min_lat, round_even(max(lat), 6) AS max_lat, round_even(min(lon), 6) AS min_lon, round_even(max(lon), 6) AS max_lon FROM gr GROUP BY ALL")
@@ -236,7 +279,7 @@ def named(points):
     return points.withColumn("id", F.concat_ws("/", "type", F.col("id").cast("string")))
 
 
-@query(ALL + f", lb AS (SELECT citta, zona, {_LABEL.format(x='cls')} AS label, count(*) AS n, sum(count(*)) OVER (PARTITION BY citta, zona) AS total FROM gr GROUP BY citta, zona, label), tp AS (SELECT *, row_number() OVER (PARTITION BY citta, zona ORDER BY n DESC, label) AS r FROM lb) SELECT z.citta, z.zona, coalesce(any_value(CAST(CAST(total AS BIGINT) AS VARCHAR)) || ' punti di interesse selezionati fra i piu'' vicini al centro della zona; classi piu'' frequenti fra questi: ' || string_agg(label || ' (' || n || ')', ', ' ORDER BY r) || '.', '0 punti di interesse selezionati nel contesto della zona.') AS summary FROM (SELECT r_name AS citta, n_name AS zona FROM nation JOIN region ON r_regionkey = n_regionkey) z LEFT JOIN (SELECT * FROM tp WHERE r <= 3) t USING (citta, zona) GROUP BY z.citta, z.zona")
+@query(ALL + f", lb AS (SELECT citta, zona, {LABEL.format(x='cls')} AS label, count(*) AS n, sum(count(*)) OVER (PARTITION BY citta, zona) AS total FROM gr GROUP BY citta, zona, label), tp AS (SELECT *, row_number() OVER (PARTITION BY citta, zona ORDER BY n DESC, label) AS r FROM lb) SELECT z.citta, z.zona, coalesce(any_value(CAST(CAST(total AS BIGINT) AS VARCHAR)) || ' punti di interesse selezionati fra i piu'' vicini al centro della zona; classi piu'' frequenti fra questi: ' || string_agg(label || ' (' || n || ')', ', ' ORDER BY r) || '.', '0 punti di interesse selezionati nel contesto della zona.') AS summary FROM (SELECT r_name AS citta, n_name AS zona FROM nation JOIN region ON r_regionkey = n_regionkey) z LEFT JOIN (SELECT * FROM tp WHERE r <= 3) t USING (citta, zona) GROUP BY z.citta, z.zona")
 def a5_w5_j8_composition(spark, sf_dir):
     """A zone's commonest labels in a sentence."""
     labelled = ontology.labelled(selection(spark, sf_dir), "terminus_class", views.vocabulary(spark), "label")
@@ -249,13 +292,13 @@ def f12_fingerprint(spark, sf_dir):
     return context.fingerprint(selection(spark, sf_dir))
 
 
-@query(f"WITH RECURSIVE {RE}, sd AS (SELECT cls FROM (VALUES ('Bank'), ('Museum'), ('Railway_station')) AS s(cls)), a AS (SELECT cls AS identifier, 'poi' AS category, cls AS seed, 0 AS k FROM sd UNION ALL SELECT filler, CASE fi.prop WHEN 'havingHazard' THEN 'hazard' WHEN 'havingCriticalEvent' THEN 'critical_event' WHEN 'havingPerformer' THEN 'poi' ELSE 'vulnerability' END, fi.cls, pr.k FROM fi JOIN pr USING (prop) JOIN sd USING (cls)), v AS (SELECT identifier, arg_min(category, (seed, k)) AS category FROM a GROUP BY identifier) SELECT identifier, category, {_LABEL.format(x='identifier')} AS label_it FROM v")
+@query(f"WITH RECURSIVE {RE}, sd AS (SELECT cls FROM (VALUES ('Bank'), ('Museum'), ('Railway_station'), ('Kindergarten')) AS s(cls)), a AS (SELECT cls AS identifier, 'poi' AS category, cls AS seed, 0 AS k FROM sd UNION ALL SELECT filler, CASE fi.prop WHEN 'havingHazard' THEN 'hazard' WHEN 'havingCriticalEvent' THEN 'critical_event' WHEN 'havingPerformer' THEN 'poi' ELSE 'vulnerability' END, fi.cls, pr.k FROM fi JOIN pr USING (prop) JOIN sd USING (cls)), v AS (SELECT identifier, arg_min(category, (seed, k)) AS category FROM a GROUP BY identifier) SELECT identifier, category, {LABEL.format(x='identifier')} AS label_it, {ENGLISH.format(x='identifier')} AS label_en FROM v")
 def w9_j15_s8_vocabulary(spark, sf_dir):
-    """Vocabulary of seed classes and their fillers, with curated labels kept."""
-    seeds = spark.createDataFrame([("Bank",), ("Museum",), ("Railway_station",)], "terminus_class string")
-    found = ontology.vocabulary(seeds, fillers(spark, sf_dir)).select("identifier", "category", F.lit("").alias("label_it"))
+    """Vocabulary of seed classes and their fillers, with curated labels kept, and English labels without misspellings."""
+    seeds = spark.createDataFrame([("Bank",), ("Museum",), ("Railway_station",), ("Kindergarten",)], "terminus_class string")
+    found = ontology.vocabulary(seeds, fillers(spark, sf_dir, seeds)).select("identifier", "category", F.lit("").alias("label_it"))
     kept = ontology.merged_labels(views.vocabulary(spark), found).withColumn("label_en", F.lit(""))
-    return ontology.labelled(kept.select("identifier", "category"), "identifier", kept.select("identifier", "label_it", "label_en").unionByName(views.vocabulary(spark).filter("label_it = ''").select("identifier", "label_it", "label_en")).groupBy("identifier").agg(F.max("label_it").alias("label_it"), F.max("label_en").alias("label_en")))
+    return ontology.labelled(kept.select("identifier", "category"), "identifier", kept.select("identifier", "label_it", "label_en").unionByName(views.vocabulary(spark).filter("label_it = ''").select("identifier", "label_it", "label_en")).groupBy("identifier").agg(F.max("label_it").alias("label_it"), F.max("label_en").alias("label_en"))).withColumn("label_en", text.english(F.col("identifier")))
 
 
 @query(ALL + "SELECT gr.citta, gr.zona, gr.type, gr.id, row_number() OVER (PARTITION BY citta, zona ORDER BY n_risks DESC, CASE WHEN n_risks = 0 THEN 3 WHEN conf = 'verificato' THEN 0 ELSE 1 END, position) AS relevance FROM gr")
@@ -266,14 +309,15 @@ def w6_relevance(spark, sf_dir):
 
 @query()
 def w7_w8_f10_f15_budgeted_context(spark, sf_dir):
-    """A zone's context text within a budget of tokens. No SQL: tests hold it against a loop that adds points one by one."""
-    return context.budgeted(labels_of(risks(spark, sf_dir), F.transform("risks", lambda r: r["hazard"]), spark), 500)
+    """A zone's context text within a budget of tokens, some with a question. No SQL: tests hold it against a loop that adds points one by one."""
+    questions = views.zones(spark, sf_dir).select("citta", "zona", F.when(F.length("zona") % 2 == 0, F.concat(F.lit(" E' sicura  "), "zona", F.lit(" --- di notte?\n"))).alias("domanda"))
+    return context.budgeted(labels_of(stored_risks(spark, sf_dir), F.transform("risks", lambda r: r["hazard"]), spark), 500, questions)
 
 
 @query()
 def f9_f15_poi_context(spark, sf_dir):
     """the context text of each selected point. No SQL: tests hold it against a text written out by hand."""
-    r = named(labels_of(risks(spark, sf_dir), F.transform("risks", lambda r: r["hazard"]), spark))
+    r = named(labels_of(stored_risks(spark, sf_dir), F.transform("risks", lambda r: r["hazard"]), spark))
     r = ontology.labelled(r, "terminus_class", views.vocabulary(spark), "label").withColumn("vulnerability_labels", F.transform("vulnerabilities", lambda v: text.display(v["name"])))
     near = context.neighbours(r).join(r.select("citta", "zona", F.col("id").alias("neighbour_id"), "name", "label"), ["citta", "zona", "neighbour_id"])
     return context.poi_context(r, near, context.composition(r, views.zones(spark, sf_dir)))

@@ -39,11 +39,12 @@ FROM {{nation}} n JOIN {{region}} r ON r.r_regionkey = n.n_regionkey
 """
 
 #: V2. Triples: a hand-made sample, and parts below their brand below their type; fillers by size, some of them blank nodes; one cycle.
-_SUB = [("Bank", "System"), ("Bank_branch", "System_aspect"), ("Archaeological_site", "System"), ("Petrol_station", "System"), ("Museum", "Public_building"), ("Public_building", "System"), ("Banknote_acceptor_theft", "Theft"), ("Theft", "Anthropic_hazard"), ("Loop_a", "Loop_b"), ("Loop_b", "Loop_a"), ("Railway_station", "Loop_a"), ("Historical_monument", "Archaeological_site"), ("School", "Public_building")]
+# Names of the ontology's classes, properties and fillers.
+_SUB = [("Bank", "System"), ("Bank_branch", "System_aspect"), ("Archaeological_site", "System"), ("Petrol_station", "System"), ("Museum", "Public_building"), ("Public_building", "System"), ("Banknote_acceptor_theft", "Theft"), ("Theft", "Anthropic_hazard"), ("Loop_a", "Loop_b"), ("Loop_b", "Loop_a"), ("Railway_station", "Loop_a"), ("Historical_monument", "Archaeological_site"), ("School", "Public_building"), ("Kindergarten", "School")]
 _REST = [
     ("Bank", "havingHazard", "Bank_robbery"), ("Bank", "havingHazard", "Customer_robbery"), ("Bank", "havingCriticalEvent", "Hostages"), ("Bank", "havingPerformer", "Bank_customer"), ("Bank", "isVulnerableTo", "Poor_surveillance"), ("Bank", "isVulnerableTo", "Bank_in_isolated_area"), ("Bank", "havingVulnerability", "Poor_surveillance"),
     ("Bank_branch", "havingVulnerability", "Poor_surveillance"), ("Archaeological_site", "havingHazard", "Terrorist_attack"), ("Archaeological_site", "havingHazard", "Theft_of_ancient_artifacts"), ("Archaeological_site", "havingPerformer", "Visitor"), ("Archaeological_site", "isVulnerableTo", "Archaeological_site_in_isolated_area"),
-    ("Petrol_station", "havingHazard", "Banknote_acceptor_theft"), ("Public_building", "havingHazard", "Vandalism"), ("Public_building", "havingVulnerability", "Open_access"), ("Loop_b", "havingHazard", "Pickpocketing"), ("Loop_b", "havingCriticalEvent", "Overcrowding"), ("System", "havingPerformer", "Citizen"),
+    ("Petrol_station", "havingHazard", "Banknote_acceptor_theft"), ("Public_building", "havingHazard", "Vandalism"), ("Public_building", "havingVulnerability", "Open_access"), ("Loop_b", "havingHazard", "Pickpocketing"), ("Loop_b", "havingCriticalEvent", "Overcrowding"), ("System", "havingPerformer", "Citizen"), ("School", "havingHazard", "Buiding_damage"),
 ]
 _values = lambda rows: ", ".join("(" + ", ".join(f"'{x}'" for x in r) + ")" for r in rows)
 SUBCLASS_ROW = f"""
@@ -70,13 +71,18 @@ FROM {lineitem} l JOIN {orders} o ON o.o_orderkey = l.l_orderkey JOIN {customer}
 WHERE NOT (n.n_nationkey = 5 AND l.l_linestatus = 'F')
 """
 
-#: V4. Narratives: turns of a conversation under header lines; anchors: short words of the same conversation, and a blank one.
+#: V4. Narratives: all turns of a conversation in order, the first, the odd and the other even ones under header lines; the zone is a nation's, and some name a hazard or a point.
 NARRATIVE = """
-SELECT CAST(c.conv_id AS VARCHAR(12)) AS zona, 'conv' AS citta,
-  concat(max(CASE WHEN turn = 0 THEN text ELSE '' END), CASE WHEN c.conv_id % 5 = 0 THEN '' ELSE '\nRischi da ontologia [ONTOLOGIA]\n' END, max(CASE WHEN turn = 1 THEN text ELSE '' END),
-    CASE WHEN c.conv_id % 3 = 0 THEN '\nRischi [SPECULATIVO] e [CONTESTO] insieme\n' ELSE '\nRischi dal contesto [CONTESTO]\n' END, max(CASE WHEN turn = 2 THEN text ELSE '' END)) AS narrativa
-FROM (SELECT conv_id, turn, max(text) AS text FROM {conversations} GROUP BY conv_id, turn) c GROUP BY c.conv_id
+SELECT c.conv_id, r.r_name AS citta, n.n_name AS zona,
+  concat(coalesce(c.first_turn, ''), CASE WHEN c.conv_id % 5 = 0 THEN '' ELSE '\nRischi da ontologia [ONTOLOGIA]\n' END, coalesce(c.odd, ''),
+    CASE c.conv_id % 4 WHEN 0 THEN '. Qui vandalism e altro' WHEN 1 THEN concat('.\nPresso POI  --', CAST(c.conv_id % 97 AS VARCHAR(9)), ' di sera') ELSE '' END,
+    CASE WHEN c.conv_id % 3 = 0 THEN '\nRischi [SPECULATIVO] e [CONTESTO] insieme\n' ELSE '\nRischi dal contesto [CONTESTO]\n' END, coalesce(c.even, '')) AS narrativa
+FROM (SELECT conv_id, {first_turn} AS first_turn, {odd} AS odd, {even} AS even FROM {conversations} GROUP BY conv_id) c
+JOIN {nation} n ON n.n_nationkey = c.conv_id % 25 JOIN {region} r ON r.r_regionkey = n.n_regionkey
 """
+_TURNS = {"first_turn": "turn = 0", "odd": "turn % 2 = 1", "even": "turn % 2 = 0 AND turn > 0"}
+_SPARK_TURNS = {k: f"array_join(transform(array_sort(collect_list(CASE WHEN {c} THEN struct(turn, text) END)), x -> x.text), ' ')" for k, c in _TURNS.items()}
+_DUCKDB_TURNS = {k: f"string_agg(text, ' ' ORDER BY turn, text) FILTER (WHERE {c})" for k, c in _TURNS.items()}
 
 #: V5. Proxy and human marks of documents; unlabelled ones are not annotated.
 GOLD = """
@@ -91,12 +97,12 @@ REQUEST = f"SELECT event_id AS request_id, concat('user_', CAST(user_id AS VARCH
 
 
 def for_duckdb(sql: str) -> str:
-    return sql.format(**{t: t for t in TABLES})
+    return sql.format(**{t: t for t in TABLES}, **_DUCKDB_TURNS)
 
 
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in sql}
-    return spark.sql(sql, **used)
+    return spark.sql(sql.format(**{t: "{" + t + "}" for t in TABLES}, **_SPARK_TURNS) if "{odd}" in sql else sql, **used)
 
 
 def elements(spark: SparkSession, sf_dir: str) -> DataFrame:

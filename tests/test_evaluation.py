@@ -33,6 +33,45 @@ def test_verdict(spark, a, b, who, axis, n):
     assert (r.winner, r.applicable) == (None, False)
 
 
+def test_arms_verdict(spark):
+    rows = lambda exp, *zones: evaluation.folded(spark.createDataFrame([(f"r{i}", exp, "c", z, st, g, 1 - g, 100, 0.1, text, "s") for i, (z, st, g, text) in enumerate(zones)], RUN))
+    good = rows("a", ("z1", "ok", 0.9, "t"), ("z2", "ok", 0.5, "t"), ("z3", "error", 0.0, ""), ("only a", "ok", 0.0, "t"))
+    other = rows("b", ("z1", "ok", 0.6, "t"), ("z2", "ok", 0.6, "t"), ("z3", "ok", 1.0, "t"))
+    r = evaluation.arms_verdict(good, other).first()  # means of z1 and z2: 0.7 and 0.6
+    assert (r.winner, r.deciding_axis, r.applicable) == ("a", "hallucination", True)
+    silent = rows("b", ("z1", "ok", 0.6, "t"), ("z2", "ok", 0.9, " "))
+    r = evaluation.arms_verdict(good, silent).first()
+    assert (r.winner, r.deciding_axis, r.applicable) == (None, None, False)
+    mute = rows("b", ("z1", "error", 0.6, ""))
+    assert not evaluation.arms_verdict(good, mute).first().applicable and evaluation.arms_verdict(good, good.limit(0)).first().applicable
+    failed = evaluation.failed_zones(evaluation.paired(good, other)).collect()
+    assert [(r.zona, r.status_a, r.status_b) for r in failed] == [("z3", "error", "ok")]
+
+
+def test_tabs(spark):
+    hazards = spark.createDataFrame([("c", "z", None, 2, "b"), ("c", "z", "", 1, "a"), ("c", "z", "ALTRO", 3, "x")], "citta string, zona string, tag string, position int, hazard string")
+    prose = spark.createDataFrame([("c", "z", "ONTOLOGIA", " p\n"), ("c", "z", "CONTESTO", "\x1c \n"), ("c", "z", "NUOVO", "q")], "citta string, zona string, tag string, text string")
+    got = [(r.tag, r.text, r.hazards) for r in grounding.tabs(grounding.by_tag(hazards), prose).orderBy("tab_rank").collect()]
+    assert got == [("ONTOLOGIA", "p", []), ("SPECULATIVO", "", ["a", "b"])]
+
+
+def test_anchors_and_citations(spark):
+    points = spark.createDataFrame([("c", "z", "Banca A"), ("c", "z", " "), ("c", "z", None)], "citta string, zona string, name string")
+    hazards = spark.createDataFrame([("c", "z", "Theft", "Furto", "")], "citta string, zona string, hazard string, label_it string, label_en string")
+    assert evaluation.anchor_sets(points, hazards).first().anchors == ["banca a", "furto", "theft"]
+    cited = spark.createDataFrame([("Bank", "hazards", "Theft", "known")], "terminus_class string, axis string, filler string, source string")
+    risks = spark.createDataFrame([("Bank", "Theft"), ("Bank", "Fire")], "terminus_class string, filler string")
+    assert {r.filler: r.source for r in grounding.cited_risks(risks, cited, "hazards", "havingHazard").collect()} == {"Theft": "known", "Fire": "Bank → havingHazard → Fire"}
+
+
+def test_boundaries_either_way(spark):
+    sq = lambda a, b: [{"lon": a, "lat": a}, {"lon": b, "lat": a}, {"lon": b, "lat": b}, {"lon": a, "lat": b}]
+    shapes = spark.createDataFrame([("a", [[sq(0.0, 4.0), sq(1.0, 3.0)], []]), ("b", None)], "citta string, polygons array<array<array<struct<lon: double, lat: double>>>>")
+    points = spark.createDataFrame([(c, i / 7, i / 7) for c in ("a", "b", "none") for i in range(40)], "citta string, lat double, lon double")
+    rows = lambda df: sorted(map(tuple, df.select("citta", "lat", "inside").collect()))
+    assert rows(coverage.inside(points, shapes)) == rows(coverage.inside_vectorised(points, shapes)) == rows(coverage.inside_vectorised(points, shapes, most=3))
+
+
 def test_agreement(spark):
     df = lambda rows: spark.createDataFrame(rows, "proxy double, gold double")
     r = evaluation.agreement(df([(0.0, 0.2), (0.4, 0.6), (0.8, 1.0), (0.5, None)])).first()
@@ -115,4 +154,10 @@ def test_sources(spark, tmp_path):
     (tmp_path / "empty.nt").write_text("\n")
     with pytest.raises(ValueError):
         records.read_triples(spark, str(tmp_path / "empty.nt"))
+    (tmp_path / "outcomes").mkdir()
+    (tmp_path / "outcomes" / "a.json").write_text('{"status": "ok", "citta": "c", "capture": {"switch_ms": 7, "bbox": [1, 2, 3, 4], "pois": [{"id": "1"}]}}')
+    (tmp_path / "outcomes" / "b.json").write_text('{"status": "failed",\n "citta": "d", "error_type": "Timeout"}')
+    assert sorted((r.citta, r.status, r.error_type, r.capture.switch_ms if r.capture else None) for r in records.read_outcomes(spark, str(tmp_path / "outcomes")).collect()) == [("c", "ok", None, 7), ("d", "failed", "Timeout", None)]
+    records.write_report(spark.createDataFrame([("c", 0.12345, 1.5)], "citta string, grounding_a double, latency_ms_a double"), str(tmp_path / "report"))
+    assert [tuple(r) for r in spark.read.option("header", True).csv(str(tmp_path / "report")).collect()] == [("c", "0.123", "2.0")]
     assert records.rounded(spark.createDataFrame([(0.12345, 0.5)], "grounding_a double, latency_ms double")).first() == (0.123, 0.0)
