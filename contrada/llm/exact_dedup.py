@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import mixed
-from .common import lower_ascii, written
+from .common import Marks, lower_ascii, parted, unused, written
 
 #: Distinct digests of a snapshot that one filter holds, about.
 KEYS_PER_FILTER = 100_000
@@ -110,8 +110,9 @@ def exact_groups(docs: DataFrame, in_snapshot=None, keys_per_filter: int = KEYS_
 
     Texts are equal when identical after lower-casing A-Z; of equal texts the largest doc_id stays. in_snapshot: which rows are the
     immutable snapshot (default: half of them, by a hash of doc_id); the others come in against its filters. A null text counts as
-    empty. Rows that repeat a doc_id and its text are one document and are marked alike; group_size counts them all. A null doc_id
-    is below any other; a group of such only has a null keep_id and all its rows are kept. Other columns of docs are not read.
+    empty; a very long one is hashed whole in the JVM. Rows that repeat a doc_id and its text are one document and are marked alike;
+    group_size counts them all. A null doc_id is below any other; a group of such only has a null keep_id and all its rows are kept.
+    An empty table gives none. Other columns of docs are not read.
     """
     snap = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0 if in_snapshot is None else in_snapshot
     text = lower_ascii(F.coalesce("text", F.lit("")))
@@ -122,23 +123,28 @@ def exact_groups(docs: DataFrame, in_snapshot=None, keys_per_filter: int = KEYS_
     shards = max(1, math.ceil(old.count() / keys_per_filter))
     maybe = screen(new, written(build_filters(old, shards), "filters"), shards)
     pairs = written(maybe.select("text_sha256", "n", F.col("top").alias("new_top"), F.col("size").alias("new_size")).join(old.select("text_sha256", "n", F.col("top").alias("old_top"), F.col("size").alias("old_size")), ["text_sha256", "n"]), "pairs")
-    # The bytes of one document from either side of a pair are compared.
-    ids = pairs.select("text_sha256", F.explode(F.array("new_top", "old_top")).alias("doc_id")).distinct()
-    texts = docs.select("doc_id", text.alias("t")).join(ids, "doc_id").filter(F.sha2("t", 256) == F.col("text_sha256"))
-    sides = pairs.select("text_sha256", "n", "new_top", "old_top")
-    differ = (
-        sides.join(texts.select("text_sha256", F.col("doc_id").alias("new_top"), F.col("t").alias("new_t")), ["text_sha256", "new_top"])
-        .join(texts.select("text_sha256", F.col("doc_id").alias("old_top"), F.col("t").alias("old_t")), ["text_sha256", "old_top"])
-        .filter("new_t <> old_t").select("text_sha256", "n").distinct()
-    )
+    # The bytes of one document from either side of a pair are compared; only texts of these documents are shuffled.
+    sides = pairs.select("text_sha256", "n", F.explode(F.array("new_top", "old_top")).alias("doc_id")).filter("doc_id is not null").distinct()
+    few = docs.select("doc_id", "text").filter(Marks(sides.select(F.col("doc_id").cast("long")).distinct()).among("doc_id")).filter("doc_id is not null")
+    texts = few.select("doc_id", lower_ascii(F.coalesce("text", F.lit(""))).alias("t")).join(sides, "doc_id").filter(F.sha2("t", 256) == F.col("text_sha256"))
+    differ = texts.groupBy("text_sha256", "n").agg(F.min("t").alias("low"), F.max("t").alias("high")).filter("low <> high").select("text_sha256", "n")
     both = pairs.join(differ, ["text_sha256", "n"], "left_anti").select("text_sha256", "n", F.greatest("new_top", "old_top").alias("all_top"), (F.col("new_size") + F.col("old_size")).alias("all_size"))
-    final = groups.join(both, ["text_sha256", "n"], "left").select("text_sha256", "n", "in_snapshot", F.coalesce("all_top", "top").alias("keep_id"), F.coalesce("all_size", "size").alias("group_size"))
-    return rows.join(final, ["text_sha256", "n", "in_snapshot"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "in_snapshot")
+    # Only groups of several rows are joined back; a text that stands alone keeps itself.
+    final = groups.join(both, ["text_sha256", "n"], "left").select("text_sha256", "n", "in_snapshot", F.coalesce("all_top", "top").alias("keep_id"), F.coalesce("all_size", "size").alias("group_size")).filter("group_size > 1").withColumn("several", F.lit(True))
+    out = rows.join(final, ["text_sha256", "n", "in_snapshot"], "left").withColumn("keep_id", F.when(F.col("several"), F.col("keep_id")).otherwise(F.col("doc_id"))).withColumn("group_size", F.coalesce("group_size", F.lit(1)).cast("long"))
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "in_snapshot")
 
 
 def deduplicated(docs: DataFrame, **how) -> DataFrame:
-    """docs without copies: of equal texts the row with the largest doc_id stays, all columns as they were. Of rows that repeat a doc_id and its text one stays."""
-    stay = exact_groups(docs, **how).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    sha = F.sha2(lower_ascii(F.coalesce("text", F.lit(""))), 256)
-    named = docs.withColumn("__text_sha", sha)
-    return named.join(stay, named["doc_id"].eqNullSafe(stay["__id"]) & (named["__text_sha"] == stay["__sha"]), "left_semi").dropDuplicates(["doc_id", "__text_sha"]).drop("__text_sha")
+    """docs without copies: of equal texts the row with the largest doc_id stays, all columns as they were.
+
+    Of rows that repeat a doc_id and its text one stays. Null and empty texts are equal; rows without a doc_id stay one for each text where
+    no row with a doc_id has it. Columns of any names pass through. Texts of doc_ids of which every row stays are not shuffled.
+    """
+    rows = written(exact_groups(docs, **how).select("doc_id", "kept", "text_sha256"), "kept")
+    odd = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.bool_and("kept").alias("all")).filter("n > 1 or not all").select(F.col("doc_id").cast("long"))
+    sure, rest = parted(docs, written(odd, "odd"))
+    sha, key, of = (unused(docs, n) for n in ("sha", "key", "of"))
+    stay = rows.filter("kept").select(F.col("doc_id").alias(of), F.col("text_sha256").alias(key)).distinct()
+    named = rest.withColumn(sha, F.sha2(lower_ascii(F.coalesce("text", F.lit(""))), 256))
+    return sure.unionByName(named.join(stay, named["doc_id"].eqNullSafe(stay[of]) & (named[sha] == stay[key]), "left_semi").dropDuplicates(["doc_id", sha]).drop(sha))

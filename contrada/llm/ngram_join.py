@@ -1,8 +1,9 @@
-"""N-gram Jaccard join: documents that share enough word shingles, as a blocked sparse product of the document by n-gram incidence.
+"""N-gram Jaccard join: documents that share enough word shingles, by a blocked sparse product of the document by n-gram incidence.
 
 A document's row of the incidence matrix is its set of shingle hashes, rarest first. Two sets with a Jaccard similarity of t or more
-share one of their first |s| - ceil(t |s|) + 1 columns in that order, so the product is taken over these columns only; a pair whose
-sizes and places in the order cannot reach the needed overlap is left out at once, the rest is checked on the whole sets.
+share one of their first |s| - ceil(t |s|) + 1 columns in that order, so the product is first taken over these columns only: it counts
+each pair's overlap, and pairs whose count cannot reach what their sizes ask for are discarded. For the pairs that are left the product
+is completed over the whole rows, and its counts decide which of them link.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import mixed, shingle_sets
-from .common import written
+from .common import Marks, parted, written
 from .components import components
 
 #: Words of a shingle, and the similarity from which documents link, in hundredths.
@@ -23,10 +24,8 @@ WORDS, PERCENT = 5, 80
 #: The commonness of shingles is counted in 2^SKETCH_BITS counters: a fixed size, for the order only, never for a result.
 SKETCH_BITS = 20
 _PART = 1 << 16
-#: The most bits of the bitmap that marks documents to be read again, as a power of two: 8 MB.
-MARK_BITS = 26
-#: Entries of a column that meet as one block, about; a task compares two blocks.
-BLOCK = 2048
+#: Entries of a column that meet as one block, about: a task multiplies two blocks, in tiles of _TILE rows. Columns of up to _SHORT entries are multiplied together.
+BLOCK, _TILE, _SHORT = 2048, 256, 64
 
 
 def _profiles(docs: DataFrame, words: int) -> DataFrame:
@@ -79,37 +78,15 @@ def _commonness(parts: DataFrame) -> bytes:
     return np.log2(whole + 1).astype(np.uint8).tobytes()
 
 
-def _marks(ids: DataFrame):
-    """A bitmap of the ids (id, distinct), sent to the workers: 32 bits for each id up to MARK_BITS in all. It lets few others through; their part grows where MARK_BITS is the limit."""
-    bits = 1 << min(MARK_BITS, max(15, int(np.ceil(np.log2(32 * ids.count() + 1)))))
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array((mixed(np.asarray(b.column(0)).view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64) + 1)], names=["bit"])  # Spark's bitmaps count bits from 1
-
-    marks = ids.select("id").mapInArrow(place, "bit long").groupBy(F.bitmap_bucket_number("bit").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("m"))
-    bitmap = np.zeros(max(1, bits >> 15) << 12, np.uint8)
-    for r in marks.collect():  # bits / 2^15 rows of 4 KB at most
-        at = (r["k"] - 1) << 12
-        bitmap[at : at + len(r["m"])] = np.frombuffer(r["m"], np.uint8)
-    return ids.sparkSession.sparkContext.broadcast(bitmap.tobytes()), bits
-
-
-def _marked(b: pa.RecordBatch, raw: bytes, bits: int) -> pa.RecordBatch:
-    """The rows whose first column a bitmap of _marks lets through."""
-    bit = (mixed(np.asarray(b.column(0)).view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
-    return b.filter(pa.array((np.frombuffer(raw, np.uint8)[bit // 8] >> (bit % 8).astype(np.uint8)) & 1 == 1))
-
-
 def _entries(docs: DataFrame, ids: DataFrame, words: int, percent: int, common) -> DataFrame:
     """The columns in which partners of the rows named by ids (id, distinct) must meet them: gram, id, place (n * 2^32 + position in the order, rarest first). Rows that the bitmap lets through besides have entries too."""
-    marks, bits = _marks(ids)
+    marks = Marks(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = np.frombuffer(common.value, np.uint8)
         mask = np.uint64(len(level) - 1)
         for b in batches:
-            b = _marked(b, marks.value, bits)
+            b = b.filter(pa.array(marks.has(np.asarray(b.column(0)))))
             at, lists, sizes = [], [], []
             for i, own in shingle_sets(b.column(1), words):
                 if len(own):
@@ -166,64 +143,81 @@ def _shared(dealt: DataFrame, percent: int) -> DataFrame:
 
 
 def _blocks(entries: DataFrame, block: int) -> DataFrame:
-    """The entries (gram, id, place, comp) dealt by gram, i and j: of a column of more than about `block` entries, block i (own: the entry's) meets block j, and one of a single component goes. The long columns, at most a block'th of the entries, are broadcast."""
-    sizes = entries.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), (F.min("comp") != F.max("comp")).alias("several")).filter(F.col("n") > block)
-    long_ = sizes.select("gram", F.when(F.col("several"), F.ceil(F.col("n") / block)).otherwise(0).cast("int").alias("blocks"))
-    of = entries.join(F.broadcast(long_), "gram", "left").filter("blocks is null or blocks > 0").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    """The entries (gram, id, place, comp) of columns with several components, dealt by gram, i and j: of a column of more than `block` entries block i (own: the entry's) meets block j."""
+    columns = entries.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), (F.min("comp") != F.max("comp")).alias("several")).filter("several")
+    of = entries.join(columns.select("gram", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "gram")
     of = of.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return of.select("gram", "id", "place", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
 
 
-def _cross_pairs(entries: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """Of the columns' entries (gram, id, place, comp): all pairs from different components whose sizes and places let them link. The product of two blocks of a column is taken within a task and thinned there, so a task holds two blocks."""
-
-    def pairs(doc, n, pos, comp, i_, j_, own):
-        order = np.argsort(n, kind="stable")
-        doc, n, pos, comp, own = doc[order], n[order], pos[order], comp[order], own[order]
-        for i in range(0, len(doc), block):
-            top = int(np.searchsorted(n, n[min(i + block, len(doc)) - 1] * 100 // percent + 1, "right"))
-            for j in range(i, top, block):
-                a, c = slice(i, i + block), slice(j, j + block)
-                ok = (comp[a, None] != comp[None, c]) & (doc[a, None] != doc[None, c]) & _reaches(n[a, None], n[None, c], pos[a, None], pos[None, c], percent)
-                if i_[0] != j_[0]:
-                    ok &= own[a, None] != own[None, c]
-                x, y = np.nonzero(np.triu(ok, 1) if i == j else ok)
+def _product(entries: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """Of the columns' entries (gram, id, place, comp): hub < id of different components whose sizes let them link, n1 and n2 (their sizes), and c, the columns that they share. Within a task a column's block meets another; counts are added up over columns."""
+
+    def counted(x, y, ids, n) -> pa.RecordBatch:
+        x, y = np.where(ids[x] < ids[y], x, y), np.where(ids[x] < ids[y], y, x)
+        order = np.lexsort((ids[y], ids[x]))
+        x, y = x[order], y[order]
+        new = np.concatenate(([True], (ids[x[1:]] != ids[x[:-1]]) | (ids[y[1:]] != ids[y[:-1]])))
+        at = np.flatnonzero(new)
+        return pa.RecordBatch.from_arrays([pa.array(ids[x[at]]), pa.array(ids[y[at]]), pa.array(n[x[at]]), pa.array(n[y[at]]), pa.array(np.diff(np.append(at, len(x))))], names=["hub", "id", "n1", "n2", "c"])
+
+    def meet(a, b, ids, n, comp, own, split):
+        """Which of the rows a and b (numbers, of shapes that broadcast) make a pair."""
+        low, high = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+        return (comp[a] != comp[b]) & (ids[a] != ids[b]) & (100 * low >= percent * high) & (~split[a] | (own[a] != own[b]))
+
+    def pairs(cols, cuts):
+        ids, n, comp, own = cols[1], cols[2] >> 32, cols[3], cols[6]
+        split = cols[4] != cols[5]
+        sizes = np.diff(cuts)
+        rest = np.repeat(cuts[1:], sizes) - np.arange(cuts[0], cuts[-1])
+        at = np.arange(cuts[0], cuts[-1])[np.repeat(sizes, sizes) <= _SHORT]
+        held, k = [], 1
+        while len(at):
+            at = at[rest[at - cuts[0]] > k]
+            ok = at[meet(at, at + k, ids, n, comp, own, split)]
+            held.append((ok, ok + k))
+            k += 1
+            if sum(len(x) for x, _ in held) > 200_000 or not len(at):
+                x, y = (np.concatenate(v) for v in zip(*held, strict=True))
+                held = []
                 if len(x):
-                    yield np.minimum(doc[i + x], doc[j + y]), np.maximum(doc[i + x], doc[j + y])
+                    yield counted(x, y, ids, n)
+        for g in np.flatnonzero(sizes > _SHORT):
+            s, e = cuts[g], cuts[g + 1]
+            for i in range(s, e, _TILE):
+                for j in range(i, e, _TILE):
+                    a, b = np.arange(i, min(i + _TILE, e))[:, None], np.arange(j, min(j + _TILE, e))[None]
+                    x, y = np.nonzero(meet(a, b, ids, n, comp, own, split) & (a < b))
+                    if len(x):
+                        yield counted(x + i, y + j, ids, n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
-
-        def done(columns):
-            for x, y in pairs(*columns):
-                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["hub", "id"])
-
         for b in batches:
-            place = np.asarray(b.column(2))
-            cols = [np.asarray(b.column(0)), np.asarray(b.column(1)), place >> 32, place & 0xFFFFFFFF, *(np.asarray(b.column(k)) for k in (3, 4, 5, 6))]
+            cols = [np.asarray(c) for c in b.columns]
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            if not len(cols[0]):
-                continue
-            cuts = np.concatenate(([0], np.flatnonzero(np.any([cols[k][1:] != cols[k][:-1] for k in (0, 5, 6)], 0)) + 1))
-            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                if (cols[4][s:e] != cols[4][s]).any():
-                    yield from done([c[s:e] for c in cols[1:]])
-            held = [c[cuts[-1] :] for c in cols]
-        if held is not None and len(held[0]) and (held[4] != held[4][0]).any():
-            yield from done(held[1:])
+            if len(cols[0]):
+                cuts = np.concatenate(([0], np.flatnonzero(np.any([cols[k][1:] != cols[k][:-1] for k in (0, 4, 5)], 0)) + 1))
+                if len(cuts) > 1:
+                    yield from pairs(cols, cuts)
+                held = [c[cuts[-1] :] for c in cols]
+        if held is not None and len(held[0]):
+            yield from pairs(held, np.array([0, len(held[0])]))
 
     dealt = _blocks(entries, block).repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j")
-    return dealt.mapInArrow(run, "hub long, id long")
+    made = dealt.mapInArrow(run, "hub long, id long, n1 long, n2 long, c long")
+    return made.groupBy("hub", "id").agg(F.max("n1").alias("n1"), F.max("n2").alias("n2"), F.sum("c").alias("c"))
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """The sets of the rows named by ids (id, distinct). Texts stay where they are: a bitmap of the ids is sent to the scan, which lets few others through; a join drops those."""
-    marks, bits = _marks(ids)
+def _rows_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """The whole incidence rows of the documents named by ids (id, distinct). Texts stay where they are: a bitmap of the ids is sent to the scan, which lets few others through; a join drops those."""
+    marks = Marks(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b = _marked(b, marks.value, bits)
+            b = b.filter(pa.array(marks.has(np.asarray(b.column(0)))))
             if len(b):
                 lists = [own.view(np.int64) for _, own in shingle_sets(b.column(1), words)]
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
@@ -237,61 +231,58 @@ def near_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     """One row for each row of docs (doc_id, text): doc_id, n_shingles, component_id, class_id.
 
     Words are runs of bytes other than white space after lower-casing A-Z; a set holds the distinct runs of `words` words, or the whole
-    sequence of a shorter text as one. Documents link when 100 * intersection >= percent * union of their sets; component_id is the
-    smallest doc_id that links reach. A null, empty or blank text has no shingles and links with nothing. class_id: the smallest doc_id
-    with the same set; only classes are compared, so copies never multiply. Rows that repeat a doc_id with one text get the same values.
-    A row without a doc_id cannot be named: it takes no part and its ids are null. Other columns are not read.
+    sequence of a shorter text as one. A shingle is known by a 64-bit hash, equality of sets by 128 bits and the size. Documents link when
+    100 * intersection >= percent * union of their sets; component_id is the smallest doc_id that links reach. A null, empty or blank text
+    has no shingles and links with nothing; very long texts are taken whole. class_id: the smallest doc_id with the same set; only
+    classes are compared, so copies never multiply. Rows that repeat a doc_id are judged each by its own text; texts that both have
+    that doc_id as their smallest are one class. A row without a doc_id cannot be named: it takes no part and its ids are null. An empty table gives none; other columns are not read.
+
+    Each column's rarest-first entry (its hub) is compared with the others, so that a group of near copies is joined by about as many
+    pairs as it has members; then the product is taken between the components that share a column, and of these only.
     """
     spark = docs.sparkSession
     profiles = written(_profiles(docs, words), "profiles")
     common = spark.sparkContext.broadcast(_commonness(profiles.filter("part is not null").select("part", "counts")))
     rows = profiles.filter("part is null").select("doc_id", "n", "h1", "h2")
-    classes = rows.filter("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("class_id"))
+    classes = rows.filter("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
     members = written(rows.join(classes, ["h1", "h2", "n"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id")), "members")
-    class_of = members.filter("n > 0 and doc_id is not null").select(F.col("doc_id").alias("id"), "class_id").distinct()
+    named = members.filter("n > 0 and doc_id is not null").select(F.col("doc_id").alias("id"), "class_id")
+    first = named.filter("id = class_id").select("id").distinct()
 
     # The columns: an entry for each class and each shingle of its prefix, dealt by shingle; the likeliest centre of a group comes first.
-    first = class_of.filter("id = class_id").select("id")
-    shared = written(_shared(_entries(docs, first, words, percent, common).repartition("gram").sortWithinPartitions("gram", F.expr("place & 4294967295"), "place", "id"), percent), "columns")
-
-    def of_classes(pairs: DataFrame) -> DataFrame:
-        a, b = class_of.select(F.col("id").alias("hub"), F.col("class_id").alias("h")), class_of.select("id", F.col("class_id").alias("i"))
-        return pairs.join(a, "hub").join(b, "id").filter("h <> i").select(F.least("h", "i").alias("hub"), F.greatest("h", "i").alias("id"), "c")
-
-    # First each document with the hub that it shares most columns with; what that joins need not be compared again.
-    overlaps = of_classes(shared.filter("near").groupBy("hub", "id").agg(F.count(F.lit(1)).alias("c")))
-    rows_of = written(shared.groupBy("id").agg(F.collect_set("gram").alias("grams"), F.max(F.expr("place >> 32")).alias("n")), "rows")
-    best = written(_possible(overlaps.groupBy("id").agg(F.max_by("hub", F.struct("c", -F.col("hub"))).alias("hub")).select("hub", "id"), rows_of, percent), "best")
-    links = _verified(docs, best, words, percent, "links")
+    dealt = _entries(docs, first, words, percent, common).repartition("gram").sortWithinPartitions("gram", F.expr("place & 4294967295"), "place", "id")
+    shared = written(_shared(dealt, percent), "columns")
+    star = written(shared.filter("near").select("hub", "id").distinct(), "star")
+    links = _completed(docs, star, words, percent, "links")
     comp = components(links.select(F.col("hub").alias("a"), F.col("id").alias("b")))
-    # Then every pair of classes across components; copies that the bitmap let through end here.
-    root = written(first.join(comp.select("id", "root"), "id", "left").select("id", F.coalesce("root", "id").alias("comp")), "comp")
-    known = written(shared.select("gram", "id", "place").join(root, "id").repartition("gram").dropDuplicates(["gram", "id"]), "known")
-    cross = of_classes(_cross_pairs(known, percent).groupBy("hub", "id").agg(F.count(F.lit(1)).alias("c"))).select("hub", "id").distinct()
-    more = _verified(docs, written(_possible(cross.join(best, ["hub", "id"], "left_anti"), rows_of, percent), "cross"), words, percent, "cross_links")
+    # Copies that the bitmap let through end here.
+    known = shared.select("gram", "id", "place").join(first, "id", "left_semi").join(comp, "id", "left").select("gram", "id", "place", F.coalesce("root", "id").alias("comp"))
+    longest = F.greatest(*[F.floor((percent * F.col(n) + 99) / 100) - 1 for n in ("n1", "n2")])
+    # Of two rows the one whose prefix ends first in the common order shares no more columns outside the product than its remainder has.
+    enough = (F.col("c") + longest) * (100 + percent) >= percent * (F.col("n1") + F.col("n2"))
+    left = _product(known, percent).filter(enough).select("hub", "id")
+    more = _completed(docs, written(left, "left"), words, percent, "more")
     roots = components(links.union(more).select(F.col("hub").alias("a"), F.col("id").alias("b")))
     found = members.join(roots.select(F.col("id").alias("class_id"), "root"), "class_id", "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "class_id").alias("component_id"), "class_id")
 
 
-def _possible(pairs: DataFrame, rows_of: DataFrame, percent: int) -> DataFrame:
-    """The pairs that share enough columns. Of two rows the one whose prefix ends first in the common order has no shared column outside the product but in its remainder, so an overlap is at most the shared columns and the longer remainder."""
-    a, b = rows_of.select(F.col("id").alias("hub"), F.col("grams").alias("g1"), F.col("n").alias("n1")), rows_of.select("id", F.col("grams").alias("g2"), F.col("n").alias("n2"))
-    remainder = lambda n: F.floor((percent * F.col(n) + 99) / 100) - 1
-    most = F.size(F.array_intersect("g1", "g2")) + F.greatest(remainder("n1"), remainder("n2"))
-    return pairs.join(b, "id").join(a, "hub").filter(most * (100 + percent) >= percent * (F.col("n1") + F.col("n2"))).select("hub", "id")
-
-
-def _verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int, name: str) -> DataFrame:
-    """The pairs that link, by the overlap of their whole sets: 100 * intersection >= percent * union."""
+def _completed(docs: DataFrame, pairs: DataFrame, words: int, percent: int, name: str) -> DataFrame:
+    """The pairs that link, by the product of their whole rows: 100 * overlap >= percent * union."""
     ids = pairs.select(F.explode(F.array("hub", "id")).alias("id")).distinct()
-    sets = written(_sets_of(docs, ids, words), "sets")
-    a, b = sets.select(F.col("id").alias("hub"), F.col("grams").alias("g1")), sets.select("id", F.col("grams").alias("g2"))
-    shared = F.size(F.array_intersect("g1", "g2"))
-    return written(pairs.join(b, "id").join(a, "hub").filter(shared * (100 + percent) >= percent * (F.size("g1") + F.size("g2"))).select("hub", "id").distinct(), name)
+    rows = written(_rows_of(docs, ids, words), "rows")
+    a, b = rows.select(F.col("id").alias("hub"), F.col("grams").alias("g1")), rows.select("id", F.col("grams").alias("g2"))
+    overlap = F.size(F.array_intersect("g1", "g2"))
+    return written(pairs.join(b, "id").join(a, "hub").filter(overlap * (100 + percent) >= percent * (F.size("g1") + F.size("g2"))).select("hub", "id").distinct(), name)
 
 
 def deduplicated(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """docs with one document of each component, the one of the smallest doc_id; all columns as they were. Texts without words all stay, and so do rows without a doc_id."""
-    stay = near_components(docs, words, percent).filter("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(stay, (docs["doc_id"] == stay["__id"]), "left_semi").unionByName(docs.filter(docs["doc_id"].isNull()))
+    """docs with one document of each component, the one of the smallest doc_id; all columns as they were.
+
+    Null, empty and blank texts all stay, and so do rows without a doc_id. Rows that repeat a doc_id, with one text or several, stay or go
+    together. Columns of any names pass through. Only the texts that may go are shuffled.
+    """
+    found = near_components(docs, words, percent).filter("doc_id is not null")
+    gone = written(found.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays")).filter("not stays").select("doc_id"), "gone")
+    sure, rest = parted(docs, gone)
+    return sure.unionByName(rest.join(gone, "doc_id", "left_anti").select(*docs.columns))

@@ -101,32 +101,56 @@ def test_near(docs, empty):
     assert ngram_join.near_components(empty).count() == 0 and ngram_join.deduplicated(empty).count() == 0
 
 
-def test_copies_have_no_entries_and_long_columns_are_dealt(spark, monkeypatch):
+def test_copies_have_no_entries(spark, monkeypatch):
     texts = [prose(40, 1)] * 30 + [prose(40, 2)] * 20 + [prose(40, 3)]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    seen = []
-    cross = ngram_join._cross_pairs
-    monkeypatch.setattr(ngram_join, "_cross_pairs", lambda entries, percent: seen.append(entries) or cross(entries, percent))
     columns = []
     shared = ngram_join._shared
     monkeypatch.setattr(ngram_join, "_shared", lambda dealt, percent: columns.append(dealt) or shared(dealt, percent))
     got = {r.doc_id: r.component_id for r in ngram_join.near_components(rows).collect()}
     assert got == {i: 0 if i < 30 else 30 if i < 50 else 50 for i in range(51)}
-    assert {r.id for r in columns[0].select("id").distinct().collect()} == {0, 30, 50} and seen[0].count() == 0
+    assert {r.id for r in columns[0].select("id").distinct().collect()} == {0, 30, 50}
+
 
+@pytest.mark.parametrize("short", [3, 64])
+def test_the_product_counts_columns_and_deals_long_ones(spark, monkeypatch, short):
+    monkeypatch.setattr(ngram_join, "_SHORT", short)
+    monkeypatch.setattr(ngram_join, "_TILE", 5)
     r = np.random.default_rng(6)
-    entries = [(g, i, (int(r.integers(90, 130)) << 32) + int(r.integers(0, 40)), int(r.integers(0, 5)) if g < 3 else 7) for g, size in ((1, 90), (2, 6), (3, 60)) for i in r.permutation(200)[:size].tolist()]
-    df = spark.createDataFrame(entries, "gram long, id long, place long, comp long")
+    sizes, comps = r.integers(60, 130, 200), r.integers(0, 40, 200)
+    entries = [(g, i, (int(sizes[i]) << 32) + int(r.integers(0, 40)), int(comps[i]) if g != 3 else 7) for g, size in ((1, 90), (2, 6), (3, 60), (4, 70), (5, 2)) for i in r.permutation(200)[:size].tolist()]
+    df = spark.createDataFrame(entries, "gram long, id long, place long, comp long").repartition(3)
     want = Counter()
-    for k, (g, a, p, c) in enumerate(entries):
-        for h, b, q, d in entries[:k]:
-            if g == h and c != d and ngram_join._reaches(p >> 32, q >> 32, p & 0xFFFFFFFF, q & 0xFFFFFFFF, 80):
+    for k, (g, a, _, c) in enumerate(entries):
+        for h, b, _, d in entries[:k]:
+            if g == h and c != d and 100 * min(sizes[a], sizes[b]) >= 80 * max(sizes[a], sizes[b]):
                 want[min(a, b), max(a, b)] += 1
-    assert want and Counter(map(tuple, cross(df, 80, 16).collect())) == want
+    got = {(x.hub, x.id): (x.n1, x.n2, x.c) for x in ngram_join._product(df, 80, 16).collect()}
+    assert got == {(a, b): (sizes[a], sizes[b], c) for (a, b), c in want.items()}
     held = ngram_join._blocks(df, 16).groupBy("gram", "i", "j").count().collect()
     assert max(x["count"] for x in held) < 60 and len({(x.i, x.j) for x in held if x.gram == 1}) == 21 and not any(x.gram == 3 for x in held)
 
 
+def test_a_centre_with_the_largest_id(spark):
+    # A group whose members link with its centre only, which comes last; and one that no centre joins.
+    w = prose(120, 21).split()
+    texts = [" ".join([*w[:i], f"x{k}", *w[i + 1 :]]) for k, i in enumerate(range(4, 116, 11))] + [" ".join(w)]
+    far = prose(100, 22).split()
+    texts += [" ".join(["y"] * 0 + far[k : k + 70] + [f"z{k}"]) for k in range(0, 30, 6)]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert got == plain_components(rows)
+
+
+def test_rows_that_share_a_doc_id(spark):
+    a, b, c = prose(50, 31), prose(50, 32), prose(50, 33)
+    df = spark.createDataFrame([(1, a, 0), (5, a, 1), (5, b, 2), (7, b, 3), (8, c, 4), (8, c, 5), (None, a, 6)], "doc_id long, text string, __id int")
+    got = {(r.doc_id, r.component_id) for r in ngram_join.near_components(df).collect()}
+    assert got == {(1, 1), (5, 1), (5, 5), (7, 5), (8, 8), (None, None)}
+    kept = [r["__id"] for r in exact_dedup.deduplicated(df).collect()]
+    assert set(kept) - {4, 5} == {1, 3} and len(kept) == 3
+
+
 def test_repeats(docs, empty, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT_ROWS", 4)
     rows = [r for r in docs.collect() if r.doc_id is not None]
