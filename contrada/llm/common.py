@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .bytetext import mixed
 
 #: Bytes of an Arrow batch that goes to a Python worker, at most: texts may be long, and memory is shared with the JVM.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: The most bits of a bitmap of ids, as a power of two: 16 MB.
 MARK_BITS = 27
 

@@ -7,17 +7,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bytetext import mixed
-from .common import written
+from .bytetext import chunks, mixed, words
+from .common import partitions, unused, written
 
 BLOCK_WORDS, SHARD_SLOTS, SEED = 64, 1024, 20250101
 #: Weights of the sources by code point, repeating; and the most that a document is taken.
 WEIGHTS, MOST = (5, 2, 1), 3
-#: Documents whose places are summed up in one window, about.
-_BUCKET = 4096
+#: Documents whose places are summed up in one window, about; rows of sums that one window sums up; and slots that are worked on together.
+_BUCKET, _GROUP, _SLOTS = 1024, 1024, 1 << 17
 
 
 def targets(sizes: list[int], weights: list[float], most: float = MOST) -> list[float]:
@@ -53,19 +54,28 @@ def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray
     return out.astype(np.int64)
 
 
+def _before(sums: DataFrame, key: str, index: str, value: str, name: str) -> DataFrame:
+    """sums (key, index, value: one row each) with `name`, the sum of value over the smaller indexes of the key: running sums of groups of _GROUP indexes, and within each, so that no key is in one task as a whole."""
+    rows = sums.withColumn("group", F.expr(f"{index} div {_GROUP}"))
+    groups = rows.groupBy(key, "group").agg(F.sum(value).alias("all"))
+    so_far = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    first = groups.select(F.col(key).alias("of"), F.col("group").alias("g"), F.coalesce(F.sum("all").over(so_far(key).orderBy("group")), F.lit(0)).alias("base"))
+    placed = rows.join(first, rows[key].eqNullSafe(first["of"]) & (rows["group"] == first["g"]))
+    return placed.withColumn(name, F.col("base") + F.coalesce(F.sum(value).over(so_far(key, "group").orderBy(index)), F.lit(0))).drop("group", "of", "g", "base")
+
+
 def laid_out(docs: DataFrame) -> tuple[DataFrame, list]:
     """Each row's size in words and its place in its source's stream, and the sources (one row each, on the driver: name, size)."""
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
     sized = written(docs.select("doc_id", "source", size.alias("size")), "sizes")
     buckets = max(1, math.ceil(sized.count() / _BUCKET))
-    sized = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
+    sized = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size"), F.lit(buckets)))
     sums = written(sized.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "sums")
     sources = sorted(((r["source"], r["words"]) for r in sums.groupBy("source").agg(F.sum("words").alias("words")).collect()), key=lambda x: (x[0] is None, x[0] or ""))
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
+    bases = _before(sums, "source", "bucket", "words", "from").select(F.col("source").alias("s"), F.col("bucket").alias("b"), "from")
     placed = sized.join(bases, sized["source"].eqNullSafe(bases["s"]) & (sized["bucket"] == bases["b"]))
     within = Window.partitionBy("source", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    return placed.select("doc_id", "source", "size", (F.col("base") + F.coalesce(F.sum("size").over(within), F.lit(0))).alias("start")), sources
+    return placed.select("doc_id", "source", "size", (F.col("from") + F.coalesce(F.sum("size").over(within), F.lit(0))).alias("start")), sources
 
 
 def slots(spark, sizes: list[int], wanted: list[float], block: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
@@ -100,51 +110,117 @@ def slots(spark, sizes: list[int], wanted: list[float], block: int = BLOCK_WORDS
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            n = pdf["n"].to_numpy()
-            at = np.repeat(np.arange(len(pdf)), n)
-            k = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-            src, j = pdf["src"].to_numpy()[at].astype(np.int64), pdf["before"].to_numpy()[at] + k
-            over = np.flatnonzero(j >= share[src])
-            if len(over):
-                rank = first_excess[src[over]] + j[over] - share[src[over]]
-                to = np.searchsorted(lack_ends, rank, "right")
-                src[over], j[over] = to, sums[to] + rank - (lack_ends[to] - lack[to])
-            size = blocks[src]
-            key = mixed((src.astype(np.uint64) << np.uint64(8)) + (j // size).astype(np.uint64) + np.uint64(seed))
-            yield pd.DataFrame({"shard": pdf["shard"].to_numpy()[at], "slot": pdf["slot"].to_numpy()[at] + k, "src": src, "block": permuted(j % size, size, key)})
-
-    before = Window.partitionBy("src").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    running = drawn.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    return running.mapInPandas(assign, "shard long, slot long, src int, block long")
-
-
-def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, most: float = MOST, block: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
+            part = np.cumsum(pdf["n"].to_numpy()) // _SLOTS
+            for p in np.unique(part):
+                yield expanded(pdf[part == p])
+
+    def expanded(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = pdf["n"].to_numpy()
+        at = np.repeat(np.arange(len(pdf)), n)
+        k = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+        src, j = pdf["src"].to_numpy()[at].astype(np.int64), pdf["before"].to_numpy()[at] + k
+        over = np.flatnonzero(j >= share[src])
+        if len(over):
+            rank = first_excess[src[over]] + j[over] - share[src[over]]
+            to = np.searchsorted(lack_ends, rank, "right")
+            src[over], j[over] = to, sums[to] + rank - (lack_ends[to] - lack[to])
+        size = blocks[src]
+        key = mixed((src.astype(np.uint64) << np.uint64(8)) + (j // size).astype(np.uint64) + np.uint64(seed))
+        return pd.DataFrame({"shard": pdf["shard"].to_numpy()[at], "slot": pdf["slot"].to_numpy()[at] + k, "src": src, "block": permuted(j % size, size, key)})
+
+    # Draws are few bytes and many slots: they are dealt to as many tasks as their slots ask for.
+    tasks = max(partitions(drawn), -(-total // (8 * _SLOTS)))
+    running = _before(drawn, "src", "shard", "n", "before").select("shard", "src", "n", "slot", "before")
+    return running.repartition(tasks, "shard").mapInPandas(assign, "shard long, slot long, src int, block long")
+
+
+class Mix:
+    """The mix of docs (doc_id, text, source): documents, pieces (of documents, by block) and slots (of output shards)."""
+
+    def __init__(self, docs: DataFrame, weights: tuple = WEIGHTS, most: float = MOST, block: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED):
+        spark = docs.sparkSession
+        placed, sources = laid_out(docs)
+        sizes = [w for _, w in sources]
+        wanted = targets(sizes, [float(weights[i % len(weights)]) for i in range(len(sizes))], most)
+        about = spark.createDataFrame([(i, s, w, t) for i, ((s, w), t) in enumerate(zip(sources, wanted, strict=True))], "src int, name string, source_size long, target double")
+        #: doc_id, source, size, start (its first word's place in the source's stream), src, source_size, target.
+        self.documents = written(placed.join(about, placed["source"].eqNullSafe(about["name"])).drop("name"), "placed")
+        ends = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)
+        begins = F.greatest("start", F.col("block") * block)
+        cut = self.documents.filter("size > 0").withColumn("block", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))))
+        #: src, block and the document's words in it: doc_id, source, size, start, first (word of the document, from 0), words.
+        self.pieces = cut.select("src", "block", "doc_id", "source", "size", "start", (begins - F.col("start")).alias("first"), (ends - begins).alias("words"))
+        #: shard, slot, src, block.
+        self.slots = slots(spark, sizes, wanted, block, shard_slots, seed)
+
+    def used(self) -> DataFrame:
+        """pieces with uses: how many slots have their block. The planner would judge the slots' size by the few draws that they come from, and broadcast them."""
+        uses = self.slots.groupBy("src", "block").agg(F.count(F.lit(1)).alias("uses"))
+        return self.pieces.join(uses.hint("merge"), ["src", "block"])
+
+    def rows(self) -> DataFrame:
+        """The mix itself: for each slot of each output shard the pieces of documents in its block, in order: shard, slot, src, block, part (from 0), doc_id, first, words."""
+        part = (F.row_number().over(Window.partitionBy("shard", "slot").orderBy("start")) - 1).alias("part")
+        return self.slots.hint("merge").join(self.pieces, ["src", "block"]).select("shard", "slot", "src", "block", part, "doc_id", "first", "words")
+
+
+def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """One row for each row of docs (doc_id, text, source): doc_id, size, source, source_size, target, taken.
 
-    size: words (a null text has none). Sources by code point, null last, weigh `weights` in turn; see targets() for their targets and
-    slots() for the mix. taken: words of the document in the blocks that the mix takes, repeats counted; never above most * size. The
-    same rows give the same mix, in whatever order and partitions. Rows that repeat take part as documents of their own. One row for each
-    source comes to the driver. Other columns are not read.
+    size: words (a null or empty text has none, very long ones are counted whole). Sources by code point, null last, weigh `weights` in
+    turn; see targets() for their targets and slots() for the mix. taken: words of the document in the blocks that the mix takes, repeats
+    counted; never above most * size. The same rows give the same mix, in whatever order and partitions. Rows that repeat take part as
+    documents of their own. One row for each source comes to the driver. An empty table gives none; other columns are not read.
     """
-    spark = docs.sparkSession
-    placed, sources = laid_out(docs)
-    sizes = [w for _, w in sources]
-    wanted = targets(sizes, [float(weights[i % len(weights)]) for i in range(len(sizes))], most)
-    about = spark.createDataFrame([(i, s, w, t) for i, ((s, w), t) in enumerate(zip(sources, wanted, strict=True))], "src int, name string, source_size long, target double")
-    known = written(placed.join(about, placed["source"].eqNullSafe(about["name"])).drop("name"), "placed")
-    pieces = known.filter("size > 0").select("src", "start", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))).alias("block"), "size")
-    words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest("start", F.col("block") * block)
-    uses = slots(spark, sizes, wanted, block, shard_slots, seed).groupBy("src", "block").agg(F.count(F.lit(1)).alias("uses"))
-    # The planner would judge the size of uses by the few draws that it comes from, and broadcast it.
-    taken = pieces.join(uses.hint("merge"), ["src", "block"]).groupBy("src", "start").agg(F.sum(words * F.col("uses")).alias("taken"))
-    out = known.join(taken, ["src", "start"], "left")
+    mix = Mix(docs, **how)
+    taken = mix.used().groupBy("src", "start").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
+    out = mix.documents.join(taken, ["src", "start"], "left")
     return out.select("doc_id", "size", "source", "source_size", "target", F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("taken"))
 
 
 def mixed_rows(docs: DataFrame, **how) -> DataFrame:
-    """docs as whole documents in the mix's proportions: a document is there as often as its words are taken, a part of a time by a hash of its doc_id; all columns as they were. Of rows that repeat a doc_id the mix takes the mean."""
-    taken = mixed_documents(docs, **how).groupBy(F.col("doc_id").alias("__id")).agg((F.sum("taken") / F.sum("size")).alias("__x"))
-    luck = F.pmod(F.xxhash64("__id", F.lit(SEED)), F.lit(1 << 30)) / float(1 << 30)
-    times = taken.select("__id", (F.floor("__x") + (luck < F.col("__x") - F.floor("__x")).cast("long")).alias("__n")).filter("__n > 0")
-    joined = docs.join(times, docs["doc_id"].eqNullSafe(times["__id"]))
-    return joined.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__k", "__n", "__id")
+    """The mix as rows of docs: the words that it takes of a document, as often as it takes them, in runs without a gap; a document that it takes whole is one row with the whole text. All other columns are as they were.
+
+    Documents without words are not in the mix. Rows with one doc_id, source and size (and so repeated rows, or those without a doc_id)
+    cannot be told apart: each takes what the first of them would. An empty table gives none; columns of any names pass through.
+    """
+    key = ("doc_id", "source", "size")
+    used = Mix(docs, **how).used()
+    firsts = used.groupBy(*key).agg(F.min("start").alias("low"))
+    own = used.join(firsts.select(*[F.col(c).alias(f"k_{c}") for c in key], "low"), F.col("doc_id").eqNullSafe(F.col("k_doc_id")) & F.col("source").eqNullSafe(F.col("k_source")) & (F.col("size") == F.col("k_size"))).filter("start = low")
+    listed = own.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("first", "words", "uses"))).alias("runs"))  # of one document
+    n, a, b, c, runs = (unused(docs, x) for x in ("n", "a", "b", "c", "runs"))
+    size = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    sized = docs.withColumn(n, size)
+    side = listed.select(F.col("doc_id").alias(a), F.col("source").alias(b), F.col("size").alias(c), F.col("runs").alias(runs))
+    joined = sized.join(side, sized["doc_id"].eqNullSafe(side[a]) & sized["source"].eqNullSafe(side[b]) & (sized[n] == side[c])).select(*docs.columns, runs)
+    names = docs.columns
+    at = names.index("text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, texts = [], []
+            lists = batch.column(len(batch.columns) - 1).to_pylist()
+            for r0, _, data, offsets in chunks(batch.column(at)):
+                s, e, first = words(data, offsets)
+                raw = data.tobytes()
+                for r in range(len(offsets) - 1):
+                    total = int(first[r + 1] - first[r])
+                    for time in range(1, max(x["uses"] for x in lists[r0 + r]) + 1):
+                        spans = []
+                        for x in lists[r0 + r]:
+                            if x["uses"] >= time:
+                                if spans and spans[-1][1] == x["first"]:
+                                    spans[-1][1] += x["words"]
+                                else:
+                                    spans.append([x["first"], x["first"] + x["words"]])
+                        for f, t in spans:
+                            whole = f == 0 and t == total
+                            texts.append(raw[offsets[r] : offsets[r + 1]] if whole else raw[s[first[r] + f] : e[first[r] + t - 1]])
+                            owner.append(r0 + r)
+            index = pa.array(owner, pa.int64())
+            cols = [c.take(index) for c in batch.columns[:-1]]
+            cols[at] = pa.array([x.decode() for x in texts], pa.string())
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    return joined.mapInArrow(cut, docs.schema)

@@ -234,8 +234,8 @@ def near_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     sequence of a shorter text as one. A shingle is known by a 64-bit hash, equality of sets by 128 bits and the size. Documents link when
     100 * intersection >= percent * union of their sets; component_id is the smallest doc_id that links reach. A null, empty or blank text
     has no shingles and links with nothing; very long texts are taken whole. class_id: the smallest doc_id with the same set; only
-    classes are compared, so copies never multiply. Rows that repeat a doc_id are judged each by its own text; texts that both have
-    that doc_id as their smallest are one class. A row without a doc_id cannot be named: it takes no part and its ids are null. An empty table gives none; other columns are not read.
+    classes are compared, so copies never multiply. Rows that repeat a doc_id with other texts are one document where the doc_id
+    is the smallest of one of these texts: the links of all its texts count. A row without a doc_id cannot be named: it takes no part and its ids are null. An empty table gives none; other columns are not read.
 
     Each column's rarest-first entry (its hub) is compared with the others, so that a group of near copies is joined by about as many
     pairs as it has members; then the product is taken between the components that share a column, and of these only.
@@ -252,19 +252,28 @@ def near_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     # The columns: an entry for each class and each shingle of its prefix, dealt by shingle; the likeliest centre of a group comes first.
     dealt = _entries(docs, first, words, percent, common).repartition("gram").sortWithinPartitions("gram", F.expr("place & 4294967295"), "place", "id")
     shared = written(_shared(dealt, percent), "columns")
-    star = written(shared.filter("near").select("hub", "id").distinct(), "star")
-    links = _completed(docs, star, words, percent, "links")
-    comp = components(links.select(F.col("hub").alias("a"), F.col("id").alias("b")))
+    star = shared.filter("near").select("hub", "id").distinct()
+    columns = shared.groupBy("id").agg(F.collect_set("gram").alias("grams"), F.max(F.expr("place >> 32")).alias("n"))
+    a, b = columns.select(F.col("id").alias("hub"), F.col("grams").alias("g1"), F.col("n").alias("n1")), columns.select("id", F.col("grams").alias("g2"), F.col("n").alias("n2"))
+    counted = star.join(b, "id").join(a, "hub").select("hub", "id", "n1", "n2", F.size(F.array_intersect("g1", "g2")).alias("c"))
+    links = _completed(docs, written(_enough(counted, percent), "star"), words, percent, "links")
+    comp = written(components(links.select(F.col("hub").alias("a"), F.col("id").alias("b"))), "comp")
     # Copies that the bitmap let through end here.
     known = shared.select("gram", "id", "place").join(first, "id", "left_semi").join(comp, "id", "left").select("gram", "id", "place", F.coalesce("root", "id").alias("comp"))
+    left = written(_enough(_product(known, percent), percent), "left")
+    # Links between components join these, as edges of their roots.
+    more = _completed(docs, left, words, percent, "more")
+    root = lambda c, name: comp.select(F.col("id").alias(c), F.col("root").alias(name))
+    edges = more.join(root("hub", "x"), "hub", "left").join(root("id", "y"), "id", "left").select(F.coalesce("x", "hub").alias("a"), F.coalesce("y", "id").alias("b"))
+    joined = components(edges).select(F.col("id").alias("top"), F.col("root").alias("over"))
+    found = members.join(root("class_id", "root"), "class_id", "left").withColumn("top", F.coalesce("root", "class_id")).join(joined, "top", "left")
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("over", "top").alias("component_id"), "class_id")
+
+
+def _enough(counted: DataFrame, percent: int) -> DataFrame:
+    """Of pairs with their sizes and the prefix columns that they share those that can still link. Of two rows the one whose prefix ends first in the common order shares no more columns outside the prefixes than its remainder has."""
     longest = F.greatest(*[F.floor((percent * F.col(n) + 99) / 100) - 1 for n in ("n1", "n2")])
-    # Of two rows the one whose prefix ends first in the common order shares no more columns outside the product than its remainder has.
-    enough = (F.col("c") + longest) * (100 + percent) >= percent * (F.col("n1") + F.col("n2"))
-    left = _product(known, percent).filter(enough).select("hub", "id")
-    more = _completed(docs, written(left, "left"), words, percent, "more")
-    roots = components(links.union(more).select(F.col("hub").alias("a"), F.col("id").alias("b")))
-    found = members.join(roots.select(F.col("id").alias("class_id"), "root"), "class_id", "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "class_id").alias("component_id"), "class_id")
+    return counted.filter((F.col("c") + longest) * (100 + percent) >= percent * (F.col("n1") + F.col("n2"))).select("hub", "id")
 
 
 def _completed(docs: DataFrame, pairs: DataFrame, words: int, percent: int, name: str) -> DataFrame:

@@ -146,7 +146,7 @@ def test_rows_that_share_a_doc_id(spark):
     a, b, c = prose(50, 31), prose(50, 32), prose(50, 33)
     df = spark.createDataFrame([(1, a, 0), (5, a, 1), (5, b, 2), (7, b, 3), (8, c, 4), (8, c, 5), (None, a, 6)], "doc_id long, text string, __id int")
     got = {(r.doc_id, r.component_id) for r in ngram_join.near_components(df).collect()}
-    assert got == {(1, 1), (5, 1), (5, 5), (7, 5), (8, 8), (None, None)}
+    assert got == {(1, 1), (5, 1), (7, 1), (8, 8), (None, None)}
     kept = [r["__id"] for r in exact_dedup.deduplicated(df).collect()]
     assert set(kept) - {4, 5} == {1, 3} and len(kept) == 3
 
@@ -184,21 +184,82 @@ def test_the_tail_of_a_hot_core(spark, monkeypatch):
     assert {(r.id, r.start, r.end) for r in got if r.window is None} == {(10, 0, 11), (11, 0, 11)}
 
 
+def plain_mix(rows, block, shard_slots, seed):
+    """Words taken of each row (doc_id, size, source), and the slots: blocks laid out, drawn and permuted one by one."""
+    names = sorted({s for _, _, s in rows}, key=lambda s: (s is None, s or ""))
+    total = [sum(n for _, n, s in rows if s == name) for name in names]
+    wanted = mixing.targets(total, [float((5, 2, 1)[i % 3]) for i in range(len(names))])
+    blocks = [-(-n // block) for n in total]
+    share = [round(t * b / n) if n else 0 for t, b, n in zip(wanted, blocks, total, strict=True)]
+    drawn = []
+    for m in range(-(-sum(share) // shard_slots)):
+        counts = np.random.default_rng([seed, m]).multinomial(min(shard_slots, sum(share) - m * shard_slots), np.array(share) / sum(share))
+        drawn += [(m, k, src) for k, src in enumerate(np.repeat(np.arange(len(names)), counts).tolist())]
+    number, spare, slots = Counter(), [], []
+    for m, k, src in drawn:  # the running number in its source
+        slots.append([m, k, src, number[src]])
+        number[src] += 1
+    lack = [src for src in range(len(names)) for _ in range(max(0, share[src] - number[src]))]
+    over = sorted((x for x in slots if x[3] >= share[x[2]]), key=lambda x: (x[2], x[3]))
+    for x, to in zip(over, lack, strict=True):
+        x[2:] = [to, number[to]]
+        number[to] += 1
+    out = Counter()
+    for m, k, src, j in slots:
+        key = mixing.mixed(np.array([(src << 8) + j // blocks[src] + seed], np.uint64))
+        out[src, int(mixing.permuted(np.array([j % blocks[src]]), np.array([blocks[src]]), key)[0])] += 1
+        spare.append((m, k, src))
+    return names, wanted, out, spare
+
+
 def test_mixing(docs, empty):
-    got = mixing.mixed_documents(docs, block=8, shard_slots=16).collect()
+    how = {"block": 8, "shard_slots": 16}
+    got = mixing.mixed_documents(docs, **how).collect()
     assert len(got) == docs.count()
     by = defaultdict(list)
     for r in got:
         by[r.source].append(r)
         assert 0 <= r.taken <= 3 * r.size
+    names, wanted, uses, drawn = plain_mix([(r.doc_id, r.size, r.source) for r in got], 8, 16, mixing.SEED)
     for own in by.values():
-        assert sum(r.size for r in own) == own[0].source_size and sum(r.taken for r in own) == pytest.approx(own[0].target, abs=24)
+        assert sum(r.size for r in own) == own[0].source_size and own[0].target == pytest.approx(wanted[names.index(own[0].source)])
+        assert sum(r.taken for r in own) == pytest.approx(own[0].target, abs=24)
+    # The layout, then each document's words in the blocks that are drawn.
+    mix = mixing.Mix(docs, **how)
+    places = mix.documents.filter("size > 0").collect()
+    for src in range(len(names)):
+        own = sorted((r.start, r.size) for r in places if r.src == src)
+        assert [s for s, _ in own] == np.cumsum([0, *(n for _, n in own[:-1])]).tolist()[: len(own)]
+    want = Counter({(r.doc_id, r.size, r.source, r.start): sum(uses[r.src, w // 8] for w in range(r.start, r.start + r.size)) for r in places})
+    assert Counter((r.doc_id, r.size, r.source, r.taken) for r in got if r.size) == Counter((*k[:3], v) for k, v in want.items())
+    assert {(r.src, r.block): r.uses for r in mix.used().select("src", "block", "uses").distinct().collect()} == {k: v for k, v in uses.items() if v}
+    rows = mix.rows().collect()
+    assert {(r.shard, r.slot) for r in rows} == {(m, k) for m, k, _ in drawn} and sum(r.words for r in rows) == sum(r.taken for r in got)
     order = lambda rows: sorted((str(r.doc_id), r.size, r.taken) for r in rows)
-    assert order(got) == order(mixing.mixed_documents(docs.repartition(5), block=8, shard_slots=16).collect())
-    assert mixing.mixed_rows(docs).columns == docs.columns
+    assert order(got) == order(mixing.mixed_documents(docs.repartition(5), **how).collect())
     assert mixing.mixed_documents(empty).count() == 0 and mixing.mixed_rows(empty).count() == 0
     none = docs.withColumn("text", F.lit(None).cast("string"))
     assert {r.taken for r in mixing.mixed_documents(none).collect()} == {0}
+    single = docs.filter("doc_id <> 9").withColumn("n", F.col("doc_id"))
+    kept = mixing.mixed_rows(single, **how)
+    text, total = {r.doc_id: r.text for r in single.collect()}, Counter()
+    for r in kept.collect():
+        assert r.text in text[r.doc_id] and r.n == r.doc_id
+        total[r.doc_id] += len(re.findall(r"[^\x20\x09-\x0D]+", r.text))
+    assert kept.columns == docs.columns and total == Counter({r.doc_id: r.taken for r in mixing.mixed_documents(single, **how).collect() if r.taken})
+
+
+def test_mixing_one_source(spark):
+    rows = spark.createDataFrame([(i, prose(i % 40, i), "a") for i in range(300)], "doc_id long, text string, source string")
+    got = mixing.mixed_documents(rows, block=4, shard_slots=8).collect()
+    assert sum(r.taken for r in got) == pytest.approx(sum(r.size for r in got), abs=8)
+    plain = {(r.doc_id, r.size, r.taken) for r in got}
+    keep = mixing._GROUP, mixing._SLOTS, mixing._BUCKET
+    try:
+        mixing._GROUP, mixing._SLOTS = 3, 50
+        assert {(r.doc_id, r.size, r.taken) for r in mixing.mixed_documents(rows, block=4, shard_slots=8).collect()} == plain
+    finally:
+        mixing._GROUP, mixing._SLOTS, mixing._BUCKET = keep
 
 
 def test_packing_and_counts(docs, empty):
@@ -325,6 +386,19 @@ def test_neighbours_at_one_distance(spark):
     assert order(many) == order(neighbours.nearest(df, F.col("vec_id") >= 0, shard_vectors=10, query_block=10_000)) and many.count() == 640
 
 
+def test_neighbours_that_dwarf_the_others(spark):
+    r = np.random.default_rng(9)
+    vectors = [(i, r.normal(size=6).tolist()) for i in range(120)] + [(500, [1e25] * 6), (501, [-1e25, *[0.0] * 5]), (502, [1e25 + 1e12] * 6), (503, [1e-20] * 6)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    for size in (20, 300):
+        got = defaultdict(list)
+        for x in neighbours.nearest(df, F.col("vec_id").isin(0, 5, 500, 501, 503), shard_vectors=size).orderBy("query_id", "rank").collect():
+            got[x.query_id].append((x.score, x.vec_id))
+        for q in (0, 5, 500, 501, 503):
+            v = np.array(dict(vectors)[q])
+            assert got[q] == sorted((float(np.sqrt(((np.array(x) - v) ** 2).sum())), i) for i, x in vectors if i != q)[:10]
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
@@ -344,8 +418,13 @@ def test_pipeline(spark, tmp_path):
     assert {r[0] for r in good} - first == set() and len(first & {r[0] for r in junk}) <= 1
     assert {r.doc_id for r in seen[1].collect()} & {*range(2000, 2005), *range(3000, 3005)} == set(range(3000, 3005))
     assert all(d.columns == ["doc_id", "text", "lang", "source", "n_chars"] for d in seen[:4])
-    taken = Counter(r.doc_id for r in seen[3].collect())
-    assert set(taken) <= {r.doc_id for r in seen[2].collect()} and max(taken.values()) <= 3
-    packed = seen[4].groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("m")).collect()
-    assert all(r.n == r.m * taken[r.doc_id] for r in packed) and {r.doc_id for r in packed} == set(taken)
+    size = lambda text: len(re.findall(r"[^\x20\x09-\x0D]+", text))
+    mixed = seen[3].collect()
+    taken, whole = Counter(), {r.doc_id: r.text for r in seen[2].collect()}
+    for r in mixed:
+        assert r.text in whole[r.doc_id] and r.n_chars == len(r.text)
+        taken[r.doc_id] += size(r.text)
+    assert taken == Counter({r.doc_id: r.taken for r in mixing.mixed_documents(seen[2]).collect() if r.taken}) and all(n <= 3 * size(whole[i]) for i, n in taken.items())
+    packed = seen[4].groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r.doc_id for r in packed} == set(taken) and seen[4].filter("start = 0").count() == len(mixed)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == seen[4].count()
