@@ -1,11 +1,13 @@
 """A training corpus from raw documents: quality, exact copies, near copies, the mix of sources, packing.
 
+Extra columns of documents pass through all stages but the last; an empty table gives an empty one.
 Each stage takes (spark, docs, sf_dir), works on all rows that the one before kept, and is written as Parquet and reread.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from contrada.llm import exact_dedup, mixing, ngram_join, packing, quality
 from contrada.llm.common import table, written
@@ -13,27 +15,27 @@ from contrada.llm.queries import tokenizer_path
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, learned from the labels, rejects go."""
+    """Documents that the quality classifier, learned from the labels, rejects go; null, empty and very long texts are scored whole like others, and so are repeated rows and those without a doc_id."""
     return quality.kept(docs, table(spark, sf_dir, "labels"))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
+    """Of equal texts the row with the largest doc_id stays; null and empty texts are equal, of repeated rows one stays."""
     return exact_dedup.deduplicated(docs)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates stays."""
+    """One document of each component of near-duplicates stays, the one of the smallest doc_id; texts without words and rows without a doc_id all stay."""
     return ngram_join.deduplicated(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of their sources takes their words."""
-    return mixing.mixed_rows(docs)
+    """The mix of sources: the words that it takes of documents, as often as it takes them, in runs without a gap; documents without words go, a null source is a source, and n_chars is the run's."""
+    return mixing.mixed_rows(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences, with their token ids."""
+    """The pieces of the packed sequences, with their token ids: every row is packed, a null or empty text as its end id alone."""
     return packing.packed(docs, tokenizer_path())
 
 
