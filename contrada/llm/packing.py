@@ -1,7 +1,12 @@
-"""Packing token ids into windows: repeat counts of length combinations by non-negative least squares, the rest greedily."""
+"""Packing token ids into windows: repeat counts of length combinations by non-negative least squares, the rest greedily.
+
+A combination is a few lengths that fill the window to the last id, so that documents in it stay whole. What no combination takes is laid
+end to end and cut at window ends.
+"""
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,64 +23,64 @@ WINDOW = 1024
 SHARD_TOKENS = 2_000_000
 #: Tasks up to which their sequence numbers are broadcast: 16 bytes each.
 BROADCAST_TASKS = 500_000
-#: Lengths of which combinations of three are built: so many of the commonest.
-COMMON = 48
+#: Combinations that are drawn, their lengths at most, and plans that are made, each for what the one before left.
+DRAWS, DEPTH, PLANS = 2000, 64, 4
 
 
-def combinations(counts: np.ndarray, window: int) -> np.ndarray:
-    """Combinations of two or three lengths that fill the window, as rows of three lengths (0: none), of lengths that occur."""
+def combinations(counts: np.ndarray, window: int, seed: int = 0) -> np.ndarray:
+    """Combinations of lengths that occur and fill the window, as rows of lengths (0: none), longest first: all of two lengths, and others that are drawn as often as their lengths occur, until a length that occurs fills the rest."""
     have = np.flatnonzero(counts)
-    two = have[(have <= window - have) & (counts[window - have] > 0)]
-    rows = [np.stack([two, window - two, np.zeros_like(two)], 1)]
-    often = np.sort(have[np.argsort(-counts[have], kind="stable")[:COMMON]])
-    a, b = (x.ravel() for x in np.meshgrid(often, often))
-    c = window - a - b
-    ok = (a <= b) & (c >= 1)
-    a, b, c = a[ok], b[ok], c[ok]
-    ok = counts[c] > 0
-    rows.append(np.sort(np.stack([a[ok], b[ok], c[ok]], 1), axis=1))
-    return np.unique(np.concatenate(rows), axis=0)
-
-
-def nnls(columns: np.ndarray, target: np.ndarray, rounds: int = 300) -> np.ndarray:
-    """x >= 0 of the least |A x - target|, where column j of A counts the lengths in columns[j]; accelerated projected gradient."""
-    real = columns > 0
+    two = have[(have <= window - have) & (counts[np.maximum(window - have, 0)] > (have == window - have))]
+    drawn = np.random.default_rng(seed).choice(have, (DRAWS, DEPTH), p=counts[have] / counts[have].sum()) if len(have) else np.zeros((0, DEPTH), np.int64)
+    rest = window - np.cumsum(drawn, 1)  # after each length
+    closes = (rest > 0) & (rest < len(counts)) & (counts[np.clip(rest, 0, len(counts) - 1)] > 0)
+    rows, at = np.flatnonzero(closes.any(1)), closes.argmax(1)
+    rows = rows[at[rows] + 1 < DEPTH]
+    out = np.zeros((len(two) + len(rows), DEPTH), np.int64)
+    out[: len(two), :2] = np.stack([window - two, two], 1)
+    out[len(two) :] = np.where(np.arange(DEPTH) <= at[rows][:, None], drawn[rows], 0)
+    out[len(two) + np.arange(len(rows)), at[rows] + 1] = rest[rows, at[rows]]
+    out = np.unique(-np.sort(-out, axis=1), axis=0)
+    return out[:, : max(1, int((out > 0).sum(1).max(initial=0)))]
+
+
+def nnls(columns: np.ndarray, target: np.ndarray, rounds: int = 150) -> np.ndarray:
+    """x >= 0 of the least |A x - target|, where column j of A counts the lengths in columns[j]; accelerated projected gradient over columns scaled to sum 1."""
+    real, size = columns > 0, (columns > 0).sum(1)
 
     def product(x):
-        return np.bincount(columns[real], weights=np.broadcast_to(x[:, None], columns.shape)[real], minlength=len(target))
+        return np.bincount(columns[real], weights=np.broadcast_to((x / size)[:, None], columns.shape)[real], minlength=len(target))
 
-    use = product(np.ones(len(columns)))
-    step = 1.0 / max(1.0, 3.0 * use.max())  # 3 bounds a column's sum, use.max() a row's
-    x = y = np.zeros(len(columns))
+    step = 1.0 / max(1e-9, product(np.ones(len(size))).max())  # a column's sum is 1, this is the largest of a row
+    x = y = np.zeros(len(size))
     t = 1.0
     goal = np.where(np.arange(len(target)) > 0, target, 0).astype(float)
     for _ in range(rounds):
         rest = product(y) - goal
-        new = np.maximum(0.0, y - step * np.where(real, rest[columns], 0.0).sum(1))
+        new = np.maximum(0.0, y - step * np.where(real, rest[columns], 0.0).sum(1) / size)
         after = (1 + np.sqrt(1 + 4 * t * t)) / 2
         y = new + (t - 1) / after * (new - x)
         x, t = new, after
-    return x
+    return x / size
 
 
 def plan(counts: np.ndarray, window: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths, repeats) of the combinations to use; no more of a length than counts has."""
-    columns = combinations(counts, window)
-    if not len(columns):
-        return []
-    x = nnls(columns, counts)
+    """(lengths, repeats) of the combinations to use; no more of a length than counts has. The solution is rounded, then combinations are used as long as lengths are left for them, the likeliest first."""
     left, out = counts.copy(), []
-    for j in np.argsort(-x, kind="stable"):
-        times = int(np.rint(x[j]))
-        if times < 1:
+    for again in range(PLANS):
+        columns = combinations(left, window, again)
+        if not len(columns):
             break
-        lengths = tuple(int(v) for v in columns[j] if v)
-        for v in set(lengths):
-            times = min(times, int(left[v]) // lengths.count(v))
-        if times:
-            for v in lengths:
-                left[v] -= times
-            out.append((lengths, times))
+        x = nnls(columns, left)
+        order = np.argsort(-x, kind="stable")
+        each = [Counter(c[c > 0].tolist()) for c in columns]
+        for wanted in (np.rint(x).astype(np.int64), np.full(len(x), int(left.sum()))):
+            for j in order[wanted[order] > 0].tolist():
+                times = min(int(wanted[j]), *(int(left[v]) // n for v, n in each[j].items()))
+                if times > 0:
+                    for v, n in each[j].items():
+                        left[v] -= n * times
+                    out.append((tuple(each[j].elements()), times))
     return out
 
 
@@ -116,10 +121,11 @@ def pack(sizes: np.ndarray, window: int = WINDOW) -> tuple[dict[str, np.ndarray]
 def packed(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = 0) -> DataFrame:
     """The pieces of all docs (doc_id, text): doc_id, start, length, ids (unsigned 32-bit, little-endian), doc_tokens, sequence_id, offset.
 
-    A document is its ids and then end_id; a null or empty text is end_id alone. Whole windows stand alone; what is left of a document is
+    A document is its ids and then end_id; a null or empty text is end_id alone, a very long one is encoded and cut whole. Whole windows stand alone; what is left of a document is
     combined with others, in shards of about SHARD_TOKENS ids within a task, so nothing is shuffled but one number for each task. Each id
     is in exactly one piece. A sequence holds up to `window` ids; only the last of a shard can hold fewer. sequence_id counts from 0.
-    Rows that repeat, or whose doc_id is null, are packed as documents of their own. Other columns are not read.
+    Rows that repeat, or whose doc_id is null, are packed as documents of their own. An empty table gives none; other
+    columns are not read.
     """
     schema = "doc_id long, start long, length long, ids binary, doc_tokens long, part long, local long, offset long"
 

@@ -76,17 +76,28 @@ def test_pack(sizes):
 
 
 def test_nnls():
-    counts = np.zeros(17)
+    counts = np.zeros(17, np.int64)
     counts[[4, 12, 8]] = [10, 10, 6]
-    cols = packing.combinations(counts, 16)
-    x = packing.nnls(cols, counts, rounds=2000)
+    columns = packing.combinations(counts, 16)
+    assert (columns.sum(1) == 16).all() and {(12, 4), (8, 8)} <= {tuple(c[c > 0].tolist()) for c in columns}
+    x = packing.nnls(columns, counts, rounds=3000)
     got = np.zeros(17)
-    for c, v in zip(cols, x, strict=True):
-        for k in c[c > 0]:
-            got[k] += v
+    for c, v in zip(columns, x, strict=True):
+        np.add.at(got, c[c > 0], v)
     assert np.abs(got - counts).max() < 0.05 and (x >= 0).all()
 
 
+@pytest.mark.parametrize("low, high, least", [(20, 300, 0.85), (5, 60, 0.85), (200, 900, 0.6), (1, 1024, 0.6)])
+def test_documents_that_the_plan_keeps_whole(low, high, least):
+    sizes = np.random.default_rng(3).integers(low, high, 6000)
+    counts = np.bincount(sizes, minlength=1025)
+    used = np.zeros_like(counts)
+    for lengths, times in packing.plan(counts, 1024):
+        assert sum(lengths) == 1024
+        np.add.at(used, list(lengths), times)
+    assert (used <= counts).all() and used.sum() >= least * len(sizes)
+
+
 def test_suffix_arrays():
     rng = np.random.default_rng(1)
     for n, k in [(0, 1), (1, 1), (2, 1), (60, 2), (400, 3), (700, 1), (1500, 26)]:

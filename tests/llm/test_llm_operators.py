@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import string
 import zlib
 from collections import Counter, defaultdict
 
@@ -338,6 +339,80 @@ def test_secrets(spark, docs, empty):
     assert secrets.scanned(empty).count() == 0
 
 
+def plain_base(text):
+    """kind:start:end of the base matches, by a scan from every place."""
+    out = []
+    head = re.compile(r"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?", re.IGNORECASE | re.ASCII)
+    for kind in ("assign", "access", "hex"):
+        at = 0
+        while at < len(text):
+            end = None
+            if kind == "assign":
+                m = head.match(text, at)
+                if m:
+                    tail = re.compile(r"[A-Za-z0-9+/_.=-]*").match(text, m.end())
+                    if tail.end() > m.end():
+                        end, size = tail.end(), tail.end() - m.end()
+            else:
+                prefix, chars, least = ("AKIA", string.ascii_uppercase + string.digits, 20) if kind == "access" else ("", string.digits + "abcdef", 24)
+                end = at + len(prefix)
+                while text.startswith(prefix, at) and end < len(text) and text[end] in chars:
+                    end += 1
+                size = end - at
+                end = end if text.startswith(prefix, at) and size > len(prefix) else None
+            if end is None:
+                at += 1
+                continue
+            if size >= {"assign": 6, "access": 20, "hex": 24}[kind]:
+                out.append((at, kind, end))
+            at = end
+    return [f"{k}:{a}:{e}" for a, k, e in sorted(out, key=lambda x: (x[0], ("assign", "access", "hex").index(x[1])))]
+
+
+def test_secret_query(spark, tmp_path):
+    r = random.Random(12)
+    parts = ["password=abc12", "PassWord : 'abcdef'", "token = ", "api_key:\"a1b2c3d4e5f6a1b2c3d4e5f6\"", "AKIA" + "A1B2" * 4, "AKIAAKIA" + "Z" * 12, "AKIA12", "ab12" * 6, "ab12" * 5 + "abc", "secret: é", "日本 passwd=ééé", "apikey=secret=token=abcdefg", "\n", "word", "12.5", "deadbeef" * 4 + "G"]
+    texts = [None, "", *(r.choice(["", " ", "\n"]).join(r.choice(parts) + r.choice([" ", "", ". "]) for _ in range(r.randint(1, 14))) for _ in range(300))]
+    texts.append("word " * 300_000 + "token=" + "x" * 2_000_000 + " tail " + "0a" * 14)  # 3.5 MB
+    spark.createDataFrame([(i, t) for i, t in enumerate([*texts, texts[7]])], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(queries.op5_secret_scan(spark, str(tmp_path)).collect(), key=lambda x: x.doc_id)
+    assert len(got) == len(texts) + 1
+    for x in got:
+        want = plain_base([*texts, texts[7]][x.doc_id] or "")
+        assert [s for s in x.spans.split(",") if s and not s.startswith("crf")] == want and x.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert (x.n_assign, x.n_access, x.n_hex) == tuple(sum(w.startswith(k) for w in want) for k in ("assign", "access", "hex"))
+
+
+def test_the_field_adds_what_patterns_miss(spark):
+    """Secrets of shapes and wordings that no base pattern has, among prose with ordinary numbers, addresses and dates: nearly all are found, and little else."""
+    r = random.Random(13)
+    some = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    mixed = string.ascii_letters + string.digits
+    hidden = [
+        lambda: ("the pwd is {}", some(mixed, 14) + "7"), lambda: ("Authorization: Bearer {}", some(mixed, 40)), lambda: ("passphrase: {}", some(string.ascii_lowercase, 15)), lambda: ("use key {} here", "-".join(some(string.digits + "ABCDEF", 5) for _ in range(4))),
+        lambda: ("credentials {} for all", some(mixed, 22) + "9"), lambda: ("{}", "tk_live_" + some(mixed, 26)), lambda: ("PIN -> {}", some(string.ascii_uppercase + string.digits, 16)), lambda: ("{}", some(mixed + "+/", 48) + "=="),
+    ]
+    plain = ["on 2021-11-30", "call 555-0172", "see http://abc.de/f1", "mail to ann.b7@site.org", "costs 12,50", "at 9:45", "(section 4b)", "the secret garden", "a token of love", "key findings", "version 2.10.3", "order 99817263"]
+    texts, planted = [], []
+    for i in range(240):
+        words = prose(60, 3000 + i).split()
+        want = None
+        if i % 2:
+            form, value = r.choice(hidden)()
+            words.insert(30, form.format(value))
+            want = value
+        words.insert(r.randint(1, 25), r.choice(plain))
+        words.insert(r.randint(35, 55), r.choice(plain))
+        texts.append(" ".join(words))
+        planted.append(want)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {x.doc_id: [texts[x.doc_id][s.start : s.end] for s in x.spans if s.kind == "crf"] for x in secrets.scanned(rows).collect()}
+    hit = sum(any(v.strip("=").startswith(s.strip("=")) or v in s for s in found[i]) for i, v in enumerate(planted) if v)
+    other = sum(1 for i, v in enumerate(planted) for s in found[i] if not v or not (v.strip("=").startswith(s.strip("=")) or v in s))
+    assert hit >= 0.8 * 120 and other <= 0.1 * hit, (hit, other, [(s, planted[i]) for i in found for s in found[i] if s != planted[i]][:20])
+    assert not any(x.spans for x in secrets.scanned(rows.filter("doc_id % 2 = 3")).collect())
+
+
 def test_urls(spark):
     urls = ["http://A.Example.ORG/es/x?q", "https://example.org/en/1x", "http://example.org", "http://myexample.org/es/", "ftp://x.com/fr/", "ftp://x.com/de/a#b", "ftp://x.com/de/c", "ftp://x.com/it", "no url", None, "http://q.net/?://", "http://x.com/it", "http://é.ORG/"]
     pages = spark.createDataFrame([(i, u, "h", "b") for i, u in enumerate(urls)] + [(7, urls[7], "h", "b")], "page_id long, url string, host string, verdict string")
