@@ -1,9 +1,9 @@
 """Suffix-array dedup: bytes covered by strings of a set length that start more than once in the corpus go.
 
 A repeat is found where its anchor is: the least hash among its short grams, which is the same wherever the repeat stands. Stretches whose
-windows share an anchor are dealt by it; equal stretches are repeats as they are. Of the others every window holds the same core, which
-becomes one symbol, so that a shard's suffix array, built by induced sorting, is over the core's neighbourhood only; neighbours in the array
-with a common prefix of a window's length are repeats.
+windows share an anchor are dealt by it; stretches of equal 64-bit hashes are repeats as they are. Of the others every window holds the
+same core (known by a 64-bit hash), which becomes one symbol, so that a shard's suffix array, built by induced sorting, is over the core's
+neighbourhood only; suffixes whose permuted common prefix with the one before them in the array is a window long are repeats.
 """
 
 from __future__ import annotations
@@ -21,8 +21,10 @@ from .bytetext import chunks, mixed, span_hashes
 from .common import written
 
 LENGTH, GRAM, WIDTH = 200, 32, 16
-#: Symbols of a shard's suffix array, about; a core with more of them is handled window by window, by counting.
+#: Symbols of a shard's suffix array, about; of a core with more rows each window is known by a hash, and these are counted: the same result without an array that would not fit.
 SHARD_SYMBOLS, HOT_ROWS = 200_000, 50_000
+#: Longest string length: sizes and places of stretches are kept in so many bits.
+MOST_LENGTH, _BITS = 16_384, 15
 _PIECE = 1 << 23
 
 
@@ -99,19 +101,31 @@ def _induced(s: np.ndarray) -> list[int]:
     return induce(order)
 
 
+def permuted_common_prefixes(text: np.ndarray, sa: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each suffix, in the order of the text, the suffix before it in the array (-1: none) and how many symbols above 0 both begin with, up to `most`: from one suffix to the next that number falls by one at most."""
+    before = np.full(len(text), -1, np.int64)
+    before[sa[1:]] = sa[:-1]
+    sym, out, h = [*text.tolist(), 0], [0] * len(text), 0
+    for i, j in enumerate(before.tolist()):
+        if j < 0:
+            h = 0
+            continue
+        while h < most and sym[i + h] == sym[j + h] and sym[i + h] > 0:
+            h += 1
+        out[i] = h
+        h = max(0, h - 1)
+    return before, np.array(out, np.int64)
+
+
 def repeated_windows(strings: list[np.ndarray], window: int) -> list[np.ndarray]:
     """Of strings of whole numbers from 1: for each the starts of its windows that are also elsewhere in any of them; permuted common prefixes, up to the window, tell."""
-    sizes = np.array([len(x) for x in strings])
+    sizes = np.array([len(x) for x in strings], np.int64)
     text = np.concatenate([y for x in strings for y in (x, [0])]) if strings else np.zeros(0, np.int64)
     first = np.cumsum(sizes + 1) - sizes - 1
-    sa = suffix_array(text)
-    padded = np.append(text, np.full(window, -1))
-    a, b = sa[1:], sa[:-1]
-    common = np.ones(len(a), bool)
-    for k in range(window):
-        common[common] = (padded[a[common] + k] == padded[b[common] + k]) & (padded[a[common] + k] > 0)
+    before, common = permuted_common_prefixes(text, suffix_array(text), window)
     hit = np.zeros(len(text) + 1, bool)
-    hit[a[common]] = hit[b[common]] = True
+    long_ = common >= window
+    hit[np.flatnonzero(long_)] = hit[before[long_]] = True
     return [np.flatnonzero(hit[f : f + n]) for f, n in zip(first.tolist(), sizes.tolist(), strict=True)]
 
 
@@ -158,27 +172,47 @@ def _pieces(data: np.ndarray, offsets: np.ndarray, length: int):
             yield data[a:z], own, a - int(offsets[r])
 
 
+def _packed(start, size, place):
+    return (start << (2 * _BITS)) | (size << _BITS) | place
+
+
+def _unpacked(at):
+    return at >> (2 * _BITS), (at >> _BITS) & ((1 << _BITS) - 1), at & ((1 << _BITS) - 1)
+
+
 def _scan(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """The stretches of docs (id, text): anchor, content, id, at (start, size and the anchor's place) and copies: 0, or of stretches that a batch holds more than once 1 for one of them, which goes on to meet other batches', and 2 for the rest, which are repeats already."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            made = []
             for at, _, data, offsets in chunks(b.column(1)):
                 for part, own, before in _pieces(data, offsets, length):
                     row, start, size, place, anchor, content = _stretches(part, own, length, gram)
-                    if len(row):
-                        yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(content), b.column(0).take(pa.array(at + row)), pa.array(((start + before) << 18) | (size << 9) | place)], names=["anchor", "content", "id", "at"])
+                    made.append((anchor, content, at + row, _packed(start + before, size, place)))
+            if not made:
+                continue
+            anchor, content, row, at = (np.concatenate(x) for x in zip(*made, strict=True))
+            if len(row):
+                order = np.lexsort((content, anchor))
+                same = np.concatenate(([False], (anchor[order[1:]] == anchor[order[:-1]]) & (content[order[1:]] == content[order[:-1]])))
+                copies = np.zeros(len(row), np.int8)
+                copies[order] = np.where(same, 2, np.where(np.append(same[1:], False), 1, 0))
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(content), b.column(0).take(pa.array(row)), pa.array(at), pa.array(copies)], names=["anchor", "content", "id", "at", "copies"])
 
-    return docs.mapInArrow(run, "anchor long, content long, id long, at long")
+    return docs.mapInArrow(run, "anchor long, content long, id long, at long, copies tinyint")
 
 
 def _sorted_runs(dealt: DataFrame) -> DataFrame:
-    """Of stretches sorted by anchor and content: those with an equal one (full), and those whose anchor has unequal ones (check: each single one, and the last of equal ones). One row waits for the next."""
+    """Of stretches sorted by anchor and content: those with an equal one (full), and those whose anchor may have unequal ones (check: each single one, and the last of equal ones). Equal stretches are in one partition, but its first and last anchor may go on in others. One row waits for the next."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wait, before = None, None  # before: anchor and content of the row before the waiting one, and whether its anchor had another content by then
+        wait, before, opening = None, None, None  # before: anchor and content of the row before the waiting one, and whether its anchor had another content by then
 
         def judged(b: pa.RecordBatch, after) -> pa.RecordBatch:
-            nonlocal before
+            nonlocal before, opening
             anchor, content = np.asarray(b.column(0)), np.asarray(b.column(1))
+            opening = anchor[0] if opening is None else opening
             pa_, pc, pe = before if before is not None else (None, None, False)
             same_a = np.concatenate(([before is not None and anchor[0] == pa_], anchor[1:] == anchor[:-1]))
             same_c = same_a & np.concatenate(([before is not None and content[0] == pc], content[1:] == content[:-1]))
@@ -186,9 +220,10 @@ def _sorted_runs(dealt: DataFrame) -> DataFrame:
             next_c = np.append(same_c[1:], after is not None and after[0] == anchor[-1] and after[1] == content[-1])
             i = np.arange(len(anchor))
             run_first = np.maximum.accumulate(np.where(~same_c, i, -1))
-            earlier = np.where(run_first >= 0, same_a[np.maximum(run_first, 0)], pe)
-            full = same_c | next_c
-            check = ~next_c & (earlier | (next_a & ~next_c))
+            earlier = np.where(run_first >= 0, same_a[np.maximum(run_first, 0)], pe) | (anchor == opening)
+            full = same_c | next_c | (np.asarray(b.column(4)) > 0)
+            check = ~next_c & (earlier | next_a)
+            check[-1] |= after is None
             before = (anchor[-1], content[-1], bool(earlier[-1]))
             keep = pa.array(full | check)
             return pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(full), pa.array(check)], names=["anchor", "id", "at", "full", "check"]).filter(keep)
@@ -205,7 +240,7 @@ def _sorted_runs(dealt: DataFrame) -> DataFrame:
         if wait is not None:
             yield judged(wait, None)
 
-    return dealt.mapInArrow(run, "anchor long, id long, at long, full boolean, check boolean")
+    return dealt.select("anchor", "content", "id", "at", "copies").mapInArrow(run, "anchor long, id long, at long, full boolean, check boolean")
 
 
 def _cores(joined: DataFrame, length: int, width: int) -> DataFrame:
@@ -220,7 +255,7 @@ def _cores(joined: DataFrame, length: int, width: int) -> DataFrame:
             for at, end, data, offsets in chunks(b.column(1)):
                 packed = at_all[first[at] : first[end]]
                 row = np.repeat(np.arange(at, end), counts[at:end])
-                start, size, place = packed >> 18, (packed >> 9) & 511, packed & 511
+                start, size, place = _unpacked(packed)
                 low, high = -place, size - length - place  # window starts, from the anchor
                 c0, c1 = low // width, high // width
                 n = c1 - c0 + 1
@@ -305,26 +340,32 @@ def _arrays(dealt: DataFrame, length: int, width: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Spans (id, start, end: bytes, end exclusive; they may overlap) of docs (doc_id, text) that cover exactly the bytes of strings of `length` bytes that start elsewhere too, in the same or another document."""
+    """Spans (id, start, end: bytes, end exclusive; they may overlap) of docs (doc_id, text) that cover exactly the bytes of strings of `length` bytes, up to MOST_LENGTH, that start elsewhere too, in the same or another document."""
+    if not 1 <= length <= MOST_LENGTH:
+        raise ValueError(f"strings of 1 to {MOST_LENGTH} bytes, not {length}")
     gram, width = min(GRAM, max(1, length // 4)), min(WIDTH, max(1, length // 4))
     own = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("id is not null")
-    runs = written(_sorted_runs(_scan(own, length, gram).repartition("anchor").sortWithinPartitions("anchor", "content")), "stretches")
+    scan = written(_scan(own, length, gram), "scan")
+    # By ranges: stretches of one anchor but unequal contents may be in several tasks, equal ones never.
+    single = scan.filter("copies < 2").repartitionByRange("anchor", "content").sortWithinPartitions("anchor", "content")
+    runs = written(_sorted_runs(single), "stretches")
     checks = runs.filter("check").groupBy("id").agg(F.collect_set("at").alias("at"))  # of one document
     cores = _cores(own.join(checks, "id").select("id", "text", "at"), length, width)
     found = written(_arrays(cores.repartition("key").sortWithinPartitions("key"), length, width), "repeats")
     counted = found.filter("window is not null")
     often = counted.groupBy("window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     rest = counted.join(often, "window").select("id", "start", (F.col("start") + length).alias("end"))
-    full = runs.filter("full").select("id", F.expr("at div 262144").alias("start"), F.expr("at div 262144 + (at div 512) % 512").alias("end"))
-    return full.union(found.filter("window is null").select("id", "start", "end")).union(rest)
+    whole = runs.filter("full").select("id", "at").union(scan.filter("copies = 2").select("id", "at"))
+    start, size = F.shiftright("at", 2 * _BITS), F.shiftright("at", _BITS).bitwiseAND(F.lit((1 << _BITS) - 1))
+    return whole.select("id", start.alias("start"), (start + size).alias("end")).union(found.filter("window is null").select("id", "start", "end")).union(rest)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (the remaining bytes).
 
     Each byte of the UTF-8 text that a repeated string of `length` bytes covers goes; all are judged on the input. A null or empty text
-    has no bytes. A row without a doc_id takes no part and is kept whole; rows that repeat are copies of each other, so all they hold in
-    strings of that length goes. Other columns are not read.
+    has no bytes, one of many megabytes is scanned in overlapping pieces. A row without a doc_id takes no part and is kept whole; rows that
+    repeat are copies of each other, so all they hold in strings of that length goes. An empty table gives none; other columns are not read.
     """
     spans = repeated_spans(docs, length).groupBy("id").agg(F.collect_set(F.struct("start", "end")).alias("spans"))  # of one document
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))

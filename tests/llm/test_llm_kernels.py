@@ -106,6 +106,21 @@ def test_suffix_arrays():
         assert suffix_dedup.suffix_array(t).tolist() == sorted(range(n), key=lambda i: x[i:])
 
 
+def test_permuted_common_prefixes():
+    rng = np.random.default_rng(7)
+    for most in (3, 50):
+        t = rng.integers(0, 3, 300)
+        sa = suffix_dedup.suffix_array(t)
+        before, common = suffix_dedup.permuted_common_prefixes(t, sa, most)
+        x, rank = t.tolist(), np.argsort(sa)
+        for i in range(len(x)):
+            j = int(sa[rank[i] - 1]) if rank[i] else -1
+            n = 0
+            while j >= 0 and n < most and max(i, j) + n < len(x) and x[i + n] == x[j + n] > 0:
+                n += 1
+            assert (before[i], common[i]) == (j, n)
+
+
 def test_repeated_windows():
     rng = np.random.default_rng(2)
     strings = [rng.integers(1, 3, rng.integers(0, 20)) for _ in range(30)]

@@ -155,7 +155,7 @@ def test_rows_that_share_a_doc_id(spark):
 def test_repeats(docs, empty, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT_ROWS", 4)
     rows = [r for r in docs.collect() if r.doc_id is not None]
-    for length in (60, 200):
+    for length in (60, 200, 300, 700):
         starts = Counter()
         for r in rows:
             b = (r.text or "").encode()
@@ -172,6 +172,9 @@ def test_repeats(docs, empty, monkeypatch):
             assert g.n_spans == int((gone & ~np.concatenate(([False], gone[:-1]))).sum())
         assert got[None].n_removed == 0
     assert suffix_dedup.without_repeats(empty).count() == 0
+    for length in (0, suffix_dedup.MOST_LENGTH + 1):
+        with pytest.raises(ValueError):
+            suffix_dedup.without_repeats(empty, length)
 
 
 def test_the_tail_of_a_hot_core(spark, monkeypatch):
@@ -213,6 +216,22 @@ def plain_mix(rows, block, shard_slots, seed):
     return names, wanted, out, spare
 
 
+def test_a_text_of_many_megabytes(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "_PIECE", 1 << 20)
+    r = random.Random(17)
+    body, passage = "".join(r.choices(string.ascii_lowercase + " ", k=3_000_000)), prose(60, 18)[:260]
+    texts = [body[:2_000_000] + passage + body[2_000_000:], prose(40, 19) + passage, body[-150:] + "x", passage[:199] + "!" + prose(20, 20)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    got = {x.doc_id: (x.n_removed, x.n_spans) for x in suffix_dedup.without_repeats(rows).collect()}
+    assert got == {0: (260, 1), 1: (260, 1), 2: (0, 0), 3: (0, 0)}
+    sizes = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.near_components(rows).collect()}
+    assert sizes == plain_components(list(enumerate(texts))) and [x.doc_id for x in exact_dedup.exact_groups(rows).filter("kept").orderBy("doc_id").collect()] == [0, 1, 2, 3]
+    pieces = packing.packed(rows, queries.tokenizer_path()).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("m")).collect()
+    assert all(x.n == x.m for x in pieces) and quality.statistics_table(rows).count() == 4
+    counts = token_counts.line_counts(rows, queries.tokenizer_path()).groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()
+    assert {x.doc_id: x.n for x in counts} == {x.doc_id: x.m - 1 for x in pieces}
+
+
 def test_mixing(docs, empty):
     how = {"block": 8, "shard_slots": 16}
     got = mixing.mixed_documents(docs, **how).collect()
