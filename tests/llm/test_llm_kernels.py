@@ -1,5 +1,6 @@
 """Kernels without Spark, against plain loops."""
 
+import math
 import re
 
 import numpy as np
@@ -183,6 +184,59 @@ def test_field_learns_and_viterbi_is_best():
     assert (secrets.Field.learned([]).decoded(x, chain) == 0).all()
 
 
+def plain_statistics(text):
+    """The statistics of a text, one by one."""
+    raw, t = (text or "").encode(), text or ""
+    words = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    if not words:
+        return [0.0] * len(quality.NAMES)
+    of = lambda x: {"lower": sum(97 <= c < 123 for c in x), "upper": sum(65 <= c < 91 for c in x), "digit": sum(48 <= c < 58 for c in x), "white": sum(c in b" \t\n\v\f\r" for c in x), "marks": sum(c in b",.'\"-:;?()" for c in x), "beyond": sum(c >= 128 for c in x)}
+    kinds = of(raw)
+    kinds["signs"] = len(raw) - sum(kinds.values())
+    root = lambda x: max(x, 0.0) ** 0.5
+    n, lens = len(words), [len(w) for w in words]
+    mean = sum(lens) / n
+    low = [bytes(c + 32 if 65 <= c < 91 else c for c in w) for w in words]
+    has = lambda f: root(sum(map(f, words)) / n)
+    lines = [x for x in re.findall(rb"[^\n]*\n|[^\n]+", raw)]
+    three = list(zip(low, low[1:], low[2:], strict=False))
+    log = math.log
+    return [
+        log(1 + len(raw)), log(1 + n), root(kinds["upper"] / len(raw)), root(kinds["digit"] / len(raw)), root(kinds["white"] / len(raw)), root(kinds["marks"] / len(raw)), root(kinds["signs"] / len(raw)), root(kinds["beyond"] / len(raw)),
+        log(1 + mean), log(1 + root(sum((x - mean) ** 2 for x in lens) / n)), has(lambda w: len(w) - sum(of(w).values()) > 0), has(lambda w: of(w)["upper"] == len(w)), has(lambda w: 65 <= w[0] < 91), has(lambda w: of(w)["marks"] > 0),
+        log(len(set(low)) / n) / max(log(1 + n), 1), root(max(low.count(w) for w in set(low)) / n), root(sum(a == b for a, b in zip(low, low[1:], strict=False)) / max(n - 1, 1)), log(1 + n / max(len(lines), 1)),
+        root(1 - len(set(lines)) / len(lines) if len(lines) > 1 else 0), len(set(three)) / len(three) if len(three) > 1 else 1.0, has(lambda w: len(w) > 20), has(lambda w: len(w) < 3),
+    ]
+
+
+def test_statistics_equal_plain_loops(monkeypatch):
+    monkeypatch.setattr(bytetext, "CHUNK_BYTES", 400)
+    assert t_diff(TEXTS + ["A b, c!\nA b, c!\n\nX&& 9 9 9 don't (yes)", "\n\n  one", "tail\n", "É à É à É à 12-3 UPPER Up"]) < 1e-5
+
+
+def t_diff(texts):
+    got, want = quality.statistics(pa.array(texts)), np.array([plain_statistics(t) for t in texts])
+    return np.abs(got - want).max()
+
+
+def test_discriminant_equals_plain_densities():
+    rng = np.random.default_rng(14)
+    d = len(quality.NAMES)
+    groups = [rng.normal(0, 1, (90, d)), rng.normal(0.5, 2, (40, d))]
+    m = quality.Discriminant(np.array([90, 40]), np.stack([g.sum(0) for g in groups]), np.stack([g.T @ g for g in groups]))
+    scale = np.sqrt(np.concatenate(groups).var(0))
+    cov = [np.cov((g / scale).T, bias=True) for g in groups]
+    pooled = (90 * cov[0] + 40 * cov[1]) / 130
+    x, log = rng.normal(0.2, 1.5, (30, d)), []
+    for g, c in zip(groups, cov, strict=True):
+        c = (1 - quality.TO_POOLED) * c + quality.TO_POOLED * pooled
+        c = (1 - quality.TO_DIAGONAL) * c + quality.TO_DIAGONAL * np.diag(np.diag(c)) + quality.FLOOR * np.eye(d)
+        z = x / scale - (g / scale).mean(0)
+        log.append(-0.5 * (np.einsum("ij,jk,ik->i", z, np.linalg.inv(c), z) + np.linalg.slogdet(c)[1]))
+    want = 1 / (1 + np.exp(log[0] - log[1] - np.log(41 / 91)))
+    assert np.abs(m.scores(x) - want).max() < 1e-6
+
+
 def test_statistics_and_discriminant():
     x = quality.statistics(pa.array(TEXTS))
     assert np.isfinite(x).all() and (x[:3] == 0).all()

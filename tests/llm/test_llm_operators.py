@@ -332,6 +332,44 @@ def test_added_tokens_are_one_id(spark):
         assert [counts[i, k] for k in range(len(lines))] == [sum(edges[k] <= a < edges[k + 1] for a, _ in spans) for k in range(len(lines))]
 
 
+@pytest.mark.parametrize("rule", ["start", "most"])
+def test_tokens_of_lines(spark, rule):
+    """Each token's bytes against each line's, one by one; tokens of several newlines cross lines."""
+    path = queries.tokenizer_path()
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(path)
+    r = random.Random(15)
+    texts = ["", "\n", "\n\n\n\nx", "a\n\n\n\n\nb  \n  \n", "é\n日本\n\n😀\n", *("".join(r.choice(["\n", "\n\n", "\n\n\n", " ", "  ", "word", "é", "日本", ".", "12"]) for _ in range(40)) for _ in range(60))]
+    got = {(x.doc_id, x.section): x.n_tokens for x in token_counts.line_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), path, rule).collect()}
+    crossed = 0
+    for i, t in enumerate(texts):
+        raw = t.encode()
+        edges = [0, *(k + 1 for k, c in enumerate(raw) if c == 10)]
+        edges += [len(raw)] if edges[-1] != len(raw) or not raw else []
+        want, at = Counter(), 0
+        for token in whole.encode(t, add_special_tokens=False).tokens:
+            end = at + len(token)  # a letter for each byte
+            share = [max(0, min(end, z) - max(at, a)) for a, z in zip(edges, edges[1:], strict=False)]
+            crossed += sum(x > 0 for x in share) > 1
+            want[next(k for k, x in enumerate(share) if x) if rule == "start" else share.index(max(share))] += 1
+            at = end
+        assert at == len(raw) and {k: n for (d, k), n in got.items() if d == i} == {k: want[k] for k in range(len(edges) - 1)}
+    assert crossed > 20
+
+
+def test_columns_with_internal_names(spark):
+    texts = [prose(30, 40 + i % 7) for i in range(14)]
+    extra = ["maybe", "sha", "key", "of", "n", "a", "b", "c", "runs", "id", "__id", "gram", "hub", "size", "start", "src", "score", "spans"]
+    rows = [(i, t, "en", "s", 5, *range(len(extra))) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} long" for c in extra))
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(14)], "doc_id long, quality int, toxic int")
+    for out, n in ((exact_dedup.deduplicated(df), 7), (ngram_join.deduplicated(df), 7), (mixing.mixed_rows(df), None), (quality.kept(df, labels, 0.0), 14)):
+        got = out.collect()
+        assert out.columns == df.columns and (n is None or len(got) == n) and all([x[c] for c in extra] == list(range(len(extra))) for x in got)
+    assert packing.packed(df, queries.tokenizer_path()).select("doc_id").distinct().count() == secrets.scanned(df).count() == suffix_dedup.without_repeats(df).count() == mixing.mixed_documents(df).count() == 14
+
+
 def test_crc_of_the_query():
     assert zlib.crc32(np.array([1], "<u4").tobytes()) == 0x99F8B879
 
