@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import LOWER, SPACE, chunks, span_hashes, words
+from .common import written
 
 THRESHOLD = 0.3
 #: Share of the class covariance that gives way to the pooled one, and then to its diagonal; and a variance that is added to all.
@@ -175,11 +176,10 @@ def _scores(docs: DataFrame, model: Discriminant, kinds: str) -> DataFrame:
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, held_out, score (0 to 1, higher: label 1 likelier), predicted (1 if score >= threshold).
 
-    Only the text is an input of the score. Without labels of both classes the score is the classes' share. Rows that repeat are scored
-    alike; other columns are not read.
+    Only the text is an input of the score. A null or empty text, or one of white space, has statistics of zero and is scored by them; a
+    very long one is read whole. Without labels of both classes the score is the classes' share. Rows that repeat are scored alike, a row
+    without a doc_id counts as held out, and an empty table gives none; other columns are not read.
     """
-    from .common import written
-
     stats = written(statistics_table(docs), "statistics")
     model = fitted(stats, labels)
     out = _scores(stats, model, "doc_id long, score double")
@@ -187,7 +187,11 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 
 
 def kept(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without those that the classifier rejects, all columns as they were; nothing is shuffled but what fits the model."""
+    """docs without those that the classifier rejects, all columns as they were; nothing is shuffled but what fits the model.
+
+    Null, empty and very long texts, repeated rows and those without a doc_id are scored like others (see scored()), by their text alone.
+    An empty table stays empty; columns of any names pass through.
+    """
     model = fitted(statistics_table(docs), labels)
     names = docs.columns
     at = names.index("text")

@@ -30,7 +30,8 @@ def line_counts(docs: DataFrame, tokenizer: str, rule: str = "start") -> DataFra
 
     A line goes up to its newline, which it holds; a text that ends in one has no empty line after it. The whole text is encoded once, so
     tokens may cross lines; `rule` says which line such a token counts for, and the lines' counts add up to the document's tokens. An
-    empty or null text has one section of no tokens. Rows that repeat give their rows again. Other columns are not read.
+    empty or null text has one section of no tokens, a very long one is encoded whole. Rows that repeat give their rows again, an empty
+    table gives none. Other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

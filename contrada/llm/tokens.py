@@ -100,8 +100,7 @@ class Encoder:
 
     def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
         """Encodes pre-tokens that are not known; keys are in order."""
-        encode = self.plain._core_bpe.encode_single_piece
-        lists = [encode(x) for x in pieces]
+        lists = [self.plain.encode_ordinary(x.decode()) for x in pieces]  # a pre-token by itself is cut as it was
         size = np.fromiter(map(len, lists), np.int64, len(lists))
         total = int(size.sum())
         if self.filled + total > len(self.flat):

@@ -151,7 +151,8 @@ def judged(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataF
     A rule fits its host and all subdomains, if the path starts with the rule's; the longest (host and path together, then the first
     given) wins. Pages that no rule fits are blocked if their host is listed, else allowed. A host is listed if rules block more of its
     pages than they allow; the list is looked up in cascades over all hosts of pages. A null url, or one without ://, has an empty host
-    and path, which no rule fits; rows that repeat are judged alike and each counts. Other columns are not read.
+    and path, which no rule fits; a very long url is like others. Rows that repeat are judged alike and each counts; an empty table gives
+    none. Other columns are not read.
     """
     host, path = split_url(F.col("url"))
     parts = pages.select("page_id", host.alias("host"), path.alias("path"))

@@ -282,7 +282,7 @@ def test_mixing_one_source(spark):
         mixing._GROUP, mixing._SLOTS, mixing._BUCKET = keep
 
 
-def test_packing_and_counts(docs, empty):
+def test_packing_and_counts(docs, empty, monkeypatch):
     path = queries.tokenizer_path()
     from tokenizers import Tokenizer
 
@@ -299,6 +299,9 @@ def test_packing_and_counts(docs, empty):
         assert all(a == b for a, b in zip([o for o, _ in sorted(spans)], [0, *np.cumsum([k for _, k in sorted(spans)]).tolist()], strict=False)) and sum(k for _, k in spans) <= 64
     assert sorted(used) == list(range(len(used)))
     assert packing.packed(empty, path).count() == 0
+    known = lambda rows: sorted((str(p.doc_id), p.start, p.length, p.sequence_id, p.offset) for p in rows)
+    monkeypatch.setattr(packing, "BROADCAST_TASKS", 0)
+    assert known(packing.packed(docs, path, window=64).collect()) == known(pieces)
     for rule in ("start", "most"):
         counts = token_counts.line_counts(docs, path, rule).collect()
         total = Counter()
