@@ -307,11 +307,28 @@ def w6_relevance(spark, sf_dir):
     return context.relevance(risks(spark, sf_dir)).select("citta", "zona", "type", "id", "relevance")
 
 
-@query()
+_NL = "chr(10)"
+_LINES = f"""'  POI: ' || name || ' (' || cls || ')' || {_NL} || CASE WHEN n_risks > 0 THEN '{context.HAZARDS}' || {_NL} || array_to_string(list_transform(list_zip(hs, ls), lambda x: '    - [ONTOLOGIA] ' || x[1] || ' / ' || x[2] || ' (' || conf || ')'), {_NL}) ELSE '{context.NO_HAZARDS}' END || {_NL}
+  || CASE WHEN v IS NOT NULL THEN '  Vulnerabilita'': ' || v || {_NL} ELSE '' END || CASE WHEN path IS NOT NULL THEN '  Path ontologico: ' || path || {_NL} ELSE '' END"""
+_TEXT = f"""'ZONA: ' || zona || {_NL} || {_NL} || CASE WHEN len(ws) > 0 THEN '{context.HAZARD_TERMS}' || {_NL} || '  ' || array_to_string(ws, '; ') || {_NL} || {_NL} ELSE '' END || {{note}} || '{context.POINTS}' || {_NL}
+  || CASE WHEN length(zona) % 2 = 0 THEN bs || {_NL} || '{context.QUESTION[0]}' || {_NL} || 'E'' sicura ' || zona || ' - - di notte?' || {_NL} || '{context.QUESTION[1]}' ELSE rtrim(bs, ' ' || {_NL}) END || {_NL}"""
+_NOTE = "'" + "' || {n} || '".join(x.replace("'", "''") for x in context.NOTE) + "'"
+_SEVERAL = "list_filter({l}, lambda x, i: list_position({l}, x) = i) AS ws"
+BUDGET = f"""hz AS (SELECT cls, list(filler ORDER BY filler) AS hs, list({LABEL.format(x='filler')} ORDER BY filler) AS ls, arg_min(source, filler) AS path FROM ci WHERE axis = 'hazards' GROUP BY cls),
+vu AS (SELECT cls, string_agg(filler, ', ' ORDER BY filler) AS v FROM ci WHERE axis = 'vulnerabilities' GROUP BY cls),
+rl AS (SELECT citta, zona, position, {_LINES} AS block, coalesce(ls, []) AS ls, count(*) OVER (PARTITION BY citta, zona) AS m, row_number() OVER (PARTITION BY citta, zona ORDER BY n_risks DESC, CASE WHEN n_risks = 0 THEN 3 WHEN conf = 'verificato' THEN 0 ELSE 1 END, position) AS k FROM gr LEFT JOIN hz USING (cls) LEFT JOIN vu USING (cls)),
+wh AS (SELECT citta, zona, any_value(m) AS m, any_value(m) AS n, string_agg(block, {_NL} ORDER BY position) AS bs, flatten(list(ls ORDER BY position)) AS l FROM rl GROUP BY citta, zona),
+wt AS (SELECT citta, zona, m, n, {_TEXT.format(note="''")} AS context FROM (SELECT *, {_SEVERAL.format(l='l')} FROM wh)),
+pf AS (SELECT a.citta, a.zona, any_value(a.m) AS m, a.k AS n, string_agg(b.block, {_NL} ORDER BY b.k) AS bs, flatten(list(b.ls ORDER BY b.k)) AS l FROM rl a JOIN rl b ON a.citta = b.citta AND a.zona = b.zona AND b.k <= a.k GROUP BY a.citta, a.zona, a.k),
+pt AS (SELECT citta, zona, m, n, {_TEXT.format(note=f"{_NOTE.replace('{n}', 'n', 1).replace('{n}', 'm', 1)} || {_NL} || {_NL}")} AS context FROM (SELECT *, {_SEVERAL.format(l='l')} FROM pf)),
+tk AS (SELECT *, CAST(ceil(length(context) / 3.0) AS BIGINT) AS tokens FROM pt), ft AS (SELECT citta, zona, greatest(1, count(*) FILTER (WHERE tokens <= 500)) AS n FROM tk GROUP BY citta, zona)"""
+
+
+@query(ALL + f", {BUDGET}, w AS (SELECT *, CAST(ceil(length(context) / 3.0) AS BIGINT) AS tokens FROM wt) SELECT citta, zona, n AS n_included, m AS n_total, tokens, context FROM w WHERE tokens <= 500 OR m <= 1 UNION ALL SELECT t.citta, t.zona, t.n, t.m, t.tokens, t.context FROM tk t JOIN ft USING (citta, zona, n) JOIN w ON w.citta = t.citta AND w.zona = t.zona AND w.tokens > 500 AND w.m > 1")
 def w7_w8_f10_f15_budgeted_context(spark, sf_dir):
-    """A zone's context text within a budget of tokens, some with a question. No SQL: tests hold it against a loop that adds points one by one."""
+    """A zone's context text within a budget of tokens, some with a question."""
     questions = views.zones(spark, sf_dir).select("citta", "zona", F.when(F.length("zona") % 2 == 0, F.concat(F.lit(" E' sicura  "), "zona", F.lit(" --- di notte?\n"))).alias("domanda"))
-    return context.budgeted(labels_of(stored_risks(spark, sf_dir), F.transform("risks", lambda r: r["hazard"]), spark), 500, questions)
+    return context.budgeted(labels_of(stored_risks(spark, sf_dir), F.transform("risks", lambda r: r["hazard"]), spark), 500, questions).select("citta", "zona", F.col("n_included").cast("long"), F.col("n_total").cast("long"), "tokens", "context")
 
 
 @query()
