@@ -1,9 +1,10 @@
 """N-gram Jaccard join: documents that share enough word shingles, by a blocked sparse product of the document by n-gram incidence.
 
 A document's row of the incidence matrix is its set of shingle hashes, rarest first. Two sets with a Jaccard similarity of t or more
-share one of their first |s| - ceil(t |s|) + 1 columns in that order, so the product is first taken over these columns only: it counts
-each pair's overlap, and pairs whose count cannot reach what their sizes ask for are discarded. For the pairs that are left the product
-is completed over the whole rows, and its counts decide which of them link.
+share one of their first |s| - ceil(t |s|) + 1 columns in that order, so the product is first taken over these columns only: pairs that
+meet in a column are discarded where their sizes and places in the order leave too small an overlap, those that meet otherwise where the
+count of all columns that their prefixes share does. For the pairs that are left the product is completed over the whole rows, and its
+counts decide which of them link.
 """
 
 from __future__ import annotations
@@ -151,23 +152,18 @@ def _blocks(entries: DataFrame, block: int) -> DataFrame:
 
 
 def _product(entries: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """Of the columns' entries (gram, id, place, comp): hub < id of different components whose sizes let them link, n1 and n2 (their sizes), and c, the columns that they share. Within a task a column's block meets another; counts are added up over columns."""
+    """Of the columns' entries (gram, id, place, comp): hub < id, each pair of different components that meets in a column where sizes and places let the two link. Within a task a column's block meets another."""
 
-    def counted(x, y, ids, n) -> pa.RecordBatch:
-        x, y = np.where(ids[x] < ids[y], x, y), np.where(ids[x] < ids[y], y, x)
-        order = np.lexsort((ids[y], ids[x]))
-        x, y = x[order], y[order]
-        new = np.concatenate(([True], (ids[x[1:]] != ids[x[:-1]]) | (ids[y[1:]] != ids[y[:-1]])))
-        at = np.flatnonzero(new)
-        return pa.RecordBatch.from_arrays([pa.array(ids[x[at]]), pa.array(ids[y[at]]), pa.array(n[x[at]]), pa.array(n[y[at]]), pa.array(np.diff(np.append(at, len(x))))], names=["hub", "id", "n1", "n2", "c"])
+    def distinct(x, y, ids) -> pa.RecordBatch:
+        both = np.unique(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["hub", "id"])
 
-    def meet(a, b, ids, n, comp, own, split):
+    def meet(a, b, ids, n, pos, comp, own, split):
         """Which of the rows a and b (numbers, of shapes that broadcast) make a pair."""
-        low, high = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
-        return (comp[a] != comp[b]) & (ids[a] != ids[b]) & (100 * low >= percent * high) & (~split[a] | (own[a] != own[b]))
+        return (comp[a] != comp[b]) & (ids[a] != ids[b]) & _reaches(n[a], n[b], pos[a], pos[b], percent) & (~split[a] | (own[a] != own[b]))
 
     def pairs(cols, cuts):
-        ids, n, comp, own = cols[1], cols[2] >> 32, cols[3], cols[6]
+        ids, n, pos, comp, own = cols[1], cols[2] >> 32, cols[2] & 0xFFFFFFFF, cols[3], cols[6]
         split = cols[4] != cols[5]
         sizes = np.diff(cuts)
         rest = np.repeat(cuts[1:], sizes) - np.arange(cuts[0], cuts[-1])
@@ -175,22 +171,22 @@ def _product(entries: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
         held, k = [], 1
         while len(at):
             at = at[rest[at - cuts[0]] > k]
-            ok = at[meet(at, at + k, ids, n, comp, own, split)]
+            ok = at[meet(at, at + k, ids, n, pos, comp, own, split)]
             held.append((ok, ok + k))
             k += 1
             if sum(len(x) for x, _ in held) > 200_000 or not len(at):
                 x, y = (np.concatenate(v) for v in zip(*held, strict=True))
                 held = []
                 if len(x):
-                    yield counted(x, y, ids, n)
+                    yield distinct(x, y, ids)
         for g in np.flatnonzero(sizes > _SHORT):
             s, e = cuts[g], cuts[g + 1]
             for i in range(s, e, _TILE):
                 for j in range(i, e, _TILE):
                     a, b = np.arange(i, min(i + _TILE, e))[:, None], np.arange(j, min(j + _TILE, e))[None]
-                    x, y = np.nonzero(meet(a, b, ids, n, comp, own, split) & (a < b))
+                    x, y = np.nonzero(meet(a, b, ids, n, pos, comp, own, split) & (a < b))
                     if len(x):
-                        yield counted(x + i, y + j, ids, n)
+                        yield distinct(x + i, y + j, ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -207,8 +203,7 @@ def _product(entries: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
             yield from pairs(held, np.array([0, len(held[0])]))
 
     dealt = _blocks(entries, block).repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j")
-    made = dealt.mapInArrow(run, "hub long, id long, n1 long, n2 long, c long")
-    return made.groupBy("hub", "id").agg(F.max("n1").alias("n1"), F.max("n2").alias("n2"), F.sum("c").alias("c"))
+    return dealt.mapInArrow(run, "hub long, id long").distinct()
 
 
 def _rows_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -253,14 +248,12 @@ def near_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     dealt = _entries(docs, first, words, percent, common).repartition("gram").sortWithinPartitions("gram", F.expr("place & 4294967295"), "place", "id")
     shared = written(_shared(dealt, percent), "columns")
     star = shared.filter("near").select("hub", "id").distinct()
-    columns = shared.groupBy("id").agg(F.collect_set("gram").alias("grams"), F.max(F.expr("place >> 32")).alias("n"))
-    a, b = columns.select(F.col("id").alias("hub"), F.col("grams").alias("g1"), F.col("n").alias("n1")), columns.select("id", F.col("grams").alias("g2"), F.col("n").alias("n2"))
-    counted = star.join(b, "id").join(a, "hub").select("hub", "id", "n1", "n2", F.size(F.array_intersect("g1", "g2")).alias("c"))
-    links = _completed(docs, written(_enough(counted, percent), "star"), words, percent, "links")
+    prefixes = written(shared.groupBy("id").agg(F.collect_set("gram").alias("grams"), F.max(F.expr("place >> 32")).alias("n")), "prefixes")
+    links = _completed(docs, written(_enough(star, prefixes, percent), "star"), words, percent, "links")
     comp = written(components(links.select(F.col("hub").alias("a"), F.col("id").alias("b"))), "comp")
     # Copies that the bitmap let through end here.
     known = shared.select("gram", "id", "place").join(first, "id", "left_semi").join(comp, "id", "left").select("gram", "id", "place", F.coalesce("root", "id").alias("comp"))
-    left = written(_enough(_product(known, percent), percent), "left")
+    left = written(_enough(_product(known, percent), prefixes, percent), "left")
     # Links between components join these, as edges of their roots.
     more = _completed(docs, left, words, percent, "more")
     root = lambda c, name: comp.select(F.col("id").alias(c), F.col("root").alias(name))
@@ -270,9 +263,11 @@ def near_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("over", "top").alias("component_id"), "class_id")
 
 
-def _enough(counted: DataFrame, percent: int) -> DataFrame:
-    """Of pairs with their sizes and the prefix columns that they share those that can still link. Of two rows the one whose prefix ends first in the common order shares no more columns outside the prefixes than its remainder has."""
+def _enough(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """The pairs that can still link by the count of columns that their prefixes share (prefixes: id, grams, n). Of two rows the one whose prefix ends first in the common order shares no more columns outside the prefixes than its remainder has."""
+    a, b = prefixes.select(F.col("id").alias("hub"), F.col("grams").alias("g1"), F.col("n").alias("n1")), prefixes.select("id", F.col("grams").alias("g2"), F.col("n").alias("n2"))
     longest = F.greatest(*[F.floor((percent * F.col(n) + 99) / 100) - 1 for n in ("n1", "n2")])
+    counted = pairs.join(b, "id").join(a, "hub").withColumn("c", F.size(F.array_intersect("g1", "g2")))
     return counted.filter((F.col("c") + longest) * (100 + percent) >= percent * (F.col("n1") + F.col("n2"))).select("hub", "id")
 
 
