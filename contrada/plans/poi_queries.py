@@ -331,9 +331,26 @@ def w7_w8_f10_f15_budgeted_context(spark, sf_dir):
     return context.budgeted(labels_of(stored_risks(spark, sf_dir), F.transform("risks", lambda r: r["hazard"]), spark), 500, questions).select("citta", "zona", F.col("n_included").cast("long"), F.col("n_total").cast("long"), "tokens", "context")
 
 
-@query()
+_Q = lambda x: "'" + x.replace("'", "''") + "'"
+_FLAT = "regexp_replace(regexp_replace(regexp_replace({x}, '\\s+', ' ', 'g'), '^ | $', '', 'g'), '-{{2,}}', '- -', 'g')"
+_DISPLAY = "upper(substr(trim(replace({x}, '_', ' ')), 1, 1)) || substr(trim(replace({x}, '_', ' ')), 2)"
+_POINT = f"""'Citta'': ' || citta || {_NL} || 'Zona: ' || zona || {_NL} || {_NL} || CASE WHEN len(ws) > 0 THEN {_Q(context.RISK_TERMS)} || {_NL} || '  ' || array_to_string(ws, '; ') || {_NL} || {_NL} ELSE '' END
+  || 'PUNTO SELEZIONATO: ' || {_FLAT.format(x='name')} || ' (classe: ' || label || ')' || {_NL} || CASE WHEN path IS NOT NULL THEN 'Percorso ontologico: ' || path || {_NL} ELSE '' END
+  || CASE WHEN n_risks > 0 THEN {_Q(context.RISKS)} || {_NL} || array_to_string(list_transform(list_zip(hs, ls, ss), lambda x: '  - ' || x[1] || ' / ' || x[2] || ' [ONTOLOGIA] (confidence: ' || conf || ', fonte: ' || x[3] || ')'), {_NL}) ELSE {_Q(context.NO_RISKS)} END || {_NL}
+  || CASE WHEN vs IS NOT NULL THEN 'Vulnerabilita'': ' || array_to_string(list_transform(list_zip(vs, vl), lambda x: x[1] || ' / ' || x[2]), '; ') || {_NL} ELSE '' END
+  || {_NL} || {_Q(context.NEAR)} || {_NL} || coalesce(near, {_Q(context.NO_NEAR)}) || {_NL} || {_NL} || 'COMPOSIZIONE DELLA ZONA: ' || summary || {_NL}"""
+POINT = f"""hz AS (SELECT cls, list(filler ORDER BY filler) AS hs, list({LABEL.format(x='filler')} ORDER BY filler) AS ls, list(source ORDER BY filler) AS ss, arg_min(source, filler) AS path FROM ci WHERE axis = 'hazards' GROUP BY cls),
+vu AS (SELECT cls, list(filler ORDER BY filler) AS vs, list({_DISPLAY.format(x='filler')} ORDER BY filler) AS vl FROM ci WHERE axis = 'vulnerabilities' GROUP BY cls),
+pr2 AS (SELECT a.citta, a.zona, a.type || '/' || a.id AS id, b.type || '/' || b.id AS other, b.name, {LABEL.format(x='b.cls')} AS label, {_HAV.format(a_lat='a.lat', a_lon='a.lon', b_lat='b.lat', b_lon='b.lon')} AS d FROM gr a JOIN gr b ON a.citta = b.citta AND a.zona = b.zona AND (a.type, a.id) <> (b.type, b.id)),
+nb AS (SELECT citta, zona, id, string_agg('  - ' || {_FLAT.format(x='name')} || ' (' || label || '), ' || CAST(CAST(round_even(d, 0) AS BIGINT) AS VARCHAR) || ' m', {_NL} ORDER BY r) AS near FROM (SELECT *, row_number() OVER (PARTITION BY citta, zona, id ORDER BY d, other) AS r FROM pr2) WHERE r <= 5 GROUP BY citta, zona, id),
+lb AS (SELECT citta, zona, {LABEL.format(x='cls')} AS label, count(*) AS n, sum(count(*)) OVER (PARTITION BY citta, zona) AS total FROM gr GROUP BY citta, zona, label),
+su AS (SELECT citta, zona, any_value(CAST(CAST(total AS BIGINT) AS VARCHAR)) || {_Q(context.SUMMARY)} || string_agg(label || ' (' || n || ')', ', ' ORDER BY r) || '.' AS summary FROM (SELECT *, row_number() OVER (PARTITION BY citta, zona ORDER BY n DESC, label) AS r FROM lb) WHERE r <= 3 GROUP BY citta, zona),
+pw AS (SELECT g.citta, g.zona, g.type || '/' || g.id AS id, g.name, g.n_risks, g.conf, {LABEL.format(x='g.cls')} AS label, hz.hs, hz.ls, hz.ss, hz.path, vu.vs, vu.vl, nb.near, su.summary, coalesce(hz.ls, []) || coalesce(vu.vl, []) AS l FROM gr g LEFT JOIN hz USING (cls) LEFT JOIN vu USING (cls) LEFT JOIN nb ON nb.citta = g.citta AND nb.zona = g.zona AND nb.id = g.type || '/' || g.id LEFT JOIN su ON su.citta = g.citta AND su.zona = g.zona)"""
+
+
+@query(ALL + f", {POINT} SELECT citta, zona, id, {_POINT} AS context FROM (SELECT *, {_SEVERAL.format(l='l')} FROM pw)")
 def f9_f15_poi_context(spark, sf_dir):
-    """the context text of each selected point. No SQL: tests hold it against a text written out by hand."""
+    """the context text of each selected point."""
     r = named(labels_of(stored_risks(spark, sf_dir), F.transform("risks", lambda r: r["hazard"]), spark))
     r = ontology.labelled(r, "terminus_class", views.vocabulary(spark), "label").withColumn("vulnerability_labels", F.transform("vulnerabilities", lambda v: text.display(v["name"])))
     near = context.neighbours(r).join(r.select("citta", "zona", F.col("id").alias("neighbour_id"), "name", "label"), ["citta", "zona", "neighbour_id"])
