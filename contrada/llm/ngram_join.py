@@ -25,8 +25,8 @@ WORDS, PERCENT = 5, 80
 #: The commonness of shingles is counted in 2^SKETCH_BITS counters: a fixed size, for the order only, never for a result.
 SKETCH_BITS = 20
 _PART = 1 << 16
-#: Entries of a column that meet as one block, about: a task multiplies two blocks, in tiles of _TILE rows. Columns of up to _SHORT entries are multiplied together.
-BLOCK, _TILE, _SHORT = 2048, 256, 64
+#: Rows of a block of the product, about, and columns that are multiplied together.
+BLOCK, _SLICE = 512, 1024
 
 
 def _profiles(docs: DataFrame, words: int) -> DataFrame:
@@ -110,6 +110,11 @@ def _reaches(na, nb, ia, ib, percent: int):
     return (1 + np.minimum(na - ia - 1, nb - ib - 1)) * (100 + percent) >= percent * (na + nb)
 
 
+def _most(shared, na, nb, percent: int):
+    """The largest overlap of sets of na and nb whose prefixes share so many columns: of two rows the one whose prefix ends first in the common order shares no more columns outside the prefixes than its remainder has."""
+    return shared + np.maximum(-(-percent * na // 100), -(-percent * nb // 100)) - 1
+
+
 def _shared(dealt: DataFrame, percent: int) -> DataFrame:
     """The entries of columns with at least two rows, from sorted columns, each with the first of its column (the hub) and whether sizes and places let the two link. One entry waits for the next."""
 
@@ -143,67 +148,66 @@ def _shared(dealt: DataFrame, percent: int) -> DataFrame:
     return dealt.select("gram", "id", "place").mapInArrow(run, "gram long, id long, place long, hub long, near boolean")
 
 
-def _blocks(entries: DataFrame, block: int) -> DataFrame:
-    """The entries (gram, id, place, comp) of columns with several components, dealt by gram, i and j: of a column of more than `block` entries block i (own: the entry's) meets block j."""
-    columns = entries.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), (F.min("comp") != F.max("comp")).alias("several")).filter("several")
-    of = entries.join(columns.select("gram", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "gram")
-    of = of.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return of.select("gram", "id", "place", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
+def _overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """The columns that each row of x shares with each row of y: the product of two sparse blocks, summed up over slices of _SLICE columns."""
+    sides = [(np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows)) for rows in (x, y)]
+    both = np.intersect1d(sides[0][1], sides[1][1])
+    counts = np.zeros((len(x), len(y)), np.float32)
+    cells = []
+    for row, gram in sides:
+        at = np.minimum(np.searchsorted(both, gram), max(0, len(both) - 1))
+        real = both[at] == gram if len(both) else np.zeros(len(gram), bool)
+        cells.append((row[real], at[real]))
+    for low in range(0, len(both), _SLICE):
+        dense = []
+        for rows, (row, at) in zip((x, y), cells, strict=True):
+            own = (at >= low) & (at < low + _SLICE)
+            m = np.zeros((len(rows), min(_SLICE, len(both) - low)), np.float32)
+            m[row[own], at[own] - low] = 1
+            dense.append(m)
+        counts += dense[0] @ dense[1].T
+    return counts.astype(np.int64)
 
 
 def _product(entries: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """Of the columns' entries (gram, id, place, comp): hub < id, each pair of different components that meets in a column where sizes and places let the two link. Within a task a column's block meets another."""
-
-    def distinct(x, y, ids) -> pa.RecordBatch:
-        both = np.unique(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["hub", "id"])
-
-    def meet(a, b, ids, n, pos, comp, own, split):
-        """Which of the rows a and b (numbers, of shapes that broadcast) make a pair."""
-        return (comp[a] != comp[b]) & (ids[a] != ids[b]) & _reaches(n[a], n[b], pos[a], pos[b], percent) & (~split[a] | (own[a] != own[b]))
-
-    def pairs(cols, cuts):
-        ids, n, pos, comp, own = cols[1], cols[2] >> 32, cols[2] & 0xFFFFFFFF, cols[3], cols[6]
-        split = cols[4] != cols[5]
-        sizes = np.diff(cuts)
-        rest = np.repeat(cuts[1:], sizes) - np.arange(cuts[0], cuts[-1])
-        at = np.arange(cuts[0], cuts[-1])[np.repeat(sizes, sizes) <= _SHORT]
-        held, k = [], 1
-        while len(at):
-            at = at[rest[at - cuts[0]] > k]
-            ok = at[meet(at, at + k, ids, n, pos, comp, own, split)]
-            held.append((ok, ok + k))
-            k += 1
-            if sum(len(x) for x, _ in held) > 200_000 or not len(at):
-                x, y = (np.concatenate(v) for v in zip(*held, strict=True))
-                held = []
-                if len(x):
-                    yield distinct(x, y, ids)
-        for g in np.flatnonzero(sizes > _SHORT):
-            s, e = cuts[g], cuts[g + 1]
-            for i in range(s, e, _TILE):
-                for j in range(i, e, _TILE):
-                    a, b = np.arange(i, min(i + _TILE, e))[:, None], np.arange(j, min(j + _TILE, e))[None]
-                    x, y = np.nonzero(meet(a, b, ids, n, pos, comp, own, split) & (a < b))
-                    if len(x):
-                        yield distinct(x + i, y + j, ids)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for b in batches:
-            cols = [np.asarray(c) for c in b.columns]
-            if held is not None:
-                cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            if len(cols[0]):
-                cuts = np.concatenate(([0], np.flatnonzero(np.any([cols[k][1:] != cols[k][:-1] for k in (0, 4, 5)], 0)) + 1))
-                if len(cuts) > 1:
-                    yield from pairs(cols, cuts)
-                held = [c[cuts[-1] :] for c in cols]
-        if held is not None and len(held[0]):
-            yield from pairs(held, np.array([0, len(held[0])]))
+    """Of the columns' entries (gram, id, place, hub, comp): hub < id, the pairs of different components that can still link.
 
-    dealt = _blocks(entries, block).repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j")
-    return dealt.mapInArrow(run, "hub long, id long").distinct()
+    Rows are put into blocks of up to about `block` by the hub that they have most columns with, so that likely partners are together.
+    Two blocks meet in a task where a column has rows of both whose sizes and places let two link; there the overlaps of all their rows
+    are counted over all columns, and pairs whose count leaves too small an overlap are discarded (see _most). Only pairs that are left
+    leave the task, so a group of near copies that do not link costs products, not rows.
+    """
+    several = entries.groupBy("gram").agg((F.min("comp") != F.max("comp")).alias("several")).filter("several")
+    own = entries.join(several, "gram", "left_semi").withColumn("n", F.expr("place >> 32"))
+    rows = own.groupBy("id").agg(F.max("comp").alias("comp"), F.max("n").alias("n"), F.mode("hub", True).alias("home"), F.collect_set(F.struct("gram", (F.col("n") - F.expr("place & 4294967295") - 1).alias("rest"))).alias("cells"))
+    rows = written(rows, "prefix_rows")
+    parts = rows.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts"))
+    placed = written(rows.join(parts, "home").select("id", "comp", "n", "cells", F.xxhash64("home", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block")), "blocks")
+    columns = placed.select("block", "n", F.explode("cells").alias("c")).groupBy(F.col("c.gram").alias("gram"), "block").agg(F.max("c.rest").alias("rest"), F.min("n").alias("n"))
+    side = lambda s: columns.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("block", "rest", "n")])
+    reach = (1 + F.least("rest_a", "rest_b")) * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))
+    meet = side("a").join(side("b"), "gram").filter((F.col("block_a") < F.col("block_b")) & reach).select("block_a", "block_b")
+    alone = placed.groupBy("block").agg((F.min("comp") != F.max("comp")).alias("several")).filter("several").select(F.col("block").alias("block_a"), F.col("block").alias("block_b"))
+    dealt = placed.join(meet.union(alone).distinct().withColumn("block", F.explode(F.array_distinct(F.array("block_a", "block_b")))), "block")
+
+    def multiplied(t: pa.Table) -> pa.Table:
+        ids, comp, n, blocks = (t.column(c).to_numpy() for c in ("id", "comp", "n", "block"))
+        lists = t.column("grams").combine_chunks()
+        offsets, flat = np.asarray(lists.offsets), np.asarray(lists.values)
+        grams = [flat[offsets[i] : offsets[i + 1]] for i in range(len(ids))]
+        a, b = (np.flatnonzero(blocks == t.column(c)[0].as_py()) for c in ("block_a", "block_b"))
+        shared = _overlaps([grams[i] for i in a], [grams[i] for i in b])
+        na, nb = n[a][:, None], n[b][None]
+        most = _most(shared, na, nb, percent)
+        ok = (comp[a][:, None] != comp[b][None]) & (shared > 0) & (most * (100 + percent) >= percent * (na + nb))
+        if a[0] == b[0]:
+            ok = np.triu(ok, 1)
+        x, y = np.nonzero(ok)
+        x, y = ids[a[x]], ids[b[y]]
+        return pa.table({"hub": pa.array(np.minimum(x, y)), "id": pa.array(np.maximum(x, y))})
+
+    cut = dealt.select("block_a", "block_b", "block", "id", "comp", "n", F.transform("cells", lambda c: c["gram"]).alias("grams"))
+    return cut.groupBy("block_a", "block_b").applyInArrow(multiplied, "hub long, id long")
 
 
 def _rows_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -232,8 +236,8 @@ def near_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     classes are compared, so copies never multiply. Rows that repeat a doc_id with other texts are one document where the doc_id
     is the smallest of one of these texts: the links of all its texts count. A row without a doc_id cannot be named: it takes no part and its ids are null. An empty table gives none; other columns are not read.
 
-    Each column's rarest-first entry (its hub) is compared with the others, so that a group of near copies is joined by about as many
-    pairs as it has members; then the product is taken between the components that share a column, and of these only.
+    Each column's first entry (its hub) is compared with the others, so that a group of near copies is joined by about as many pairs as it
+    has members; then blocks of rows are multiplied for what is left between components that share a column.
     """
     spark = docs.sparkSession
     profiles = written(_profiles(docs, words), "profiles")
@@ -252,8 +256,8 @@ def near_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     links = _completed(docs, written(_enough(star, prefixes, percent), "star"), words, percent, "links")
     comp = written(components(links.select(F.col("hub").alias("a"), F.col("id").alias("b"))), "comp")
     # Copies that the bitmap let through end here.
-    known = shared.select("gram", "id", "place").join(first, "id", "left_semi").join(comp, "id", "left").select("gram", "id", "place", F.coalesce("root", "id").alias("comp"))
-    left = written(_enough(_product(known, percent), prefixes, percent), "left")
+    known = shared.select("gram", "id", "place", "hub").join(first, "id", "left_semi").join(comp, "id", "left").select("gram", "id", "place", "hub", F.coalesce("root", "id").alias("comp"))
+    left = written(_product(known, percent), "left")
     # Links between components join these, as edges of their roots.
     more = _completed(docs, left, words, percent, "more")
     root = lambda c, name: comp.select(F.col("id").alias(c), F.col("root").alias(name))
@@ -264,9 +268,9 @@ def near_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
 
 def _enough(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
-    """The pairs that can still link by the count of columns that their prefixes share (prefixes: id, grams, n). Of two rows the one whose prefix ends first in the common order shares no more columns outside the prefixes than its remainder has."""
+    """The pairs that can still link by the count of columns that their prefixes share (prefixes: id, grams, n)."""
     a, b = prefixes.select(F.col("id").alias("hub"), F.col("grams").alias("g1"), F.col("n").alias("n1")), prefixes.select("id", F.col("grams").alias("g2"), F.col("n").alias("n2"))
-    longest = F.greatest(*[F.floor((percent * F.col(n) + 99) / 100) - 1 for n in ("n1", "n2")])
+    longest = F.greatest(*[F.floor((percent * F.col(n) + 99) / 100) - 1 for n in ("n1", "n2")])  # as in _most
     counted = pairs.join(b, "id").join(a, "hub").withColumn("c", F.size(F.array_intersect("g1", "g2")))
     return counted.filter((F.col("c") + longest) * (100 + percent) >= percent * (F.col("n1") + F.col("n2"))).select("hub", "id")
 

@@ -113,24 +113,28 @@ def test_copies_have_no_entries(spark, monkeypatch):
     assert {r.id for r in columns[0].select("id").distinct().collect()} == {0, 30, 50}
 
 
-@pytest.mark.parametrize("short", [3, 64])
-def test_the_product_meets_pairs_and_deals_long_columns(spark, monkeypatch, short):
-    monkeypatch.setattr(ngram_join, "_SHORT", short)
-    monkeypatch.setattr(ngram_join, "_TILE", 5)
+def test_the_product_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "_SLICE", 7)
     r = np.random.default_rng(6)
-    sizes, comps = r.integers(60, 130, 200), r.integers(0, 40, 200)
-    entries = [(g, i, (int(sizes[i]) << 32) + int(r.integers(0, 25)), int(comps[i]) if g != 3 else 7) for g, size in ((1, 90), (2, 6), (3, 60), (4, 70), (5, 2)) for i in r.permutation(200)[:size].tolist()]
-    df = spark.createDataFrame(entries, "gram long, id long, place long, comp long").repartition(3)
-    want = set()
-    for k, (g, a, p, c) in enumerate(entries):
-        for h, b, q, d in entries[:k]:
-            most = 1 + min(sizes[a] - (p & 0xFFFFFFFF) - 1, sizes[b] - (q & 0xFFFFFFFF) - 1)  # of the overlap, where a and b meet first in this column
-            if g == h and c != d and 100 * most >= 80 * (sizes[a] + sizes[b] - most):
-                want.add((min(a, b), max(a, b)))
-    got = [(x.hub, x.id) for x in ngram_join._product(df, 80, 16).collect()]
-    assert len(want) > 50 and sorted(got) == sorted(want)
-    held = ngram_join._blocks(df, 16).groupBy("gram", "i", "j").count().collect()
-    assert max(x["count"] for x in held) < 60 and len({(x.i, x.j) for x in held if x.gram == 1}) == 21 and not any(x.gram == 3 for x in held)
+    sizes, comps, hubs = r.integers(60, 90, 150), r.integers(0, 40, 150), r.integers(0, 5, 150)
+    rows = {i: r.permutation(40)[: r.integers(2, 16)].tolist() for i in range(150)}
+    entries = [(g, i, (int(sizes[i]) << 32) + k, int(hubs[i]), int(comps[i])) for i, grams in rows.items() for k, g in enumerate(sorted(grams))]
+    df = spark.createDataFrame(entries, "gram long, id long, place long, hub long, comp long").repartition(3)
+    may, must = set(), set()
+    for b in range(150):
+        for a in range(b):
+            shared = set(rows[a]) & set(rows[b])
+            most = len(shared) + max(-(-80 * sizes[a] // 100), -(-80 * sizes[b] // 100)) - 1
+            if shared and comps[a] != comps[b] and 180 * most >= 80 * (sizes[a] + sizes[b]):
+                may.add((a, b))
+                if any(180 * (1 + min(sizes[a] - sorted(rows[a]).index(g) - 1, sizes[b] - sorted(rows[b]).index(g) - 1)) >= 80 * (sizes[a] + sizes[b]) for g in shared):
+                    must.add((a, b))
+    for block in (6, 500):
+        got = [(x.hub, x.id) for x in ngram_join._product(df, 80, block).collect()]
+        assert len(got) == len(set(got)) and must <= set(got) <= may and len(must) > 100
+    x, y = [[r.integers(0, 30, r.integers(0, 12)) for _ in range(n)] for n in (5, 9)]
+    x, y = ([np.unique(v) for v in side] for side in (x, y))
+    assert ngram_join._overlaps(x, y).tolist() == [[len(set(a) & set(b)) for b in y] for a in x]
 
 
 def test_a_centre_with_the_largest_id(spark):
