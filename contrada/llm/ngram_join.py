@@ -174,8 +174,9 @@ def _product(entries: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
 
     Rows are put into blocks of up to about `block` by the hub that they have most columns with, so that likely partners are together.
     Two blocks meet in a task where a column has rows of both whose sizes and places let two link; there the overlaps of all their rows
-    are counted over all columns, and pairs whose count leaves too small an overlap are discarded (see _most). Only pairs that are left
-    leave the task, so a group of near copies that do not link costs products, not rows.
+    are counted over all columns, and pairs whose count, or whose place in the first column that they share, leaves too small an overlap
+    are discarded (see _most and _reaches). Only pairs that are left leave the task, so a group of near copies that do not link costs
+    products, not rows.
     """
     several = entries.groupBy("gram").agg((F.min("comp") != F.max("comp")).alias("several")).filter("several")
     own = entries.join(several, "gram", "left_semi").withColumn("n", F.expr("place >> 32"))
@@ -192,9 +193,10 @@ def _product(entries: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
 
     def multiplied(t: pa.Table) -> pa.Table:
         ids, comp, n, blocks = (t.column(c).to_numpy() for c in ("id", "comp", "n", "block"))
-        lists = t.column("grams").combine_chunks()
-        offsets, flat = np.asarray(lists.offsets), np.asarray(lists.values)
+        cells = t.column("cells").combine_chunks()
+        offsets, flat, left = np.asarray(cells.offsets), *(np.asarray(cells.values.field(k)) for k in (0, 1))
         grams = [flat[offsets[i] : offsets[i + 1]] for i in range(len(ids))]
+        rests = [left[offsets[i] : offsets[i + 1]] for i in range(len(ids))]
         a, b = (np.flatnonzero(blocks == t.column(c)[0].as_py()) for c in ("block_a", "block_b"))
         shared = _overlaps([grams[i] for i in a], [grams[i] for i in b])
         na, nb = n[a][:, None], n[b][None]
@@ -202,12 +204,21 @@ def _product(entries: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
         ok = (comp[a][:, None] != comp[b][None]) & (shared > 0) & (most * (100 + percent) >= percent * (na + nb))
         if a[0] == b[0]:
             ok = np.triu(ok, 1)
+        for i in np.flatnonzero(ok.any(1)).tolist():
+            # The first column that two rows share leaves most of both behind it.
+            own, to = a[i], np.flatnonzero(ok[i])
+            order = np.argsort(grams[own])
+            gram, rest = (np.concatenate([v[b[j]] for j in to]) for v in (grams, rests))
+            at = order[np.minimum(np.searchsorted(grams[own], gram, sorter=order), len(order) - 1)]
+            both = np.where(grams[own][at] == gram, np.minimum(rests[own][at], rest), -1)
+            sizes = np.array([len(grams[b[j]]) for j in to])
+            first = np.maximum.reduceat(both, np.cumsum(sizes) - sizes)
+            ok[i, to] = (1 + first) * (100 + percent) >= percent * (n[own] + n[b[to]])
         x, y = np.nonzero(ok)
         x, y = ids[a[x]], ids[b[y]]
         return pa.table({"hub": pa.array(np.minimum(x, y)), "id": pa.array(np.maximum(x, y))})
 
-    cut = dealt.select("block_a", "block_b", "block", "id", "comp", "n", F.transform("cells", lambda c: c["gram"]).alias("grams"))
-    return cut.groupBy("block_a", "block_b").applyInArrow(multiplied, "hub long, id long")
+    return dealt.select("block_a", "block_b", "block", "id", "comp", "n", "cells").groupBy("block_a", "block_b").applyInArrow(multiplied, "hub long, id long")
 
 
 def _rows_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
