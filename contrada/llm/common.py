@@ -40,7 +40,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     even_batches(spark)
     path = f"{shared_dir(spark)}/contrada-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing reads any more: what was made of them is written itself."""
+    for t in tables:
+        jvm, conf = t.sparkSession._jvm, t.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        path = jvm.org.apache.hadoop.fs.Path(t.written_at)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def lower_ascii(col):

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import mixed, shingle_sets
-from .common import Marks, parted, written
+from .common import Marks, discard, parted, written
 from .components import components
 
 #: Words of a shingle, and the similarity from which documents link, in hundredths.
@@ -169,8 +169,8 @@ def _overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     return counts.astype(np.int64)
 
 
-def _product(entries: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """Of the columns' entries (gram, id, place, hub, comp): hub < id, the pairs of different components that can still link.
+def _product(entries: DataFrame, percent: int, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Of the columns' entries (gram, id, place, hub, comp): hub < id, the pairs of different components that can still link; and the table of blocks that they are made from.
 
     Rows are put into blocks of up to about `block` by the hub that they have most columns with, so that likely partners are together.
     Two blocks meet in a task where a column has rows of both whose sizes and places let two link; there the overlaps of all their rows
@@ -184,6 +184,7 @@ def _product(entries: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
     rows = written(rows, "prefix_rows")
     parts = rows.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts"))
     placed = written(rows.join(parts, "home").select("id", "comp", "n", "cells", F.xxhash64("home", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block")), "blocks")
+    discard(rows)
     columns = placed.select("block", "n", F.explode("cells").alias("c")).groupBy(F.col("c.gram").alias("gram"), "block").agg(F.max("c.rest").alias("rest"), F.min("n").alias("n"))
     side = lambda s: columns.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("block", "rest", "n")])
     reach = (1 + F.least("rest_a", "rest_b")) * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))
@@ -218,7 +219,7 @@ def _product(entries: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
         x, y = ids[a[x]], ids[b[y]]
         return pa.table({"hub": pa.array(np.minimum(x, y)), "id": pa.array(np.maximum(x, y))})
 
-    return dealt.select("block_a", "block_b", "block", "id", "comp", "n", "cells").groupBy("block_a", "block_b").applyInArrow(multiplied, "hub long, id long")
+    return dealt.select("block_a", "block_b", "block", "id", "comp", "n", "cells").groupBy("block_a", "block_b").applyInArrow(multiplied, "hub long, id long"), placed
 
 
 def _rows_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -264,16 +265,22 @@ def near_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     shared = written(_shared(dealt, percent), "columns")
     star = shared.filter("near").select("hub", "id").distinct()
     prefixes = written(shared.groupBy("id").agg(F.collect_set("gram").alias("grams"), F.max(F.expr("place >> 32")).alias("n")), "prefixes")
-    links = _completed(docs, written(_enough(star, prefixes, percent), "star"), words, percent, "links")
+    near = written(_enough(star, prefixes, percent), "star")
+    links = _completed(docs, near, words, percent, "links")
+    discard(prefixes, near)
     comp = written(components(links.select(F.col("hub").alias("a"), F.col("id").alias("b"))), "comp")
     # Copies that the bitmap let through end here.
     known = shared.select("gram", "id", "place", "hub").join(first, "id", "left_semi").join(comp, "id", "left").select("gram", "id", "place", "hub", F.coalesce("root", "id").alias("comp"))
-    left = written(_product(known, percent), "left")
+    left, blocks = _product(known, percent)
+    left = written(left, "left")
+    discard(shared, blocks)
     # Links between components join these, as edges of their roots.
     more = _completed(docs, left, words, percent, "more")
     root = lambda c, name: comp.select(F.col("id").alias(c), F.col("root").alias(name))
     edges = more.join(root("hub", "x"), "hub", "left").join(root("id", "y"), "id", "left").select(F.coalesce("x", "hub").alias("a"), F.coalesce("y", "id").alias("b"))
-    joined = components(edges).select(F.col("id").alias("top"), F.col("root").alias("over"))
+    joined = components(edges)
+    discard(profiles, links, left, more)
+    joined = joined.select(F.col("id").alias("top"), F.col("root").alias("over"))
     found = members.join(root("class_id", "root"), "class_id", "left").withColumn("top", F.coalesce("root", "class_id")).join(joined, "top", "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("over", "top").alias("component_id"), "class_id")
 
@@ -292,7 +299,9 @@ def _completed(docs: DataFrame, pairs: DataFrame, words: int, percent: int, name
     rows = written(_rows_of(docs, ids, words), "rows")
     a, b = rows.select(F.col("id").alias("hub"), F.col("grams").alias("g1")), rows.select("id", F.col("grams").alias("g2"))
     overlap = F.size(F.array_intersect("g1", "g2"))
-    return written(pairs.join(b, "id").join(a, "hub").filter(overlap * (100 + percent) >= percent * (F.size("g1") + F.size("g2"))).select("hub", "id").distinct(), name)
+    out = written(pairs.join(b, "id").join(a, "hub").filter(overlap * (100 + percent) >= percent * (F.size("g1") + F.size("g2"))).select("hub", "id").distinct(), name)
+    discard(rows)
+    return out
 
 
 def deduplicated(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -129,7 +129,7 @@ def test_the_product_of_blocks(spark, monkeypatch):
             if shared and comps[a] != comps[b] and 180 * min(most, first) >= 80 * (sizes[a] + sizes[b]):
                 want.add((a, b))
     for block in (6, 500):
-        assert len(want) > 100 and sorted((x.hub, x.id) for x in ngram_join._product(df, 80, block).collect()) == sorted(want)
+        assert len(want) > 100 and sorted((x.hub, x.id) for x in ngram_join._product(df, 80, block)[0].collect()) == sorted(want)
     x, y = [[r.integers(0, 30, r.integers(0, 12)) for _ in range(n)] for n in (5, 9)]
     x, y = ([np.unique(v) for v in side] for side in (x, y))
     assert ngram_join._overlaps(x, y).tolist() == [[len(set(a) & set(b)) for b in y] for a in x]
