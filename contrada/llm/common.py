@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from .bytetext import mixed
 
 #: Bytes of an Arrow batch that goes to a Python worker, at most: texts may be long, and memory is shared with the JVM.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: The most bits of a bitmap of ids, as a power of two: 16 MB.
 MARK_BITS = 27
 
@@ -63,6 +65,20 @@ def partitions(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def tidy(run: Callable) -> Callable:
+    """run, for mapInArrow, after whose end the worker, which Spark keeps for later tasks, gives memory that it no longer uses back to the system."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return tidied
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A name that is no column of df."""
     taken = {c.lower() for c in df.columns}

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytetext import chunks, mixed, words
-from .common import partitions, unused, written
+from .common import partitions, tidy, unused, written
 
 BLOCK_WORDS, SHARD_SLOTS, SEED = 64, 1024, 20250101
 #: Weights of the sources by code point, repeating; and the most that a document is taken.
@@ -223,4 +223,4 @@ def mixed_rows(docs: DataFrame, **how) -> DataFrame:
             cols[at] = pa.array([x.decode() for x in texts], pa.string())
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return joined.mapInArrow(cut, docs.schema)
+    return joined.mapInArrow(tidy(cut), docs.schema)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import mixed, shingle_sets
-from .common import Marks, discard, parted, written
+from .common import Marks, discard, parted, tidy, written
 from .components import components
 
 #: Words of a shingle, and the similarity from which documents link, in hundredths.
@@ -57,7 +57,7 @@ def _profiles(docs: DataFrame, words: int) -> DataFrame:
             k = len(parts)
             yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), *[pa.nulls(k, pa.int64())] * 3, pa.array(range(k), pa.int32()), pa.array(parts, pa.binary())], names=["doc_id", "n", "h1", "h2", "part", "counts"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long, part int, counts binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, n long, h1 long, h2 long, part int, counts binary")
 
 
 def _commonness(parts: DataFrame) -> bytes:
@@ -102,7 +102,7 @@ def _entries(docs: DataFrame, ids: DataFrame, words: int, percent: int, common)
                 place = np.arange(ends[-1]) - np.repeat(ends - count, count) + (np.repeat(np.array(sizes, np.int64), count) << 32)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists)), b.column(0).take(pa.array(np.repeat(at, count))), pa.array(place)], names=["gram", "id", "place"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null").mapInArrow(run, "gram long, id long, place long")
+    return docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null").mapInArrow(tidy(run), "gram long, id long, place long")
 
 
 def _reaches(na, nb, ia, ib, percent: int):
@@ -145,7 +145,7 @@ def _shared(dealt: DataFrame, percent: int) -> DataFrame:
             near = bool(_reaches(hub[2] >> 32, p >> 32, hub[2] & 0xFFFFFFFF, p & 0xFFFFFFFF, percent)) and hub[1] != wait.column(1)[0].as_py()
             yield pa.RecordBatch.from_arrays([*wait.columns, pa.array([hub[1]], pa.int64()), pa.array([near])], names=["gram", "id", "place", "hub", "near"])
 
-    return dealt.select("gram", "id", "place").mapInArrow(run, "gram long, id long, place long, hub long, near boolean")
+    return dealt.select("gram", "id", "place").mapInArrow(tidy(run), "gram long, id long, place long, hub long, near boolean")
 
 
 def _overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
@@ -234,7 +234,7 @@ def _rows_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(lists)))], names=["id", "grams"])
 
-    found = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("id is not null").mapInArrow(run, "id long, grams array<long>")
+    found = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("id is not null").mapInArrow(tidy(run), "id long, grams array<long>")
     return found.join(ids.select("id"), "id", "left_semi")
 
 

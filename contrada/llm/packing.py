@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import tidy, written
 from .tokens import encoder
 
 WINDOW = 1024
@@ -163,7 +163,7 @@ def packed(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int =
         if names:
             yield from close()
 
-    pieces = written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema), "pieces")
+    pieces = written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), schema), "pieces")
     made = pieces.groupBy("part").agg(F.max("local").alias("last"))
     bases = made.select("part", (F.coalesce(F.sum(F.col("last") + 1).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("base"))
     small = made.count() <= BROADCAST_TASKS  # one row for each task; else the pieces are shuffled by task

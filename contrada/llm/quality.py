@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import LOWER, SPACE, chunks, span_hashes, words
-from .common import written
+from .common import tidy, written
 
 THRESHOLD = 0.3
 #: Share of the class covariance that gives way to the pooled one, and then to its diagonal; and a variance that is added to all.
@@ -125,7 +125,7 @@ def statistics_table(docs: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(NAMES)), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["doc_id", "x"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, x array<double>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, x array<double>")
 
 
 def held_out(doc_id):
@@ -156,7 +156,7 @@ def fitted(stats: DataFrame, labels: DataFrame) -> Discriminant:
         total = sum(np.frombuffer(x, np.float64) for x in sorted(t.column("sums").to_pylist()))
         return pa.table({"part": pa.array([t.column("part")[0].as_py()], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
 
-    parts = rows.select("x", "y").mapInArrow(run, "part int, sums binary").groupBy("part").applyInArrow(add, "part int, sums binary").collect()  # 64 rows at most
+    parts = rows.select("x", "y").mapInArrow(tidy(run), "part int, sums binary").groupBy("part").applyInArrow(add, "part int, sums binary").collect()  # 64 rows at most
     total = sum((np.frombuffer(r["sums"], np.float64) for r in sorted(parts, key=lambda r: r["part"])), np.zeros(2 + 2 * d + 2 * d * d))
     total = np.round(total, 6)
     return Discriminant(total[:2], total[2 : 2 + 2 * d].reshape(2, d), total[2 + 2 * d :].reshape(2, d, d))
@@ -170,7 +170,7 @@ def _scores(docs: DataFrame, model: Discriminant, kinds: str) -> DataFrame:
             x = np.asarray(b.column(1).flatten()).reshape(-1, len(NAMES))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.scores(x))], names=["doc_id", "score"])
 
-    return docs.mapInArrow(run, kinds)
+    return docs.mapInArrow(tidy(run), kinds)
 
 
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -200,4 +200,4 @@ def kept(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> Da
         for b in batches:
             yield b.filter(pa.array(model.scores(statistics(b.column(at))) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

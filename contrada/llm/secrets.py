@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import LOWER, chunks, mixed, span_hashes, words
-from .common import written
+from .common import tidy, written
 
 #: The base patterns, in the order of their kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -340,7 +340,7 @@ def _chains_of(docs: DataFrame, made: int = 1) -> DataFrame:
             kinds, xs, ys, luck = zip(*out, strict=True) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(xs, pa.list_(pa.int64())), pa.array(ys, pa.list_(pa.int64())), pa.array(luck, pa.int64())], names=["kind", "x", "y", "luck"])
 
-    return docs.mapInArrow(run, "kind string, x array<long>, y array<long>, luck long")
+    return docs.mapInArrow(tidy(run), "kind string, x array<long>, y array<long>, luck long")
 
 
 def learned(docs: DataFrame) -> Field:
@@ -409,4 +409,4 @@ def scanned(docs: DataFrame, field: Field | None = None) -> DataFrame:
             out = [[{"start": a, "end": z, "kind": k} for a, z, k in sorted(x, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))] for x in spans]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())])))], names=["doc_id", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, spans array<struct<start: long, end: long, kind: string>>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, spans array<struct<start: long, end: long, kind: string>>")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import chunks, mixed, span_hashes
-from .common import written
+from .common import tidy, written
 
 LENGTH, GRAM, WIDTH = 200, 32, 16
 #: Symbols of a shard's suffix array, about; of a core with more rows each window is known by a hash, and these are counted: the same result without an array that would not fit.
@@ -200,7 +200,7 @@ def _scan(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 copies[order] = np.where(same, 2, np.where(np.append(same[1:], False), 1, 0))
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(content), b.column(0).take(pa.array(row)), pa.array(at), pa.array(copies)], names=["anchor", "content", "id", "at", "copies"])
 
-    return docs.mapInArrow(run, "anchor long, content long, id long, at long, copies tinyint")
+    return docs.mapInArrow(tidy(run), "anchor long, content long, id long, at long, copies tinyint")
 
 
 def _sorted_runs(dealt: DataFrame) -> DataFrame:
@@ -240,7 +240,7 @@ def _sorted_runs(dealt: DataFrame) -> DataFrame:
         if wait is not None:
             yield judged(wait, None)
 
-    return dealt.select("anchor", "content", "id", "at", "copies").mapInArrow(run, "anchor long, id long, at long, full boolean, check boolean")
+    return dealt.select("anchor", "content", "id", "at", "copies").mapInArrow(tidy(run), "anchor long, id long, at long, full boolean, check boolean")
 
 
 def _cores(joined: DataFrame, length: int, width: int) -> DataFrame:
@@ -272,7 +272,7 @@ def _cores(joined: DataFrame, length: int, width: int) -> DataFrame:
                 if len(i):
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(left, pa.binary()), pa.array(right, pa.binary()), b.column(0).take(pa.array(row[i])), pa.array(left_s - offsets[row - at][i])], names=["key", "left", "right", "id", "start"])
 
-    return joined.mapInArrow(run, "key long, left binary, right binary, id long, start long")
+    return joined.mapInArrow(tidy(run), "key long, left binary, right binary, id long, start long")
 
 
 def _arrays(dealt: DataFrame, length: int, width: int) -> DataFrame:
@@ -336,7 +336,7 @@ def _arrays(dealt: DataFrame, length: int, width: int) -> DataFrame:
         if shard:
             yield from found(shard)
 
-    return dealt.mapInArrow(run, "id long, start long, end long, window long")
+    return dealt.mapInArrow(tidy(run), "id long, start long, end long, window long")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -397,4 +397,4 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     kept.append(own[~gone].tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return joined.mapInArrow(tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
 from .tokens import encoder
 
 
@@ -58,7 +59,7 @@ def line_counts(docs: DataFrame, tokenizer: str, rule: str = "start") -> DataFra
                 number = np.arange(len(places)) - np.searchsorted(owner, owner)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, rows).take(pa.array(owner)), pa.array(number), pa.array(chars[places] - row_start), pa.array(chars[ends] - row_start), pa.array(counts)], names=["doc_id", "section", "start", "end", "n_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, section long, start long, end long, n_tokens long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, section long, start long, end long, n_tokens long")
 
 
 def field_counts(rows: DataFrame, keys: list[str], fields: list[str], tokenizer: str, separator: str = "\n", rule: str = "start") -> DataFrame:
@@ -87,4 +88,4 @@ def field_counts(rows: DataFrame, keys: list[str], fields: list[str], tokenizer:
             yield pa.RecordBatch.from_arrays([*[b.column(k).take(index) for k in range(len(keys))], pa.array(fields * n), pa.array(counts.ravel())], names=[*keys, "field", "n_tokens"])
 
     kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
-    return rows.select(*keys, *[F.col(f).cast("string") for f in fields]).mapInArrow(run, f"{kinds}, field string, n_tokens long")
+    return rows.select(*keys, *[F.col(f).cast("string") for f in fields]).mapInArrow(tidy(run), f"{kinds}, field string, n_tokens long")
