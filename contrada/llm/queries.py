@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, neighbours, ngram_join, packing, quality, secrets, suffix_dedup, token_counts, url_filter
+from . import exact_dedup, manifest, mixing, neighbours, ngram_join, packing, quality, secrets, sharding, suffix_dedup, token_counts, url_filter
 from .common import table
 
 #: The vocabulary file that token operators read; its path is a parameter of theirs.
@@ -100,6 +100,60 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.line_counts(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its shard of near equal bytes and its slot there."""
+    return sharding.sharded(table(spark, sf_dir, "documents"))
+
+
+# CRC-32 of a list of bytes, by the table of its polynomial.
+_CRC_TABLE = "crc_table AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, [0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[]), lambda x, k: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))) AS tab)"
+
+
+def _crc(text: str) -> str:
+    return f"xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::BIGINT)), lambda c, b: xor(c >> 8, tab[1 + (xor(c, b) & 255)])))"
+
+
+OP11_SQL = f"""
+WITH {_CRC_TABLE},
+s AS (SELECT doc_id, strlen(t) + 1 AS size, {_crc("t")} AS text_crc32, md5(t) AS digest FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) d, crc_table),
+r AS (SELECT *, row_number() OVER w - 1 AS nr, sum(size) OVER (w ROWS UNBOUNDED PRECEDING) - size AS before FROM s WINDOW w AS (ORDER BY digest, doc_id NULLS FIRST)),
+a AS (SELECT sum(size) AS total FROM s),
+g AS (SELECT digest, min(before) AS a, max(before + size) AS b, min(nr) AS i, max(nr) + 1 AS j FROM r GROUP BY digest),
+c AS (
+  SELECT CASE WHEN (g.b - g.a) * 8 * 100 > total THEN CASE WHEN 2 * k * total <= 8 * (2 * before + size) THEN nr ELSE nr + 1 END
+              WHEN 2 * k * total <= 8 * (g.a + g.b) THEN g.i ELSE g.j END AS cut
+  FROM range(1, 8) AS t(k), a, r JOIN g ON g.digest = r.digest WHERE k * total >= 8 * before AND k * total < 8 * (before + size))
+SELECT doc_id, size, text_crc32, 'bytes' AS law, CAST((SELECT count(*) FROM c WHERE cut <= nr) AS INT) AS shard, nr - coalesce((SELECT max(cut) FROM c WHERE cut <= nr), 0) AS slot, CAST(NULL AS INT) AS grown_shard FROM r
+"""
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its leaf, its language's root, the root, its proof, and whether the tried leaf folds to the root."""
+    return manifest.proven(table(spark, sf_dir, "documents"), with_path=False)
+
+
+def _fields(n_chars: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen({x}) || ':' || {x}, '-')" for x in ("CAST(doc_id AS VARCHAR)", "source", "lang", f"CAST({n_chars} AS VARCHAR)", "text")) + ")"
+
+
+_UP = "SELECT tree, h + 1, i // 2, (n + 1) // 2, sha256(string_agg(node, '' ORDER BY i)) FROM {t} WHERE n > 1 GROUP BY tree, h, i // 2, n"
+_STEP = """SELECT p.id, p.tree, p.h + 1, p.i // 2, (p.n + 1) // 2, sha256(CASE WHEN s.node IS NULL THEN p.node WHEN p.i % 2 = 1 THEN s.node || p.node ELSE p.node || s.node END), p.proof || coalesce(s.node, '')
+  FROM {p} p LEFT JOIN {t} s ON s.tree = p.tree AND s.h = p.h AND s.i = xor(p.i, 1) WHERE p.n > 1"""
+
+OP13_SQL = f"""
+WITH RECURSIVE {_CRC_TABLE},
+d AS (SELECT doc_id, coalesce('=' || lang, '') AS tree, {_fields("n_chars")} AS leaf, CASE WHEN {_crc("CAST(doc_id AS VARCHAR)")} % 7 = 0 THEN {_fields("(n_chars + 1)")} END AS tampered FROM documents, crc_table),
+e AS (SELECT *, row_number() OVER () AS id, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM d),
+lv(tree, h, i, n, node) AS (SELECT tree, 0, i, n, leaf FROM e UNION ALL {_UP.format(t="lv")}),
+su AS (SELECT '' AS tree, 0 AS h, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n, node, tree AS lang FROM lv WHERE n = 1),
+up(tree, h, i, n, node) AS (SELECT tree, h, i, n, node FROM su UNION ALL {_UP.format(t="up")}),
+lo(id, tree, h, i, n, node, proof) AS (SELECT id, tree, 0, i, n, coalesce(tampered, leaf), '' FROM e UNION ALL {_STEP.format(p="lo", t="lv")}),
+hi(id, tree, h, i, n, node, proof) AS (SELECT lo.id, su.tree, 0, su.i, su.n, lo.node, lo.proof FROM lo JOIN su ON su.lang = lo.tree WHERE lo.n = 1 UNION ALL {_STEP.format(p="hi", t="up")})
+SELECT e.doc_id, e.leaf, su.node AS subroot, t.node AS root, sha256(hi.proof) AS proof_sha256, hi.node AS folded_root, hi.node = t.node AS verified
+FROM e JOIN su ON su.lang = e.tree JOIN hi ON hi.id = e.id AND hi.n = 1, (SELECT node FROM up WHERE n = 1) t
+"""
+
+
 OP6_SQL = rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
 s AS (
@@ -115,8 +169,8 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN r ON r.x = d.doc_id GRO
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_url_filter, op3_quality_classifier, op4_packing, op5_secret_scan, op6_ngram_jaccard_join, op7_source_mixing, op8_nearest_neighbours, op9_suffix_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_url_filter, op3_quality_classifier, op4_packing, op5_secret_scan, op6_ngram_jaccard_join, op7_source_mixing, op8_nearest_neighbours, op9_suffix_dedup, op10_token_counts, op11_sharding, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op2_url_filter": OP2_SQL, "op6_ngram_jaccard_join": OP6_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op2_url_filter": OP2_SQL, "op6_ngram_jaccard_join": OP6_SQL, "op11_sharding": OP11_SQL, "op13_merkle_manifest": OP13_SQL}
