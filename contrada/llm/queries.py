@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, manifest, mixing, neighbours, ngram_join, packing, quality, secrets, sharding, suffix_dedup, token_counts, url_filter
+from . import alignment, exact_dedup, manifest, mixing, neighbours, ngram_join, packing, quality, secrets, sharding, suffix_dedup, token_counts, url_filter
 from .common import table
 
 #: The vocabulary file that token operators read; its path is a parameter of theirs.
 TOKENIZER = "byte_bpe_50k.json"
+#: The other vocabulary of the alignment.
+PIECES = "piece_bpe_32k.model"
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -127,6 +129,11 @@ SELECT doc_id, size, text_crc32, 'bytes' AS law, CAST((SELECT count(*) FROM c WH
 """
 
 
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the groups of two vocabularies' tokens and their links."""
+    return alignment.aligned(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path(PIECES))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its leaf, its language's root, the root, its proof, and whether the tried leaf folds to the root."""
     return manifest.proven(table(spark, sf_dir, "documents"), with_path=False)
@@ -169,7 +176,7 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN r ON r.x = d.doc_id GRO
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_url_filter, op3_quality_classifier, op4_packing, op5_secret_scan, op6_ngram_jaccard_join, op7_source_mixing, op8_nearest_neighbours, op9_suffix_dedup, op10_token_counts, op11_sharding, op13_merkle_manifest)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_url_filter, op3_quality_classifier, op4_packing, op5_secret_scan, op6_ngram_jaccard_join, op7_source_mixing, op8_nearest_neighbours, op9_suffix_dedup, op10_token_counts, op11_sharding, op12_cross_tokenizer_alignment, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
