@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.mapping import GENERIC
+from . import tessellation
 
 VERBATIM, DERIVED, BOUNDARY, SWITCH_MS = 0.50, 0.70, 0.90, 5000
 #: Vertices of all boundaries up to which they are sent to every worker: some 32 MB.
@@ -16,8 +17,8 @@ SENT_VERTICES = 2_000_000
 
 
 def inside(points: DataFrame, boundaries: DataFrame) -> DataFrame:
-    """Adds inside: whether a point is within its own city's boundary (citta, polygons); false without one. Boundaries are few and large: points stay, Spark sends them where small."""
-    return points.join(boundaries, "citta", "left").withColumn("inside", F.coalesce(geo.in_polygons(F.col("polygons"), F.col("lat"), F.col("lon")), F.lit(False))).drop("polygons")
+    """Adds inside: whether a point is within its own city's boundary (citta, polygons); false without one, and without coordinates. The boundaries are cut into cells once; a point is tested against the sides near it."""
+    return tessellation.placed_in(points, tessellation.tessellated(boundaries))
 
 
 def inside_vectorised(points: DataFrame, boundaries: DataFrame, most: int = SENT_VERTICES) -> DataFrame:
