@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import geo, text
 
 NEAREST, TOP_CLASSES, MAX_AGE = 5, 3, 1800
+#: Seconds of time that a task of the as-of lookup takes of a zone at once.
+BUCKET = 900
 ZONE = ["citta", "zona"]
 # Sentences of the texts, which must read like this.
 SUMMARY = " punti di interesse selezionati fra i piu' vicini al centro della zona; classi piu' frequenti fra questi: "
@@ -55,16 +57,27 @@ def prompt_hash(system_hash, question):
     return F.when(text.filled(question), F.sha2(F.concat(system_hash, F.lit("\x1e"), text.flattened(question)), 256)).otherwise(system_hash)
 
 
-def as_of(requests: DataFrame, contexts: DataFrame, max_age: int = MAX_AGE) -> DataFrame:
-    """Each request (request_id, zone_key, requested_at) with the last context of its zone stored at or before it (context_id, stored_at, contesto_hash, poi_ids) and not older than max_age seconds; null if none. One shuffle by zone, no range join: both sides are one stream in time."""
+def as_of(requests: DataFrame, contexts: DataFrame, max_age: int = MAX_AGE, bucket: int = BUCKET) -> DataFrame:
+    """Each request (request_id, zone_key, requested_at; other columns stay) with the last context of its zone stored at or before it (context_id, stored_at, contesto_hash, poi_ids) and not older than max_age seconds; null if none.
+
+    Both sides are one stream in time, dealt by zone and bucket of time, so a zone of many rows is as many tasks as it has buckets. The
+    last context of every bucket, found by partial maxima, is carried to the zone's next buckets as a row of its own: one small row for each bucket.
+    Requests travel whole, so nothing is joined back; rows that repeat are answered each. A null zone or time has no context.
+    """
     told = F.struct("context_id", "stored_at", "contesto_hash", "poi_ids")
-    stored = contexts.select("zone_key", F.col("stored_at").alias("at"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("request_id"), F.col("context_id").alias("tie"), told.alias("context"))
-    asked = requests.select("zone_key", F.col("requested_at").alias("at"), F.lit(1).alias("side"), "request_id", F.col("request_id").alias("tie"), F.lit(None).cast(stored.schema["context"].dataType).alias("context"))
-    w = Window.partitionBy("zone_key").orderBy("at", "side", "tie").rowsBetween(Window.unboundedPreceding, 0)
-    last = stored.unionByName(asked).withColumn("context", F.last("context", ignorenulls=True).over(w)).filter("side = 1")
-    fresh = (F.unix_micros(F.col("at").cast("timestamp")) - F.unix_micros(F.col("context.stored_at").cast("timestamp"))) <= max_age * 1_000_000
-    found = last.select("request_id", F.when(fresh, F.col("context")).alias("context"))
-    return requests.join(found, "request_id")
+    bucket_of = lambda t: F.floor(F.unix_micros(t.cast("timestamp")) / (bucket * 1_000_000)).cast("long")
+    stored = contexts.select("zone_key", F.col("stored_at").alias("at"), F.lit(0).alias("side"), F.col("context_id").alias("tie"), told.alias("context")).withColumn("bucket", bucket_of(F.col("at")))
+    asked = requests.select("zone_key", F.col("requested_at").alias("at"), F.lit(1).alias("side"), F.struct(*requests.columns).alias("request")).withColumn("bucket", bucket_of(F.col("at")))
+    latest = stored.groupBy("zone_key", "bucket").agg(F.max_by(F.struct("at", "tie", "context"), F.struct("at", "tie")).alias("last"))
+    wanted = latest.unionByName(asked.select("zone_key", "bucket").distinct(), allowMissingColumns=True).groupBy("zone_key", "bucket").agg(F.first("last", ignorenulls=True).alias("last"))
+    before = Window.partitionBy("zone_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = wanted.withColumn("last", F.last("last", ignorenulls=True).over(before)).filter("last is not null").select("zone_key", "bucket", "last.*").withColumn("side", F.lit(0))
+    w = Window.partitionBy("zone_key", "bucket").orderBy("at", "side", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    both = stored.unionByName(carried).unionByName(asked, allowMissingColumns=True)
+    last = both.withColumn("context", F.last("context", ignorenulls=True).over(w)).filter("side = 1")
+    age = F.unix_micros(F.col("at").cast("timestamp")) - F.unix_micros(F.col("context.stored_at").cast("timestamp"))
+    known = F.col("zone_key").isNotNull() & (age <= max_age * 1_000_000)
+    return last.select("request.*", F.when(known, F.col("context")).alias("context"))
 
 
 def outcomes(looked_up: DataFrame) -> DataFrame:

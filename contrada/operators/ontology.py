@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..sources.stored import stored
+from ..sources.stored import discard, stored
 
 # The predicates read, and the properties of a profile by rank.
 SUBCLASS, TYPE, ON, SOME = "rdfs:subClassOf", "rdf:type", "owl:onProperty", "owl:someValuesFrom"
@@ -34,7 +34,9 @@ def restrictions(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
 def ancestors(triples: DataFrame, classes: DataFrame | None = None) -> DataFrame:
     """(terminus_class, ancestor): subClassOf, reflexive and transitive, over IRIs; cycles end. Of all classes, or of those named (terminus_class) only.
 
-    The frontier of new pairs meets the edges until none is new. Edges and each frontier are written once, so no round computes an earlier one again.
+    Paths are doubled: with the pairs reached so far and the ends of all walks of exactly n steps, one join reaches twice as far, so the
+    rounds are the logarithm of the depth. Walks of n steps are at most as many as pairs, and those round a cycle go on round it. Each
+    table is written once; two doublings make a job. It is done when a job finds no new pair.
     """
     edges = stored(triples.filter((F.col("p") == SUBCLASS) & (F.col("s_kind") == "iri") & (F.col("o_kind") == "iri")).select(text.local_name(F.col("s")).alias("from"), text.local_name(F.col("o")).alias("to")).distinct(), "edges")
     if classes is None:
@@ -42,13 +44,32 @@ def ancestors(triples: DataFrame, classes: DataFrame | None = None) -> DataFrame
         seeds = named.union(edges.select("from")).union(edges.select("to"))
     else:
         seeds = classes.select("terminus_class")
-    frontier = stored(seeds.toDF("c").distinct().select(F.col("c").alias("terminus_class"), F.col("c").alias("ancestor")), "closure")
-    seen = frontier
-    while not frontier.isEmpty():
-        step = frontier.join(edges, frontier["ancestor"] == edges["from"]).select("terminus_class", F.col("to").alias("ancestor")).distinct()
-        frontier = stored(step.join(seen, ["terminus_class", "ancestor"], "left_anti"), "closure")
-        seen = seen.union(frontier)
-    return seen
+    own = seeds.toDF("c").distinct().select(F.col("c").alias("terminus_class"), F.col("c").alias("ancestor"))
+    return closed(own, edges)
+
+
+def closed(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """pairs (terminus_class, ancestor) and all that edges (from, to; written) lead to from their ancestors; written."""
+
+    def further(reached: DataFrame, walks: DataFrame) -> DataFrame:
+        return reached.union(reached.join(walks, F.col("ancestor") == F.col("from")).select("terminus_class", F.col("to").alias("ancestor"))).distinct()
+
+    def doubled(walks: DataFrame) -> DataFrame:
+        return walks.join(walks.select(F.col("from").alias("to"), F.col("to").alias("end")), "to").select("from", F.col("end").alias("to")).distinct()
+
+    reached, walks, known, spent = pairs, edges, -1, []
+    while True:
+        twice = doubled(walks)
+        before, reached = reached, stored(further(further(reached, walks), twice), "closure")
+        discard(before)
+        count = reached.count()
+        if count == known:
+            discard(*spent)
+            return reached
+        known = count
+        walks = stored(doubled(twice), "walks")
+        discard(*spent)
+        spent = [walks]
 
 
 def inherited(closure: DataFrame, own: DataFrame) -> DataFrame:

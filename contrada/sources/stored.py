@@ -13,4 +13,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
     path = f"{folder.rstrip('/')}/contrada-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of stored() that nothing reads any more; others are left alone."""
+    for t in tables:
+        if hasattr(t, "stored_at"):
+            path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.stored_at)
+            path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

@@ -161,3 +161,54 @@ def test_sources(spark, tmp_path):
     records.write_report(spark.createDataFrame([("c", 0.12345, 1.5)], "citta string, grounding_a double, latency_ms_a double"), str(tmp_path / "report"))
     assert [tuple(r) for r in spark.read.option("header", True).csv(str(tmp_path / "report")).collect()] == [("c", "0.123", "2.0")]
     assert records.rounded(spark.createDataFrame([(0.12345, 0.5)], "grounding_a double, latency_ms double")).first() == (0.123, 0.0)
+
+
+def test_long_chains_and_cycles_close(spark, monkeypatch):
+    from contrada.sources.stored import stored
+
+    n = 1000
+    edges = [(f"c{i}", f"c{i + 1}") for i in range(n - 1)]
+    edges += [(f"r{i}", f"r{(i + 1) % 7}") for i in range(7)] + [("r3", "c990"), ("self", "self"), ("a", "b"), ("a", "c"), ("b", "d"), ("c", "d")]
+    table = stored(spark.createDataFrame(edges, "`from` string, `to` string"), "edges")
+    rounds = []
+    monkeypatch.setattr(ontology, "stored", lambda df, name: rounds.append(name) or stored(df, name))
+    seeds = spark.createDataFrame([(x, x) for x in ("c0", "c500", "r0", "self", "a", "lone")], "terminus_class string, ancestor string")
+    got = {}
+    for r in ontology.closed(seeds, table).collect():
+        got.setdefault(r.terminus_class, set()).add(r.ancestor)
+    assert rounds.count("closure") <= 6  # each doubles twice, and the last finds nothing new
+    tail = {f"c{i}" for i in range(990, n)}
+    assert got == {"c0": {f"c{i}" for i in range(n)}, "c500": {f"c{i}" for i in range(500, n)}, "r0": {f"r{i}" for i in range(7)} | tail, "self": {"self"}, "a": set("abcd"), "lone": {"lone"}}
+    whole = ontology.closed(spark.createDataFrame([(f"c{i}", f"c{i}") for i in range(n)], seeds.schema), table)
+    assert whole.count() == n * (n + 1) // 2
+
+
+def test_as_of_equals_the_loop(spark):
+    import datetime
+    import random
+
+    from contrada.operators import context
+
+    rng = random.Random(6)
+    start = datetime.datetime(2024, 1, 1)
+    when = lambda: start + datetime.timedelta(seconds=rng.choice([rng.randrange(9000), 900 * rng.randrange(10), 1800]))
+    # One zone has over a third of all rows; times tie within and across sides.
+    zone = lambda: rng.choice(["hot", "hot", "z1", "z2", None])
+    contexts = [(i, zone(), None if i == 7 else when(), str(i % 2), ["1"]) for i in range(200)]
+    requests = [(i, zone(), None if i == 9 else when(), i * 1.5) for i in range(400)]
+    requests += requests[:3]
+    c = spark.createDataFrame(contexts, "context_id long, zone_key string, stored_at timestamp, contesto_hash string, poi_ids array<string>")
+    q = spark.createDataFrame(requests, "request_id long, zone_key string, requested_at timestamp, side double")
+
+    def plain(max_age):
+        out = []
+        for i, z, t, extra in requests:
+            best = max(((s, k) for k, y, s, *_ in contexts if z is not None and y == z and t and s and s <= t), default=None)
+            out.append((i, extra, best[1] if best and (t - best[0]).total_seconds() <= max_age else None))
+        return sorted(out)
+
+    for max_age, bucket in ((1800, 900), (1800, 60), (100, 7), (10**7, 1)):
+        got = context.as_of(q, c, max_age, bucket)
+        assert got.columns == [*q.columns, "context"]
+        assert sorted((r.request_id, r.side, r.context.context_id if r.context else None) for r in got.collect()) == plain(max_age)
+    assert "zone_key" in (plan := context.as_of(q, c)._jdf.queryExecution().executedPlan().toString()) and "hashpartitioning(zone_key" in plan.replace("#", " #") and ", bucket" in plan
