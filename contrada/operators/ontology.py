@@ -36,7 +36,7 @@ def ancestors(triples: DataFrame, classes: DataFrame | None = None) -> DataFrame
 
     Paths are doubled: with the pairs reached so far and the ends of all walks of exactly n steps, one join reaches twice as far, so the
     rounds are the logarithm of the depth. Walks of n steps are at most as many as pairs, and those round a cycle go on round it. Each
-    table is written once; two doublings make a job. It is done when a job finds no new pair.
+    table is written once; three doublings make a job.
     """
     edges = stored(triples.filter((F.col("p") == SUBCLASS) & (F.col("s_kind") == "iri") & (F.col("o_kind") == "iri")).select(text.local_name(F.col("s")).alias("from"), text.local_name(F.col("o")).alias("to")).distinct(), "edges")
     if classes is None:
@@ -45,29 +45,31 @@ def ancestors(triples: DataFrame, classes: DataFrame | None = None) -> DataFrame
     else:
         seeds = classes.select("terminus_class")
     own = seeds.toDF("c").distinct().select(F.col("c").alias("terminus_class"), F.col("c").alias("ancestor"))
-    return closed(own, edges)
+    return closed(stored(own, "closure"), edges)
 
 
 def closed(pairs: DataFrame, edges: DataFrame) -> DataFrame:
-    """pairs (terminus_class, ancestor) and all that edges (from, to; written) lead to from their ancestors; written."""
+    """pairs (terminus_class, ancestor; written, and deleted here) and all that edges (from, to; written) lead to from their ancestors; written."""
 
-    def further(reached: DataFrame, walks: DataFrame) -> DataFrame:
-        return reached.union(reached.join(walks, F.col("ancestor") == F.col("from")).select("terminus_class", F.col("to").alias("ancestor"))).distinct()
+    def further(reached: DataFrame, walks: DataFrame, step: int) -> DataFrame:
+        new = reached.join(walks, F.col("ancestor") == F.col("from")).select("terminus_class", F.col("to").alias("ancestor"), F.lit(step).alias("step"))
+        return reached.union(new).groupBy("terminus_class", "ancestor").agg(F.min("step").alias("step"))
 
     def doubled(walks: DataFrame) -> DataFrame:
         return walks.join(walks.select(F.col("from").alias("to"), F.col("to").alias("end")), "to").select("from", F.col("end").alias("to")).distinct()
 
-    reached, walks, known, spent = pairs, edges, -1, []
+    reached, walks, spent = pairs, edges, []
     while True:
+        # Walks of n steps, then of 2n and 4n: with them pairs up to 8n - 1 steps apart are reached. If the last found none, none is left.
         twice = doubled(walks)
-        before, reached = reached, stored(further(further(reached, walks), twice), "closure")
+        four = doubled(twice)
+        start = reached.select("terminus_class", "ancestor", F.lit(0).alias("step"))
+        before, reached = reached, stored(further(further(further(start, walks, 1), twice, 2), four, 3), "closure")
         discard(before)
-        count = reached.count()
-        if count == known:
+        if reached.filter("step = 3").isEmpty():
             discard(*spent)
-            return reached
-        known = count
-        walks = stored(doubled(twice), "walks")
+            return reached.drop("step")
+        walks = stored(doubled(four), "walks")
         discard(*spent)
         spent = [walks]
 

@@ -53,7 +53,7 @@ def selection(spark, sf_dir):
 
 
 def fillers(spark, sf_dir, classes=None):
-    t = views.triples(spark, sf_dir)
+    t = stored(views.triples(spark, sf_dir), "triples")
     return ontology.inherited(ontology.ancestors(t, classes), ontology.restrictions(t)[0])
 
 
