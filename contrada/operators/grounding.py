@@ -87,9 +87,9 @@ def by_tag(risks: DataFrame) -> DataFrame:
     return risks.withColumn("tag", tag).groupBy("citta", "zona", "tag").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "hazard"))), lambda x: x["hazard"]).alias("hazards")).withColumn("tag_rank", rank)
 
 
-def tabs(grouped: DataFrame, prose: DataFrame) -> DataFrame:
-    """Tabs of each zone, tab_rank in their order: of the three known tags those that have prose (citta, zona, tag, text) beyond white space, stripped here, or a hazard (by_tag)."""
+def tabs(grouped: DataFrame, prose: DataFrame, keys: tuple[str, ...] = ("citta", "zona")) -> DataFrame:
+    """Tabs of each key (a zone, or a narrative of it), tab_rank in their order: of the three known tags those that have prose (keys, tag, text) beyond white space, stripped here, or a hazard (by_tag)."""
     order = F.array(*map(F.lit, (ONTOLOGY, CONTEXT, SPECULATIVE)))
-    joined = grouped.select("citta", "zona", "tag", "hazards").join(prose.select("citta", "zona", "tag", text.stripped(F.col("text")).alias("text")), ["citta", "zona", "tag"], "full_outer")
-    out = joined.select("citta", "zona", "tag", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("hazards", F.array().cast("array<string>")).alias("hazards"), F.array_position(order, F.col("tag")).cast("int").alias("tab_rank"))
+    joined = grouped.select(*keys, "tag", "hazards").join(prose.select(*keys, "tag", text.stripped(F.col("text")).alias("text")), [*keys, "tag"], "full_outer")
+    out = joined.select(*keys, "tag", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("hazards", F.array().cast("array<string>")).alias("hazards"), F.array_position(order, F.col("tag")).cast("int").alias("tab_rank"))
     return out.filter((F.col("tab_rank") > 0) & ((F.col("text") != "") | (F.size("hazards") > 0)))

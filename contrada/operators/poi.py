@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, text
 from ..functions.mapping import FAMILIES, GENERIC, SELECTORS, mapping
+from ..sources.stored import stored
 
 MAX_POIS, PER_CLASS, PER_SELECTOR = 20, 3, 10
-#: Degrees of a cell of the retrieval join; boxes span a few of them.
-CELL = 0.01
+#: Cells that a box is wide at most (one more where it begins within one), and points of a cell for one task of the retrieval join.
+SPAN, HOT_CELL = 8, 1_000_000
 
 
 def coordinates(lat, lon, mid) -> tuple[Column, Column]:
@@ -58,17 +59,35 @@ def capped_by_selector(points: DataFrame, cap: int = PER_SELECTOR) -> DataFrame:
     return kept.select("citta", "zona", "type", "id").distinct()
 
 
-def in_boxes(points: DataFrame, zones: DataFrame, cell: float = CELL) -> DataFrame:
-    """Points (lat, lon) with the zones (citta, zona, bbox) whose box holds them; a point may be in several. Both sides meet by grid cell, then the box decides."""
-    grid = lambda x: F.floor(x / cell).cast("long")
+def in_boxes(points: DataFrame, zones: DataFrame, hot: int = HOT_CELL) -> DataFrame:
+    """Points (lat, lon) with the zones (citta, zona, bbox) whose box holds them; a point may be in several.
+
+    A box is covered by cells of its own size, a power of two of degrees of which it is at most SPAN wide, so a country's box has no more
+    cells than a street's; a point is looked up once for each size in use. Cells of over `hot` points are dealt to several tasks by a
+    hash of the point's columns, their boxes to each. Then the box decides. A box whose ends are the wrong way round holds nothing.
+    """
     b = F.col("bbox")
+    grid = lambda x: F.floor(x / F.col("__s")).cast("long")
+    side = F.greatest(b["max_lat"] - b["min_lat"], b["max_lon"] - b["min_lon"], F.lit(2.0**-20))
+    sized = zones.select("citta", "zona", "bbox").filter((b["min_lat"] <= b["max_lat"]) & (b["min_lon"] <= b["max_lon"])).withColumn("__s", F.pow(F.lit(2.0), F.ceil(F.log2(side / SPAN))))
     cells = (
-        zones.select("citta", "zona", "bbox", F.explode(F.sequence(grid(b["min_lat"]), grid(b["max_lat"]))).alias("__y"))
+        sized.withColumn("__y", F.explode(F.sequence(grid(b["min_lat"]), grid(b["max_lat"]))))
         .withColumn("__x", F.explode(F.sequence(grid(b["min_lon"]), grid(b["max_lon"]))))
     )
-    placed = points.withColumn("__y", grid(F.col("lat"))).withColumn("__x", grid(F.col("lon")))
+    sizes = [r["__s"] for r in sized.select("__s").distinct().collect()]  # powers of two between a metre and the globe: some thirty at most
+    if not sizes:
+        return points.join(cells.limit(0).drop("__s", "__y", "__x"), F.lit(True)).drop("bbox")
+    key = ["__s", "__y", "__x"]
+    placed = points.withColumn("__s", F.explode(F.array(*[F.lit(s) for s in sorted(sizes)]))).withColumn("__y", grid(F.col("lat"))).withColumn("__x", grid(F.col("lon")))
+    full = stored(placed.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select(*key, F.ceil(F.col("n") / hot).cast("int").alias("__n")), "hot-cells")
+    if not full.isEmpty():
+        parts = F.coalesce("__n", F.lit(1))
+        told = [c for c, t in points.dtypes if "map<" not in t and "variant" not in t]
+        placed = placed.join(full, key, "left").withColumn("__p", F.pmod(F.xxhash64(*told), parts).cast("int")).drop("__n")
+        cells = cells.join(full, key, "left").withColumn("__p", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__n")
+        key = [*key, "__p"]
     inside = F.col("lat").between(b["min_lat"], b["max_lat"]) & F.col("lon").between(b["min_lon"], b["max_lon"])
-    return placed.join(cells, ["__y", "__x"]).filter(inside).drop("__y", "__x", "bbox")
+    return placed.join(cells, key).filter(inside).drop(*key, "bbox")
 
 
 def selected(points: DataFrame, centers: DataFrame, max_pois: int = MAX_POIS, per_class: int = PER_CLASS) -> DataFrame:

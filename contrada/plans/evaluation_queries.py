@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
@@ -70,13 +71,12 @@ def j11_a17_a20_a21_pairs(spark, sf_dir):
     return pairs(spark, sf_dir).select("citta", "zona", "same_input", "compared", (F.size("vacuous") > 0).alias("vacuous"), *bround({f"delta_{m}": d for m, d in _R.items()}))
 
 
-@query(f"WITH {RU}, o AS (SELECT experiment, citta, zona, arg_min(status, (run_id, status)) AS status FROM ru GROUP BY ALL) SELECT citta, zona, a.status AS status_a, b.status AS status_b FROM o a JOIN o b USING (citta, zona) WHERE a.experiment = 'O' AND b.experiment = 'F' AND (a.status <> 'ok' OR b.status <> 'ok')")
+@query(f"WITH {RU}, o AS (SELECT *, row_number() OVER (PARTITION BY experiment, citta, zona ORDER BY run_id, status) AS rep FROM ru) SELECT citta, zona || '__rep' || rep AS zona, a.status AS status_a, b.status AS status_b FROM o a JOIN o b USING (citta, zona, rep) WHERE a.experiment = 'O' AND b.experiment = 'F' AND (a.status <> 'ok' OR b.status <> 'ok')")
 def a20_failed_zones(spark, sf_dir):
-    """Zones whose first run of either arm is excluded, with both statuses."""
-    rows = runs(spark, sf_dir)
-    cols = [c for c in rows.columns if c not in ("experiment", "citta", "zona")]
-    first = rows.groupBy("experiment", "citta", "zona").agg(F.min_by(F.struct(*cols), F.struct("run_id", "status")).alias("r")).select("experiment", "citta", "zona", "r.*")
-    return evaluation.failed_zones(evaluation.paired(first.filter("experiment = 'O'"), first.filter("experiment = 'F'")))
+    """Of all runs, repetition by repetition of a zone in both arms, those of which either is excluded, with both statuses."""
+    rep = F.row_number().over(Window.partitionBy("experiment", "citta", "zona").orderBy("run_id", "status"))
+    rows = runs(spark, sf_dir).withColumn("zona", F.concat("zona", F.lit("__rep"), rep.cast("string")))
+    return evaluation.failed_zones(evaluation.paired(rows.filter("experiment = 'O'"), rows.filter("experiment = 'F'")))
 
 
 _COLS = [(f"{m}_{s}", _R[m]) for m in _M for s in "ab"] + [(f"delta_{m}", _R[m]) for m in _M]
@@ -176,18 +176,15 @@ def f7_u5_a29_graded(spark, sf_dir):
     return evaluation.graded(narratives(spark, sf_dir), anchors(spark, sf_dir)).select("conv_id", F.bround("grounding", 6).alias("grounding"), F.bround("hallucination", 6).alias("hallucination"))
 
 
-_PROSE = "CASE WHEN conv_id % 2 = 0 THEN '  ' ELSE ' ' || content || chr(10) END"
-
-
-@query(ALL + f", t AS (SELECT s.citta, s.zona, CASE WHEN s.position % 4 = 0 THEN 'ALTRO' WHEN s.position % 3 = 0 THEN 'SPECULATIVO' WHEN s.position % 3 = 1 THEN 'CONTESTO' ELSE 'ONTOLOGIA' END AS tag, s.position * 100 + row_number() OVER (PARTITION BY s.citta, s.zona, s.position ORDER BY ci.filler) AS p, ci.filler AS hazard FROM gr s JOIN ci ON ci.cls = s.cls AND axis = 'hazards'), g AS (SELECT citta, zona, tag, string_agg(hazard, ',' ORDER BY p) AS hazards FROM t GROUP BY citta, zona, tag), {BL}, pr3 AS (SELECT n.citta, n.zona, upper(b.name) AS tag, arg_min({_PROSE}, conv_id) AS prose FROM bl b JOIN na n USING (conv_id) GROUP BY ALL) SELECT citta, zona, tag, coalesce({_STRIP.format(x='prose')}, '') AS text, coalesce(hazards, '') AS hazards, CASE tag WHEN 'ONTOLOGIA' THEN 1 WHEN 'CONTESTO' THEN 2 ELSE 3 END AS tab_rank FROM g FULL JOIN pr3 USING (citta, zona, tag) WHERE tag <> 'ALTRO' AND (regexp_matches(coalesce(prose, ''), '[^\\s]') OR hazards IS NOT NULL)")
+@query(ALL + f", t AS (SELECT s.citta, s.zona, CASE WHEN s.position % 4 = 0 THEN 'ALTRO' WHEN s.position % 3 = 0 THEN 'SPECULATIVO' WHEN s.position % 3 = 1 THEN 'CONTESTO' ELSE 'ONTOLOGIA' END AS tag, s.position * 100 + row_number() OVER (PARTITION BY s.citta, s.zona, s.position ORDER BY ci.filler) AS p, ci.filler AS hazard FROM gr s JOIN ci ON ci.cls = s.cls AND axis = 'hazards'), g AS (SELECT citta, zona, tag, string_agg(hazard, ',' ORDER BY p) AS hazards FROM t GROUP BY citta, zona, tag), {BL}, gn AS (SELECT g.*, na.conv_id FROM g LEFT JOIN na USING (citta, zona)), pr3 AS (SELECT n.citta, n.zona, n.conv_id, upper(b.name) AS tag, content AS prose FROM bl b JOIN na n USING (conv_id)) SELECT citta, zona, conv_id, tag, coalesce({_STRIP.format(x='prose')}, '') AS text, coalesce(hazards, '') AS hazards, CASE tag WHEN 'ONTOLOGIA' THEN 1 WHEN 'CONTESTO' THEN 2 ELSE 3 END AS tab_rank FROM gn FULL JOIN pr3 USING (citta, zona, conv_id, tag) WHERE tag <> 'ALTRO' AND (regexp_matches(coalesce(prose, ''), '[^\\s]') OR hazards IS NOT NULL)")
 def a9_source_tabs(spark, sf_dir):
-    """Tabs of the three tags that have prose, in the blocks of the zone's first narrative with such a block, or hazards; prose of white space is none, other tags have no tab."""
+    """Of every narrative the tabs of the three tags that have prose in its blocks, or hazards in its zone; prose of white space is none, other tags have no tab."""
     b = narratives(spark, sf_dir).select("citta", "zona", "conv_id", "narrativa", text.blocks(F.col("narrativa")).alias("b"))
     has = lambda mark: F.instr("narrativa", mark) > 0
-    rows = b.select("citta", "zona", "conv_id", F.explode(F.array_compact(F.array(*[F.when(has(mark), F.struct(F.lit(k.upper()).alias("tag"), F.col(f"b.{k}").alias("content"))) for k, mark in _TOKENS]))).alias("x"))
-    prose = rows.select("citta", "zona", "x.tag", "conv_id", F.when(F.col("conv_id") % 2 == 0, "  ").otherwise(F.concat(F.lit(" "), "x.content", F.lit("\n"))).alias("text"))
-    first = prose.groupBy("citta", "zona", "tag").agg(F.min_by("text", "conv_id").alias("text"))
-    return grounding.tabs(tagged_hazards(spark, sf_dir), first).select("citta", "zona", "tag", "text", F.array_join("hazards", ",").alias("hazards"), "tab_rank")
+    rows = b.select("citta", "zona", "conv_id", F.explode(F.array_compact(F.array(*[F.when(has(mark), F.struct(F.lit(k.upper()).alias("tag"), F.col(f"b.{k}").alias("text"))) for k, mark in _TOKENS]))).alias("x"))
+    hazards = tagged_hazards(spark, sf_dir).join(b.select("citta", "zona", "conv_id"), ["citta", "zona"], "left")
+    tabs = grounding.tabs(hazards, rows.select("citta", "zona", "conv_id", "x.*"), ("citta", "zona", "conv_id"))
+    return tabs.select("citta", "zona", "conv_id", "tag", "text", F.array_join("hazards", ",").alias("hazards"), "tab_rank")
 
 
 @query(f"WITH {RU} SELECT run_id, CASE WHEN status = 'error' THEN 'error' WHEN status = 'fallback' THEN 'fallback' ELSE 'ok' END AS status, CASE WHEN status = 'error' THEN 0 ELSE round_even(grounding, 6) END AS grounding, CASE WHEN status = 'error' THEN 0 ELSE round_even(hallucination, 6) END AS hallucination, CASE WHEN status = 'error' THEN 0 ELSE latency_ms END AS latency_ms, CASE WHEN status = 'error' THEN 0 ELSE round_even(cost_usd, 9) END AS cost_usd FROM ru")
@@ -279,15 +276,18 @@ def j13_f6_vectorised(spark, sf_dir):
 
 
 _DECL = "('Bank', 'Museum', 'School', 'Petrol_station', 'Railway_station')"
-CI = US + f""", sh AS (SELECT citta, count(*) AS n_pois, avg(CASE WHEN cls IN {_DECL} THEN 1.0 ELSE 0 END) AS verbatim, avg(CASE WHEN cls <> 'GenericUrbanPOI' THEN 1.0 ELSE 0 END) AS derived, avg(CASE WHEN {_IN} THEN 1.0 ELSE 0 END) AS boundary FROM po GROUP BY citta),
-rc AS (SELECT r_name AS citta, r_regionkey * 2000 AS switch_ms, coalesce(n_pois, 0) AS n_pois, coalesce(verbatim, 0) AS verbatim, coalesce(derived, 0) AS derived, coalesce(boundary, 0) AS boundary FROM region LEFT JOIN sh ON sh.citta = r_name WHERE r_regionkey < 4),
-rp AS (SELECT citta, switch_ms, n_pois, round_even(verbatim, 6) AS verbatim, round_even(derived, 6) AS derived, round_even(boundary, 6) AS boundary, verbatim >= 0.5 AND derived >= 0.7 AND boundary >= 0.9 AND switch_ms < 5000 AS pass_all, false AS failed FROM rc UNION ALL SELECT r_name, NULL, NULL, NULL, NULL, NULL, false, true FROM region WHERE r_regionkey = 4)"""
+CI = US + f""", {ZO}, sh AS (SELECT citta, count(*) AS n_pois, avg(CASE WHEN cls IN {_DECL} THEN 1.0 ELSE 0 END) AS verbatim, avg(CASE WHEN cls <> 'GenericUrbanPOI' THEN 1.0 ELSE 0 END) AS derived, avg(CASE WHEN {_IN} THEN 1.0 ELSE 0 END) AS boundary FROM po GROUP BY citta),
+bx AS (SELECT citta, min(y0) AS y0, max(y1) AS y1, min(x0) AS x0, max(x1) AS x1 FROM zb GROUP BY citta),
+rc AS (SELECT r_name AS citta, r_regionkey * 2000 AS switch_ms, y1 > y0 AND CASE WHEN r_regionkey = 3 THEN x0 ELSE x1 END > x0 AS bbox_valid, coalesce(n_pois, 0) AS n_pois, coalesce(verbatim, 0) AS verbatim, coalesce(derived, 0) AS derived, coalesce(boundary, 0) AS boundary FROM region LEFT JOIN sh ON sh.citta = r_name JOIN bx ON bx.citta = r_name WHERE r_regionkey < 4),
+rp AS (SELECT citta, switch_ms, bbox_valid, n_pois, round_even(verbatim, 6) AS verbatim, round_even(derived, 6) AS derived, round_even(boundary, 6) AS boundary, verbatim >= 0.5 AND derived >= 0.7 AND boundary >= 0.9 AND switch_ms < 5000 AS pass_all, false AS failed FROM rc UNION ALL SELECT r_name, NULL, NULL, NULL, NULL, NULL, NULL, false, true FROM region WHERE r_regionkey = 4)"""
 
 
 def city_report(spark, sf_dir):
     region = spark.read.parquet(f"{sf_dir}/region.parquet")
-    box = geo.box(F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(1.0))
-    captures = region.filter("r_regionkey < 4").select(F.col("r_name").alias("citta"), (F.col("r_regionkey") * 2000).alias("switch_ms"), box.alias("bbox"))
+    extent = boxes(spark, sf_dir).groupBy("citta").agg(*[f(f"bbox.{c}").alias(c) for c, f in (("min_lat", F.min), ("min_lon", F.min), ("max_lat", F.max), ("max_lon", F.max))])
+    east = F.when(F.col("r_regionkey") == 3, F.col("min_lon")).otherwise(F.col("max_lon"))  # one city's box has no width
+    box = geo.box(F.col("min_lat"), F.col("min_lon"), F.col("max_lat"), east)
+    captures = region.filter("r_regionkey < 4").withColumnRenamed("r_name", "citta").join(extent, "citta").select("citta", (F.col("r_regionkey") * 2000).alias("switch_ms"), box.alias("bbox"))
     declared = spark.createDataFrame([(c.strip("'"),) for c in _DECL.strip("()").split(", ")], "terminus_class string")
     records_ = coverage.city_records(coverage.inside(points(spark, sf_dir), views.boundaries(spark)), declared, captures)
     return coverage.city_report(records_, region.filter("r_regionkey = 4").select(F.col("r_name").alias("citta")))
@@ -296,7 +296,7 @@ def city_report(spark, sf_dir):
 @query(f"WITH {CI} SELECT * FROM rp")
 def a10_a11_a12_u3_city_report(spark, sf_dir):
     """Coverage shares, pass marks, failed cities."""
-    return city_report(spark, sf_dir).select("citta", "switch_ms", "n_pois", *bround({"verbatim": 6, "derived": 6, "boundary": 6}), "pass_all", "failed")
+    return city_report(spark, sf_dir).select("citta", "switch_ms", "bbox_valid", "n_pois", *bround({"verbatim": 6, "derived": 6, "boundary": 6}), "pass_all", "failed")
 
 
 @query(f"WITH {CI} SELECT count(*) AS n_cities, count(*) FILTER (WHERE pass_all) AS n_pass_all, count(*) FILTER (WHERE failed) AS n_failed FROM rp")

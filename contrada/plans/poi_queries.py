@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, text
 from ..functions.mapping import GENERIC, mapping
-from ..operators import context, grounding, ontology, poi
+from ..operators import context, grounding, nearest, ontology, poi
 from ..sources import payload
 from ..sources.stored import stored
 from . import views
@@ -226,10 +226,11 @@ def a1_retrieval_stats(spark, sf_dir):
     return grounding.retrieval_stats(selection(spark, sf_dir))
 
 
-@query(ALL + "SELECT citta, zona, CAST(sum(CASE WHEN conf = 'verificato' THEN n_risks ELSE 0 END) AS BIGINT) AS verificato, CAST(sum(CASE WHEN conf = 'da_confermare' THEN n_risks ELSE 0 END) AS BIGINT) AS da_confermare, CAST(sum(n_risks) AS BIGINT) AS anchored, CAST(sum(n_risks) AS BIGINT) AS total, count(*) FILTER (WHERE n_risks > 0 AND conf = 'verificato') AS pois_verificato, count(*) FILTER (WHERE n_risks > 0 AND conf = 'da_confermare') AS pois_da_confermare FROM gr GROUP BY ALL")
+@query(ALL + "SELECT citta, zona, CAST(sum(CASE WHEN conf = 'verificato' THEN n_risks ELSE 0 END) AS BIGINT) AS verificato, CAST(sum(CASE WHEN conf = 'da_confermare' THEN n_risks ELSE 0 END) AS BIGINT) AS da_confermare, CAST(sum(CASE WHEN position % 4 = 0 THEN 0 ELSE n_risks END) AS BIGINT) AS anchored, CAST(sum(n_risks) AS BIGINT) AS total, count(*) FILTER (WHERE n_risks > 0 AND conf = 'verificato') AS pois_verificato, count(*) FILTER (WHERE n_risks > 0 AND conf = 'da_confermare') AS pois_da_confermare FROM gr GROUP BY ALL")
 def a2_a3_a4_confidence(spark, sf_dir):
-    """A2 to A4: risks and points by level, anchored risks."""
-    return grounding.confidence_summary(risks(spark, sf_dir))
+    """A2 to A4: risks and points by level; anchored ones, where every fourth point's are tagged as context."""
+    retagged = F.when(F.col("position") % 4 == 0, F.transform("risks", lambda r: r.withField("tag", F.lit(grounding.CONTEXT)))).otherwise(F.col("risks"))
+    return grounding.confidence_summary(risks(spark, sf_dir).withColumn("risks", retagged))
 
 
 @query(ALL + "SELECT citta, zona, count(*) AS shown, any_value(total) - count(*) AS hidden FROM (SELECT *, count(*) OVER (PARTITION BY citta, zona) AS total FROM gr) WHERE n_risks > 0 AND conf = 'verificato' GROUP BY citta, zona")
@@ -275,6 +276,12 @@ def j12_w4_neighbours(spark, sf_dir):
     return context.neighbours(named(selection(spark, sf_dir)))
 
 
+@query(f"WITH {US}, pr2 AS (SELECT a.citta, a.zona, a.type || '/' || a.id AS poi_id, b.type || '/' || b.id AS neighbour_id, {_HAV.format(a_lat='a.lat', a_lon='a.lon', b_lat='b.lat', b_lon='b.lon')} AS d FROM po a JOIN po b ON a.citta = b.citta AND a.zona = b.zona AND (a.type, a.id) <> (b.type, b.id)) SELECT citta, zona, poi_id, r AS rank, neighbour_id, CAST(round_even(d, 0) AS BIGINT) AS distance_m FROM (SELECT *, row_number() OVER (PARTITION BY citta, zona, poi_id ORDER BY d, neighbour_id) AS r FROM pr2) WHERE r <= 5")
+def j12_w4_unselected(spark, sf_dir):
+    """The five nearest of each of all a zone's points."""
+    return nearest.neighbours_of_many(named(points(spark, sf_dir)))
+
+
 def named(points):
     return points.withColumn("id", F.concat_ws("/", "type", F.col("id").cast("string")))
 

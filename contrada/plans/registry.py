@@ -35,4 +35,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _queries["j6_j7_f4_grounded"](spark, sf_dir)
 
 
-from . import evaluation_queries, poi_queries  # noqa: E402, F401  they register themselves
+from . import evaluation_queries, poi_queries, source_queries  # noqa: E402, F401  they register themselves

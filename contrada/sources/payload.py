@@ -2,37 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .texts import read_texts, typed
+
 ELEMENT = "type string, id bigint, lat double, lon double, center struct<lat: double, lon: double>, tags map<string, string>, emit_pos bigint"
 POI = "id string, name string, lat double, lon double, osm_tags string, terminus_class string, citta string"
 PROVENANCE = "catturato_il string, bbox array<double>, citta string, zona string, configurazione_canonica struct<selettori_hash: string, n_selettori: int, max_pois: int, per_selector_cap: int, per_class_cap: int>"
 
 
-def _pieces(texts: DataFrame, column: str) -> DataFrame:
-    return texts.withColumn("__list", F.from_json(column, "elements array<string>")["elements"])
+def _list(column: str) -> Column:
+    """The elements of a payload text; null without a list of them. The text is parsed once, to a variant."""
+    return F.try_variant_get(F.try_parse_json(column), "$.elements", "array<variant>")
 
 
 def elements(texts: DataFrame, column: str, keys: list[str]) -> DataFrame:
     """Elements of payload texts, a row each, with the keys; emit_pos is their place where they have none. Elements that are no objects are skipped."""
-    rows = _pieces(texts, column).select(*keys, F.posexplode("__list").alias("__p", "__e")).filter(F.ltrim("__e").startswith("{"))
-    return rows.select(*keys, "__p", F.from_json("__e", ELEMENT).alias("e")).select(*keys, "e.*", "__p").withColumn("emit_pos", F.coalesce("emit_pos", F.col("__p").cast("bigint"))).drop("__p")
+    rows = texts.select(*keys, F.posexplode(_list(column)).alias("__p", "__e")).filter(F.schema_of_variant("__e").startswith("OBJECT"))
+    return rows.select(*keys, *typed("__e", ELEMENT), "__p").withColumn("emit_pos", F.coalesce("emit_pos", F.col("__p").cast("bigint"))).drop("__p")
 
 
 def rejects(texts: DataFrame, column: str) -> DataFrame:
     """Payload texts without a list of elements."""
-    return _pieces(texts, column).filter("__list is null").drop("__list")
+    return texts.filter(_list(column).isNull())
 
 
 def read_snapshots(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Points of snapshot files, a bare list or {"poi": [...]} with provenance; and the files of neither form (path, value)."""
-    files = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
-    bare = F.when(F.ltrim("value").startswith("["), F.from_json("value", f"array<struct<{_struct(POI)}>>"))
-    envelope = F.from_json("value", f"formato int, provenienza struct<{_struct(PROVENANCE)}>, poi array<struct<{_struct(POI)}>>")
-    rows = files.withColumn("e", envelope).withColumn("points", F.coalesce(bare, F.col("e.poi")))
-    good = rows.filter("points is not null").select("path", F.col("e.provenienza").alias("provenienza"), F.posexplode("points").alias("position", "p"))
-    return good.select("path", "provenienza", (F.col("position") + 1).alias("position"), "p.*"), rows.filter("points is null").select("path", "value")
+    """Points of snapshot files, a bare list or {"poi": [...]} with provenance: path, provenienza, position from 1, and the point's fields; and the records of neither form (path, value, reason)."""
+    texts, broken = read_texts(spark, path)
+    bare = F.try_variant_get("record", "$", "array<variant>")
+    own = F.coalesce(bare, F.try_variant_get("record", "$.poi", "array<variant>"))
+    rows = texts.withColumn("points", own).withColumn("provenienza", F.try_variant_get("record", "$.provenienza", f"struct<{_struct(PROVENANCE)}>"))
+    good = rows.select("path", "provenienza", F.posexplode("points").alias("position", "p"))
+    out = good.select("path", "provenienza", (F.col("position") + 1).alias("position"), *typed("p", POI))
+    return out, broken.unionByName(rows.filter("points is null").select("path", "value", F.lit("no list of points").alias("reason")))
 
 
 def _struct(ddl: str) -> str:
@@ -44,8 +48,8 @@ def _struct(ddl: str) -> str:
 
 
 def write_snapshots(points: DataFrame, provenance: DataFrame, path: str) -> None:
-    """One JSON object for each zone (citta, zona): formato 2, provenienza (a struct of provenance) and its points by position; folders by city and zone."""
+    """One JSON object for each zone (citta, zona): formato 2, provenienza (a struct of provenance) and its points by position; folders by city and zone. Zones that are there already are replaced, others stay."""
     cols = [c.split()[0] for c in POI.split(", ")]
     listed = points.groupBy("citta", "zona").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", F.struct(*cols).alias("p")))), lambda x: x["p"]).alias("poi"))
     out = listed.join(provenance, ["citta", "zona"]).select("citta", "zona", F.lit(2).alias("formato"), "provenienza", "poi")
-    out.write.partitionBy("citta", "zona").json(path)
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("citta", "zona").json(path)

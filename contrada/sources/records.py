@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from .texts import RECORDS, read_records
+
 RUN = "run_id string, experiment string, citta string, zona string, mode string, model_id string, status string, metrics struct<grounding: double, hallucination: double, latency_ms: bigint, cost_usd: double>, narrativa string, n_poi bigint, annotazione_manuale struct<grounding: double, hallucination: double, annotator: string, note: string>, provenance struct<code_commit: string, ontology_hash: string, snapshot_id: string, model_id: string, prompt_hash: string, temperature: double, seed: bigint, experiment: string>"
 OUTCOME = "status string, citta string, zona string, error_type string, error string, capture struct<citta: string, zona: string, lat: double, lon: double, bbox: array<double>, switch_ms: bigint, pois: array<struct<id: string, name: string, lat: double, lon: double, osm_tags: string, terminus_class: string, citta: string>>>"
 VOCABULARY = "identifier string, label_en string, label_it string, category string"
@@ -14,19 +16,30 @@ DIGITS = {"grounding": 3, "hallucination": 3, "latency_ms": 0, "cost_usd": 6}
 
 
 def read_runs(spark: SparkSession, path: str, experiment: str | None = None) -> DataFrame:
-    """Run records, a JSON object a file, with file_order, the key by which files sort."""
-    rows = spark.read.schema(RUN).option("multiLine", True).option("recursiveFileLookup", True).json(path)
-    rows = rows.withColumn("file_order", F.concat("run_id", F.lit(".json")))
+    """Run records of JSON files, with file_order, the key by which files sort; of an experiment, or all. What is no record is in rejected_runs()."""
+    rows = read_records(spark, path, RUN, "run_id")[0].drop("path").withColumn("file_order", F.concat("run_id", F.lit(".json")))
     return rows if experiment is None else rows.filter(F.col("experiment") == experiment)
 
 
+def rejected_runs(spark: SparkSession, path: str) -> DataFrame:
+    """(path, value, reason) of what is no run record."""
+    return read_records(spark, path, RUN, "run_id")[1]
+
+
 def write_runs(runs: DataFrame, path: str) -> None:
-    """By experiment, whose column stays in the records."""
-    runs.withColumn("of", F.col("experiment")).write.partitionBy("of").json(path)
+    """JSON records by experiment, whose column stays in them. Experiments that are there already are replaced, others stay."""
+    rows = runs.withColumn("of", F.col("experiment"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", RECORDS).partitionBy("of").json(path)
 
 
 def read_outcomes(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(OUTCOME).option("multiLine", True).json(path)
+    """Capture outcomes of JSON files, good and failed ones. What is no outcome is in rejected_outcomes()."""
+    return read_records(spark, path, OUTCOME, "status")[0].drop("path")
+
+
+def rejected_outcomes(spark: SparkSession, path: str) -> DataFrame:
+    """(path, value, reason) of what is no capture outcome."""
+    return read_records(spark, path, OUTCOME, "status")[1]
 
 
 def read_triples(spark: SparkSession, path: str) -> DataFrame:
