@@ -25,8 +25,8 @@ WORDS, PERCENT = 5, 80
 #: The commonness of shingles is counted in 2^SKETCH_BITS counters: a fixed size, for the order only, never for a result.
 SKETCH_BITS = 20
 _PART = 1 << 16
-#: Rows of a block of the product, about, and columns that are multiplied together.
-BLOCK, _SLICE = 512, 1024
+#: Rows and cells of a block of the product, about, and columns that are multiplied together.
+BLOCK, CELLS, _SLICE = 512, 1 << 19, 1024
 
 
 def _profiles(docs: DataFrame, words: int) -> DataFrame:
@@ -169,10 +169,10 @@ def _overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     return counts.astype(np.int64)
 
 
-def _product(entries: DataFrame, percent: int, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """Of the columns' entries (gram, id, place, hub, comp): hub < id, the pairs of different components that can still link; and the table of blocks that they are made from.
+def _product(entries: DataFrame, percent: int, block: int = BLOCK, most_cells: int = CELLS) -> tuple[DataFrame, DataFrame]:
+    """Of the columns' entries (gram, id, place, hub, comp): hub < id, the pairs of different components that can still link, with the number of the blocks' product; and the table of blocks that they are made from.
 
-    Rows are put into blocks of up to about `block` by the hub that they have most columns with, so that likely partners are together.
+    Rows are put into blocks of up to about `block`, or `most_cells` cells, by the hub that they have most columns with, so that likely partners are together.
     Two blocks meet in a task where a column has rows of both whose sizes and places let two link; there the overlaps of all their rows
     are counted over all columns, and pairs whose count, or whose place in the first column that they share, leaves too small an overlap
     are discarded (see _most and _reaches). Only pairs that are left leave the task, so a group of near copies that do not link costs
@@ -181,8 +181,9 @@ def _product(entries: DataFrame, percent: int, block: int = BLOCK) -> tuple[Data
     several = entries.groupBy("gram").agg((F.min("comp") != F.max("comp")).alias("several")).filter("several")
     own = entries.join(several, "gram", "left_semi").withColumn("n", F.expr("place >> 32"))
     rows = own.groupBy("id").agg(F.max("comp").alias("comp"), F.max("n").alias("n"), F.mode("hub", True).alias("home"), F.collect_set(F.struct("gram", (F.col("n") - F.expr("place & 4294967295") - 1).alias("rest"))).alias("cells"))
+    rows = rows.withColumn("width", F.size("cells"))
     rows = written(rows, "prefix_rows")
-    parts = rows.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts"))
+    parts = rows.groupBy("home").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("width") / most_cells)).alias("parts"))
     placed = written(rows.join(parts, "home").select("id", "comp", "n", "cells", F.xxhash64("home", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block")), "blocks")
     discard(rows)
     columns = placed.select("block", "n", F.explode("cells").alias("c")).groupBy(F.col("c.gram").alias("gram"), "block").agg(F.max("c.rest").alias("rest"), F.min("n").alias("n"))
@@ -217,9 +218,10 @@ def _product(entries: DataFrame, percent: int, block: int = BLOCK) -> tuple[Data
             ok[i, to] = (1 + first) * (100 + percent) >= percent * (n[own] + n[b[to]])
         x, y = np.nonzero(ok)
         x, y = ids[a[x]], ids[b[y]]
-        return pa.table({"hub": pa.array(np.minimum(x, y)), "id": pa.array(np.maximum(x, y))})
+        product = int(mixed(np.array([t.column(c)[0].as_py() for c in ("block_a", "block_b")]).view(np.uint64) * np.array([1, 3], np.uint64)).sum(dtype=np.uint64).view(np.int64))
+        return pa.table({"block": pa.array(np.full(len(x), product)), "hub": pa.array(np.minimum(x, y)), "id": pa.array(np.maximum(x, y))})
 
-    return dealt.select("block_a", "block_b", "block", "id", "comp", "n", "cells").groupBy("block_a", "block_b").applyInArrow(multiplied, "hub long, id long"), placed
+    return dealt.select("block_a", "block_b", "block", "id", "comp", "n", "cells").groupBy("block_a", "block_b").applyInArrow(multiplied, "block long, hub long, id long"), placed
 
 
 def _rows_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -230,7 +232,7 @@ def _rows_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
         for b in batches:
             b = b.filter(pa.array(marks.has(np.asarray(b.column(0)))))
             if len(b):
-                lists = [own.view(np.int64) for _, own in shingle_sets(b.column(1), words)]
+                lists = [np.sort(own.view(np.int64)) for _, own in shingle_sets(b.column(1), words)]
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(lists)))], names=["id", "grams"])
 
@@ -263,11 +265,12 @@ def near_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     # The columns: an entry for each class and each shingle of its prefix, dealt by shingle; the likeliest centre of a group comes first.
     dealt = _entries(docs, first, words, percent, common).repartition("gram").sortWithinPartitions("gram", F.expr("place & 4294967295"), "place", "id")
     shared = written(_shared(dealt, percent), "columns")
-    star = shared.filter("near").select("hub", "id").distinct()
-    prefixes = written(shared.groupBy("id").agg(F.collect_set("gram").alias("grams"), F.max(F.expr("place >> 32")).alias("n")), "prefixes")
+    prefixes = written(shared.groupBy("id").agg(F.array_sort(F.collect_set("gram")).alias("grams"), F.max(F.expr("place >> 32")).alias("n")), "prefixes")
+    met = written(shared.filter("near").groupBy("hub", "id").agg(F.count(F.lit(1)).alias("c")), "met")
+    star = written(_in_blocks(met, prefixes.select("id", "n")), "star_blocks")
     near = written(_enough(star, prefixes, percent), "star")
     links = _completed(docs, near, words, percent, "links")
-    discard(prefixes, near)
+    discard(prefixes, met, star, near)
     comp = written(components(links.select(F.col("hub").alias("a"), F.col("id").alias("b"))), "comp")
     # Copies that the bitmap let through end here.
     known = shared.select("gram", "id", "place", "hub").join(first, "id", "left_semi").join(comp, "id", "left").select("gram", "id", "place", "hub", F.coalesce("root", "id").alias("comp"))
@@ -285,21 +288,56 @@ def near_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("over", "top").alias("component_id"), "class_id")
 
 
+def _in_blocks(star: DataFrame, sizes: DataFrame, most_cells: int = CELLS) -> DataFrame:
+    """Pairs (hub, id, c: columns that they share) with a block each: those of an id are in one, and ids with the same likeliest hub are together while their whole rows (sizes: id, n) have no more than `most_cells` cells."""
+    home = star.groupBy("id").agg(F.max_by("hub", F.struct("c", "hub")).alias("home")).join(sizes, "id")
+    parts = home.groupBy("home").agg(F.ceil(F.sum("n") / most_cells).alias("parts"))
+    block = F.xxhash64("home", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block")
+    return star.join(home.join(parts, "home").select("id", block), "id").select("block", "hub", "id")
+
+
+def _counted(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Pairs (block, hub, id) with the columns that their rows (id, grams in order, n) share: block, hub, id, c, n1, n2. A row is sent to a block once, however many pairs it has there."""
+    needs = pairs.select(F.col("block").alias("at"), F.explode(F.array("hub", "id")).alias("id")).distinct()
+    dealt = needs.join(rows.select("id", "grams", "n"), "id").select("at", "id", "n", "grams")
+
+    def count(own: pa.Table, asked: pa.Table) -> pa.Table:
+        ids, n = own.column("id").to_numpy(), own.column("n").to_numpy()
+        grams = own.column("grams").combine_chunks()
+        offsets, flat = np.asarray(grams.offsets).astype(np.int64), np.asarray(grams.values)
+        order = np.argsort(ids)
+        hub, to = (asked.column(c).to_numpy() for c in ("hub", "id"))
+        by = np.argsort(hub, kind="stable")
+        hub, to = hub[by], to[by]
+        at_hub, at = (order[np.minimum(np.searchsorted(ids, x, sorter=order), len(ids) - 1)] for x in (hub, to)) if len(ids) else (np.zeros(0, np.int64),) * 2
+        known = (ids[at_hub] == hub) & (ids[at] == to) if len(ids) else np.zeros(len(hub), bool)
+        hub, to, at_hub, at = hub[known], to[known], at_hub[known], at[known]
+        shared = np.zeros(len(hub), np.int64)
+        firsts = np.flatnonzero(np.concatenate((np.ones(min(1, len(hub)), bool), hub[1:] != hub[:-1])))
+        for a, b in zip(firsts.tolist(), np.append(firsts[1:], len(hub)).tolist(), strict=True):
+            mine = flat[offsets[at_hub[a]] : offsets[at_hub[a] + 1]]
+            for k in range(a, b):
+                theirs = flat[offsets[at[k]] : offsets[at[k] + 1]]
+                place = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+                shared[k] = np.count_nonzero(mine[place] == theirs)
+        block = asked.column("block")[0].as_py() if len(asked) else 0
+        return pa.table({"block": pa.array(np.full(len(hub), block, np.int64)), "hub": pa.array(hub), "id": pa.array(to), "c": pa.array(shared), "n1": pa.array(n[at_hub]), "n2": pa.array(n[at])})
+
+    return dealt.groupBy("at").cogroup(pairs.groupBy("block")).applyInArrow(count, "block long, hub long, id long, c long, n1 long, n2 long")
+
+
 def _enough(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
-    """The pairs that can still link by the count of columns that their prefixes share (prefixes: id, grams, n)."""
-    a, b = prefixes.select(F.col("id").alias("hub"), F.col("grams").alias("g1"), F.col("n").alias("n1")), prefixes.select("id", F.col("grams").alias("g2"), F.col("n").alias("n2"))
+    """The pairs (block, hub, id) that can still link by the count of columns that their prefixes share (prefixes: id, grams, n)."""
     longest = F.greatest(*[F.floor((percent * F.col(n) + 99) / 100) - 1 for n in ("n1", "n2")])  # as in _most
-    counted = pairs.join(b, "id").join(a, "hub").withColumn("c", F.size(F.array_intersect("g1", "g2")))
-    return counted.filter((F.col("c") + longest) * (100 + percent) >= percent * (F.col("n1") + F.col("n2"))).select("hub", "id")
+    return _counted(pairs, prefixes).filter((F.col("c") + longest) * (100 + percent) >= percent * (F.col("n1") + F.col("n2"))).select("block", "hub", "id")
 
 
 def _completed(docs: DataFrame, pairs: DataFrame, words: int, percent: int, name: str) -> DataFrame:
-    """The pairs that link, by the product of their whole rows: 100 * overlap >= percent * union."""
+    """The pairs (block, hub, id) that link, by the product of their whole rows: 100 * overlap >= percent * union."""
     ids = pairs.select(F.explode(F.array("hub", "id")).alias("id")).distinct()
     rows = written(_rows_of(docs, ids, words), "rows")
-    a, b = rows.select(F.col("id").alias("hub"), F.col("grams").alias("g1")), rows.select("id", F.col("grams").alias("g2"))
-    overlap = F.size(F.array_intersect("g1", "g2"))
-    out = written(pairs.join(b, "id").join(a, "hub").filter(overlap * (100 + percent) >= percent * (F.size("g1") + F.size("g2"))).select("hub", "id").distinct(), name)
+    linked = _counted(pairs, rows.withColumn("n", F.size("grams").cast("long"))).filter(F.col("c") * (100 + percent) >= percent * (F.col("n1") + F.col("n2")))
+    out = written(linked.select("hub", "id").distinct(), name)
     discard(rows)
     return out
 
