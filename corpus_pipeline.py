@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contrada.llm import exact_dedup, mixing, ngram_join, packing, quality
-from contrada.llm.common import table, written
+from contrada.llm.common import discard, table, written
 from contrada.llm.queries import tokenizer_path
 
 
@@ -52,9 +52,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; a stage's table is deleted when the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = written(docs, f"stage{k}")
+            if before is not None:
+                discard(before)
+            before = docs
     return docs
