@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytetext import LOWER, chunks, mixed, span_hashes, words
@@ -186,50 +186,60 @@ class Field:
         return tags
 
     @classmethod
-    def learned(cls, chains: list[tuple[np.ndarray, np.ndarray]], rounds: int = 45, decay: float = 1e-3) -> Field:
-        """By maximum likelihood with a quadratic penalty, from (features, tags) of chains; without chains nothing is ever tagged."""
-        weights, move = np.zeros((int(_FIRST[-1]), 3)), np.zeros((3, 3))
+    def learned(cls, chains: list[tuple[np.ndarray, np.ndarray]], rounds: int = 45, decay: float = 1e-3, start: Field | None = None) -> Field:
+        """By maximum likelihood with a quadratic penalty, from (features, tags) of chains, and from the weights of another field where one is given; without chains nothing is ever tagged.
+
+        Chains are laid out place by place, the longest first, so that each step of the sums over taggings takes all chains that are long
+        enough; sums are scaled to one at each place.
+        """
+        weights, move = (start.weights.copy(), start.move.copy()) if start else (np.zeros((int(_FIRST[-1]), 3)), np.zeros((3, 3)))
         if not chains:
             weights[: SIZES[0], OUTSIDE] = 1.0
             return cls(weights, move)
-        longest, n = max(len(t) for _, t in chains), len(chains)
-        x = np.zeros((n, longest, len(SIZES)), np.int64)
-        y, real = np.zeros((n, longest), np.int64), np.zeros((n, longest), bool)
-        for i, (f, t) in enumerate(chains):
-            x[i, : len(t)], y[i, : len(t)], real[i, : len(t)] = f + _FIRST[:-1], t, True
-        size = real.sum(1)
-        onehot = np.eye(3)[y] * real[:, :, None]
+        chains = sorted(chains, key=lambda c: -len(c[1]))
+        size, n = np.array([len(t) for _, t in chains]), len(chains)
+        longest = int(size[0])
+        alive = [int(np.searchsorted(-size, -t, "left")) for t in range(longest + 1)]  # chains longer than t
+        place = np.concatenate(([0], np.cumsum(alive[:-1])))
+        every = np.concatenate([np.arange(k) for k in size])
+        at = place[every] + np.repeat(np.arange(n), size)  # where each word of each chain is
+        x = np.empty((int(size.sum()), len(SIZES)), np.int64)
+        y = np.empty(len(x), np.int64)
+        x[at], y[at] = np.concatenate([f for f, _ in chains]) + _FIRST[:-1], np.concatenate([t for _, t in chains])
+        last = place[size - 1] + np.arange(n)
+        step = [slice(place[t], place[t] + alive[t]) for t in range(longest)]
+        onehot = np.eye(3)[y]
         pairs = np.zeros((3, 3))
-        before = np.concatenate((np.zeros((n, 1), np.int64), y[:, :-1]), 1)
-        np.add.at(pairs, (before[real], y[real]), 1)
-        np.add.at(pairs, (y[np.arange(n), size - 1], np.zeros(n, np.int64)), 1)
+        for now, then in zip(step, step[1:], strict=False):
+            pairs += np.bincount(3 * y[now][: then.stop - then.start] + y[then], minlength=9).reshape(3, 3)
+        pairs[OUTSIDE] += np.bincount(y[step[0]], minlength=3)
+        pairs[:, OUTSIDE] += np.bincount(y[last], minlength=3)
+        flat = x.ravel()
         speed = [np.full_like(weights, 1e-6), np.full_like(move, 1e-6)]
         for _ in range(rounds):
-            field = cls(weights, move)
-            m = field.move
-            e = weights[x].sum(2)
-            alpha = np.full((n, longest, 3), -np.inf)
-            alpha[:, 0] = m[OUTSIDE] + e[:, 0]
-            for t in range(1, longest):
-                alpha[:, t] = np.logaddexp.reduce(alpha[:, t - 1, :, None] + m[None], axis=1) + e[:, t]
-            beta = np.zeros((n, longest, 3))
-            for t in range(longest - 1, -1, -1):
-                end = (size - 1 == t)[:, None]
-                if t + 1 < longest:
-                    beta[:, t] = np.logaddexp.reduce(m[None] + (e[:, t + 1] + beta[:, t + 1])[:, None, :], axis=2)
-                beta[:, t] = np.where(end, m[:, OUTSIDE], beta[:, t])
-            total = np.logaddexp.reduce(alpha[:, 0] + beta[:, 0], axis=1)
-            node = np.exp(np.minimum(alpha + beta - total[:, None, None], 0)) * real[:, :, None]
+            m = np.exp(cls(weights, move).move)
+            e = sum(weights[x[:, k]] for k in range(len(SIZES)))
+            e = np.exp(e - e.max(1, keepdims=True))
+            alpha, beta = np.empty_like(e), np.empty_like(e)
+            beta[last] = m[:, OUTSIDE]
+            alpha[step[0]] = m[OUTSIDE] * e[step[0]]
+            for now, then in zip(step, step[1:], strict=False):
+                alpha[now] /= alpha[now].sum(1, keepdims=True)
+                alpha[then] = (alpha[now][: then.stop - then.start] @ m) * e[then]
             expected = np.zeros((3, 3))
-            if longest > 1:
-                edge = alpha[:, :-1, :, None] + m[None, None] + (e[:, 1:] + beta[:, 1:])[:, :, None, :] - total[:, None, None, None]
-                expected += (np.exp(np.minimum(edge, 0)) * real[:, 1:, None, None]).sum((0, 1))
-            expected[OUTSIDE] += node[:, 0].sum(0)
-            expected[:, OUTSIDE] += node[np.arange(n), size - 1].sum(0)
-            diff = (onehot - node)[real]
-            slope = np.zeros_like(weights)
-            for k in range(len(SIZES)):
-                np.add.at(slope, x[:, :, k][real], diff)
+            for now, then in zip(step[-2::-1], step[:0:-1], strict=True):
+                ahead = e[then] * beta[then]
+                k = slice(now.start, now.start + then.stop - then.start)
+                back = ahead @ m.T
+                edge = alpha[k].T @ (ahead / np.maximum((alpha[k] * back).sum(1, keepdims=True), 1e-300)) * m
+                expected += edge
+                beta[k] = back / back.sum(1, keepdims=True)
+            node = alpha * beta
+            node /= node.sum(1, keepdims=True)
+            expected[OUTSIDE] += node[step[0]].sum(0)
+            expected[:, OUTSIDE] += node[last].sum(0)
+            diff = onehot - node
+            slope = np.stack([np.bincount(flat, weights=np.repeat(diff[:, tag], len(SIZES)), minlength=len(weights)) for tag in range(3)], 1)
             for p, g, v in ((weights, slope / n - decay * weights, speed[0]), (move, (pairs - expected) / n - decay * move, speed[1])):
                 v += g * g
                 p += 0.5 * g / np.sqrt(v)
@@ -353,18 +363,19 @@ def learned(docs: DataFrame) -> Field:
     sample = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, math.ceil(n / SAMPLE_DOCS)))) == 0).select("text")
     chains = written(_chains_of(sample, max(1, min(16, 2 * CHAINS // max(1, n)))), "chains")
 
-    def of(kind: str) -> list[tuple[np.ndarray, np.ndarray]]:
-        rows = chains.filter(F.col("kind") == kind).orderBy("luck", "x").limit(CHAINS).collect()
-        return [(np.array(r["x"]).reshape(-1, len(SIZES)), np.array(r["y"])) for r in rows]
-
-    known, plain = of("match") + of("made"), of("plain")
+    # The CHAINS of each kind that luck sets first, in one job; a kind's limit is taken within tasks before it is shuffled.
+    lucky = F.row_number().over(Window.partitionBy("kind").orderBy("luck", "x"))
+    kinds: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for r in sorted(chains.withColumn("r", lucky).filter(F.col("r") <= CHAINS).collect(), key=lambda r: r["r"]):
+        kinds.setdefault(r["kind"], []).append((np.array(r["x"]).reshape(-1, len(SIZES)), np.array(r["y"])))
+    known, plain = kinds.get("match", []) + kinds.get("made", []), kinds.get("plain", [])
     first = Field.learned(known)
 
     def doubtful(x: np.ndarray) -> bool:
         tagged = first.decoded(x, np.zeros(len(x), np.int64)) != OUTSIDE
         return bool((tagged & ((x[:, 5] > 0) | (x[:, 0] >= 24))).any())
 
-    return Field.learned(known + [(x, y) for x, y in plain if not doubtful(x)])
+    return Field.learned(known + [(x, y) for x, y in plain if not doubtful(x)], 30, start=first)
 
 
 def scanned(docs: DataFrame, field: Field | None = None) -> DataFrame:
