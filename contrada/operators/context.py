@@ -68,10 +68,11 @@ def as_of(requests: DataFrame, contexts: DataFrame, max_age: int = MAX_AGE, buck
     bucket_of = lambda t: F.floor(F.unix_micros(t.cast("timestamp")) / (bucket * 1_000_000)).cast("long")
     stored = contexts.select("zone_key", F.col("stored_at").alias("at"), F.lit(0).alias("side"), F.col("context_id").alias("tie"), told.alias("context")).withColumn("bucket", bucket_of(F.col("at")))
     asked = requests.select("zone_key", F.col("requested_at").alias("at"), F.lit(1).alias("side"), F.struct(*requests.columns).alias("request")).withColumn("bucket", bucket_of(F.col("at")))
-    latest = stored.groupBy("zone_key", "bucket").agg(F.max_by(F.struct("at", "tie", "context"), F.struct("at", "tie")).alias("last"))
-    wanted = latest.unionByName(asked.select("zone_key", "bucket").distinct(), allowMissingColumns=True).groupBy("zone_key", "bucket").agg(F.first("last", ignorenulls=True).alias("last"))
+    moment = F.struct("at", "tie")
+    seen = stored.select("zone_key", "bucket", moment.alias("moment"), F.struct("at", "tie", "context").alias("last")).unionByName(asked.select("zone_key", "bucket"), allowMissingColumns=True)
+    latest = seen.groupBy("zone_key", "bucket").agg(F.max_by("last", "moment").alias("last"))  # null where a bucket has requests only
     before = Window.partitionBy("zone_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = wanted.withColumn("last", F.last("last", ignorenulls=True).over(before)).filter("last is not null").select("zone_key", "bucket", "last.*").withColumn("side", F.lit(0))
+    carried = latest.withColumn("last", F.last("last", ignorenulls=True).over(before)).filter("last is not null").select("zone_key", "bucket", "last.*").withColumn("side", F.lit(0))
     w = Window.partitionBy("zone_key", "bucket").orderBy("at", "side", "tie").rowsBetween(Window.unboundedPreceding, 0)
     both = stored.unionByName(carried).unionByName(asked, allowMissingColumns=True)
     last = both.withColumn("context", F.last("context", ignorenulls=True).over(w)).filter("side = 1")

@@ -22,7 +22,7 @@ def inside(points: DataFrame, boundaries: DataFrame) -> DataFrame:
 
 
 def inside_vectorised(points: DataFrame, boundaries: DataFrame, most: int = SENT_VERTICES) -> DataFrame:
-    """inside() for boundaries of many vertices: the same rule over batches of points in numpy. Boundaries go to each worker once; where they have over `most` vertices in all, inside() takes their place."""
+    """inside() for boundaries of many vertices: the same rule over batches of points in numpy. Boundaries go to each worker once; where they have over `most` vertices in all, inside() and its cells take their place."""
     ring = lambda polygon: F.aggregate(polygon, F.lit(0), lambda n, r: n + F.size(r))
     vertices = boundaries.agg(F.sum(F.aggregate("polygons", F.lit(0), lambda n, polygon: n + ring(polygon)))).first()[0] or 0
     if vertices > most:
