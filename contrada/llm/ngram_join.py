@@ -225,7 +225,7 @@ def _product(entries: DataFrame, percent: int, block: int = BLOCK, most_cells: i
 
 
 def _rows_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """The whole incidence rows of the documents named by ids (id, distinct). Texts stay where they are: a bitmap of the ids is sent to the scan, which lets few others through; a join drops those."""
+    """The whole incidence rows of the documents named by ids (id, distinct), and of few others that the bitmap of the ids, which is sent to the scan, lets through; texts stay where they are."""
     marks = Marks(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,8 +236,7 @@ def _rows_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(lists)))], names=["id", "grams"])
 
-    found = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("id is not null").mapInArrow(tidy(run), "id long, grams array<long>")
-    return found.join(ids.select("id"), "id", "left_semi")
+    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("id is not null").mapInArrow(tidy(run), "id long, grams array<long>")
 
 
 def near_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -259,6 +258,7 @@ def near_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     rows = profiles.filter("part is null").select("doc_id", "n", "h1", "h2")
     classes = rows.filter("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
     members = written(rows.join(classes, ["h1", "h2", "n"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id")), "members")
+    discard(profiles)
     named = members.filter("n > 0 and doc_id is not null").select(F.col("doc_id").alias("id"), "class_id")
     first = named.filter("id = class_id").select("id").distinct()
 
@@ -282,7 +282,7 @@ def near_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     root = lambda c, name: comp.select(F.col("id").alias(c), F.col("root").alias(name))
     edges = more.join(root("hub", "x"), "hub", "left").join(root("id", "y"), "id", "left").select(F.coalesce("x", "hub").alias("a"), F.coalesce("y", "id").alias("b"))
     joined = components(edges)
-    discard(profiles, links, left, more)
+    discard(links, left, more)
     joined = joined.select(F.col("id").alias("top"), F.col("root").alias("over"))
     found = members.join(root("class_id", "root"), "class_id", "left").withColumn("top", F.coalesce("root", "class_id")).join(joined, "top", "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("over", "top").alias("component_id"), "class_id")
@@ -305,21 +305,23 @@ def _counted(pairs: DataFrame, rows: DataFrame) -> DataFrame:
         ids, n = own.column("id").to_numpy(), own.column("n").to_numpy()
         grams = own.column("grams").combine_chunks()
         offsets, flat = np.asarray(grams.offsets).astype(np.int64), np.asarray(grams.values)
-        order = np.argsort(ids)
+        order = np.argsort(ids, kind="stable")
         hub, to = (asked.column(c).to_numpy() for c in ("hub", "id"))
-        by = np.argsort(hub, kind="stable")
-        hub, to = hub[by], to[by]
-        at_hub, at = (order[np.minimum(np.searchsorted(ids, x, sorter=order), len(ids) - 1)] for x in (hub, to)) if len(ids) else (np.zeros(0, np.int64),) * 2
-        known = (ids[at_hub] == hub) & (ids[at] == to) if len(ids) else np.zeros(len(hub), bool)
-        hub, to, at_hub, at = hub[known], to[known], at_hub[known], at[known]
+        # A doc_id that repeats with other texts has several rows: all of them count.
+        ends = [[np.searchsorted(ids, x, side, sorter=order) for side in ("left", "right")] for x in (hub, to)]
+        (low_h, high_h), (low, high) = ends
+        several = (high_h - low_h) * (high - low)
+        pair = np.repeat(np.arange(len(hub)), several)
+        k = np.arange(len(pair)) - np.repeat(np.cumsum(several) - several, several)
+        per = (high - low)[pair]
+        at_hub, at = order[low_h[pair] + k // np.maximum(per, 1)], order[low[pair] + k % np.maximum(per, 1)]
+        hub, to = hub[pair], to[pair]
         shared = np.zeros(len(hub), np.int64)
-        firsts = np.flatnonzero(np.concatenate((np.ones(min(1, len(hub)), bool), hub[1:] != hub[:-1])))
-        for a, b in zip(firsts.tolist(), np.append(firsts[1:], len(hub)).tolist(), strict=True):
-            mine = flat[offsets[at_hub[a]] : offsets[at_hub[a] + 1]]
-            for k in range(a, b):
-                theirs = flat[offsets[at[k]] : offsets[at[k] + 1]]
+        for i, (x, y) in enumerate(zip(at_hub.tolist(), at.tolist(), strict=True)):
+            mine, theirs = flat[offsets[x] : offsets[x + 1]], flat[offsets[y] : offsets[y + 1]]
+            if len(mine):
                 place = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
-                shared[k] = np.count_nonzero(mine[place] == theirs)
+                shared[i] = np.count_nonzero(mine[place] == theirs)
         block = asked.column("block")[0].as_py() if len(asked) else 0
         return pa.table({"block": pa.array(np.full(len(hub), block, np.int64)), "hub": pa.array(hub), "id": pa.array(to), "c": pa.array(shared), "n1": pa.array(n[at_hub]), "n2": pa.array(n[at])})
 
@@ -335,11 +337,9 @@ def _enough(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
 def _completed(docs: DataFrame, pairs: DataFrame, words: int, percent: int, name: str) -> DataFrame:
     """The pairs (block, hub, id) that link, by the product of their whole rows: 100 * overlap >= percent * union."""
     ids = pairs.select(F.explode(F.array("hub", "id")).alias("id")).distinct()
-    rows = written(_rows_of(docs, ids, words), "rows")
-    linked = _counted(pairs, rows.withColumn("n", F.size("grams").cast("long"))).filter(F.col("c") * (100 + percent) >= percent * (F.col("n1") + F.col("n2")))
-    out = written(linked.select("hub", "id").distinct(), name)
-    discard(rows)
-    return out
+    rows = _rows_of(docs, ids, words).withColumn("n", F.size("grams").cast("long"))
+    linked = _counted(pairs, rows).filter(F.col("c") * (100 + percent) >= percent * (F.col("n1") + F.col("n2")))
+    return written(linked.select("hub", "id").distinct(), name)
 
 
 def deduplicated(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -35,3 +35,12 @@ GRAPHS = {
 def test_components(spark, name):
     got = components(spark.createDataFrame(GRAPHS[name], "a long, b long")).collect()
     assert {r.id: r.root for r in got} == reached(GRAPHS[name]) and len(got) == len({r.id for r in got})
+
+
+def test_all_rows_of_a_repeated_id_are_counted(spark):
+    from contrada.llm import ngram_join
+
+    rows = spark.createDataFrame([(1, [1, 2, 3], 3), (2, [7, 8], 2), (2, [2, 3, 4], 3), (3, [1], 1), (9, [5], 1)], "id long, grams array<long>, n long")
+    pairs = spark.createDataFrame([(5, 1, 2), (5, 1, 3), (-6, 2, 3), (7, 1, 4)], "block long, hub long, id long")
+    got = sorted(map(tuple, ngram_join._counted(pairs, rows).collect()))
+    assert got == [(-6, 2, 3, 0, 2, 1), (-6, 2, 3, 0, 3, 1), (5, 1, 2, 0, 3, 2), (5, 1, 2, 2, 3, 3), (5, 1, 3, 1, 3, 1)]
