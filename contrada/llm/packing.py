@@ -25,31 +25,54 @@ SHARD_TOKENS = 2_000_000
 BROADCAST_TASKS = 500_000
 #: Combinations that are drawn, their lengths at most, and plans that are made, each for what the one before left.
 DRAWS, DEPTH, PLANS = 2000, 64, 4
+#: Distinct lengths up to which combinations of four are enumerated too: about its cube / 24, as many as there are of three of any lengths.
+FOUR_OF = 128
+
+
+def filling(counts: np.ndarray, window: int, depth: int) -> np.ndarray:
+    """All combinations of depth (2 or more) lengths that fill the window and do not hold a length more often than it occurs, as rows of lengths, longest first."""
+    have = np.flatnonzero(counts[: window + 1])
+    have = have[have > 0]
+    heads = [()]
+    for _ in range(depth - 2):
+        heads = [(*h, v) for h in heads for v in have[(have >= (h[-1] if h else 1))].tolist() if sum(h) + (depth - len(h)) * v <= window]
+    made = [np.zeros((0, depth), np.int64)]
+    for h in heads:
+        rest = window - sum(h)
+        v = have[np.searchsorted(have, h[-1] if h else 1) : np.searchsorted(have, rest // 2, "right")]
+        v = v[rest - v < len(counts)]
+        v = v[counts[rest - v] > 0]
+        made.append(np.column_stack([rest - v, v, *(np.full(len(v), x) for x in reversed(h))]))
+    out = np.concatenate(made)
+    often = (out[:, :, None] == out[:, None, :]).sum(2)
+    return out[(often <= counts[out]).all(1)]
 
 
 def combinations(counts: np.ndarray, window: int, seed: int = 0) -> np.ndarray:
-    """Combinations of lengths that occur and fill the window, as rows of lengths (0: none), longest first: all of two lengths, and others that are drawn as often as their lengths occur, until a length that occurs fills the rest."""
+    """Combinations of lengths that occur and fill the window, as rows of lengths (0: none), longest first: all of two and three lengths, all of four where up to FOUR_OF lengths occur, and deeper ones that are drawn as often as their lengths occur, until a length that occurs fills the rest."""
     have = np.flatnonzero(counts)
-    two = have[(have <= window - have) & (counts[np.maximum(window - have, 0)] > (have == window - have))]
+    shallow = [filling(counts, window, k) for k in ((2, 3, 4) if len(have) <= FOUR_OF else (2, 3))]
     drawn = np.random.default_rng(seed).choice(have, (DRAWS, DEPTH), p=counts[have] / counts[have].sum()) if len(have) else np.zeros((0, DEPTH), np.int64)
     rest = window - np.cumsum(drawn, 1)  # after each length
     closes = (rest > 0) & (rest < len(counts)) & (counts[np.clip(rest, 0, len(counts) - 1)] > 0)
+    closes[:, : len(shallow)] = False  # such are among the shallow ones
     rows, at = np.flatnonzero(closes.any(1)), closes.argmax(1)
     rows = rows[at[rows] + 1 < DEPTH]
-    out = np.zeros((len(two) + len(rows), DEPTH), np.int64)
-    out[: len(two), :2] = np.stack([window - two, two], 1)
-    out[len(two) :] = np.where(np.arange(DEPTH) <= at[rows][:, None], drawn[rows], 0)
-    out[len(two) + np.arange(len(rows)), at[rows] + 1] = rest[rows, at[rows]]
-    out = np.unique(-np.sort(-out, axis=1), axis=0)
-    return out[:, : max(1, int((out > 0).sum(1).max(initial=0)))]
+    deep = np.where(np.arange(DEPTH) <= at[rows][:, None], drawn[rows], 0)
+    deep[np.arange(len(rows)), at[rows] + 1] = rest[rows, at[rows]]
+    deep = np.unique(-np.sort(-deep, axis=1), axis=0)
+    width = max(len(shallow) + 1, int((deep > 0).sum(1).max(initial=0)))
+    return np.concatenate([*(np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in shallow), deep[:, :width]])
 
 
 def nnls(columns: np.ndarray, target: np.ndarray, rounds: int = 150) -> np.ndarray:
     """x >= 0 of the least |A x - target|, where column j of A counts the lengths in columns[j]; accelerated projected gradient over columns scaled to sum 1."""
-    real, size = columns > 0, (columns > 0).sum(1)
+    real = columns > 0
+    flat, size = columns[real], real.sum(1)
+    first = np.cumsum(size) - size
 
     def product(x):
-        return np.bincount(columns[real], weights=np.broadcast_to((x / size)[:, None], columns.shape)[real], minlength=len(target))
+        return np.bincount(flat, weights=np.repeat(x / size, size), minlength=len(target))
 
     step = 1.0 / max(1e-9, product(np.ones(len(size))).max())  # a column's sum is 1, this is the largest of a row
     x = y = np.zeros(len(size))
@@ -57,7 +80,7 @@ def nnls(columns: np.ndarray, target: np.ndarray, rounds: int = 150) -> np.ndarr
     goal = np.where(np.arange(len(target)) > 0, target, 0).astype(float)
     for _ in range(rounds):
         rest = product(y) - goal
-        new = np.maximum(0.0, y - step * np.where(real, rest[columns], 0.0).sum(1) / size)
+        new = np.maximum(0.0, y - step * np.add.reduceat(rest[flat], first) / size)
         after = (1 + np.sqrt(1 + 4 * t * t)) / 2
         y = new + (t - 1) / after * (new - x)
         x, t = new, after
@@ -73,14 +96,15 @@ def plan(counts: np.ndarray, window: int) -> list[tuple[tuple[int, ...], int]]:
             break
         x = nnls(columns, left)
         order = np.argsort(-x, kind="stable")
-        each = [Counter(c[c > 0].tolist()) for c in columns]
         for wanted in (np.rint(x).astype(np.int64), np.full(len(x), int(left.sum()))):
-            for j in order[wanted[order] > 0].tolist():
-                times = min(int(wanted[j]), *(int(left[v]) // n for v, n in each[j].items()))
+            able = (wanted > 0) & ((columns == 0) | (left[columns] > 0)).all(1)
+            for j in order[able[order]].tolist():
+                each = Counter(columns[j][columns[j] > 0].tolist())
+                times = min(int(wanted[j]), *(int(left[v]) // n for v, n in each.items()))
                 if times > 0:
-                    for v, n in each[j].items():
+                    for v, n in each.items():
                         left[v] -= n * times
-                    out.append((tuple(each[j].elements()), times))
+                    out.append((tuple(each.elements()), times))
     return out
 
 

@@ -1,5 +1,6 @@
 """Kernels without Spark, against plain loops."""
 
+import itertools
 import math
 import re
 
@@ -99,6 +100,32 @@ def test_documents_that_the_plan_keeps_whole(low, high, least):
     assert (used <= counts).all() and used.sum() >= least * len(sizes)
 
 
+@pytest.mark.parametrize("window, most, kinds", [(16, 4, 16), (40, 2, 12), (60, 9, 60)])
+def test_shallow_combinations_are_all_there(window, most, kinds):
+    counts = np.zeros(window + 1, np.int64)
+    rng = np.random.default_rng(window)
+    counts[rng.choice(np.arange(1, window + 1), kinds, replace=False)] = rng.integers(1, most, kinds)
+    have = np.flatnonzero(counts).tolist()
+    got = [tuple(c[c > 0].tolist()) for c in packing.combinations(counts, window)]
+    assert len(got) == len(set(got)) and all(sum(c) == window for c in got)
+    for k in (2, 3, 4):
+        want = {tuple(sorted(c, reverse=True)) for c in itertools.combinations_with_replacement(have, k) if sum(c) == window and all(c.count(v) <= counts[v] for v in c)}
+        assert {c for c in got if len(c) == k} == want
+
+
+def test_all_of_three_lengths_and_a_histogram_that_fills():
+    assert len(packing.filling(np.full(1025, 3, np.int64), 1024, 3)) == sum(1 for a in range(1, 342) for b in range(a, (1024 - a) // 2 + 1))
+    rng = np.random.default_rng(6)
+    counts = np.zeros(1025, np.int64)
+    for a, b in rng.integers(100, 500, (12, 2)):  # twelve ways to fill a window, each forty times
+        counts[[a, b, 1024 - a - b]] += 40
+    used = np.zeros_like(counts)
+    for lengths, times in packing.plan(counts, 1024):
+        np.add.at(used, list(lengths), times)
+    assert (used == counts).all()
+    assert packing.plan(np.zeros(1025, np.int64), 1024) == []
+
+
 def test_suffix_arrays():
     rng = np.random.default_rng(1)
     for n, k in [(0, 1), (1, 1), (2, 1), (60, 2), (400, 3), (700, 1), (1500, 26)]:
@@ -172,7 +199,6 @@ def test_field_learns_and_viterbi_is_best():
     chain = np.repeat(np.arange(60), [len(y) for _, y in chains])
     got = field.decoded(x, chain)
     assert (got == np.concatenate([y for _, y in chains])).mean() > 0.95
-    import itertools
 
     for i in range(15):
         e = field.emissions(chains[i][0])
