@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import LOWER, SPACE, chunks, span_hashes, words
-from .common import tidy, written
+from .common import Marks, tidy, written
 
 THRESHOLD = 0.3
 #: Share of the class covariance that gives way to the pooled one, and then to its diagonal; and a variance that is added to all.
@@ -189,10 +189,13 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 def kept(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without those that the classifier rejects, all columns as they were; nothing is shuffled but what fits the model.
 
+    Statistics are taken of all texts to filter, and before of the labelled ones that are learned from, which a bitmap of their ids (16 MB at most) picks.
     Null, empty and very long texts, repeated rows and those without a doc_id are scored like others (see scored()), by their text alone.
     An empty table stays empty; columns of any names pass through.
     """
-    model = fitted(statistics_table(docs), labels)
+    marked = labels.filter("quality in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long")).distinct()
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(~held_out("doc_id") & Marks(marked).among("doc_id"))  # and a few more, which the join drops
+    model = fitted(statistics_table(known), labels)
     names = docs.columns
     at = names.index("text")
 
