@@ -1,8 +1,8 @@
 """Suffix-array dedup: bytes covered by strings of a set length that start more than once in the corpus go.
 
 A repeat is found where its anchor is: the least hash among its short grams, which is the same wherever the repeat stands. Stretches whose
-windows share an anchor are dealt by it; stretches of equal 64-bit hashes are repeats as they are. Of the others every window holds the
-same core (known by a 64-bit hash), which becomes one symbol, so that a shard's suffix array, built by induced sorting, is over the core's
+windows share an anchor are dealt by it; stretches that two 64-bit hashes of all their bytes tell to be equal, besides the anchor's own, are
+repeats as they are. Of the others every window holds the same core (known by a 64-bit hash), which becomes one symbol, so that a shard's suffix array, built by induced sorting, is over the core's
 neighbourhood only; suffixes whose permuted common prefix with the one before them in the array is a window long are repeats.
 """
 
@@ -26,6 +26,8 @@ SHARD_SYMBOLS, HOT_ROWS = 200_000, 50_000
 #: Longest string length: sizes and places of stretches are kept in so many bits.
 MOST_LENGTH, _BITS = 16_384, 15
 _PIECE = 1 << 23
+#: Another numbering of the bytes, by the squares of odd numbers modulo a prime: hashes of bytes so numbered do not collide where others do.
+_OTHER = np.argsort(np.arange(1, 512, 2) ** 2 % 65_537 * 40_503 % 65_537).astype(np.uint8)
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -139,10 +141,10 @@ def _least(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def _stretches(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
-    """(row, start, size, anchor place, anchor, content) of the stretches of windows with one anchor; starts within the row's bytes."""
+    """(row, start, size, anchor place, anchor, content, second hash of the content) of the stretches of windows with one anchor; starts within the row's bytes."""
     w = length - gram + 1
     if len(data) < length:
-        return tuple(np.zeros(0, np.int64) for _ in range(6))
+        return tuple(np.zeros(0, np.int64) for _ in range(7))
     at = np.arange(len(data) - gram + 1)
     hashes = span_hashes(data, at, at + gram)
     low = np.uint64((1 << 24) - 1)
@@ -156,7 +158,7 @@ def _stretches(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     last = np.append(first[1:], len(p))[: len(first)] - 1
     start, end, anchor, row = p[first], p[last] + length, anchor[first], row[first]
     content = mixed(span_hashes(data, start, end) + (anchor - start).astype(np.uint64))
-    return row, start - offsets[row], end - start, anchor - start, hashes[anchor].view(np.int64), content.view(np.int64)
+    return row, start - offsets[row], end - start, anchor - start, hashes[anchor].view(np.int64), content.view(np.int64), span_hashes(_OTHER[data], start, end).view(np.int64)
 
 
 def _pieces(data: np.ndarray, offsets: np.ndarray, length: int):
@@ -181,52 +183,52 @@ def _unpacked(at):
 
 
 def _scan(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """The stretches of docs (id, text): anchor, content, id, at (start, size and the anchor's place) and copies: 0, or of stretches that a batch holds more than once 1 for one of them, which goes on to meet other batches', and 2 for the rest, which are repeats already."""
+    """The stretches of docs (id, text): anchor, content, second, id, at (start, size and the anchor's place) and copies: 0, or of stretches that a batch holds more than once 1 for one of them, which goes on to meet other batches', and 2 for the rest, which are repeats already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = []
             for at, _, data, offsets in chunks(b.column(1)):
                 for part, own, before in _pieces(data, offsets, length):
-                    row, start, size, place, anchor, content = _stretches(part, own, length, gram)
-                    made.append((anchor, content, at + row, _packed(start + before, size, place)))
+                    row, start, size, place, anchor, content, second = _stretches(part, own, length, gram)
+                    made.append((anchor, content, second, at + row, _packed(start + before, size, place)))
             if not made:
                 continue
-            anchor, content, row, at = (np.concatenate(x) for x in zip(*made, strict=True))
+            anchor, content, second, row, at = (np.concatenate(x) for x in zip(*made, strict=True))
             if len(row):
-                order = np.lexsort((content, anchor))
-                same = np.concatenate(([False], (anchor[order[1:]] == anchor[order[:-1]]) & (content[order[1:]] == content[order[:-1]])))
+                order = np.lexsort((second, content, anchor))
+                same = np.concatenate(([False], np.all([x[order[1:]] == x[order[:-1]] for x in (anchor, content, second)], 0)))
                 copies = np.zeros(len(row), np.int8)
                 copies[order] = np.where(same, 2, np.where(np.append(same[1:], False), 1, 0))
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(content), b.column(0).take(pa.array(row)), pa.array(at), pa.array(copies)], names=["anchor", "content", "id", "at", "copies"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(content), pa.array(second), b.column(0).take(pa.array(row)), pa.array(at), pa.array(copies)], names=["anchor", "content", "second", "id", "at", "copies"])
 
-    return docs.mapInArrow(tidy(run), "anchor long, content long, id long, at long, copies tinyint")
+    return docs.mapInArrow(tidy(run), "anchor long, content long, second long, id long, at long, copies tinyint")
 
 
 def _sorted_runs(dealt: DataFrame) -> DataFrame:
-    """Of stretches sorted by anchor and content: those with an equal one (full), and those whose anchor may have unequal ones (check: each single one, and the last of equal ones). Equal stretches are in one partition, but its first and last anchor may go on in others. One row waits for the next."""
+    """Of stretches sorted by anchor and content, that is by both its hashes: those with an equal one (full), and those whose anchor may have unequal ones (check: each single one, and the last of equal ones). Equal stretches are in one partition, but its first and last anchor may go on in others. One row waits for the next."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wait, before, opening = None, None, None  # before: anchor and content of the row before the waiting one, and whether its anchor had another content by then
+        wait, before, opening = None, None, None  # before: anchor and both hashes of the content of the row before the waiting one, and whether its anchor had another content by then
 
         def judged(b: pa.RecordBatch, after) -> pa.RecordBatch:
             nonlocal before, opening
-            anchor, content = np.asarray(b.column(0)), np.asarray(b.column(1))
+            anchor, content, second = (np.asarray(b.column(k)) for k in range(3))
             opening = anchor[0] if opening is None else opening
-            pa_, pc, pe = before if before is not None else (None, None, False)
+            pa_, pc, ps, pe = before if before is not None else (None, None, None, False)
             same_a = np.concatenate(([before is not None and anchor[0] == pa_], anchor[1:] == anchor[:-1]))
-            same_c = same_a & np.concatenate(([before is not None and content[0] == pc], content[1:] == content[:-1]))
+            same_c = same_a & np.concatenate(([before is not None and content[0] == pc and second[0] == ps], (content[1:] == content[:-1]) & (second[1:] == second[:-1])))
             next_a = np.append(same_a[1:], after is not None and after[0] == anchor[-1])
-            next_c = np.append(same_c[1:], after is not None and after[0] == anchor[-1] and after[1] == content[-1])
+            next_c = np.append(same_c[1:], after is not None and after == (anchor[-1], content[-1], second[-1]))
             i = np.arange(len(anchor))
             run_first = np.maximum.accumulate(np.where(~same_c, i, -1))
             earlier = np.where(run_first >= 0, same_a[np.maximum(run_first, 0)], pe) | (anchor == opening)
-            full = same_c | next_c | (np.asarray(b.column(4)) > 0)
+            full = same_c | next_c | (np.asarray(b.column(5)) > 0)
             check = ~next_c & (earlier | next_a)
             check[-1] |= after is None
-            before = (anchor[-1], content[-1], bool(earlier[-1]))
+            before = (anchor[-1], content[-1], second[-1], bool(earlier[-1]))
             keep = pa.array(full | check)
-            return pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(full), pa.array(check)], names=["anchor", "id", "at", "full", "check"]).filter(keep)
+            return pa.RecordBatch.from_arrays([b.column(0), b.column(3), b.column(4), pa.array(full), pa.array(check)], names=["anchor", "id", "at", "full", "check"]).filter(keep)
 
         for b in batches:
             if not len(b):
@@ -236,11 +238,11 @@ def _sorted_runs(dealt: DataFrame) -> DataFrame:
             last = len(b) - 1
             wait = b.slice(last)
             if last:
-                yield judged(b.slice(0, last), (wait.column(0)[0].as_py(), wait.column(1)[0].as_py()))
+                yield judged(b.slice(0, last), tuple(wait.column(k)[0].as_py() for k in range(3)))
         if wait is not None:
             yield judged(wait, None)
 
-    return dealt.select("anchor", "content", "id", "at", "copies").mapInArrow(tidy(run), "anchor long, id long, at long, full boolean, check boolean")
+    return dealt.select("anchor", "content", "second", "id", "at", "copies").mapInArrow(tidy(run), "anchor long, id long, at long, full boolean, check boolean")
 
 
 def _cores(joined: DataFrame, length: int, width: int) -> DataFrame:
@@ -303,12 +305,12 @@ def _arrays(dealt: DataFrame, length: int, width: int) -> DataFrame:
                             starts.append(start + x)
                             ends.append(start + y + length)
             if docs:
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.nulls(len(docs), pa.int64())], names=["id", "start", "end", "window"])
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.nulls(len(docs), pa.binary())], names=["id", "start", "end", "window"])
 
         def counted(rows: list[tuple]) -> pa.RecordBatch:
             out = [(doc, start + i, (key, left[i:], right[: width - 1 - len(left) + i])) for key, left, right, doc, start in rows for i in range(len(left) + len(right) + 2 - width)]
-            names = [int.from_bytes(hashlib.blake2b(repr(w).encode(), digest_size=8).digest(), "little", signed=True) for _, _, w in out]
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.nulls(len(out), pa.int64()), pa.array(names, pa.int64())], names=["id", "start", "end", "window"])
+            names = [hashlib.blake2b(repr(w).encode(), digest_size=16).digest() for _, _, w in out]
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.nulls(len(out), pa.int64()), pa.array(names, pa.binary())], names=["id", "start", "end", "window"])
 
         shard, core, hot, symbols = [], [], None, 0
         for b in batches:
@@ -336,7 +338,7 @@ def _arrays(dealt: DataFrame, length: int, width: int) -> DataFrame:
         if shard:
             yield from found(shard)
 
-    return dealt.mapInArrow(tidy(run), "id long, start long, end long, window long")
+    return dealt.mapInArrow(tidy(run), "id long, start long, end long, window binary")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -347,7 +349,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("id is not null")
     scan = written(_scan(own, length, gram), "scan")
     # By ranges: stretches of one anchor but unequal contents may be in several tasks, equal ones never.
-    single = scan.filter("copies < 2").repartitionByRange("anchor", "content").sortWithinPartitions("anchor", "content")
+    single = scan.filter("copies < 2").repartitionByRange("anchor", "content").sortWithinPartitions("anchor", "content", "second")
     runs = written(_sorted_runs(single), "stretches")
     checks = runs.filter("check").groupBy("id").agg(F.collect_set("at").alias("at"))  # of one document
     cores = _cores(own.join(checks, "id").select("id", "text", "at"), length, width)

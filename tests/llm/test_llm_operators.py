@@ -191,6 +191,32 @@ def test_the_tail_of_a_hot_core(spark, monkeypatch):
     assert {(r.id, r.start, r.end) for r in got if r.window is None} == {(10, 0, 11), (11, 0, 11)}
 
 
+def test_a_hot_core_by_either_way(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(1, bytes(rng.integers(97, 104, 3).tolist()), bytes(rng.integers(97, 104, 3).tolist()), i, 0) for i in range(60_000)] + [(1, b"~%c~" % (100 + k), b"~%c~" % (33 + k), 60_000 + k, 0) for k in range(9)]
+    cores = spark.createDataFrame(rows, "key long, left binary, right binary, id long, start long").coalesce(1)
+
+    def covered():
+        got = suffix_dedup._arrays(cores, 8, 4).collect()
+        names = Counter(r.window for r in got if r.window is not None)
+        counted = {(r.id, r.start) for r in got if r.window is not None and names[r.window] > 1}
+        return counted, {(r.id, x) for r in got if r.window is None for x in range(r.start, r.end - 7)}
+
+    counted, by_array = covered()
+    assert counted and not by_array  # 60,009 rows are beyond HOT_ROWS
+    monkeypatch.setattr(suffix_dedup, "HOT_ROWS", 10**9)
+    none, found = covered()
+    assert not none and found == counted and not any(i >= 60_000 for i, _ in found)
+
+
+def test_contents_of_one_hash_and_another(spark):
+    rows = [(1, 7, 1, 0, 0), (1, 7, 2, 1, 0), (1, 7, 2, 2, 0), (1, 8, 2, 3, 0), (2, 7, 1, 4, 0), (3, 7, 1, 5, 0), (3, 7, 2, 6, 0)]
+    dealt = spark.createDataFrame([(*x, 0) for x in rows], "anchor long, content long, second long, id long, at long, copies tinyint").coalesce(1).sortWithinPartitions("anchor", "content", "second")
+    got = {r.id: (r.full, r.check) for r in suffix_dedup._sorted_runs(dealt).collect()}
+    assert {i for i, (full, _) in got.items() if full} == {1, 2}
+    assert {i for i, (_, check) in got.items() if check} >= {0, 2, 3, 5, 6}
+
+
 def plain_mix(rows, block, shard_slots, seed):
     """Words taken of each row (doc_id, size, source), and the slots: blocks laid out, drawn and permuted one by one."""
     names = sorted({s for _, _, s in rows}, key=lambda s: (s is None, s or ""))
