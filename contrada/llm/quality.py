@@ -118,9 +118,14 @@ class Discriminant:
         return 1 / (1 + np.exp(-np.clip(self.prior + (dist[0] - dist[1]) / 2, -500, 500)))
 
 
-def statistics_table(docs: DataFrame) -> DataFrame:
+def statistics_table(docs: DataFrame, among: Marks | None = None) -> DataFrame:
+    """doc_id and statistics of all rows, or of those that a bitmap of ids has."""
+    has = among.has if among else None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            if has:
+                b = b.filter(pa.array(has(np.asarray(b.column(0).fill_null(0)))))
             x = statistics(b.column(1))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(NAMES)), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["doc_id", "x"])
@@ -194,8 +199,8 @@ def kept(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> Da
     An empty table stays empty; columns of any names pass through.
     """
     marked = labels.filter("quality in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long")).distinct()
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(~held_out("doc_id") & Marks(marked).among("doc_id"))  # and a few more, which the join drops
-    model = fitted(statistics_table(known), labels)
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(~held_out("doc_id"))
+    model = fitted(statistics_table(known, Marks(marked)), labels)  # of a few more too, which the join drops
     names = docs.columns
     at = names.index("text")
 
