@@ -62,13 +62,18 @@ def combinations(counts: np.ndarray, window: int, seed: int = 0) -> np.ndarray:
     deep[np.arange(len(rows)), at[rows] + 1] = rest[rows, at[rows]]
     deep = np.unique(-np.sort(-deep, axis=1), axis=0)
     width = max(len(shallow) + 1, int((deep > 0).sum(1).max(initial=0)))
-    return np.concatenate([*(np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in shallow), deep[:, :width]])
+    out = np.zeros((sum(len(x) for x in shallow) + len(deep), width), np.min_scalar_type(window))  # narrow, as there are many rows
+    at = 0
+    for x in (*shallow, deep[:, :width]):
+        out[at : at + len(x), : x.shape[1]] = x
+        at += len(x)
+    return out
 
 
 def nnls(columns: np.ndarray, target: np.ndarray, rounds: int = 150) -> np.ndarray:
     """x >= 0 of the least |A x - target|, where column j of A counts the lengths in columns[j]; accelerated projected gradient over columns scaled to sum 1."""
     real = columns > 0
-    flat, size = columns[real], real.sum(1)
+    flat, size = columns[real].astype(np.int64), real.sum(1)
     first = np.cumsum(size) - size
 
     def product(x):
@@ -97,7 +102,9 @@ def plan(counts: np.ndarray, window: int) -> list[tuple[tuple[int, ...], int]]:
         x = nnls(columns, left)
         order = np.argsort(-x, kind="stable")
         for wanted in (np.rint(x).astype(np.int64), np.full(len(x), int(left.sum()))):
-            able = (wanted > 0) & ((columns == 0) | (left[columns] > 0)).all(1)
+            have = left > 0
+            have[0] = True
+            able = (wanted > 0) & have[columns].all(1)
             for j in order[able[order]].tolist():
                 each = Counter(columns[j][columns[j] > 0].tolist())
                 times = min(int(wanted[j]), *(int(left[v]) // n for v, n in each.items()))
