@@ -20,6 +20,18 @@ def test_layouts_and_reasons(spark, tmp_path):
     assert texts.read_texts(spark, str(tmp_path / "blank.json"))[0].count() == 0
 
 
+def test_a_record_is_parsed_once(spark, tmp_path):
+    """Filters on the record do not bring parsers of their own, and the part behind the files is compiled whole."""
+    (tmp_path / "a.json").write_bytes(b' \n\t\r\n {"run_id": "a",\r"n_poi": 1}\r\n{"run_id": "b"}\r\n')
+    (tmp_path / "b.json").write_text('\n\n{\n"run_id":\n"c"}\n\n')
+    (tmp_path / "c.json").write_text("\n" * 50_000 + ' {"run_id": "d"}\n[2]\n')
+    runs = records.read_runs(spark, str(tmp_path))
+    assert sorted((r.run_id, r.n_poi) for r in runs.collect()) == [("a", 1), ("b", None), ("c", None), ("d", None)]
+    plan = runs._jdf.queryExecution().executedPlan().toString()
+    # Of each line once; besides, of each file the first line and, where that is no JSON, the whole.
+    assert plan.count("parseJson(") == 3 and "lambda" not in plan, plan
+
+
 def test_a_second_write_replaces_its_own(spark, tmp_path):
     path = str(tmp_path / "runs")
     rows = spark.createDataFrame([(f"{e}{i}", e, "old") for e in "xy" for i in range(1500)], "run_id string, experiment string, status string")
