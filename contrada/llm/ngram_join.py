@@ -169,12 +169,22 @@ def _overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     return counts.astype(np.int64)
 
 
+def _dealt(placed: DataFrame, percent: int) -> DataFrame:
+    """The rows (id, comp, n, cells, block) for each pair of blocks, block_a and block_b, their own with itself too, where they may have partners of another component: the other block has a column of theirs from which sizes and places let two link."""
+    cells = placed.select("id", "comp", "n", "block", F.explode("cells").alias("c")).select("id", "comp", "n", "block", "c.gram", "c.rest")
+    columns = cells.groupBy("gram", F.col("block").alias("other")).agg(F.max("rest").alias("rest_b"), F.min("n").alias("n_b"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    reach = (1 + F.least("rest", "rest_b")) * (100 + percent) >= percent * (F.col("n") + F.col("n_b"))
+    meet = cells.join(columns, "gram").filter(((F.col("low") != F.col("comp")) | (F.col("high") != F.col("comp"))) & reach).select("id", "block", "other").distinct()
+    return placed.select("id", "comp", "n", "cells").join(meet, "id").withColumns({"block_a": F.least("block", "other"), "block_b": F.greatest("block", "other")})
+
+
 def _product(entries: DataFrame, percent: int, block: int = BLOCK, most_cells: int = CELLS) -> tuple[DataFrame, DataFrame]:
     """Of the columns' entries (gram, id, place, hub, comp): hub < id, the pairs of different components that can still link, with the number of the blocks' product; and the table of blocks that they are made from.
 
     Rows are put into blocks of up to about `block`, or `most_cells` cells, by the hub that they have most columns with, so that likely partners are together.
-    Two blocks meet in a task where a column has rows of both whose sizes and places let two link; there the overlaps of all their rows
-    are counted over all columns, and pairs whose count, or whose place in the first column that they share, leaves too small an overlap
+    Two blocks meet in a task where a column has rows of both whose sizes and places let two link; of each block only those rows are sent
+    there that have such a column, so that rows travel by the partners that they may have and not by those of their block. The overlaps of
+    the rows sent are counted over all columns, and pairs whose count, or whose place in the first column that they share, leaves too small an overlap
     are discarded (see _most and _reaches). Only pairs that are left leave the task, so a group of near copies that do not link costs
     products, not rows.
     """
@@ -186,12 +196,6 @@ def _product(entries: DataFrame, percent: int, block: int = BLOCK, most_cells: i
     parts = rows.groupBy("home").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("width") / most_cells)).alias("parts"))
     placed = written(rows.join(parts, "home").select("id", "comp", "n", "cells", F.xxhash64("home", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block")), "blocks")
     discard(rows)
-    columns = placed.select("block", "n", F.explode("cells").alias("c")).groupBy(F.col("c.gram").alias("gram"), "block").agg(F.max("c.rest").alias("rest"), F.min("n").alias("n"))
-    side = lambda s: columns.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("block", "rest", "n")])
-    reach = (1 + F.least("rest_a", "rest_b")) * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))
-    meet = side("a").join(side("b"), "gram").filter((F.col("block_a") < F.col("block_b")) & reach).select("block_a", "block_b")
-    alone = placed.groupBy("block").agg((F.min("comp") != F.max("comp")).alias("several")).filter("several").select(F.col("block").alias("block_a"), F.col("block").alias("block_b"))
-    dealt = placed.join(meet.union(alone).distinct().withColumn("block", F.explode(F.array_distinct(F.array("block_a", "block_b")))), "block")
 
     def multiplied(t: pa.Table) -> pa.Table:
         ids, comp, n, blocks = (t.column(c).to_numpy() for c in ("id", "comp", "n", "block"))
@@ -200,11 +204,13 @@ def _product(entries: DataFrame, percent: int, block: int = BLOCK, most_cells: i
         grams = [flat[offsets[i] : offsets[i + 1]] for i in range(len(ids))]
         rests = [left[offsets[i] : offsets[i + 1]] for i in range(len(ids))]
         a, b = (np.flatnonzero(blocks == t.column(c)[0].as_py()) for c in ("block_a", "block_b"))
+        if not (len(a) and len(b)):
+            return pa.table({c: pa.array([], pa.int64()) for c in ("block", "hub", "id")})
         shared = _overlaps([grams[i] for i in a], [grams[i] for i in b])
         na, nb = n[a][:, None], n[b][None]
         most = _most(shared, na, nb, percent)
         ok = (comp[a][:, None] != comp[b][None]) & (shared > 0) & (most * (100 + percent) >= percent * (na + nb))
-        if a[0] == b[0]:
+        if t.column("block_a")[0] == t.column("block_b")[0]:
             ok = np.triu(ok, 1)
         for i in np.flatnonzero(ok.any(1)).tolist():
             # The first column that two rows share leaves most of both behind it.
@@ -221,7 +227,7 @@ def _product(entries: DataFrame, percent: int, block: int = BLOCK, most_cells: i
         product = int(mixed(np.array([t.column(c)[0].as_py() for c in ("block_a", "block_b")]).view(np.uint64) * np.array([1, 3], np.uint64)).sum(dtype=np.uint64).view(np.int64))
         return pa.table({"block": pa.array(np.full(len(x), product)), "hub": pa.array(np.minimum(x, y)), "id": pa.array(np.maximum(x, y))})
 
-    return dealt.select("block_a", "block_b", "block", "id", "comp", "n", "cells").groupBy("block_a", "block_b").applyInArrow(multiplied, "block long, hub long, id long"), placed
+    return _dealt(placed, percent).select("block_a", "block_b", "block", "id", "comp", "n", "cells").groupBy("block_a", "block_b").applyInArrow(multiplied, "block long, hub long, id long"), placed
 
 
 def _rows_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:

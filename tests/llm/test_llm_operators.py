@@ -135,6 +135,22 @@ def test_the_product_of_blocks(spark, monkeypatch):
     assert ngram_join._overlaps(x, y).tolist() == [[len(set(a) & set(b)) for b in y] for a in x]
 
 
+def test_rows_travel_by_their_own_partners(spark, monkeypatch):
+    # Blocks of 30 rows, one of which has a column with those of the other blocks: the others stay where they are.
+    dealt = []
+    real = ngram_join._dealt
+    monkeypatch.setattr(ngram_join, "_dealt", lambda *a: dealt.append(real(*a).cache()) or dealt[-1])
+    rows = [(b, b * 30 + k, [b + 1000, 1] if k == 0 else [b + 1000]) for b in range(12) for k in range(30)]
+    entries = [(g, i, (9 << 32) + k, b * 30, b) for b, i, grams in rows for k, g in enumerate(grams)]
+    entries += [(2, b * 30 + k, (9 << 32) + 1, b * 30, b) for b in range(12) for k in (5, 6)]
+    df = spark.createDataFrame(entries, "gram long, id long, place long, hub long, comp long").repartition(3)
+    left = ngram_join._product(df, 80)[0].select("hub", "id").collect()
+    heads, twos = [b * 30 for b in range(12)], [b * 30 + k for b in range(12) for k in (5, 6)]
+    want = {(x, y) for side in (heads, twos) for x in side for y in side if x < y and x // 30 != y // 30}
+    # The two rows of a block that share column 2 are of one component.
+    assert sorted(left) == sorted(want) and dealt[0].count() <= (len(heads) + len(twos)) * 12
+
+
 def test_a_centre_with_the_largest_id(spark):
     # A group whose members link with its centre only, which comes last; and one that no centre joins.
     w = prose(120, 21).split()
