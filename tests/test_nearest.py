@@ -76,6 +76,23 @@ def test_pairs_do_not_grow_with_the_square(spark, monkeypatch):
     assert counts[1] < 4.5 * counts[0] and counts[1] < 0.1 * 6000**2, counts  # some 6000 places; squares would be nine times as many
 
 
+def test_cells_visited_hold_the_ball(spark):
+    r = random.Random(4)
+    turns = [(math.radians(r.uniform(-90, 90)), math.radians(r.uniform(-180, 180))) for _ in range(400)]
+    globe = [(math.cos(a) * math.cos(b), math.cos(a) * math.sin(b), math.sin(a)) for a, b in turns]
+    rows = [("c", "z", float(i), 0.0, *p, own) for i, p in enumerate(globe) for own in (2, 4)]
+    asking = spark.createDataFrame(rows, "citta string, zona string, lat double, lon double, x double, y double, z double, own int").repartition(3)
+    places = spark.createDataFrame([("c", "z", float(i), 0.0, *p, [str(i)]) for i, p in enumerate(globe)], "citta string, zona string, lat double, lon double, x double, y double, z double, ids array<string>")
+    near = nearest._looked_up(places, asking, [2, 4])
+    assert "BroadcastHashJoin" not in (plan := near._jdf.queryExecution().executedPlan().toString()) and plan.count("floor") < 20, plan
+    got = {(x.level, x.qlat, x.lat) for x in near.collect()}
+    for own in (2, 4):
+        for i, p in enumerate(globe):
+            for j, q in enumerate(globe):
+                if math.dist(p, q) <= 2.0 ** (1 - own) * math.sqrt(3):
+                    assert (own, float(i), float(j)) in got
+
+
 def test_no_points(spark):
     empty = spark.createDataFrame([], POINT)
     assert nearest.neighbours_of_many(empty).collect() == []
