@@ -20,15 +20,28 @@ def rank_of(prop):
     return F.array_position(F.array(*[F.lit(p) for p in PROPERTIES]), prop)
 
 
-def restrictions(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(terminus_class, prop, filler) of the existential restrictions on the profile's properties; and those dropped because class or filler is no IRI. Each predicate is cut out first; joins are on the restriction's node."""
+def restriction_rows(triples: DataFrame) -> DataFrame:
+    """(terminus_class, prop, filler, used) of the existential restrictions on the profile's properties; used: class and filler are IRIs.
+
+    Each predicate is cut out first. What a node is and its properties, five at most, are one row of it, so that two joins on the node are
+    left. They sort: by the size of the files behind the triples Spark may broadcast a side that has a row for each of them.
+    """
     t = triples
     sub = t.filter(F.col("p") == SUBCLASS).select("s", "s_kind", F.col("o").alias("node"))
-    kind = t.filter((F.col("p") == TYPE) & (F.col("o") == RESTRICTION)).select(F.col("s").alias("node"))
-    on = t.filter(F.col("p") == ON).select(F.col("s").alias("node"), text.local_name(F.col("o")).alias("prop")).filter(F.col("prop").isin(*PROPERTIES))
+    prop = F.when(F.col("p") == ON, text.local_name(F.col("o")))
+    said = t.filter(((F.col("p") == TYPE) & (F.col("o") == RESTRICTION)) | (F.col("p") == ON)).select(F.col("s").alias("node"), prop.alias("prop")).filter("prop is null or " + " or ".join(f"prop = '{p}'" for p in PROPERTIES))
+    on = [F.bool_or(F.coalesce(F.col("prop") == p, F.lit(False))).alias(p) for p in PROPERTIES]
+    node = said.groupBy("node").agg(F.bool_or(F.col("prop").isNull()).alias("restricts"), *on).filter("restricts")
+    props = F.array_compact(F.array(*[F.when(F.col(p), F.lit(p)) for p in PROPERTIES]))
     some = t.filter(F.col("p") == SOME).select(F.col("s").alias("node"), "o", "o_kind")
-    rows = sub.join(kind, "node", "left_semi").join(on, "node").join(some, "node").select(text.local_name(F.col("s")).alias("terminus_class"), "prop", text.local_name(F.col("o")).alias("filler"), ((F.col("s_kind") == "iri") & (F.col("o_kind") == "iri")).alias("__iri")).distinct()
-    return rows.filter("__iri").drop("__iri"), rows.filter("not __iri").drop("__iri")
+    met = sub.hint("merge").join(node.select("node", props.alias("props")), "node").hint("merge").join(some, "node")
+    return met.select(text.local_name(F.col("s")).alias("terminus_class"), F.explode("props").alias("prop"), text.local_name(F.col("o")).alias("filler"), ((F.col("s_kind") == "iri") & (F.col("o_kind") == "iri")).alias("used")).distinct()
+
+
+def restrictions(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(terminus_class, prop, filler) of the existential restrictions on the profile's properties; and those dropped because class or filler is no IRI."""
+    rows = restriction_rows(triples)
+    return rows.filter("used").drop("used"), rows.filter("not used").drop("used")
 
 
 def ancestors(triples: DataFrame, classes: DataFrame | None = None) -> DataFrame:

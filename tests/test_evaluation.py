@@ -109,6 +109,18 @@ def triples(spark):
     return spark.createDataFrame(rows, "s string, p string, o string, s_kind string, o_kind string")
 
 
+def test_restrictions_of_odd_nodes(spark):
+    rows = [("A", "rdfs:subClassOf", "n"), ("B", "rdfs:subClassOf", "n"), ("n", "rdf:type", "owl:Restriction"), ("n", "rdf:type", "owl:Restriction"), ("n", "rdf:type", "owl:Thing")]
+    rows += [("n", "owl:onProperty", f"x#{p}") for p in ("havingHazard", "havingPerformer", "havingHazard", "other")] + [("n", "owl:someValuesFrom", f"x#{f}") for f in "FGF"]
+    rows += [("A", "rdfs:subClassOf", "untyped"), ("untyped", "owl:onProperty", "x#havingHazard"), ("untyped", "owl:someValuesFrom", "x#F")]
+    rows += [("A", "rdfs:subClassOf", "bare"), ("bare", "rdf:type", "owl:Restriction"), ("bare", "owl:onProperty", "x#other"), ("bare", "owl:someValuesFrom", "x#F"), ("A", "rdfs:subClassOf", "B"), (None, "rdf:type", "owl:Restriction")]
+    t = spark.createDataFrame([(*r, "iri", "iri") for r in rows], "s string, p string, o string, s_kind string, o_kind string")
+    found = ontology.restriction_rows(t)
+    assert sorted(map(tuple, found.collect())) == sorted((c, p, f, True) for c in "AB" for p in ("havingHazard", "havingPerformer") for f in "FG")
+    for side in ontology.restrictions(t):
+        assert "BroadcastHashJoin" not in (plan := side._jdf.queryExecution().executedPlan().toString()) and plan.count("SortMergeJoin") == 2, plan
+
+
 def test_profiles(spark):
     t = triples(spark)
     own, dropped = ontology.restrictions(t)
