@@ -58,12 +58,12 @@ def column_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets
 
 
-def chunks(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first document, end, bytes, offsets from 0) of runs of whole documents; one long document is a run of its own."""
+def chunks(col: pa.Array, size: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first document, end, bytes, offsets from 0) of runs of whole documents of about `size` bytes; one long document is a run of its own."""
     raw, offsets = column_bytes(col)
     at = 0
     while at < len(col):
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK_BYTES, "right")) - 1)
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + (size or CHUNK_BYTES), "right")) - 1)
         end = min(end, len(col))
         yield at, end, raw[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
         at = end

@@ -131,7 +131,7 @@ def slots(spark, sizes: list[int], wanted: list[float], block: int = BLOCK_WORDS
     # Draws are few bytes and many slots: they are dealt to as many tasks as their slots ask for.
     tasks = max(partitions(drawn), -(-total // (8 * _SLOTS)))
     running = _before(drawn, "src", "shard", "n", "before").select("shard", "src", "n", "slot", "before")
-    return running.repartition(tasks, "shard").mapInPandas(assign, "shard long, slot long, src int, block long")
+    return running.repartition(tasks, "shard").mapInPandas(tidy(assign), "shard long, slot long, src int, block long")
 
 
 class Mix:
@@ -142,7 +142,10 @@ class Mix:
         placed, sources = laid_out(docs)
         sizes = [w for _, w in sources]
         wanted = targets(sizes, [float(weights[i % len(weights)]) for i in range(len(sizes))], most)
-        about = spark.createDataFrame([(i, s, w, t) for i, ((s, w), t) in enumerate(zip(sources, wanted, strict=True))], "src int, name string, source_size long, target double")
+        # As an Arrow table it goes to the JVM as it is; rows of Python would need workers of another kind, with a daemon of their own, which stay.
+        columns = [range(len(sizes)), [s for s, _ in sources], sizes, wanted]
+        kinds = pa.schema([("src", pa.int32()), ("name", pa.string()), ("source_size", pa.int64()), ("target", pa.float64())])
+        about = spark.createDataFrame(pa.table([pa.array(x, f.type) for x, f in zip(columns, kinds, strict=True)], schema=kinds))
         #: doc_id, source, size, start (its first word's place in the source's stream), src, source_size, target.
         self.documents = written(placed.join(about, placed["source"].eqNullSafe(about["name"])).drop("name"), "placed")
         ends = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)

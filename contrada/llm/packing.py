@@ -21,6 +21,8 @@ from .tokens import encoder
 WINDOW = 1024
 #: Ids that are packed together, about: what a task holds at a time. The last window of each such shard may be padded.
 SHARD_TOKENS = 2_000_000
+#: Bytes of texts that are encoded at a time: arrays over their characters take some 45 times as much.
+ENCODED_BYTES = 1 << 17
 #: Tasks up to which their sequence numbers are broadcast: 16 bytes each.
 BROADCAST_TASKS = 500_000
 #: Combinations that are drawn, their lengths at most, and plans that are made, each for what the one before left.
@@ -182,7 +184,7 @@ def packed(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int =
                 x.clear()
 
         for b in batches:
-            for at, end, ids, first, _, _ in enc.column(b.column(1)):
+            for at, end, ids, first, _, _ in enc.column(b.column(1), ENCODED_BYTES):
                 n = np.diff(first)
                 names.append(b.column(0).slice(at, end - at))
                 lists.append(np.insert(ids, first[1:], np.uint32(end_id)))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import LOWER, SPACE, chunks, span_hashes, words
-from .common import Marks, tidy, written
+from .common import Marks, discard, tidy, written
 
 THRESHOLD = 0.3
 #: Share of the class covariance that gives way to the pooled one, and then to its diagonal; and a variance that is added to all.
@@ -200,7 +200,10 @@ def kept(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> Da
     """
     marked = labels.filter("quality in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long")).distinct()
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(~held_out("doc_id"))
-    model = fitted(statistics_table(known, Marks(marked)), labels)  # of a few more too, which the join drops
+    # Of a few more too, which the join drops. Written, as the sums are taken in Python again: in one stage each task would hold two workers, which Spark keeps.
+    stats = written(statistics_table(known, Marks(marked)), "labelled")
+    model = fitted(stats, labels)
+    discard(stats)
     names = docs.columns
     at = names.index("text")
 

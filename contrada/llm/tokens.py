@@ -112,9 +112,9 @@ class Encoder:
         self.size = np.insert(self.size, at, size)
         self.filled += total
 
-    def column(self, col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(first row, end, ids, first id of each row, bytes, byte offsets) of runs of rows; a null text is empty."""
-        for at, end, data, offsets in chunks(col):
+    def column(self, col: pa.Array, size: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(first row, end, ids, first id of each row, bytes, byte offsets) of runs of rows (see chunks()); a null text is empty."""
+        for at, end, data, offsets in chunks(col, size):
             yield at, end, *self._chunk(data, offsets), data, offsets
 
     def _chunk(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

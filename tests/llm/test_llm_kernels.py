@@ -3,12 +3,13 @@
 import itertools
 import math
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from contrada.llm import bytetext, exact_dedup, mixing, neighbours, packing, quality, secrets, suffix_dedup, tokens, url_filter
+from contrada.llm import bytetext, exact_dedup, mixing, neighbours, packing, quality, queries, secrets, suffix_dedup, tokens, url_filter
 
 TEXTS = ["", None, " \t\n", "one", "a b c d", "A b c d e f", "é è  ü\x0bx", "don't we're I'll 's  'tis ''s\n\n  hi  \t there \n", "日本語 テスト 123４５ ½", "😀 emoji <|endoftext|>", "\x1c\x1f a\x85b", "x" * 5000, "same words here now then " * 200]
 
@@ -77,6 +78,22 @@ def test_pack(sizes):
     assert made == -(-sum(sizes) // 1024)
 
 
+def test_packing_encodes_few_bytes_at_a_time():
+    enc = tokens.Encoder(queries.tokenizer_path(), added=True)
+    col = pa.array([f"text {i} " + " ".join(f"word{(i * k) % 997}" for k in range(150)) for i in range(1000)] + TEXTS)
+    whole = [ids[a:b].tolist() for _, _, ids, first, _, _ in enc.column(col) for a, b in itertools.pairwise(first)]
+    parts, ends = [], [0]
+    tracemalloc.start()
+    for at, end, ids, first, data, _ in enc.column(col, packing.ENCODED_BYTES):
+        assert at == ends[-1] and (len(data) <= packing.ENCODED_BYTES or end == at + 1)
+        ends.append(end)
+        parts += [(ids[a:b]) for a, b in itertools.pairwise(first)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [x.tolist() for x in parts] == whole and ends[-1] == len(col)
+    assert peak < 16 << 20
+
+
 def test_nnls():
     counts = np.zeros(17, np.int64)
     counts[[4, 12, 8]] = [10, 10, 6]
