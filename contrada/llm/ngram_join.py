@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import mixed, shingle_sets
-from .common import Marks, discard, parted, tidy, written
+from .common import Marks, discard, parted, partitions, tidy, written
 from .components import components
 
 #: Words of a shingle, and the similarity from which documents link, in hundredths.
@@ -27,6 +27,8 @@ SKETCH_BITS = 20
 _PART = 1 << 16
 #: Rows and cells of a block of the product, about, and columns that are multiplied together.
 BLOCK, CELLS, _SLICE = 512, 1 << 19, 1024
+#: Pairs of rows of a product up to which they are compared one by one, together with those of other products.
+_PAIRS = 64
 
 
 def _profiles(docs: DataFrame, words: int) -> DataFrame:
@@ -40,14 +42,15 @@ def _profiles(docs: DataFrame, words: int) -> DataFrame:
             seen = True
             rows = len(b)
             n, h = np.zeros(rows, np.int64), np.zeros((2, rows), np.uint64)
-            held = []
+            held, cells = [], 0
             for i, own in shingle_sets(b.column(1), words):
                 n[i] = len(own)
                 h[0, i], h[1, i] = mixed(own).sum(dtype=np.uint64), mixed(own ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
                 held.append(own & mask)
-                if len(held) == 256:
+                cells += len(own)
+                if cells >= len(counts) // 2:
                     counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=len(counts)).astype(np.uint32)
-                    held = []
+                    held, cells = [], 0
             if held:
                 counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=len(counts)).astype(np.uint32)
             none = pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())
@@ -170,12 +173,103 @@ def _overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
 
 
 def _dealt(placed: DataFrame, percent: int) -> DataFrame:
-    """The rows (id, comp, n, cells, block) for each pair of blocks, block_a and block_b, their own with itself too, where they may have partners of another component: the other block has a column of theirs from which sizes and places let two link."""
+    """The rows (id, comp, n, cells, block) for each pair of blocks, block_a and block_b, their own with itself too, where they may have partners of another component.
+
+    The other block has a column of theirs from which sizes and places let two link, and as many of their columns as a partner of one of its
+    sizes must share (see _most); and it has rows of which the same holds the other way round. So a column that two rows share by chance
+    brings neither of them to the other's block.
+    """
     cells = placed.select("id", "comp", "n", "block", F.explode("cells").alias("c")).select("id", "comp", "n", "block", "c.gram", "c.rest")
-    columns = cells.groupBy("gram", F.col("block").alias("other")).agg(F.max("rest").alias("rest_b"), F.min("n").alias("n_b"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    columns = cells.groupBy("gram", F.col("block").alias("other")).agg(F.max("rest").alias("rest_b"), F.min("n").alias("n_b"), F.max("n").alias("most_b"), F.min("comp").alias("low"), F.max("comp").alias("high"))
     reach = (1 + F.least("rest", "rest_b")) * (100 + percent) >= percent * (F.col("n") + F.col("n_b"))
-    meet = cells.join(columns, "gram").filter(((F.col("low") != F.col("comp")) | (F.col("high") != F.col("comp"))) & reach).select("id", "block", "other").distinct()
-    return placed.select("id", "comp", "n", "cells").join(meet, "id").withColumns({"block_a": F.least("block", "other"), "block_b": F.greatest("block", "other")})
+    found = cells.join(columns, "gram").filter((F.col("low") != F.col("comp")) | (F.col("high") != F.col("comp")))
+    met = found.groupBy("id", "n", "block", "other").agg(F.bool_or(reach).alias("reaches"), F.count(F.lit(1)).alias("c"), F.min("n_b").alias("low"), F.max("most_b").alias("high")).filter("reaches")
+    # _most is convex in the partner's size, so it is largest at an end; rounded up by at most 99 hundredths.
+    enough = [(100 * (F.col("c") - 1) + percent * F.greatest("n", end) + 99) * (100 + percent) >= 100 * percent * (F.col("n") + F.col(end)) for end in ("low", "high")]
+    both = met.filter(enough[0] | enough[1]).withColumns({"block_a": F.least("block", "other"), "block_b": F.greatest("block", "other")}).groupBy("block_a", "block_b")
+    sides = both.agg(F.collect_list("id").alias("ids"), *[F.bool_or(F.col("block") == F.col(c)).alias(f"of_{c}") for c in ("block_a", "block_b")]).filter("of_block_a and of_block_b and size(ids) > 1")
+    return sides.select("block_a", "block_b", F.explode("ids").alias("id")).join(placed.select("id", "comp", "n", "cells", "block"), "id")
+
+
+def _few(x: np.ndarray, y: np.ndarray, offsets: np.ndarray, gram: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of rows x and y (numbers of rows whose columns are at `offsets` of gram and rest): the columns that they share, and what the first of these leaves of both (-1: they share none)."""
+    shared, first = np.zeros(len(x), np.int64), np.full(len(x), -1, np.int64)
+    width = np.diff(offsets)
+    names, code = np.unique(gram, return_inverse=True)
+    keys = np.repeat(np.arange(len(width)), width) * len(names) + code
+    order = np.argsort(keys)
+    keys, left = keys[order], rest[order]
+    x, y = np.where(width[x] <= width[y], (x, y), (y, x))
+    ends = np.cumsum(width[x])
+    low = 0
+    while low < len(x):
+        # Some pairs at a time, for their columns are laid out.
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + CELLS, "right")))
+        size = width[x[low:high]]
+        starts = np.cumsum(size) - size
+        cell = np.repeat(offsets[x[low:high]] - starts, size) + np.arange(size.sum())
+        key = np.repeat(y[low:high], size) * len(names) + code[cell]
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        same = keys[at] == key
+        shared[low:high] = np.add.reduceat(same, starts, dtype=np.int64)
+        first[low:high] = np.maximum.reduceat(np.where(same, np.minimum(rest[cell], left[at]), -1), starts)
+        low = high
+    return shared, first
+
+
+def _many(a: np.ndarray, b: np.ndarray, offsets: np.ndarray, gram: np.ndarray, rest: np.ndarray, ok) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all pairs of rows a and b those that ok(columns shared) lets stay, as places in a and b, and what the first shared column leaves of both."""
+    grams, rests = ([v[offsets[i] : offsets[i + 1]] for i in range(len(offsets) - 1)] for v in (gram, rest))
+    x, y = np.nonzero(ok(_overlaps([grams[i] for i in a], [grams[i] for i in b])))
+    first = np.zeros(len(x), np.int64)
+    for i in np.unique(x).tolist():
+        here = np.flatnonzero(x == i)
+        own, to = a[i], b[y[here]]
+        order = np.argsort(grams[own])
+        theirs, left = (np.concatenate([v[j] for j in to]) for v in (grams, rests))
+        at = order[np.minimum(np.searchsorted(grams[own], theirs, sorter=order), len(order) - 1)]
+        both = np.where(grams[own][at] == theirs, np.minimum(rests[own][at], left), -1)
+        sizes = np.array([len(grams[j]) for j in to])
+        first[here] = np.maximum.reduceat(both, np.cumsum(sizes) - sizes)
+    return x, y, first
+
+
+def _multiplied(t: pa.Table, percent: int) -> pa.RecordBatch:
+    """The pairs (block: the number of their blocks' product, hub, id, cells) that can still link, of whole pairs of blocks whose rows lie side by side: those of few rows all at once, larger ones by the product of their blocks."""
+    ids, comp, n, blocks, block_a, block_b = (t.column(c).to_numpy() for c in ("id", "comp", "n", "block", "block_a", "block_b"))
+    cells = t.column("cells").combine_chunks()
+    offsets = np.asarray(cells.offsets).astype(np.int64)
+    gram, rest = (np.asarray(cells.values.field(k))[offsets[0] : offsets[-1]] for k in (0, 1))
+    offsets = offsets - offsets[0]
+    starts = np.flatnonzero(np.concatenate(([True], (block_a[1:] != block_a[:-1]) | (block_b[1:] != block_b[:-1]))))
+    group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ids))))
+    a, b = np.flatnonzero(blocks == block_a), np.flatnonzero(blocks == block_b)
+    (from_a, count_a), (from_b, count_b) = ((np.searchsorted(group[v], np.arange(len(starts))), np.bincount(group[v], minlength=len(starts))) for v in (a, b))
+    pairs = count_a * count_b
+
+    def can(x, y, shared):
+        once = (block_a[x] != block_b[x]) | (x < y)
+        return once & (comp[x] != comp[y]) & (shared > 0) & (_most(shared, n[x], n[y], percent) * (100 + percent) >= percent * (n[x] + n[y]))
+
+    per = np.where(pairs <= _PAIRS, pairs, 0)
+    of = np.repeat(np.arange(len(starts)), per)
+    k = np.arange(len(of)) - np.repeat(np.cumsum(per) - per, per)
+    x, y = a[from_a[of] + k // count_b[of]], b[from_b[of] + k % count_b[of]]
+    maybe = can(x, y, len(gram)) & (np.minimum(n[x], n[y]) * (100 + percent) >= percent * (n[x] + n[y]))
+    x, y = x[maybe], y[maybe]
+    shared, first = _few(x, y, offsets, gram, rest)
+    stay = can(x, y, shared) & ((1 + first) * (100 + percent) >= percent * (n[x] + n[y]))
+    found = [(x[stay], y[stay])]
+    for g in np.flatnonzero(pairs > _PAIRS).tolist():
+        low, high = starts[g], starts[g] + np.count_nonzero(group == g)
+        own, to = (v[s[g] : s[g] + c[g]] for v, s, c in ((a, from_a, count_a), (b, from_b, count_b)))
+        x, y, first = _many(own - low, to - low, offsets[low : high + 1] - offsets[low], gram[offsets[low] : offsets[high]], rest[offsets[low] : offsets[high]], lambda shared, own=own, to=to: can(own[:, None], to[None], shared))
+        x, y = own[x], to[y]
+        stay = (1 + first) * (100 + percent) >= percent * (n[x] + n[y])
+        found.append((x[stay], y[stay]))
+    x, y = (np.concatenate(v) for v in zip(*found, strict=True))
+    product = (mixed(block_a[x].view(np.uint64)) + mixed(block_b[x].view(np.uint64) * np.uint64(3))).view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(v) for v in (product, np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y]), n[x] + n[y])], names=["block", "hub", "id", "cells"])
 
 
 def _product(entries: DataFrame, percent: int, block: int = BLOCK, most_cells: int = CELLS) -> tuple[DataFrame, DataFrame]:
@@ -183,10 +277,10 @@ def _product(entries: DataFrame, percent: int, block: int = BLOCK, most_cells: i
 
     Rows are put into blocks of up to about `block`, or `most_cells` cells, by the hub that they have most columns with, so that likely partners are together.
     Two blocks meet in a task where a column has rows of both whose sizes and places let two link; of each block only those rows are sent
-    there that have such a column, so that rows travel by the partners that they may have and not by those of their block. The overlaps of
-    the rows sent are counted over all columns, and pairs whose count, or whose place in the first column that they share, leaves too small an overlap
-    are discarded (see _most and _reaches). Only pairs that are left leave the task, so a group of near copies that do not link costs
-    products, not rows.
+    there that have such a column and enough columns of the other's, so that rows travel by the partners that they may have and not by those of
+    their block. The overlaps of the rows sent are counted over all columns, and pairs whose count, or whose place in the first column that they
+    share, leaves too small an overlap are discarded (see _most and _reaches). Only pairs that are left leave the task, so a group of near
+    copies that do not link costs products, not rows. Small products are taken many at a time.
     """
     several = entries.groupBy("gram").agg((F.min("comp") != F.max("comp")).alias("several")).filter("several")
     own = entries.join(several, "gram", "left_semi").withColumn("n", F.expr("place >> 32"))
@@ -197,37 +291,27 @@ def _product(entries: DataFrame, percent: int, block: int = BLOCK, most_cells: i
     placed = written(rows.join(parts, "home").select("id", "comp", "n", "cells", F.xxhash64("home", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block")), "blocks")
     discard(rows)
 
-    def multiplied(t: pa.Table) -> pa.Table:
-        ids, comp, n, blocks = (t.column(c).to_numpy() for c in ("id", "comp", "n", "block"))
-        cells = t.column("cells").combine_chunks()
-        offsets, flat, left = np.asarray(cells.offsets), *(np.asarray(cells.values.field(k)) for k in (0, 1))
-        grams = [flat[offsets[i] : offsets[i + 1]] for i in range(len(ids))]
-        rests = [left[offsets[i] : offsets[i + 1]] for i in range(len(ids))]
-        a, b = (np.flatnonzero(blocks == t.column(c)[0].as_py()) for c in ("block_a", "block_b"))
-        if not (len(a) and len(b)):
-            return pa.table({c: pa.array([], pa.int64()) for c in ("block", "hub", "id")})
-        shared = _overlaps([grams[i] for i in a], [grams[i] for i in b])
-        na, nb = n[a][:, None], n[b][None]
-        most = _most(shared, na, nb, percent)
-        ok = (comp[a][:, None] != comp[b][None]) & (shared > 0) & (most * (100 + percent) >= percent * (na + nb))
-        if t.column("block_a")[0] == t.column("block_b")[0]:
-            ok = np.triu(ok, 1)
-        for i in np.flatnonzero(ok.any(1)).tolist():
-            # The first column that two rows share leaves most of both behind it.
-            own, to = a[i], np.flatnonzero(ok[i])
-            order = np.argsort(grams[own])
-            gram, rest = (np.concatenate([v[b[j]] for j in to]) for v in (grams, rests))
-            at = order[np.minimum(np.searchsorted(grams[own], gram, sorter=order), len(order) - 1)]
-            both = np.where(grams[own][at] == gram, np.minimum(rests[own][at], rest), -1)
-            sizes = np.array([len(grams[b[j]]) for j in to])
-            first = np.maximum.reduceat(both, np.cumsum(sizes) - sizes)
-            ok[i, to] = (1 + first) * (100 + percent) >= percent * (n[own] + n[b[to]])
-        x, y = np.nonzero(ok)
-        x, y = ids[a[x]], ids[b[y]]
-        product = int(mixed(np.array([t.column(c)[0].as_py() for c in ("block_a", "block_b")]).view(np.uint64) * np.array([1, 3], np.uint64)).sum(dtype=np.uint64).view(np.int64))
-        return pa.table({"block": pa.array(np.full(len(x), product)), "hub": pa.array(np.minimum(x, y)), "id": pa.array(np.maximum(x, y))})
-
-    return _dealt(placed, percent).select("block_a", "block_b", "block", "id", "comp", "n", "cells").groupBy("block_a", "block_b").applyInArrow(multiplied, "block long, hub long, id long"), placed
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for b in batches:
+            if not len(b):
+                continue
+            block_a, block_b = (np.asarray(b.column(c)) for c in ("block_a", "block_b"))
+            cut = int(np.flatnonzero((block_a == block_a[-1]) & (block_b == block_b[-1]))[0])
+            now = block_a[-1], block_b[-1]
+            # The last pair of blocks may go on in the next batch.
+            if held and (cut or last != now):
+                yield _multiplied(pa.Table.from_batches([*held, b.slice(0, cut)]), percent)
+                held = []
+            elif cut:
+                yield _multiplied(pa.Table.from_batches([b.slice(0, cut)]), percent)
+            held.append(b.slice(cut))
+            last = now
+        if held:
+            yield _multiplied(pa.Table.from_batches(held), percent)
+
+    sent = _dealt(placed, percent).select("block_a", "block_b", "block", "id", "comp", "n", "cells")
+    return sent.repartition("block_a", "block_b").sortWithinPartitions("block_a", "block_b").mapInArrow(tidy(run), "block long, hub long, id long, cells long"), placed
 
 
 def _rows_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -284,24 +368,37 @@ def near_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     left = written(left, "left")
     discard(shared, blocks)
     # Links between components join these, as edges of their roots.
-    more = _completed(docs, left, words, percent, "more")
+    bundles = written(_in_bundles(left), "left_blocks")
+    more = _completed(docs, bundles, words, percent, "more")
     root = lambda c, name: comp.select(F.col("id").alias(c), F.col("root").alias(name))
     edges = more.join(root("hub", "x"), "hub", "left").join(root("id", "y"), "id", "left").select(F.coalesce("x", "hub").alias("a"), F.coalesce("y", "id").alias("b"))
     joined = components(edges)
-    discard(links, left, more)
+    discard(links, left, bundles, more)
     joined = joined.select(F.col("id").alias("top"), F.col("root").alias("over"))
     found = members.join(root("class_id", "root"), "class_id", "left").withColumn("top", F.coalesce("root", "class_id")).join(joined, "top", "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("over", "top").alias("component_id"), "class_id")
 
 
+def _bundled(sizes: DataFrame, key: str, most_cells: int = CELLS) -> DataFrame:
+    """Of blocks (key, cells): key, parts (in which a block has no more than `most_cells` cells) and bundle, the block that small ones share: a block for each few rows would cost more to hand over than to count."""
+    total = sizes.agg(F.ceil(F.greatest(F.lit(partitions(sizes)), 2 * F.sum("cells") / most_cells)).alias("bundles"))
+    return sizes.crossJoin(F.broadcast(total)).select(key, F.ceil(F.col("cells") / most_cells).alias("parts"), F.pmod(F.xxhash64(key), "bundles").alias("bundle"))  # total: one row
+
+
 def _in_blocks(star: DataFrame, sizes: DataFrame, most_cells: int = CELLS) -> DataFrame:
     """Pairs (hub, id, c: columns that they share) with a block each: those of an id are in one, and ids with the same likeliest hub are together while their whole rows (sizes: id, n) have no more than `most_cells` cells."""
     home = star.groupBy("id").agg(F.max_by("hub", F.struct("c", "hub")).alias("home")).join(sizes, "id")
-    parts = home.groupBy("home").agg(F.ceil(F.sum("n") / most_cells).alias("parts"))
-    block = F.xxhash64("home", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block")
+    parts = _bundled(home.groupBy("home").agg(F.sum("n").alias("cells")), "home", most_cells)
+    block = F.when(F.col("parts") > 1, F.xxhash64("home", F.pmod(F.xxhash64("id"), F.col("parts")))).otherwise(F.col("bundle")).alias("block")
     return star.join(home.join(parts, "home").select("id", block), "id").select("block", "hub", "id")
 
 
+def _in_bundles(pairs: DataFrame, most_cells: int = CELLS) -> DataFrame:
+    """Pairs (block, hub, id, cells: those of both rows) with small blocks bundled; a large block is kept as it is."""
+    parts = _bundled(pairs.groupBy("block").agg(F.sum("cells").alias("cells")), "block", most_cells)
+    return pairs.join(parts, "block").select(F.when(F.col("parts") > 1, F.col("block")).otherwise(F.col("bundle")).alias("block"), "hub", "id")
+
+
 def _counted(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """Pairs (block, hub, id) with the columns that their rows (id, grams in order, n) share: block, hub, id, c, n1, n2. A row is sent to a block once, however many pairs it has there."""
     needs = pairs.select(F.col("block").alias("at"), F.explode(F.array("hub", "id")).alias("id")).distinct()

@@ -151,6 +151,41 @@ def test_rows_travel_by_their_own_partners(spark, monkeypatch):
     assert sorted(left) == sorted(want) and dealt[0].count() <= (len(heads) + len(twos)) * 12
 
 
+def test_chance_columns_deal_no_rows(spark, monkeypatch):
+    # Any two of 20 rows, each a block of its own, share one column, which is too few for their sizes; two more share enough.
+    dealt = []
+    real = ngram_join._dealt
+    monkeypatch.setattr(ngram_join, "_dealt", lambda *a: dealt.append(real(*a).cache()) or dealt[-1])
+    entries = [(100 * a + b, i, (60 << 32) + 1, i, i) for b in range(20) for a in range(b) for i in (a, b)]
+    entries += [(9000 + k, i, (60 << 32) + k, i, i) for k in range(10) for i in (30, 31)]
+    df = spark.createDataFrame(entries, "gram long, id long, place long, hub long, comp long").repartition(3)
+    left = ngram_join._product(df, 80)[0].select("hub", "id").collect()
+    assert [tuple(x) for x in left] == [(30, 31)] and sorted(x.id for x in dealt[0].collect()) == [30, 31]
+
+
+def test_products_across_batches(spark):
+    r = np.random.default_rng(8)
+    rows = {i: r.permutation(30)[: r.integers(2, 14)].tolist() for i in range(90)}
+    entries = [(g, i, (int(60 + i % 7) << 32) + k, i % 4, i % 11) for i, grams in rows.items() for k, g in enumerate(sorted(grams))]
+    df = spark.createDataFrame(entries, "gram long, id long, place long, hub long, comp long")
+    found = []
+    try:
+        for n in ("10000", "3"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+            found.append(sorted((x.hub, x.id) for x in ngram_join._product(df, 80, 20)[0].collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(found[0]) > 50 and found[0] == found[1] and len(set(found[0])) == len(found[0])
+
+
+def test_small_blocks_share_bundles(spark):
+    pairs = spark.createDataFrame([(b, 10 * b, 10 * b + 1, 100) for b in range(200)] + [(999, 5000 + k, 6000, 400) for k in range(10)], "block long, hub long, id long, cells long")
+    got = ngram_join._in_bundles(pairs, 3000).collect()
+    blocks = {(x.hub, x.id): x.block for x in got}
+    small = {b for (hub, _), b in blocks.items() if hub < 5000}
+    assert len(got) == len(blocks) == 210 and len(small) <= 16 and {b for (hub, _), b in blocks.items() if hub >= 5000} == {999}
+
+
 def test_a_centre_with_the_largest_id(spark):
     # A group whose members link with its centre only, which comes last; and one that no centre joins.
     w = prose(120, 21).split()
