@@ -27,7 +27,7 @@ _R = {"grounding": 6, "hallucination": 6, "latency_ms": 3, "cost_usd": 9}
 
 
 def runs(spark, sf_dir):
-    return views.view(spark, sf_dir, views.RUN)
+    return views.view(spark, sf_dir, views.RUN_BY_ORDER)
 
 
 def pairs(spark, sf_dir):

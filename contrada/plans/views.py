@@ -59,7 +59,7 @@ UNION ALL SELECT DISTINCT p_type, 'havingHazard', concat('Type_hazard_', CAST(p_
 """
 
 #: V3. Runs: one for each line item; the arm is the line's status, the zone the customer's nation.
-RUN = """
+_RUN = """
 SELECT concat(lower(l.l_linestatus), '__', lower(n.n_name), '__rep', lpad(CAST(l.l_orderkey AS VARCHAR(12)), 9, '0'), CAST(l.l_linenumber AS VARCHAR(4))) AS run_id, l.l_linestatus AS experiment, r.r_name AS citta, n.n_name AS zona,
   CASE l.l_returnflag WHEN 'A' THEN 'error' WHEN 'N' THEN 'ok' ELSE 'fallback' END AS status,
   1 - least(1.0, l.l_discount * 10) AS grounding, least(1.0, l.l_discount * 10) AS hallucination,
@@ -67,9 +67,12 @@ SELECT concat(lower(l.l_linestatus), '__', lower(n.n_name), '__rep', lpad(CAST(l
   CASE WHEN l.l_linenumber = 7 THEN '  ' ELSE concat('testo ', CAST(l.l_orderkey AS VARCHAR(12))) END AS narrativa,
   CASE WHEN n.n_nationkey = 3 THEN concat('snap_', l.l_linestatus) ELSE n.n_name END AS snapshot_id,
   CASE l.l_linenumber % 4 WHEN 0 THEN '' WHEN 1 THEN 'model-a' WHEN 2 THEN 'model-b' ELSE 'model-x' END AS model_id, CAST(l.l_quantity * 1000 AS BIGINT) AS tokens_input, CAST(l.l_quantity * 100 AS BIGINT) AS tokens_output
-FROM {lineitem} l JOIN {orders} o ON o.o_orderkey = l.l_orderkey JOIN {customer} c ON c.c_custkey = o.o_custkey JOIN {nation} n ON n.n_nationkey = c.c_nationkey JOIN {region} r ON r.r_regionkey = n.n_regionkey
+FROM LINES JOIN {nation} n ON n.n_nationkey = c.c_nationkey JOIN {region} r ON r.r_regionkey = n.n_regionkey
 WHERE NOT (n.n_nationkey = 5 AND l.l_linestatus = 'F')
 """
+RUN = _RUN.replace("LINES", "{lineitem} l JOIN {orders} o ON o.o_orderkey = l.l_orderkey JOIN {customer} c ON c.c_custkey = o.o_custkey")
+#: The same rows for Spark, which joins in the order written: customers meet orders first, so lines, of which there are most, are shuffled once.
+RUN_BY_ORDER = _RUN.replace("LINES", "{lineitem} l JOIN (SELECT o.o_orderkey, k.c_nationkey FROM {orders} o JOIN {customer} k ON k.c_custkey = o.o_custkey) c ON c.o_orderkey = l.l_orderkey")
 
 #: V4. Narratives: all turns of a conversation in order, the first, the odd and the other even ones under header lines; the zone is a nation's, and some name a hazard or a point.
 NARRATIVE = """

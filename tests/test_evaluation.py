@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from contrada.operators import coverage, evaluation, grounding, ontology
+from contrada.plans import registry
 from contrada.sources import payload, records
 
 RUN = "run_id string, experiment string, citta string, zona string, status string, grounding double, hallucination double, latency_ms long, cost_usd double, narrativa string, snapshot_id string"
@@ -224,3 +225,18 @@ def test_as_of_equals_the_loop(spark):
         assert got.columns == [*q.columns, "context"]
         assert sorted((r.request_id, r.side, r.context.context_id if r.context else None) for r in got.collect()) == plain(max_age)
     assert "zone_key" in (plan := context.as_of(q, c)._jdf.queryExecution().executedPlan().toString()) and "hashpartitioning(zone_key" in plan.replace("#", " #") and ", bucket" in plan
+
+
+def test_lines_are_shuffled_once(spark):
+    """Customers meet orders first: what is dealt by customer has no lines in it."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = registry.evaluation_queries.runs(spark, "/root/testdata/sf0.001").select("run_id", "zona", "narrativa")
+        plan = rows._jdf.queryExecution().executedPlan().treeString().split("\n")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+    at = next(i for i, x in enumerate(plan) if "Exchange hashpartitioning(o_custkey" in x)
+    below = [x for x in plan[at + 1 :] if depth(x) > depth(plan[at])][: next((k for k, x in enumerate(plan[at + 1 :]) if depth(x) <= depth(plan[at])), None)]
+    assert below and not any("l_orderkey" in x for x in [plan[at], *below]) and sum("l_orderkey" in x and "Exchange" in x for x in plan) == 1, plan

@@ -52,6 +52,17 @@ def test_a_second_write_replaces_its_own(spark, tmp_path):
     assert [(r.reason, r.value) for r in bad.collect()] == [("no list of points", '{"poi": 5}')]
 
 
+def test_run_files_are_packed(spark, tmp_path):
+    path = tmp_path / "runs"
+    rows = spark.range(20_000).selectExpr("concat('r', id) AS run_id", "'x' AS experiment", "concat('testo ', id) AS narrativa", "named_struct('latency_ms', id) AS metrics").coalesce(1)
+    records.write_runs(rows, str(path))
+    files = [f for f in path.rglob("*") if f.name.startswith("part-")]
+    # A record has some 80 bytes.
+    assert len(files) == 2 and sum(f.stat().st_size for f in files) < 20_000 * 25
+    read = records.read_runs(spark, str(path)).selectExpr("count(*)", "sum(metrics.latency_ms)", "min(file_order)").first()
+    assert tuple(read) == (20_000, 199_990_000, "r0.json") and records.rejected_runs(spark, str(path)).isEmpty()
+
+
 def test_elements_of_odd_payloads(spark):
     odd = ['{"elements": [{"id": 1, "tags": {"a": 5, "b": null}, "lat": "x"}, [], "s", {}, {"id": 2.0, "center": {"lat": 1, "lon": 2}}]}', '{"elements": {}}', "[]", "", "{", None, '{"elements": []}']
     df = spark.createDataFrame(list(enumerate(odd)), "k int, payload string")
